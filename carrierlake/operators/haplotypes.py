@@ -215,9 +215,9 @@ def em_haplotypes(genotypes: DataFrame, region: str = "region", passes: int = 50
     """
     distinct = genotypes.where(~F.col("g").contains("9")).groupBy(region, "g").agg(F.count(F.lit(1)).cast("double").alias("w"))
     hets = F.length(F.regexp_replace("g", "[^1]", ""))
-    choices = F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.greatest(hets - 1, F.lit(0))) - 1)
+    choices = F.sequence(F.lit(0), F.pow(F.lit(2.0), F.greatest(hets - 1, F.lit(0)).cast("double")).cast("int") - 1)
     digits = F.filter(F.split("g", ""), lambda d: d != "")
-    expanded = distinct.select("*", F.explode(choices).alias("_c"), digits.alias("_d"), (F.length("g") - F.length(F.replace("g", F.lit("1"), F.lit("")))).alias("_h"))
+    expanded = distinct.select("*", F.explode(choices).alias("_c"), digits.alias("_d"))
     # The first heterozygous site is fixed; bit m of the choice sets the m-th later one.
     seen = lambda i: F.size(F.filter(F.slice("_d", 1, i), lambda d: d == "1"))
 
