@@ -313,7 +313,7 @@ def _em(t):
     digits = F.array_join(
         F.transform(F.sequence(F.lit(1), F.length("h1")), lambda i: (F.substring("h1", i, F.lit(1)).cast("int") + F.substring("h2", i, F.lit(1)).cast("int")).cast("string")), ""
     )
-    return rounded(haplotypes.em_haplotypes(haps(t).select("sample", "region", digits.alias("g"))))
+    return rounded(haplotypes.em_haplotypes(haps(t).select("sample", "region", digits.alias("g")), passes=25, tolerance=1e-4))
 
 
 SPLIT = """sp AS (SELECT region, tissue, hap, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY region, tissue) AS f FROM cop JOIN samples USING (sample) GROUP BY 1, 2, 3),

@@ -1,6 +1,8 @@
 """Session defaults and the one place that cuts lineage."""
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,19 +23,30 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Only a local master may fall back to a folder of its own; a cluster without the setting is
+    an error, because a machine-local folder does not survive an executor.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return folder or local_folder()
+
+
+@cache
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="carrierlake-scratch-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+    """Write the table to the shared scratch folder and read it back.
 
-    Only a local master may fall back to a folder of its own; a cluster without the
-    setting is an error, because a machine-local folder does not survive an executor.
+    Unlike ``checkpoint()`` the reader sees the true size on disk. A checkpointed plan keeps the
+    estimate of the plan it replaced, and in a loop of joins that estimate squares every pass.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="carrierlake-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(spark).rstrip('/')}/carrierlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
