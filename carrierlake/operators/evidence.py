@@ -115,7 +115,7 @@ def cohort_consistency(tests: DataFrame, keys: list[str], comparison: str, fdr:
 
 def external_comparison(study: DataFrame, reference: DataFrame, keys: list[str], value: str, limit: float = 0.10) -> DataFrame:
     """Study minus reference frequency with direction and alignment."""
-    joined = study.select(*keys, F.col(value).alias("study")).join(reference.select(*keys, F.col(value).alias("reference")), keys, "left")
+    joined = study.withColumnRenamed(value, "study").join(reference.select(*keys, F.col(value).alias("reference")), keys, "left")
     gap = F.col("study") - F.col("reference")
     return joined.select(
         "*", gap.alias("delta"),

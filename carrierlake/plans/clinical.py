@@ -12,7 +12,7 @@ N = 8
 CASES = {
     "yes_no": [("' Sí'", "'Yes'"), ("'NEG'", "'No'"), ("'1.0'", "'Yes'"), ("'?'", "NULL"), ("'yes'", "'Yes'"), ("'Positiva '", "'Yes'"), ("'0'", "'No'"), ("'-'", "'No'")],
     "first_number": [("n || ' años'", "n"), ("'~' || n", "n"), ("n || ',5'", "n + 0.5"), ("'none'", "NULL"), ("'>=' || n", "n"), ("n || '-12'", "n"), ("'a'", "NULL"), ("'G' || n", "n")],
-    "bmi": [("n || ' kg; 168 cm'", "CASE WHEN n BETWEEN 29 AND 197 THEN round(n / (1.68 * 1.68), 2) END"), ("'73 kg'", "NULL"), ("'Sobrepeso'", "NULL"), ("'27,5'", "27.5"), ("'x'", "NULL"),
+    "bmi": [("n || ' kg; 168 cm'", "CASE WHEN n < 25 THEN n WHEN n >= 29 THEN round(n / (1.68 * 1.68), 2) END"), ("'73 kg'", "NULL"), ("'Sobrepeso'", "NULL"), ("'27,5'", "27.5"), ("'x'", "NULL"),
             ("n || '.25'", "CASE WHEN n BETWEEN 10 AND 69 THEN n + 0.25 END"), ("'18?'", "18.0"), ("''", "NULL")],
     "bmi_category": [("'Sobrepeso'", "'Overweight'"), ("'obesidad I'", "'Obese'"), ("'bajo peso'", "'Underweight'"), ("'27,5'", "'Overweight'"), ("'NR'", "NULL"), ("'22'", "'Normal'"), ("'31.0'", "'Obese'"), ("'70 kg'", "NULL")],
     "weight_kg": [("n || ' kg'", "CASE WHEN n BETWEEN 25 AND 250 THEN n END"), ("'73,5KG'", "73.5"), ("'300 kg'", "NULL"), ("'60'", "NULL"), ("'x'", "NULL"), ("'50 kg; 160 cm'", "50.0"), ("'SOBREPESO'", "NULL"), ("'20 kg'", "NULL")],
