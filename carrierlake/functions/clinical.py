@@ -26,7 +26,7 @@ NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 def clean_text(c: Column) -> Column:
     """Repair doubly encoded text, turn no-break spaces into spaces, trim."""
     text = c.cast("string")
-    broken = text.rlike("[ÃÂ]")
+    broken = text.contains("Ã") | text.contains("Â")
     repaired = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
     only_latin = ~text.rlike("[^\\x00-\\xFF]")
     return F.trim(F.translate(F.when(broken & only_latin, repaired).otherwise(text), "\u00a0", " "))

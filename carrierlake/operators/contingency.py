@@ -7,6 +7,7 @@ not the number of samples.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from carrierlake.functions.pvalues import chi_square_p, log_factorial, normal_p
+from carrierlake.session import cut_lineage
 
 TIE = 1e-7  # on the log scale
 
@@ -170,7 +171,7 @@ def genotype_test(df: DataFrame, case: list[str], control: list[str]) -> DataFra
         *[v.alias(f"_{name}{i}") for name, k in (("het", 1), ("hom", 2))
           for i, v in enumerate(_contrast(t, c, k))],
     )
-    step = fisher_2x2(base, ("_a", "_b", "_c", "_d"), "_exact")
+    step = fisher_2x2(cut_lineage(base), ("_a", "_b", "_c", "_d"), "_exact")
     step = fisher_2x2(step, tuple(f"_het{i}" for i in range(4)), "het_p")
     step = fisher_2x2(step, tuple(f"_hom{i}" for i in range(4)), "hom_p")
     sparse = F.col("expected_min") < 5

@@ -1,11 +1,13 @@
 """Expression tables in long form: normalisation, composition features, gates, profile tests."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from carrierlake.functions.draws import with_uniform
-from carrierlake.operators.ranking import quantiles, running_totals
+from carrierlake.operators.ranking import quantiles
+from carrierlake.session import cut_lineage
 
 PSEUDO = 1e-6
+BANDS = 512
 
 
 def sum_present(*columns: Column) -> Column:
@@ -160,43 +162,58 @@ def clr(df: DataFrame, parts: list[str]) -> DataFrame:
     return valid.select(*df.columns, *[(F.col(f"_l{i}") - mean).alias(f"c{i}") for i in range(len(parts))])
 
 
-def _between(rows: DataFrame, keys: list[str], group: str, k: int) -> DataFrame:
-    """Between-group sum of squares plus n and group count per key."""
-    sums = rows.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_ng"), *[F.sum(f"c{i}").alias(f"_s{i}") for i in range(k)])
-    squared = sum((F.col(f"_s{i}") * F.col(f"_s{i}") for i in range(1, k)), F.col("_s0") * F.col("_s0"))
+def _between(sums: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Between-group sum of squares, n and group count per key from rows (keys, group, _ng, _s0..)."""
+    square = lambda p: sum((F.col(f"{p}{i}") * F.col(f"{p}{i}") for i in range(1, k)), F.col(f"{p}0") * F.col(f"{p}0"))
     folded = sums.groupBy(*keys).agg(
-        F.sum(squared / F.col("_ng")).alias("_g"), F.sum("_ng").alias("n"), F.count(F.lit(1)).alias("n_groups"),
+        F.sum(square("_s") / F.col("_ng")).alias("_g"), F.sum("_ng").alias("n"), F.count(F.lit(1)).alias("n_groups"),
         *[F.sum(f"_s{i}").alias(f"_t{i}") for i in range(k)],
     )
-    centre = sum((F.col(f"_t{i}") * F.col(f"_t{i}") for i in range(1, k)), F.col("_t0") * F.col("_t0"))
-    return folded.select(*keys, "n", "n_groups", F.greatest(F.col("_g") - centre / F.col("n"), F.lit(0.0)).alias("between_ss"))
+    return folded.select(*keys, "n", "n_groups", F.greatest(F.col("_g") - square("_t") / F.col("n"), F.lit(0.0)).alias("between_ss"))
+
+
+def _group_sums(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ng"), *[F.sum(f"c{i}").alias(f"_s{i}") for i in range(k)])
 
 
 def clr_permanova(df: DataFrame, keys: list[str], row_id: str, group: str, parts: list[str], permutations: int = 499, seed: int = 42) -> DataFrame:
     """Pseudo-F of log-ratio profiles between groups per key, p = (hits + 1) / (permutations + 1).
 
     The total sum of squares does not change under permutation, so only group sums are redone.
-    A permutation ranks the rows by a hashed draw and hands out the group sizes by rank.
+    A permutation orders the rows by a hashed draw and hands out the group sizes in that order.
+    Draws are cut into bands: a band that lies inside one group is only summed, and just the rows
+    of the few bands a group boundary falls into are ranked.
     """
     k = len(parts)
-    rows = clr(df.select(*keys, row_id, group, *parts), parts).drop(*parts)
+    rows = cut_lineage(clr(df.select(*keys, row_id, group, *parts), parts).drop(*parts))
     squares = sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(1, k)), F.col("c0") * F.col("c0"))
-    centre = lambda: sum((F.col(f"_t{i}") * F.col(f"_t{i}") for i in range(1, k)), F.col("_t0") * F.col("_t0"))
-    total = rows.groupBy(*keys).agg(F.sum(squares).alias("_q"), F.count(F.lit(1)).alias("_n"), *[F.sum(f"c{i}").alias(f"_t{i}") for i in range(k)]).select(
-        *keys, (F.col("_q") - centre() / F.col("_n")).alias("total_ss")
-    )
-    observed = _between(rows, keys, group, k).join(total, keys)
-    sizes = running_totals(
-        rows.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_ng")), keys, group, {"size": F.col("_ng")}, band=F.lit(0).cast("bigint")
-    ).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("size_upto").alias("upto"), F.col(group).alias("g")))).alias("_cuts"))
-    drawn = with_uniform(rows.drop(group).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))), "_u", [F.col("perm"), F.col(row_id)], seed)
-    ordered = running_totals(
-        drawn.withColumn("_o", F.struct("_u", row_id)), [*keys, "perm"], "_o", {"place": F.lit(1)}, band=F.floor(F.col("_u") * 64)
+    centre = sum((F.col(f"_t{i}") * F.col(f"_t{i}") for i in range(1, k)), F.col("_t0") * F.col("_t0"))
+    total = rows.groupBy(*keys).agg(
+        F.sum(squares).alias("_q"), F.count(F.lit(1)).alias("_n"), *[F.sum(f"c{i}").alias(f"_t{i}") for i in range(k)]
+    ).select(*keys, (F.col("_q") - centre / F.col("_n")).alias("total_ss"))
+    per_group = _group_sums(rows, [*keys, group], k)
+    observed = _between(per_group, keys, k).join(total, keys)
+    # Ranks up to ``upto`` go to group ``g``; a key has a handful of groups.
+    order = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
+    cuts = per_group.select(*keys, group, F.sum("_ng").over(order).alias("upto")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("upto", F.col(group).alias("g")))).alias("_cuts")
     )
-    label = F.get(F.filter("_cuts", lambda s: F.col("place_upto") <= s["upto"]), F.lit(0))["g"]
-    shuffled = ordered.join(sizes, keys).withColumn(group, label)
+    label = lambda place: F.get(F.filter("_cuts", lambda s: place <= s["upto"]), F.lit(0))["g"]
+    exploded = rows.drop(group).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    drawn = with_uniform(exploded, "_u", [F.col("perm"), F.col(row_id)], seed).withColumn("_band", F.floor(F.col("_u") * BANDS))
+    by = [*keys, "perm"]
+    along = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
+    bands = _group_sums(drawn, [*by, "_band"], k).withColumn("_upto", F.sum("_ng").over(along)).join(cuts, keys).withColumn(
+        "_first", label(F.col("_upto") - F.col("_ng") + 1)
+    ).withColumn("_last", label(F.col("_upto")))
+    sums = ["_ng", *[f"_s{i}" for i in range(k)]]
+    inside = bands.where("_first = _last").select(*by, F.col("_first").alias(group), *sums)
+    split = bands.where("_first <> _last").select(*by, "_band", (F.col("_upto") - F.col("_ng")).alias("_before"), "_cuts")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_band").orderBy("_u", row_id))
+    ranked = drawn.join(split, [*by, "_band"]).withColumn("_place", place).withColumn(group, label(F.col("_place")))
+    parts_of = inside.unionByName(_group_sums(ranked, [*by, group], k)).groupBy(*by, group).agg(*[F.sum(c).alias(c) for c in sums])
     hits = (
-        _between(shuffled, [*keys, "perm"], group, k).withColumnRenamed("between_ss", "_b").select(*keys, "_b")
+        _between(parts_of, by, k).select(*keys, F.col("between_ss").alias("_b"))
         .join(observed.select(*keys, F.col("between_ss").alias("_o")), keys)
         .groupBy(*keys).agg(F.count_if(F.col("_b") >= F.col("_o") * (1 - 1e-12)).alias("hits"))
     )

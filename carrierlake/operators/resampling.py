@@ -12,6 +12,7 @@ from carrierlake.functions.draws import with_uniform
 from carrierlake.functions.pvalues import log_factorial
 from carrierlake.operators.ranking import quantiles
 from carrierlake.operators.regression import _key_schema
+from carrierlake.session import cut_lineage
 
 # Cumulative Poisson(1) probabilities: a draw's weight is the number of them not above it.
 POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1)) for j in range(13)]
@@ -94,7 +95,10 @@ def bootstrap_slope(df: DataFrame, keys: list[str], row_id: Column, x: str, y: s
         F.sum(w * F.col("_x") * F.col("_x")).alias("sxx"), F.sum(w * F.col("_x") * F.col("_y")).alias("sxy"),
     )
     spread = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slopes = sums.where(spread > 1e-12).select(*keys, ((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).alias("slope"))
+    # One row per key and replicate, read several times below: written once.
+    slopes = cut_lineage(
+        sums.where(spread > 1e-12).select(*keys, ((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).alias("slope"))
+    )
     original = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_y", "_x").alias("original_slope"))
     signs = slopes.join(original, keys).groupBy(*keys).agg(
         F.avg((F.signum("slope") == F.signum("original_slope")).cast("double")).alias("sign_concordance"), F.count(F.lit(1)).alias("replicates")
@@ -119,7 +123,7 @@ def mediation(
     rows = _weights(valid, F.col("_id"), replicates, seed).select(*original.columns).unionByName(original)
     moments = rows.groupBy(*keys, "_b").agg(*[F.sum(F.col("_w") * z(i) * z(j)).alias(f"m{i}_{j}") for i, j in cells])
     schema = _key_schema(moments, [*keys, "_b"]) + ", n double, a double, b double, direct double, total double"
-    fits = moments.mapInPandas(_mediation_batch(k, [*keys, "_b"]), schema).where(F.col("a").isNotNull())
+    fits = cut_lineage(moments.mapInPandas(_mediation_batch(k, [*keys, "_b"]), schema)).where(F.col("a").isNotNull())
     point = fits.where("_b = 0").select(*keys, F.col("n").cast("bigint").alias("n"), "a", "b", "direct", "total", (F.col("a") * F.col("b")).alias("indirect"))
     draws = fits.where("_b > 0").select(*keys, (F.col("a") * F.col("b")).alias("v"))
     return point.join(quantiles(draws, keys, "v", {"indirect_low": 0.025, "indirect_high": 0.975}).withColumnRenamed("n", "replicates"), keys)
