@@ -1,5 +1,7 @@
 """Rules that turn messy clinical text into typed values; every rule is one expression."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from carrierlake.functions.keys import null_if_token
@@ -41,6 +43,11 @@ def meaningful(c: Column) -> Column:
     return null_if_token(clean_text(c), ["", "nan", "none", "null", "n/a"])
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _group(text: Column, pattern: str, index: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, index), F.lit("")).try_cast("double")
 
@@ -75,27 +82,36 @@ def height_cm(c: Column) -> Column:
 
 def bmi(c: Column) -> Column:
     """Index between 10 and 70, computed from kg and cm when both are given."""
-    s = _upper_numeric(c)
-    weight, height = _group(s, NUMBER + r"\s*KG\b"), _group(s, NUMBER + r"\s*CM\b")
-    both = weight.between(25.0, 250.0) & height.between(120.0, 230.0)
-    computed = F.try_divide(weight, F.pow(height / 100.0, F.lit(2.0)))
-    return (
-        F.when(both, _within(computed, 10.0, 70.0))
-        .when(s.contains("KG") & ~s.contains("CM"), F.lit(None).cast("double"))
-        .otherwise(_within(_group(s, NUMBER), 10.0, 70.0))
+    return bind(_upper_numeric(c), _bmi_of)
+
+
+def _bmi_of(s: Column) -> Column:
+    fields = F.struct(
+        _group(s, NUMBER + r"\s*KG\b").alias("kg"), _group(s, NUMBER + r"\s*CM\b").alias("cm"), _group(s, NUMBER).alias("first"),
+        (s.contains("KG") & ~s.contains("CM")).alias("weight_only"),
     )
 
+    def pick(r: Column) -> Column:
+        both = r["kg"].between(25.0, 250.0) & r["cm"].between(120.0, 230.0)
+        computed = F.try_divide(r["kg"], F.pow(r["cm"] / 100.0, F.lit(2.0)))
+        return bind(F.when(both, computed).when(~r["weight_only"], r["first"]), lambda v: _within(v, 10.0, 70.0))
+
+    return bind(fields, pick)
+
 
 def bmi_category(c: Column) -> Column:
     """Class named in the text, else the class of the parsed index."""
-    s = _upper_numeric(c)
-    return (
-        F.when(s.isin("", "X", "NA", "N/A", "NR", "NULL"), F.lit(None))
-        .when(s.contains("SOBREPESO") | s.contains("OVERWEIGHT"), "Overweight")
-        .when(s.contains("OBESIDAD") | s.contains("OBESE"), "Obese")
-        .when(s.contains("BAJO PESO") | s.contains("UNDERWEIGHT"), "Underweight")
-        .otherwise(bmi_class(bmi(c), lower=None))
-    )
+
+    def pick(s: Column) -> Column:
+        return (
+            F.when(s.isin("", "X", "NA", "N/A", "NR", "NULL"), F.lit(None))
+            .when(s.contains("SOBREPESO") | s.contains("OVERWEIGHT"), "Overweight")
+            .when(s.contains("OBESIDAD") | s.contains("OBESE"), "Obese")
+            .when(s.contains("BAJO PESO") | s.contains("UNDERWEIGHT"), "Underweight")
+            .otherwise(bind(_bmi_of(s), lambda v: bmi_class(v, lower=None)))
+        )
+
+    return bind(_upper_numeric(c), pick)
 
 
 def bmi_class(value: Column, lower: float | None = 20.0) -> Column:
@@ -131,14 +147,14 @@ def numeric_midpoint(c: Column) -> Column:
 
 def ki67_percent(c: Column, scale: str = "auto") -> Column:
     """Percentage 0-100. ``fraction`` also scales exactly 1.0, ``percent`` never scales."""
-    value = numeric_midpoint(c)
-    blank = F.upper(clean_text(c)).isin("", "X", "N/A", "ND", "NOT DONE", "PENDING")
     scaled = {
-        "fraction": F.when(value <= 1.0, value * 100.0).otherwise(value),
-        "percent": value,
-        "auto": F.when(value < 1.0, value * 100.0).otherwise(value),
+        "fraction": lambda v: F.when(v <= 1.0, v * 100.0).otherwise(v),
+        "percent": lambda v: v,
+        "auto": lambda v: F.when(v < 1.0, v * 100.0).otherwise(v),
     }[scale]
-    return F.when(~blank, _within(scaled, 0.0, 100.0, 1))
+    blank = F.upper(clean_text(c)).isin("", "X", "N/A", "ND", "NOT DONE", "PENDING")
+    value = bind(numeric_midpoint(c), scaled)
+    return F.when(~blank, bind(value, lambda v: _within(v, 0.0, 100.0, 1)))
 
 
 def _contains_any(s: Column, words: list[str]) -> Column:
@@ -148,41 +164,51 @@ def _contains_any(s: Column, words: list[str]) -> Column:
     return flag
 
 
+def _text_and_value(c: Column) -> Column:
+    return F.struct(F.upper(clean_text(c)).alias("s"), numeric_midpoint(c).alias("v"))
+
+
 def receptor(c: Column) -> Column:
     """Struct ``(value, status)``; positive from 1 percent upwards."""
-    s = F.upper(clean_text(c))
-    value = numeric_midpoint(c)
-    blank = s.isNull() | s.isin("", "N/A", "ND", "NOT DONE")
-    negative = s.contains("NEG") & ~s.contains("POS")
-    positive = _contains_any(s, ["POSITIVE", "POSITIVO", "FOCAL"])
-    status = (
-        F.when(blank, F.lit(None).cast("string"))
-        .when(negative, "Negative")
-        .when(positive, "Positive")
-        .when(value.between(0.0, 100.0), F.when(value >= 1.0, "Positive").otherwise("Negative"))
-    )
-    kept = (
-        F.when(blank, F.lit(None).cast("double"))
-        .when(negative, 0.0)
-        .when(positive | value.between(0.0, 100.0), value)
-    )
-    return F.struct(kept.alias("value"), status.alias("status"))
+
+    def pick(r: Column) -> Column:
+        s, value = r["s"], r["v"]
+        blank = s.isNull() | s.isin("", "N/A", "ND", "NOT DONE")
+        negative = s.contains("NEG") & ~s.contains("POS")
+        positive = _contains_any(s, ["POSITIVE", "POSITIVO", "FOCAL"])
+        status = (
+            F.when(blank, F.lit(None).cast("string"))
+            .when(negative, "Negative")
+            .when(positive, "Positive")
+            .when(value.between(0.0, 100.0), F.when(value >= 1.0, "Positive").otherwise("Negative"))
+        )
+        kept = (
+            F.when(blank, F.lit(None).cast("double"))
+            .when(negative, 0.0)
+            .when(positive | value.between(0.0, 100.0), value)
+        )
+        return F.struct(kept.alias("value"), status.alias("status"))
+
+    return bind(_text_and_value(c), pick)
 
 
 def p53(c: Column) -> Column:
     """Struct ``(value, status)``; aberrant from 10 percent upwards."""
-    s = F.upper(clean_text(c))
-    value = numeric_midpoint(c)
-    blank = s.isNull() | s.isin("", "N/A", "ND", "NOT DONE")
     aberrant = ["POSITIVE", "OVEREXPRESS", "OVER-EXPRESS", "HIGH", "ABERRANT", "MUT", "LOST", "NULL", "ABSENT"]
-    status = (
-        F.when(blank, F.lit(None).cast("string"))
-        .when(_contains_any(s, ["WT", "WILD TYPE", "WILD-TYPE", "NORMAL"]), "Normal")
-        .when(_contains_any(s, aberrant), "Aberrant")
-        .when(value >= F.when(value > 1.0, 10.0).otherwise(0.10), "Aberrant")
-        .when(value.isNotNull(), "Normal")
-    )
-    return F.struct(F.when(~blank, value).alias("value"), status.alias("status"))
+
+    def pick(r: Column) -> Column:
+        s, value = r["s"], r["v"]
+        blank = s.isNull() | s.isin("", "N/A", "ND", "NOT DONE")
+        status = (
+            F.when(blank, F.lit(None).cast("string"))
+            .when(_contains_any(s, ["WT", "WILD TYPE", "WILD-TYPE", "NORMAL"]), "Normal")
+            .when(_contains_any(s, aberrant), "Aberrant")
+            .when(value >= F.when(value > 1.0, 10.0).otherwise(0.10), "Aberrant")
+            .when(value.isNotNull(), "Normal")
+        )
+        return F.struct(F.when(~blank, value).alias("value"), status.alias("status"))
+
+    return bind(_text_and_value(c), pick)
 
 
 def grade(c: Column) -> Column:

@@ -7,7 +7,7 @@ from carrierlake.operators.ranking import quantiles
 from carrierlake.session import cut_lineage
 
 PSEUDO = 1e-6
-BANDS = 512
+BANDS = 64
 
 
 def sum_present(*columns: Column) -> Column:
