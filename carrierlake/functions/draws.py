@@ -19,7 +19,9 @@ def with_uniform(df: DataFrame, out: str, keys: list[Column], seed: int) -> Data
             .withColumn("_h", _shift_mix(15, SECOND))
             .withColumn("_h", F.col("_h").bitwiseXOR(F.shiftright("_h", 15)))
         )
-    return step.withColumn(out, F.col("_h") / float(2**32)).drop("_h")
+    # Never null, so no null filter is derived from it and pushed down into the mixing steps,
+    # where each step would be written out twice.
+    return step.withColumn(out, F.coalesce(F.col("_h") / float(2**32), F.lit(0.0))).drop("_h")
 
 
 def _shift_mix(shift: int, multiplier: int) -> Column:

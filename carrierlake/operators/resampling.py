@@ -74,7 +74,7 @@ def agreement(df: DataFrame, p: str, q: str, alpha: float = 0.05) -> DataFrame:
 
 
 def _weights(df: DataFrame, row_id: Column, replicates: int, seed: int) -> DataFrame:
-    """Every row under every replicate with a Poisson(1) weight; weight-0 rows are dropped.
+    """Every row under every replicate with a Poisson(1) weight; a weight of 0 adds nothing to a sum.
 
     The Poisson bootstrap needs no row numbering and no join, so a group of any size spreads over tasks.
     """
@@ -83,7 +83,7 @@ def _weights(df: DataFrame, row_id: Column, replicates: int, seed: int) -> DataF
     weight = F.lit(0)
     for edge in POISSON:
         weight = weight + (F.col("_u") >= edge).cast("int")
-    return drawn.withColumn("_w", weight.cast("double")).where("_w > 0").drop("_u")
+    return drawn.withColumn("_w", weight.cast("double")).drop("_u")
 
 
 def bootstrap_slope(df: DataFrame, keys: list[str], row_id: Column, x: str, y: str, replicates: int = 200, seed: int = 42) -> DataFrame:
