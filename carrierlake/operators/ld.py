@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from carrierlake.session import cut_lineage
 
 MAX_BLOCK = 12
+TIE = 1e-9  # a value at the threshold counts, whatever its last bit
 
 
 def ld_r2(calls: DataFrame, region: str, order: str, window: int, min_shared: int = 3) -> DataFrame:
@@ -40,7 +41,7 @@ def ld_blocks(
     ``i -> end + 1``; the starts reached are found by doubling the jumps, so a stretch of any
     length takes a logarithmic number of joins instead of one task.
     """
-    near = pairs.where((F.col("j") - F.col("i") < most) & (F.col("r2") >= threshold))
+    near = pairs.where((F.col("j") - F.col("i") < most) & (F.col("r2") >= threshold - TIE))
     # Coherent reach of i: the largest j such that every pair inside i..j is linked. Row i has
     # links to i+1..i+m without gap; the reach is the running minimum of those over the rows.
     links = near.groupBy(region, "i").agg(F.sort_array(F.collect_list((F.col("j") - F.col("i")).cast("int"))).alias("steps"))
@@ -63,7 +64,7 @@ def ld_blocks(
         region, "i", "end",
         F.when(F.col("end") - F.col("i") + 1 >= least, F.col("end") + 1).otherwise(F.col("i") + 1).alias("next"),
     )
-    linked_before = pairs.where((F.col("j") == F.col("i") + 1) & (F.col("r2") >= threshold)).select(region, F.col("j").alias("i"))
+    linked_before = pairs.where((F.col("j") == F.col("i") + 1) & (F.col("r2") >= threshold - TIE)).select(region, F.col("j").alias("i"))
     jump = cut_lineage(jump)
     starts = jump.join(linked_before, [region, "i"], "left_anti").select(region, "i")
     reached = _reachable(jump.select(region, "i", "next"), starts, region)
@@ -114,7 +115,7 @@ def block_summary(tests: DataFrame, group: list[str], block: str, p: str, fdr: s
 
 def partner_lists(pairs: DataFrame, region: str, threshold: float = 0.8) -> DataFrame:
     """Linked partners per locus as one string; the pair window bounds the list."""
-    linked = pairs.where(F.col("r2") >= threshold)
+    linked = pairs.where(F.col("r2") >= threshold - TIE)
     both = linked.select(region, "i", F.col("j").alias("partner")).union(linked.select(region, "j", F.col("i").alias("partner")))
     return both.groupBy(region, "i").agg(
         F.count(F.lit(1)).alias("n_partners"),

@@ -16,7 +16,7 @@ LADDER = """low AS (SELECT o_custkey AS sample, min(p_size) FILTER (o_orderstatu
       CASE WHEN count(*) >= 3 AND var_pop(a.x) > 1e-12 AND var_pop(b.x) > 1e-12 THEN corr(a.x, b.x) ** 2 END AS r2
     FROM ladder a JOIN ladder b ON a.sample = b.sample AND b.i > a.i AND b.i <= a.i + 11 GROUP BY 1, 2, 3)"""
 BLOCKS = """loci AS (SELECT DISTINCT region, i FROM ladder),
-  span AS (SELECT l.region, l.i, e.i AS e, (SELECT count(*) FROM pairs p WHERE p.region = l.region AND p.i >= l.i AND p.j <= e.i AND r2 >= 0.8) AS linked
+  span AS (SELECT l.region, l.i, e.i AS e, (SELECT count(*) FROM pairs p WHERE p.region = l.region AND p.i >= l.i AND p.j <= e.i AND r2 >= 0.8 - 1e-9) AS linked
     FROM loci l JOIN loci e ON e.region = l.region AND e.i BETWEEN l.i AND l.i + 11),
   reach AS (SELECT region, i, max(e) AS e FROM span WHERE linked = (e - i + 1) * (e - i) // 2 GROUP BY 1, 2),
   walk AS (SELECT region, i, e FROM reach WHERE i = 1 UNION ALL SELECT r.region, r.i, r.e FROM walk w JOIN reach r
@@ -76,7 +76,7 @@ def _regions(t):
 
 @query(
     "ld_partners",
-    LADDER_SQL + """, l AS (SELECT region, i, j AS partner FROM pairs WHERE r2 >= 0.8 UNION ALL SELECT region, j, i FROM pairs WHERE r2 >= 0.8)
+    LADDER_SQL + """, l AS (SELECT region, i, j AS partner FROM pairs WHERE r2 >= 0.8 - 1e-9 UNION ALL SELECT region, j, i FROM pairs WHERE r2 >= 0.8 - 1e-9)
       SELECT region, i, count(*) AS n_partners, string_agg(partner::VARCHAR, ', ' ORDER BY partner) AS partners FROM l GROUP BY 1, 2""",
 )
 def _partners(t):
