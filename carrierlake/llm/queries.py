@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from . import mixing, quality  # noqa: F401
+from . import licenses, mixing, quality, secrets, tokenfile  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
