@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from . import jaccard, licenses, mixing, neighbours, packing, quality, secrets, tokenfile  # noqa: F401
+from . import jaccard, licenses, mixing, neighbours, packing, quality, secrets, tokenfile, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
