@@ -98,7 +98,8 @@ def dealt_shingles(docs: DataFrame, buckets: int, width: int = WIDTH, common: in
         for batch in batches:
             for part in slices(batch):
                 d, h = shingle_sets(part.column("text"), width)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                ids = pc.fill_null(part.column("doc_id"), 0).to_numpy()
                 n = np.bincount(d, minlength=len(ids))
                 with np.errstate(over="ignore"):
                     digests = []
@@ -110,6 +111,8 @@ def dealt_shingles(docs: DataFrame, buckets: int, width: int = WIDTH, common: in
                         if some.any():
                             sums[some] = np.add.reduceat(mixed(h[by_doc] ^ salt), begins[some])
                         digests.append(sums.view(np.int64))
+                d, h = d[known[d]], h[known[d]]  # rows without doc_id meet nobody
+                by_doc = np.argsort(d, kind="stable")
                 first = np.ones(len(h), bool)
                 first[1:] = h[1:] != h[:-1]
                 runs = np.flatnonzero(first)
@@ -123,7 +126,7 @@ def dealt_shingles(docs: DataFrame, buckets: int, width: int = WIDTH, common: in
                 none = pa.nulls(len(ids), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.nulls(len(ids), pa.int32()), pa.array(ids), pa.array(n), pa.array(digests[0]), pa.array(digests[1]), none, none,
+                        pa.nulls(len(ids), pa.int32()), pa.array(ids, mask=~known), pa.array(n), pa.array(digests[0]), pa.array(digests[1]), none, none,
                         pa.array([own_h[b - k : b].tobytes() for b, k in zip(own_ends, own_n)], pa.binary()), none,
                     ],
                     names=[c.split()[0] for c in DEALT.split(", ")],
@@ -198,34 +201,55 @@ def least_overlap(a: Column, b: Column, per_cent: int) -> Column:
 
 
 def candidate_sets(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(every document: doc_id, n, rep; representatives with shared prefix shingles: id, n, alone, shared).
+    """(every document: doc_id, n, rep; representatives with shared prefix shingles: id, n, alone, shared, cells).
 
-    ``shared`` is the array of (df, h) in rare-first order, after ``alone`` shingles that no other document has.
+    ``shared`` is the array of (df, h) in rare-first order, after ``alone`` shingles that no other document has; ``cells`` counts them by
+    hash range, for the suffix filter.
     """
     spark = docs.sparkSession
     if buckets is None:  # enough ranges for every shuffle task, a power of two
         buckets = 1 << max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     dealt = cut_lineage(dealt_shingles(docs, buckets, width))
     whole = dealt.where("bucket is null")
+    ids = F.col("doc_id").isNotNull()
     counted = cut_lineage(shared_shingles(dealt))
     common = counted.where("doc_id is null").select("h", "df").distinct()
     pairs = counted.where("doc_id is not null").unionByName(unpacked(whole).join(common, "h").select("doc_id", "h", "df"))
     sets = whole.select("doc_id", "n", "digest_a", "digest_b")
     reps = sets.groupBy("n", "digest_a", "digest_b").agg(F.min("doc_id").alias("rep"))
-    members = cut_lineage(sets.join(reps, ["n", "digest_a", "digest_b"]).select("doc_id", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), "n"))
-    firsts = members.where((F.col("doc_id") == F.col("rep")) & (F.col("n") > 0)).dropDuplicates(["doc_id"])
+    rep = F.when(ids, F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    members = cut_lineage(sets.join(reps, ["n", "digest_a", "digest_b"]).withColumn("rep", rep))
+    # an id with several different sets has no one set to link by
+    alike = members.where(ids & (F.col("n") > 0)).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), *[f(F.struct("digest_a", "digest_b")).alias(a) for f, a in ((F.min, "low"), (F.max, "high"))])
+    firsts = alike.where((F.col("doc_id") == F.col("rep")) & (F.col("low") == F.col("high")))
+    members = members.select("doc_id", "rep", "n")
     # the shared prefix is not empty only where the shingles of no other document are fewer than the prefix
     prefix = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
     many = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("shared"))
     found = many.join(firsts.select(F.col("doc_id"), "n"), "doc_id").withColumn("alone", F.col("n") - F.size("shared"))
-    return members, cut_lineage(found.where(F.col("alone") < prefix).select(F.col("doc_id").alias("id"), "n", "alone", "shared"))
+    return members, cut_lineage(with_cells(found.where(F.col("alone") < prefix).select(F.col("doc_id").alias("id"), "n", "alone", "shared")))
+
+
+def with_cells(sets: DataFrame) -> DataFrame:
+    """sets with ``cells``: how many shared shingles lie in each of CELLS hash ranges."""
+
+    def count(batches):
+        for batch in batches:
+            lists = batch.column("shared")
+            lengths = pc.list_value_length(lists).to_numpy()
+            h = pc.struct_field(lists.flatten(), "h").to_numpy().view(np.uint64)
+            cell = np.repeat(np.arange(len(lengths)), lengths) * CELLS + (h % np.uint64(CELLS)).astype(np.int64)
+            counts = np.bincount(cell, minlength=len(lengths) * CELLS).astype(np.int32)
+            cells = pa.ListArray.from_arrays(np.arange(0, len(counts) + 1, CELLS, dtype=np.int32), counts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
+
+    return sets.mapInArrow(count, "id bigint, n bigint, alone bigint, shared array<struct<df:bigint,h:bigint>>, cells array<int>")
 
 
 def postings(sets: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """(h, id, n, pos, cells) of prefix shingles; cells count the shared shingles by hash range, for the suffix filter."""
+    """(h, id, n, pos, cells) of prefix shingles."""
     prefix = (F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1 - F.col("alone")).cast("int")
-    cell = lambda c: F.size(F.filter("shared", lambda s: F.pmod(s["h"], F.lit(CELLS)) == c)).cast("smallint")
-    rows = sets.select("id", "n", "alone", F.array(*[cell(c) for c in range(CELLS)]).alias("cells"), F.posexplode(F.slice("shared", 1, prefix)).alias("at", "s"))
+    rows = sets.select("id", "n", "alone", "cells", F.posexplode(F.slice("shared", 1, prefix)).alias("at", "s"))
     return rows.select(F.col("s.h").alias("h"), "id", "n", (F.col("alone") + F.col("at")).alias("pos"), "cells")
 
 
@@ -234,7 +258,7 @@ def may_link(a: str, b: str, per_cent: int) -> Column:
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = least_overlap(na, nb, per_cent)
     sizes = (100 * F.least(na, nb) >= per_cent * F.greatest(na, nb)) & (1 + F.least(na - F.col(f"{a}.pos") - 1, nb - F.col(f"{b}.pos") - 1) >= need)
-    common = F.aggregate(F.zip_with(F.col(f"{a}.cells"), F.col(f"{b}.cells"), lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+    common = F.aggregate(F.zip_with(F.col(f"{a}.cells"), F.col(f"{b}.cells"), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     return sizes & (common >= need)
 
 
@@ -320,8 +344,9 @@ def far_apart(pairs: DataFrame, checked: DataFrame, limit: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``docs``; the component is named by its smallest doc_id.
 
-    Null text, or text without words, has an empty set and is linked with nothing. Rows with one doc_id count as one document for links
-    if their sets are equal; doc_id must not be null. Equal sets are linked at any size. An empty table gives an empty table.
+    Null text, or text without words, has an empty set and is linked with nothing. Rows that repeat a doc_id and its set are one document;
+    an id with different sets is linked by equal sets only. Rows without doc_id are linked with nothing and have a null component.
+    An empty table gives an empty table.
     """
     members, sets = candidate_sets(docs, width, per_cent, buckets)
     comps = components(jaccard_links(sets, per_cent))
@@ -330,10 +355,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CEN
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id (of equal rows, one)."""
+    """docs with one document of each component: the one with the smallest doc_id. Rows without doc_id stay; so do repeated rows of a kept id."""
     groups = near_duplicates(docs, **options)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left").where("doc_id is null or _kept is not null").drop("_kept")
 
 
 ORACLE = r"""

@@ -81,11 +81,13 @@ def dealt_anchors(docs: DataFrame, buckets: int, depth: int, gram: int) -> DataF
             for part in slices(batch):
                 texts = pc.fill_null(part.column("text"), "").cast(pa.binary())
                 sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                ids = pc.fill_null(part.column("doc_id"), 0).to_numpy()
                 raw = texts.to_pylist()
                 hashed = [hashlib.sha256(x) for x in raw]
                 digests = np.array([int.from_bytes(x.digest()[:8], "little") for x in hashed], np.uint64)
                 d, h, a, lo, hi = anchors(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes), depth, gram)
+                d, h, a, lo, hi = (x[known[d]] for x in (d, h, a, lo, hi))  # rows without doc_id have no order: they meet nobody
                 place = place_bytes(a, lo, hi)
                 order = np.argsort(h, kind="stable")
                 sorted_h = h[order]
@@ -103,7 +105,7 @@ def dealt_anchors(docs: DataFrame, buckets: int, depth: int, gram: int) -> DataF
                     rows = mine[cuts[i] : cuts[i + 1]]
                     kept[i] = h[rows].tobytes() + place[rows].tobytes()
                 n, none = len(ids), pa.nulls(len(ids), pa.binary())
-                columns = [pa.nulls(n, pa.int32()), pa.array(ids), pa.array(sizes), pa.array([x.hexdigest() for x in hashed]), *[none] * 4, pa.array(kept, pa.binary()), none]
+                columns = [pa.nulls(n, pa.int32()), pa.array(ids, mask=~known), pa.array(sizes), pa.array([x.hexdigest() for x in hashed]), *[none] * 4, pa.array(kept, pa.binary()), none]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 rest = order[~often[order]]
                 rh = h[rest]
@@ -286,7 +288,9 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, bucket
     whole = dealt.where("bucket is null")
     firsts = whole.groupBy("sha").agg(F.min("doc_id").alias("first"))
     sizes = cut_lineage(whole.select("doc_id", "n_bytes", "sha").join(firsts, "sha"))
-    own = sizes.where("doc_id = first").select("doc_id").distinct()
+    # an id with several different texts has no one text to compare
+    own = sizes.groupBy("doc_id").agg(F.min("sha").alias("low"), F.max("sha").alias("high"), F.min("first").alias("first"))
+    own = own.where("doc_id = first and low = high").select("doc_id")
     places = repeated_places(dealt).unionByName(common_places(whole)).join(own, "doc_id")
     listed = places.groupBy("doc_id").agg(F.collect_set(F.struct("h", "a", "lo", "hi")).alias("places"))  # bounded by the text
     texts = cut_lineage(docs.where("text is not null").select("doc_id", "text").join(listed, "doc_id"))
@@ -309,10 +313,11 @@ def deduplicated_bytes(docs: DataFrame, depth: int = DEPTH, **options) -> DataFr
 
     Every byte covered by a ``depth``-byte string that also starts earlier (smaller doc_id, or earlier in the same document) goes. ``kept`` holds
     the remaining bytes where something went from the middle of a text, else null: then all of the text stayed (n_removed = 0) or none.
-    Null text counts as empty. doc_id must be unique and not null. An empty table gives an empty table.
+    Null text counts as empty. Rows that repeat a doc_id and its text are one document; an id with different texts keeps its bytes unless an
+    earlier document is the same text. Rows without doc_id keep all bytes and take none. An empty table gives an empty table.
     """
     sizes, texts = repeated_spans(docs, depth, **options)
-    joined = sizes.join(removed(texts), "doc_id", "left")
+    joined = sizes.join(removed(texts).dropDuplicates(["doc_id"]), "doc_id", "left")
     gone = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= depth)
     return joined.select(
         "doc_id",
