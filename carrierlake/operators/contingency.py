@@ -6,11 +6,9 @@ not the number of samples.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from carrierlake.functions.pvalues import chi_square_p, log_factorial, normal_p
+from carrierlake.functions.pvalues import chi_square_p, fisher_p, normal_p
 from carrierlake.session import cut_lineage
 
-TIE = 1e-7  # on the log scale
-
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Struct ``(odds_ratio, ci_low, ci_high, method)``: 0.5 on every cell if any is zero."""
@@ -28,32 +26,13 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def fisher_2x2(df: DataFrame, cells: tuple[str, str, str, str], out: str = "p_value") -> DataFrame:
-    """Two-sided exact p for every row; repeated tables are computed once.
+    """Two-sided exact p for every row; repeated tables are computed once, in Arrow batches of distinct tables.
 
-    Sums the hypergeometric probabilities not above the observed one, with one relative
-    tolerance for ties. The support of a table is expanded into rows and summed back in the
-    same stage, so a wide support spreads over codegen rows instead of one array expression.
-    Weights are relative to the mode and divided by their sum, which needs no constant term.
+    Rows with a null cell have a null p. Cost per table grows with the root of the cells, not with the support.
     """
     names = ["_fa", "_fb", "_fc", "_fd"]
     keyed = df.select("*", *[F.col(c).cast("bigint").alias(n) for c, n in zip(cells, names)])
-
-    def weight(k: str) -> str:
-        parts = (k, f"(_r1 - {k})", f"(_c1 - {k})", f"(_r2 - _c1 + {k})")
-        return "-(" + " + ".join(f"({log_factorial(x)})" for x in parts) + ")"
-
-    tables = (
-        keyed.select(*names)
-        .dropna()
-        .distinct()
-        .selectExpr("*", "_fa + _fb AS _r1", "_fc + _fd AS _r2", "_fa + _fc AS _c1")
-        .selectExpr("*", "least(bigint(floor((_r1 + 1D) * (_c1 + 1D) / (_r1 + _r2 + 2D))), _r1, _c1) AS _mode")
-        .selectExpr("*", f"{weight('_mode')} AS _top", f"{weight('_fa')} AS _observed")
-        .selectExpr("*", "explode(sequence(greatest(0L, _c1 - _r2), least(_r1, _c1))) AS _k")
-        .selectExpr(*names, "_observed - _top AS _cut", f"{weight('_k')} - _top AS _w")
-    )
-    kept = F.sum(F.when(F.col("_w") <= F.col("_cut") + TIE, F.exp("_w")).otherwise(0.0))
-    p = tables.groupBy(*names).agg(F.least(F.lit(1.0), kept / F.sum(F.exp("_w"))).alias(out))
+    p = keyed.select(*names).dropna().distinct().withColumn(out, fisher_p(*names))
     return keyed.join(p, names, "left").drop(*names)
 
 

@@ -8,7 +8,6 @@ from carrierlake.session import cut_lineage
 
 PSEUDO = 1e-6
 BANDS = 64
-BROADCAST_ROWS = 200_000
 
 
 def sum_present(*columns: Column) -> Column:
@@ -211,9 +210,6 @@ def clr_permanova(df: DataFrame, keys: list[str], row_id: str, group: str, parts
     sums = ["_ng", *[f"_s{i}" for i in range(k)]]
     inside = bands.where("_first = _last").select(*by, F.col("_first").alias(group), *sums)
     split = bands.where("_first <> _last").select(*by, "_band", (F.col("_upto") - F.col("_ng")).alias("_before"), "_cuts")
-    # Boundary bands are counted before they are broadcast; the exploded rows never are, although
-    # the planner takes them for as small as the table they were exploded from.
-    split = F.broadcast(split) if split.count() <= BROADCAST_ROWS else split.hint("shuffle_hash")
     place = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_band").orderBy("_u", row_id))
     ranked = drawn.join(split, [*by, "_band"]).withColumn("_place", place).withColumn(group, label(F.col("_place")))
     parts_of = inside.unionByName(_group_sums(ranked, [*by, group], k)).groupBy(*by, group).agg(*[F.sum(c).alias(c) for c in sums])

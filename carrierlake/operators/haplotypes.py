@@ -161,8 +161,9 @@ def haplotype_association(
         F.count(F.lit(1)).alias("carriers"), F.sum("dosage").alias("copies")
     )
     sizes = haps.join(samples, "sample").groupBy("cohort", "tissue", region).agg(F.count(F.lit(1)).alias("callable"))
-    table = compare.pooled_arms(counts, [region, "hap_id"], ["carriers", "copies"]).join(
-        compare.pooled_arms(sizes, [region], ["callable"]), ["comparison", region]
+    comparisons = compare.arm_sizes(samples)
+    table = compare.pooled_arms(counts, [region, "hap_id"], ["carriers", "copies"], comparisons).join(
+        compare.pooled_arms(sizes, [region], ["callable"], comparisons), ["comparison", region]
     )
     cells = table.where((F.col("case_callable") >= min_arm) & (F.col("control_callable") >= min_arm)).select(
         "*", (F.col("case_callable") - F.col("case_carriers")).alias("case_rest"),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from carrierlake.functions.draws import with_uniform
-from carrierlake.functions.pvalues import log_factorial
+from carrierlake.functions.pvalues import difference_tails_p
 from carrierlake.operators.ranking import quantiles
 from carrierlake.operators.regression import _key_schema
 from carrierlake.session import cut_lineage
@@ -23,23 +23,12 @@ def hypergeometric_tails(df: DataFrame, cells: tuple[str, str, str, str]) -> Dat
     names = ["_fa", "_fb", "_fc", "_fd"]
     keyed = df.select("*", *[F.col(c).cast("bigint").alias(n) for c, n in zip(cells, names)])
 
-    def weight(k: str) -> str:
-        return "-(" + " + ".join(f"({log_factorial(x)})" for x in (k, f"(_n1 - {k})", f"(_m - {k})", f"(_n2 - _m + {k})")) + ")"
-
-    rows = (
-        keyed.select(*names).dropna().distinct()
-        .selectExpr("*", "_fa + _fb AS _n1", "_fc + _fd AS _n2", "_fa + _fc AS _m").where("_n1 > 0 AND _n2 > 0")
-        .selectExpr("*", "least(bigint(floor((_n1 + 1D) * (_m + 1D) / (_n1 + _n2 + 2D))), _n1, _m) AS _mode")
-        .selectExpr("*", f"{weight('_mode')} AS _top", "double(_fa) / _n1 - double(_fc) / _n2 AS _gap")
-        .selectExpr("*", "explode(sequence(greatest(0L, _m - _n2), least(_n1, _m))) AS _k")
-        .selectExpr(*names, "_gap", "double(_k) / _n1 - double(_m - _k) / _n2 AS _d", f"exp({weight('_k')} - _top) AS _w")
+    n1, n2 = F.col("_fa") + F.col("_fb"), F.col("_fc") + F.col("_fd")
+    tails = (
+        keyed.select(*names).dropna().distinct().where((n1 > 0) & (n2 > 0))
+        .withColumn("observed_difference", F.col("_fa").cast("double") / n1 - F.col("_fc").cast("double") / n2)
+        .withColumn("_t", difference_tails_p(*names)).select(*names, "observed_difference", F.col("_t.low").alias("tail_low"), F.col("_t.high").alias("tail_high"))
     )
-    extreme = F.abs("_d") >= F.abs("_gap") - 1e-12
-    tails = rows.groupBy(*names).agg(
-        F.max("_gap").alias("observed_difference"), F.sum("_w").alias("_all"),
-        F.sum(F.when(extreme & (F.col("_d") < 0), F.col("_w")).otherwise(0.0)).alias("_low"),
-        F.sum(F.when(extreme & (F.col("_d") >= 0), F.col("_w")).otherwise(0.0)).alias("_high"),
-    ).select(*names, "observed_difference", (F.col("_low") / F.col("_all")).alias("tail_low"), (F.col("_high") / F.col("_all")).alias("tail_high"))
     return keyed.join(tails, names, "left").drop(*names)
 
 

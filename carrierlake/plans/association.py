@@ -22,7 +22,7 @@ SCREEN = ("case_carriers", "case_rest", "control_carriers", "control_rest")
 SCREEN_CTES = """samples purchases calls arms"""
 SCREEN_SQL = f"""carriers AS (
     SELECT comparison, variant, sum(is_case)::BIGINT AS case_carriers, sum(1 - is_case)::BIGINT AS control_carriers
-    FROM arms JOIN calls USING (sample) GROUP BY 1, 2 HAVING sum(is_case) > 0),
+    FROM arms JOIN calls USING (sample) GROUP BY 1, 2),
   sizes AS (SELECT comparison, sum(is_case)::BIGINT AS case_n, sum(1 - is_case)::BIGINT AS control_n FROM arms GROUP BY 1),
   cells AS (SELECT *, case_n - case_carriers AS case_rest, control_n - control_carriers AS control_rest
     FROM carriers JOIN sizes USING (comparison)),
@@ -286,3 +286,32 @@ def _genotype_test(t):
         counts.select(*columns), [f"case_{x}" for x in names], [f"control_{x}" for x in names]
     )
     return rounded(out.drop(*columns[2:]))
+
+
+@query(
+    "callable_genotype_counts",
+    with_sql("samples purchases arms", "").rstrip()
+    + """, mi AS (SELECT DISTINCT sample, p_partkey AS variant FROM purchases WHERE l_discount >= 0.09),
+    cl AS (SELECT sample, p_partkey AS variant, least(count(DISTINCT l_orderkey), 2) AS dosage FROM purchases GROUP BY 1, 2),
+    un AS (SELECT * FROM cl ANTI JOIN mi USING (sample, variant) UNION ALL SELECT sample, variant, NULL FROM mi),
+    sz AS (SELECT comparison, sum(is_case)::BIGINT AS case_n, sum(1 - is_case)::BIGINT AS control_n FROM arms GROUP BY 1),
+    ct AS (SELECT comparison, variant, any_value(case_n) - count(*) FILTER (is_case = 1 AND dosage IS NULL) AS case_callable,
+      any_value(control_n) - count(*) FILTER (is_case = 0 AND dosage IS NULL) AS control_callable,
+      count(*) FILTER (is_case = 1 AND dosage = 1) AS case_het, count(*) FILTER (is_case = 1 AND dosage = 2) AS case_hom,
+      count(*) FILTER (is_case = 0 AND dosage = 1) AS control_het, count(*) FILTER (is_case = 0 AND dosage = 2) AS control_hom
+      FROM un JOIN arms USING (sample) JOIN sz USING (comparison) GROUP BY 1, 2)
+    SELECT *, case_callable - case_het - case_hom AS case_wt, control_callable - control_het - control_hom AS control_wt,
+      CASE WHEN case_het + case_hom > 0 AND control_het + control_hom > 0 THEN 'shared' WHEN case_het + case_hom > 0 THEN 'tumour_only'
+        WHEN control_het + control_hom > 0 THEN 'normal_only' ELSE 'uncalled' END AS variant_status FROM ct""",
+)
+def _callable_counts(t):
+    """Parts as variants: many are carried by controls only; lines of high discount stand for calls that are not usable."""
+    rows = t.purchases().select("sample", F.col("p_partkey").alias("variant"), "l_orderkey", "l_discount")
+    missing = rows.where("l_discount >= 0.09").select("sample", "variant").distinct()
+    dosage = F.when(F.min("l_orderkey") == F.max("l_orderkey"), 1).otherwise(2).alias("dosage")
+    calls = rows.groupBy("sample", "variant").agg(dosage).join(missing, ["sample", "variant"], "left_anti")
+    out = compare.genotype_counts(calls, t.samples(), missing=missing)
+    case, control = F.col("case_het") + F.col("case_hom"), F.col("control_het") + F.col("control_hom")
+    status = F.when((case > 0) & (control > 0), "shared").when(case > 0, "tumour_only").when(control > 0, "normal_only").otherwise("uncalled")
+    names = ["callable", "wt", "het", "hom"]
+    return out.select("comparison", "variant", *[f"{arm}_{x}" for arm in ("case", "control") for x in names], status.alias("variant_status"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from carrierlake.functions import clinical as rules
 from carrierlake.operators import burden, compare, harmonise, similarity
 from carrierlake.plans.association import ODDS_SQL, PART_CELLS, TREND_CTES, cells_sql
-from carrierlake.plans.registry import fisher_sql, normal_sql, query, rounded, with_sql
+from carrierlake.plans.registry import bh_sql, fisher_sql, normal_sql, query, rounded, with_sql
 
 N = 8
 # Per spelling: the text of each rule for case k (n is a number from the row) and the value it must give.
@@ -179,6 +179,12 @@ def _dose(t):
 CONTRAST = "CASE WHEN {alt} > 0 THEN {alt} * 100.0 / ({alt} + {ref})::DOUBLE ELSE 0.0 END"
 
 
+def tested_sql(source: str) -> str:
+    """CTEs over (comparison, case_carriers, control_carriers, case_n, control_n): exact p, odds ratio, FDR per comparison as ``adj``."""
+    cells = ("case_carriers", "(case_n - case_carriers)", "control_carriers", "(control_n - control_carriers)")
+    return f""", ts AS (SELECT *, {fisher_sql(*cells)} AS p, {cells_sql(ODDS_SQL, *cells)} AS o FROM {source}), adj AS ({bh_sql('ts', 'p', 'comparison', 'q')})"""
+
+
 @query(
     "contrast_from_counts",
     with_sql("samples purchases calls arms counts", "").rstrip() + f""", x AS (SELECT *, case_het + case_hom AS ca, control_het + control_hom AS na FROM geno WHERE case_het + case_hom + control_het + control_hom > 0 AND case_wt + control_wt > 0)
@@ -194,24 +200,30 @@ def _contrast(t):
 @query(
     "mask_burden",
     with_sql("samples purchases arms", "").rstrip() + """, mk AS (SELECT DISTINCT sample, unnest(list_filter([CASE WHEN p_size > 40 THEN 'large' END, CASE WHEN p_type = 'PROMO' THEN 'promo' END, CASE WHEN p_retailprice > 1500 THEN 'costly' END, 'any'], lambda x: x IS NOT NULL)) AS mask FROM purchases)
-    SELECT a.comparison, mask, sum(is_case)::BIGINT AS case_carriers, sum(1 - is_case)::BIGINT AS control_carriers, any_value(case_n) AS case_n, any_value(control_n) AS control_n FROM arms a JOIN mk USING (sample)
-      JOIN (SELECT comparison, sum(is_case)::BIGINT AS case_n, sum(1 - is_case)::BIGINT AS control_n FROM arms GROUP BY 1) s ON s.comparison = a.comparison GROUP BY 1, 2 HAVING sum(is_case) > 0""",
+, mm AS (SELECT a.comparison, mask, sum(is_case)::BIGINT AS case_carriers, sum(1 - is_case)::BIGINT AS control_carriers, any_value(case_n) AS case_n, any_value(control_n) AS control_n FROM arms a JOIN mk USING (sample)
+      JOIN (SELECT comparison, sum(is_case)::BIGINT AS case_n, sum(1 - is_case)::BIGINT AS control_n FROM arms GROUP BY 1) s ON s.comparison = a.comparison GROUP BY 1, 2)"""
+    + tested_sql("mm")
+    + """ SELECT comparison, mask, case_carriers, control_carriers, case_n, control_n, round(o, 6) AS odds_ratio, round(p, 6) AS p_value, round(q, 6) AS fdr FROM adj""",
 )
 def _masks(t):
     masks = {"large": F.col("p_size") > 40, "promo": F.col("p_type") == "PROMO", "costly": F.col("p_retailprice") > 1500, "any": F.lit(True)}
     out = compare.mask_burden(t.purchases(), t.samples(), masks)
-    return out.select("comparison", "mask", "case_carriers", "control_carriers", "case_n", "control_n")
+    return rounded(out.select("comparison", "mask", "case_carriers", "control_carriers", "case_n", "control_n", "odds_ratio", "p_value", "fdr"))
 
 
 @query(
     "hotspots",
     with_sql("samples purchases arms", "").rstrip() + """, al AS (SELECT p_brand, p_size, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS alleles FROM purchases GROUP BY 1, 2), d AS (SELECT DISTINCT sample, p_brand, p_size FROM purchases)
-    SELECT comparison, p_brand, p_size, sum(is_case)::BIGINT AS case_carriers, sum(1 - is_case)::BIGINT AS control_carriers, any_value(alleles) AS alleles, count(*) >= 2 AS recurrent
-    FROM d JOIN arms USING (sample) JOIN al USING (p_brand, p_size) GROUP BY 1, 2, 3 HAVING sum(is_case) > 0""",
+, sz AS (SELECT comparison, sum(is_case)::BIGINT AS case_n, sum(1 - is_case)::BIGINT AS control_n FROM arms GROUP BY 1),
+    hh AS (SELECT comparison, p_brand, p_size, sum(is_case)::BIGINT AS case_carriers, sum(1 - is_case)::BIGINT AS control_carriers, any_value(alleles) AS alleles, count(*) >= 2 AS recurrent,
+      any_value(case_n) AS case_n, any_value(control_n) AS control_n
+    FROM d JOIN arms USING (sample) JOIN al USING (p_brand, p_size) JOIN sz USING (comparison) GROUP BY 1, 2, 3)"""
+    + tested_sql("hh")
+    + """ SELECT comparison, p_brand, p_size, case_carriers, control_carriers, alleles, recurrent, round(o, 6) AS odds_ratio, round(p, 6) AS p_value, round(q, 6) AS fdr FROM adj""",
 )
 def _hotspots(t):
     out = compare.hotspots(t.purchases(), t.samples(), ["p_brand", "p_size"], "p_type")
-    return out.select("comparison", "p_brand", "p_size", "case_carriers", "control_carriers", "alleles", "recurrent")
+    return rounded(out.select("comparison", "p_brand", "p_size", "case_carriers", "control_carriers", "alleles", "recurrent", "odds_ratio", "p_value", "fdr"))
 
 
 def rare(t):

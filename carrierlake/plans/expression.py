@@ -150,7 +150,7 @@ def _clr(t):
     return rounded(expression.clr(flag_parts(t).select("sample", "a", "n", "r"), ["a", "n", "r"]).select("sample", "c0", "c1", "c2"))
 
 
-B_PERM = 99
+B_PERM = 499
 
 
 @query(
@@ -223,7 +223,7 @@ def _gene_clinical(t):
 
 # --- resampling ---------------------------------------------------------------------------------
 
-DRAWS = 1000
+DRAWS = 10_000
 PMF = f"exp({log_choose('n1', 'k')} + {log_choose('n2', '(m - k)')} - {log_choose('(n1 + n2)', 'm')})"
 
 
@@ -250,7 +250,7 @@ def _agreement(t):
     return resampling.agreement(fisher_2x2(one, ("a", "c", "b", "d"), "q"), "p", "q")
 
 
-REPS = 50
+REPS = 200
 WEIGHT = " + ".join(f"(u >= {e!r})::INT" for e in resampling.POISSON)
 CUSTOMER = """cu AS (SELECT sample, cohort, (tissue = 'Tumour')::INT::DOUBLE AS x, count(DISTINCT o_orderkey)::DOUBLE AS m, sum(l_quantity) AS y FROM purchases JOIN samples USING (sample) GROUP BY 1, 2, 3)"""
 CUSTOMER_SQL = with_sql("samples purchases", "").rstrip() + ", " + CUSTOMER

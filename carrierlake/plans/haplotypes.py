@@ -252,7 +252,7 @@ ASSOC = """hs AS (SELECT * FROM haps JOIN samples USING (sample)),
   ct AS (SELECT c.comparison, region, hap_id, sum((tissue = 'Tumour')::INT)::BIGINT AS case_carriers, sum((tissue = 'Healthy')::INT)::BIGINT AS control_carriers,
       sum(CASE WHEN tissue = 'Tumour' THEN dosage ELSE 0 END)::BIGINT AS case_copies, sum(CASE WHEN tissue = 'Healthy' THEN dosage ELSE 0 END)::BIGINT AS control_copies
     FROM dz JOIN samples USING (sample) JOIN (SELECT DISTINCT cohort AS comparison FROM samples UNION ALL SELECT 'All') c ON tissue = 'Healthy' OR c.comparison IN ('All', cohort)
-    GROUP BY 1, 2, 3 HAVING sum((tissue = 'Tumour')::INT) > 0),
+    GROUP BY 1, 2, 3),
   cl AS (SELECT *, case_callable - case_carriers AS case_rest, control_callable - control_carriers AS control_rest FROM ct JOIN cs USING (comparison, region)
     WHERE case_callable >= 3 AND control_callable >= 3)"""
 ARMS = ("case_carriers", "case_rest", "control_carriers", "control_rest")
@@ -313,7 +313,7 @@ def _em(t):
     digits = F.array_join(
         F.transform(F.sequence(F.lit(1), F.length("h1")), lambda i: (F.substring("h1", i, F.lit(1)).cast("int") + F.substring("h2", i, F.lit(1)).cast("int")).cast("string")), ""
     )
-    return rounded(haplotypes.em_haplotypes(haps(t).select("sample", "region", digits.alias("g")), passes=25, tolerance=1e-4))
+    return rounded(haplotypes.em_haplotypes(haps(t).select("sample", "region", digits.alias("g"))))
 
 
 SPLIT = """sp AS (SELECT region, tissue, hap, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY region, tissue) AS f FROM cop JOIN samples USING (sample) GROUP BY 1, 2, 3),

@@ -98,7 +98,7 @@ FRAGMENTS = {
           count(*) FILTER (is_case = 1 AND dosage = 2) AS case_hom,
           count(*) FILTER (is_case = 0 AND dosage = 1) AS control_het,
           count(*) FILTER (is_case = 0 AND dosage = 2) AS control_hom
-        FROM arms JOIN calls USING (sample) GROUP BY 1, 2 HAVING sum(is_case) > 0),
+        FROM arms JOIN calls USING (sample) GROUP BY 1, 2),
       sizes AS (SELECT comparison, sum(is_case) AS case_callable, sum(1 - is_case) AS control_callable
         FROM arms GROUP BY 1),
       geno AS (SELECT comparison, variant, case_het, case_hom, control_het, control_hom,

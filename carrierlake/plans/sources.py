@@ -55,6 +55,27 @@ def _calls(t):
     return rounded(text.parse_calls(call_lines(t), ["Allele", "Consequence", "Feature"]))
 
 
+INDELS = """ix AS (SELECT 'chr' || l_suppkey AS CHROM, l_orderkey AS POS, l_linenumber % 2 = 0 AS del, * FROM lineitem)
+  SELECT CHROM, POS, l_linenumber, 'CA' AS REF, 'C' AS ALT, '-' AS Allele, 'frameshift' AS Consequence, 'x' || l_suppkey AS Feature FROM ix WHERE del
+  UNION ALL SELECT CHROM, POS, l_linenumber, 'C', a, b, c, f FROM ix, (VALUES ('CT', 'T', 'insertion', 'x1'), ('CT', 'CT', 'whole', NULL), ('G', 'G', 'missense', 'x3'), ('CT', 'Z', 'odd', 'x9')) v(a, b, c, f) WHERE NOT del"""
+
+
+@query("parse_calls_indels", f"WITH {INDELS}")
+def _indels(t):
+    """Deletions and insertions by trimmed allele, an entry of no allele, and two field orders."""
+    deletion, swapped = F.col("l_linenumber") % 2 == 0, F.col("l_suppkey") % 2 == 0
+    entry = lambda allele, what, feature: F.when(swapped, F.concat_ws("|", F.lit(allele), feature, F.lit(what))).otherwise(F.concat_ws("|", F.lit(allele), F.lit(what), feature))
+    known = F.concat(F.lit("x"), F.col("l_suppkey").cast("string"))
+    csq = F.when(deletion, entry("-", "frameshift", known)).otherwise(
+        F.concat_ws(",", entry("T", "insertion", F.lit("x1")), entry("CT", "whole", F.lit("")), entry("G", "missense", F.lit("x3")), entry("Z", "odd", F.lit("x9")))
+    )
+    line = F.concat_ws("\t", "l_suppkey", "l_orderkey", F.lit("."), F.when(deletion, "CA").otherwise("C"), F.when(deletion, "C").otherwise("CT,G"), F.lit("30"), F.lit("PASS"), F.concat(F.lit("CSQ="), csq))
+    orders = [F.array(*[F.lit(x) for x in names]) for names in (("Allele", "Feature", "Consequence"), ("Allele", "Consequence", "Feature"))]
+    lines = t.lineitem.select(line.alias("value"), "l_linenumber", F.when(swapped, orders[0]).otherwise(orders[1]).alias("order"))
+    out = text.parse_calls(lines, ["Allele", "Consequence", "Feature"], keep=["l_linenumber"], order="order")
+    return out.select("CHROM", "POS", "l_linenumber", "REF", "ALT", "Allele", "Consequence", "Feature")
+
+
 @query("passing_sites", f"WITH {CALLS} SELECT {COLUMNS} FROM vc WHERE DP >= 50 AND FILTER = 'PASS' AND length(ALT) = 1 AND CHROM = 'chr7'")
 def _passing(t):
     calls = text.parse_calls(call_lines(t), ["Allele", "Consequence", "Feature"])

@@ -7,6 +7,7 @@ supplies it, so parsing is plain Spark and can run on any source of lines.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from carrierlake.functions.keys import norm_chrom, null_if_token
+from carrierlake.session import cut_lineage
 
 
 def parse_panel(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -67,43 +68,66 @@ def _info(info: Column, key: str) -> Column:
     return F.nullif(F.regexp_extract(info, f"(?:^|;){key}=([^;]*)", 1), F.lit(""))
 
 
-def parse_calls(lines: DataFrame, annotation_fields: list[str], column: str = "value", keep: list[str] = ()) -> DataFrame:
+def trimmed_allele(ref: Column, alt: Column) -> Column:
+    """The allele as annotators spell it: a shared first base of different lengths is cut, ``-`` where nothing is left."""
+    cut = F.expr("substring(ALT, 2)")
+    shared = (F.length(ref) != F.length(alt)) & (F.substring(ref, 1, 1) == F.substring(alt, 1, 1))
+    return F.when(shared, F.when(F.length(cut) > 0, cut).otherwise("-")).otherwise(alt)
+
+
+def parse_calls(lines: DataFrame, annotation_fields: list[str], column: str = "value", keep: list[str] = (), order: str | None = None) -> DataFrame:
     """Call lines to one row per alternate allele and annotation entry.
 
     Fields: chrom, pos, id, ref, alt, qual, filter, info, format, sample. Depth comes from DP, the
-    allele fraction from AF, else from AO and RO. ``annotation_fields`` is the order of the ``|``
-    separated CSQ entry; an allele without entry keeps one row.
+    allele fraction from AF, else from AO and RO. ``annotation_fields`` names the fields of the ``|``
+    separated CSQ entry, in its order unless the array column ``order`` gives that of the line's file. An entry belongs to the allele
+    it spells, whole or trimmed; one that spells none of them stays with the first. An allele without entry keeps one row.
     """
     part = F.split(F.regexp_replace(F.col(column), "\r", ""), "\t")
     at = lambda i: F.get(F.col("_p"), F.lit(i))
-    base = lines.where(~F.col(column).startswith("#")).select(*keep, part.alias("_p")).where(F.size("_p") >= 8)
+    base = lines.where(~F.col(column).startswith("#")).select(
+        *keep, part.alias("_p"), (F.col(order) if order else F.array(*[F.lit(x) for x in annotation_fields])).alias("_order")
+    ).where(F.size("_p") >= 8)
     named = F.map_from_entries(F.arrays_zip(F.split(at(8), ":"), F.split(at(9), ":")))
     rows = base.select(
-        *keep, norm_chrom(at(0)).alias("CHROM"), at(1).try_cast("bigint").alias("POS"), at(3).alias("REF"), at(4).alias("_alts"),
+        *keep, "_order", norm_chrom(at(0)).alias("CHROM"), at(1).try_cast("bigint").alias("POS"), at(3).alias("REF"), at(4).alias("_alts"),
         at(5).try_cast("double").alias("QUAL"), at(6).alias("FILTER"), at(7).alias("_info"),
         F.when(F.size("_p") >= 10, named).alias("_sample"),
     ).select("*", F.posexplode(F.split("_alts", ",")).alias("_i", "ALT"))
     field = lambda key: F.coalesce(F.try_element_at("_sample", F.lit(key)), _info(F.col("_info"), key))
     one = lambda key: F.get(F.split(field(key), ","), F.col("_i")).try_cast("double")
     ao, ro = one("AO"), field("RO").try_cast("double")
-    entries = F.filter(F.split(F.coalesce(_info(F.col("_info"), "CSQ"), F.lit("")), ","), lambda e: F.startswith(e, F.concat(F.col("ALT"), F.lit("|"))))
+    spelled = lambda e: F.substring_index(e, "|", 1)
+    trim = trimmed_allele(F.col("REF"), F.col("ALT"))
+    every = F.expr(
+        "flatten(transform(split(_alts, ','), x -> array(x, CASE WHEN length(REF) <> length(x) AND left(REF, 1) = left(x, 1) "
+        "THEN CASE WHEN length(x) > 1 THEN substring(x, 2) ELSE '-' END ELSE x END)))"
+    )
+    rows = rows.withColumn("_trim", trim).withColumn("_every", every)
+    own = lambda e: (spelled(e) == F.col("ALT")) | (spelled(e) == F.col("_trim")) | ((F.col("_i") == 0) & ~F.array_contains(F.col("_every"), spelled(e)))
+    entries = F.filter(F.split(_info(F.col("_info"), "CSQ"), ","), own)
     parsed = rows.select(
-        *keep, "CHROM", "POS", "REF", "ALT", "QUAL", "FILTER", field("DP").try_cast("int").alias("DP"),
+        *keep, "_order", "CHROM", "POS", "REF", "ALT", "QUAL", "FILTER", field("DP").try_cast("int").alias("DP"),
         F.coalesce(one("AF"), F.try_divide(ao, ao + ro)).alias("AF"), F.try_element_at("_sample", F.lit("GT")).alias("GT"), entries.alias("_e"),
     ).select("*", F.explode_outer("_e").alias("_entry")).drop("_e")
     entry = F.split("_entry", r"\|")
-    return parsed.select("*", *[null_if_token(F.get(entry, F.lit(i)), [""]).alias(name) for i, name in enumerate(annotation_fields)]).drop("_entry")
+    place = lambda i, name: F.lit(i) if order is None else F.nullif(F.array_position("_order", name).cast("int"), F.lit(0)) - 1
+    values = [null_if_token(F.get(entry, place(i, name)), [""]).alias(name) for i, name in enumerate(annotation_fields)]
+    return parsed.select("*", *values).drop("_entry", "_order")
 
 
-def annotation_field_order(header: DataFrame, column: str = "value") -> list[str]:
-    """Field names of the CSQ entry from its header line: one line reaches the driver."""
-    line = header.where(F.col(column).startswith("##INFO=<ID=CSQ")).select(F.regexp_extract(column, 'Format: ([^"]+)"', 1)).first()
-    return line[0].split("|") if line else []
+def annotation_orders(lines: DataFrame, column: str = "value", path: str = "path") -> DataFrame:
+    """(path, order): field names of the CSQ entry from each file's own header line."""
+    line = lines.where(F.col(column).startswith("##INFO=<ID=CSQ")).select(path, F.regexp_extract(column, 'Format: ([^"]+)"', 1).alias("_f"))
+    return line.groupBy(path).agg(F.split(F.trim(F.min("_f")), r"\|").alias("order"))
 
 
 def read_variant_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Calls of all files with the annotation fields of every header; a file's entries are read in its own order."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    return parse_calls(lines, annotation_field_order(lines), keep=["path"])
+    orders = cut_lineage(annotation_orders(lines))  # one row per file, written, so its true size decides how it is joined
+    names = [r.name for r in orders.select(F.explode("order").alias("name")).distinct().orderBy("name").collect()]
+    return parse_calls(lines.where(~F.col("value").startswith("#")).join(orders, "path", "left"), names, keep=["path"], order="order")
 
 
 def passing_sites(calls: DataFrame, min_depth: int = 50, min_qual: float = 20.0) -> DataFrame:
