@@ -17,11 +17,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from carrierlake.session import cut_lineage
 
-from .common import documents, query, text_of  # noqa: F401
+from .common import documents, query
 from .tokens import slices
 
 WIDTH = 5
@@ -82,117 +83,111 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return d[keep].astype(np.int64), h[keep]
 
 
-DEALT = "bucket int, doc_id bigint, n bigint, digest_a bigint, digest_b bigint, ids binary, docs binary, hashes binary, counts binary"
+DEALT = "bucket int, ids binary, docs binary, hashes binary, counts binary, sizes binary, digests binary"
+COUNTED = "kind int, doc_id bigint, h bigint, df bigint, n bigint, digest_a bigint, digest_b bigint"
+DOCUMENT, SHARED, HELD, COMMON_DF = range(4)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Eight-byte numbers with their bytes of one rank together: the high ones of ordered numbers compress well."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
 
 
 def dealt_shingles(docs: DataFrame, buckets: int, width: int = WIDTH, common: int = COMMON) -> DataFrame:
-    """One pass over the text. Rows of two kinds (DEALT).
+    """One pass over the text, two kinds of rows (DEALT), each packed per batch.
 
-    bucket null: a document with its set size, an order-free 128-bit digest of the set, and ``hashes``: its shingles that are common in
-    its batch. bucket set: packed (hash, document) pairs of one hash range and batch: ``ids``, ``docs`` (places in ids), ``hashes``; a common
-    shingle stands there once without documents, with its ``counts``.
+    bucket 0 and up: (hash, document) pairs of one hash range: ``ids``, ``docs`` (places in ids), ``hashes``; a shingle common in its batch
+    stands there once without documents, with its ``counts``. Below 0: documents with set ``sizes``, order-free 128-bit ``digests`` of
+    their sets, and ``hashes``: the common shingles of each (``counts`` of them), which it keeps; ``docs`` marks ids that are not null.
     """
     shift = np.uint64(64 - int(math.log2(buckets)))
+    names = [c.split()[0] for c in DEALT.split(", ")]
 
     def deal(batches):
+        holder = -1 - TaskContext.get().partitionId() % buckets
         for batch in batches:
             for part in slices(batch):
                 d, h = shingle_sets(part.column("text"), width)
                 known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 ids = pc.fill_null(part.column("doc_id"), 0).to_numpy()
                 n = np.bincount(d, minlength=len(ids))
-                with np.errstate(over="ignore"):
-                    digests = []
-                    by_doc = np.argsort(d, kind="stable")
-                    begins = np.cumsum(n) - n
-                    for salt in (np.uint64(1), np.uint64(0x5851F42D4C957F2D)):
-                        sums = np.zeros(len(ids), np.uint64)
-                        some = n > 0
-                        if some.any():
-                            sums[some] = np.add.reduceat(mixed(h[by_doc] ^ salt), begins[some])
-                        digests.append(sums.view(np.int64))
-                d, h = d[known[d]], h[known[d]]  # rows without doc_id meet nobody
+                digests = np.zeros((2, len(ids)), np.uint64)
                 by_doc = np.argsort(d, kind="stable")
+                if len(h):
+                    with np.errstate(over="ignore"):
+                        for i, salt in enumerate((np.uint64(1), np.uint64(0x5851F42D4C957F2D))):
+                            digests[i, n > 0] = np.add.reduceat(mixed(h[by_doc] ^ salt), (np.cumsum(n) - n)[n > 0])
+                d, h = d[known[d]], h[known[d]]  # rows without doc_id meet nobody
                 first = np.ones(len(h), bool)
                 first[1:] = h[1:] != h[:-1]
                 runs = np.flatnonzero(first)
                 lengths = np.diff(np.append(runs, len(h)))
                 often = lengths > common
                 is_common = np.repeat(often, lengths)
-                own = by_doc[is_common[by_doc]]
-                own_n = np.bincount(d[own], minlength=len(ids))
-                own_h = h[own]
-                own_ends = np.cumsum(own_n)
-                none = pa.nulls(len(ids), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.nulls(len(ids), pa.int32()), pa.array(ids, mask=~known), pa.array(n), pa.array(digests[0]), pa.array(digests[1]), none, none,
-                        pa.array([own_h[b - k : b].tobytes() for b, k in zip(own_ends, own_n)], pa.binary()), none,
-                    ],
-                    names=[c.split()[0] for c in DEALT.split(", ")],
-                )
+                held_d, held_h = d[is_common], h[is_common]
+                order = np.argsort(held_d, kind="stable")
+                held_n = np.bincount(held_d, minlength=len(ids)).astype(np.uint32)
+                rows = [(holder, ids.tobytes(), known.tobytes(), held_h[order].tobytes(), held_n.tobytes(), n.astype(np.int64).tobytes(), digests.tobytes())]
                 rh, rd = h[~is_common], d[~is_common]
                 ch, cn = h[runs[often]], lengths[often]
-                cuts = np.searchsorted(rh >> shift, np.arange(buckets + 1).astype(np.uint64))
-                common_cuts = np.searchsorted(ch >> shift, np.arange(buckets + 1).astype(np.uint64))
-                rows = []
+                edges = np.arange(buckets).astype(np.uint64)
+                cuts = np.append(np.searchsorted(rh >> shift, edges), len(rh))
+                common_cuts = np.append(np.searchsorted(ch >> shift, edges), len(ch))
                 for b in range(buckets):
                     i, j, k, m = cuts[b], cuts[b + 1], common_cuts[b], common_cuts[b + 1]
                     if i == j and k == m:
                         continue
                     used, places = np.unique(rd[i:j], return_inverse=True)
-                    body = np.concatenate([rh[i:j], ch[k:m]])
-                    planes = body.view(np.uint8).reshape(-1, 8).T.tobytes()  # bytes of one rank together: sorted, so the high ones compress
-                    rows.append((b, ids[used].tobytes(), places.astype(np.uint32).tobytes(), planes, cn[k:m].astype(np.uint32).tobytes()))
-                if rows:
-                    cols = list(zip(*rows))
-                    empty = pa.nulls(len(rows), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int32()), empty, empty, empty, empty, *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                        names=[c.split()[0] for c in DEALT.split(", ")],
-                    )
-
-    return docs.select("doc_id", "text").mapInArrow(deal, DEALT)
-
-
-def shared_shingles(dealt: DataFrame) -> DataFrame:
-    """(doc_id, h, df) of shingles in two documents or more; doc_id null for the count of a common one."""
-
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        hashes, ids, kinds = [], [], []
-        for row in table.select(["ids", "docs", "hashes", "counts"]).to_pylist():
-            body = np.frombuffer(row["hashes"], np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-            docs = np.frombuffer(row["docs"], np.uint32)
-            counts = np.frombuffer(row["counts"], np.uint32)
-            hashes.append(body)
-            ids.append(np.concatenate([np.frombuffer(row["ids"], np.int64)[docs], np.zeros(len(counts), np.int64)]))
-            kinds.append(np.concatenate([np.zeros(len(docs), np.int64), counts]))  # 0: one document
-        h, i, k = map(np.concatenate, (hashes, ids, kinds))
-        order = np.argsort(h, kind="stable")
-        h, i, k = h[order], i[order], k[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        runs = np.flatnonzero(first)
-        df = np.add.reduceat(np.maximum(k, 1), runs)
-        each = np.repeat(df, np.diff(np.append(runs, len(h))))
-        keep = each > 1
-        return pa.table({"doc_id": pa.array(i[keep], mask=k[keep] > 0), "h": pa.array(h[keep].view(np.int64)), "df": pa.array(each[keep])})
-
-    dealt = dealt.where("bucket is not null").select("bucket", "ids", "docs", "hashes", "counts")
-    return dealt.groupBy("bucket").applyInArrow(count, "doc_id bigint, h bigint, df bigint")
-
-
-def unpacked(docs: DataFrame) -> DataFrame:
-    """(doc_id, h) of the common shingles that documents kept beside them."""
-
-    def rows(batches):
-        for batch in batches:
-            blobs = batch.column("hashes").to_pylist()
-            n = [len(b) // 8 for b in blobs]
-            ids = np.repeat(batch.column("doc_id").to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(b"".join(blobs), np.int64))], names=["doc_id", "h"])
-
-    return docs.where(F.length("hashes") > 0).select("doc_id", "hashes").mapInArrow(rows, "doc_id bigint, h bigint")
+                    places = places.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                    rows.append((b, planes(ids[used]), places.tobytes(), planes(np.concatenate([rh[i:j], ch[k:m]])), cn[k:m].astype(np.uint32).tobytes(), None, None))
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=names)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(deal, DEALT)
+
+
+def counted_table(kind: int, length: int, **columns) -> pa.Table:
+    names = [c.split()[0] for c in COUNTED.split(", ")][1:]
+    arrays = [pa.array(np.full(length, kind, np.int32))] + [columns[c] if c in columns else pa.nulls(length, pa.int64()) for c in names]
+    return pa.table(arrays, names=["kind", *names])
+
+
+def count_shingles(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """(COUNTED) of one hash range, or the documents of some batches with the common shingles they hold."""
+    if key[0].as_py() < 0:
+        out = []
+        for row in table.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            known = np.frombuffer(row["docs"], bool)
+            a, b = np.frombuffer(row["digests"], np.int64).reshape(2, -1)
+            out.append(counted_table(DOCUMENT, len(ids), doc_id=pa.array(ids, mask=~known), n=pa.array(np.frombuffer(row["sizes"], np.int64)), digest_a=pa.array(a), digest_b=pa.array(b)))
+            held = np.frombuffer(row["hashes"], np.int64)
+            out.append(counted_table(HELD, len(held), doc_id=pa.array(np.repeat(ids, np.frombuffer(row["counts"], np.uint32))), h=pa.array(held)))
+        return pa.concat_tables(out)
+    parts = []
+    for row in table.to_pylist():
+        body, ids = from_planes(row["hashes"], np.uint64), from_planes(row["ids"], np.int64)
+        counts = np.frombuffer(row["counts"], np.uint32)
+        docs = np.frombuffer(row["docs"], np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+        times = np.concatenate([np.zeros(len(docs), np.int64), counts])  # 0: one document
+        parts.append((body, np.concatenate([ids[docs], np.zeros(len(counts), np.int64)]), times))
+    h, i, k = map(np.concatenate, zip(*parts))
+    order = np.argsort(h, kind="stable")
+    h, i, k = h[order], i[order], k[order]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    runs = np.flatnonzero(first)
+    df = np.add.reduceat(np.maximum(k, 1), runs)
+    each = np.repeat(df, np.diff(np.append(runs, len(h))))
+    out = []
+    for kind, keep in ((SHARED, (each > 1) & (k == 0)), (COMMON_DF, k > 0)):
+        some = {"h": pa.array(h[keep].view(np.int64)), "df": pa.array(each[keep])}
+        out.append(counted_table(kind, int(keep.sum()), **some, **({"doc_id": pa.array(i[keep])} if kind == SHARED else {})))
+    return pa.concat_tables(out)
 
 
 def least_overlap(a: Column, b: Column, per_cent: int) -> Column:
@@ -209,13 +204,11 @@ def candidate_sets(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     spark = docs.sparkSession
     if buckets is None:  # enough ranges for every shuffle task, a power of two
         buckets = 1 << max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    dealt = cut_lineage(dealt_shingles(docs, buckets, width))
-    whole = dealt.where("bucket is null")
+    counted = cut_lineage(dealt_shingles(docs, buckets, width).groupBy("bucket").applyInArrow(count_shingles, COUNTED))
+    of = lambda kind, *columns: counted.where(F.col("kind") == kind).select(*columns)
     ids = F.col("doc_id").isNotNull()
-    counted = cut_lineage(shared_shingles(dealt))
-    common = counted.where("doc_id is null").select("h", "df").distinct()
-    pairs = counted.where("doc_id is not null").unionByName(unpacked(whole).join(common, "h").select("doc_id", "h", "df"))
-    sets = whole.select("doc_id", "n", "digest_a", "digest_b")
+    pairs = of(SHARED, "doc_id", "h", "df").unionByName(of(HELD, "doc_id", "h").join(of(COMMON_DF, "h", "df").distinct(), "h").select("doc_id", "h", "df"))
+    sets = of(DOCUMENT, "doc_id", "n", "digest_a", "digest_b")
     reps = sets.groupBy("n", "digest_a", "digest_b").agg(F.min("doc_id").alias("rep"))
     rep = F.when(ids, F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     members = cut_lineage(sets.join(reps, ["n", "digest_a", "digest_b"]).withColumn("rep", rep))
