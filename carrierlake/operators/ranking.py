@@ -7,6 +7,8 @@ axis is cut into bands by a monotone function of the value, and the window runs
 The result is exact: the bands decide where work happens, not what is computed.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BANDS_PER_OCTAVE = 16
@@ -19,6 +21,12 @@ def value_band(value: Column, per_octave: int = BANDS_PER_OCTAVE) -> Column:
     return F.when(magnitude > 0, F.signum(value.cast("double")).cast("bigint") * step).otherwise(F.lit(0).cast("bigint"))
 
 
+def known(*columns: str) -> Column:
+    """Rows that take part in an order: no column is null or NaN."""
+    tests = [F.col(c).isNotNull() & ~F.isnan(F.col(c).try_cast("double")).eqNullSafe(True) for c in columns]
+    return reduce(lambda a, b: a & b, tests)
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -29,7 +37,7 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<name>_upto`` (inclusive running sum along ``order``) and ``<name>_total`` per key.
 
-    ``df`` must hold one row per (keys, order).
+    ``df`` must hold one row per (keys, order); see ``known`` for nulls and NaN.
     """
     by = [*keys, "_band"]
     names = list(sums)
@@ -64,7 +72,7 @@ def running_totals(
 def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per distinct (keys, value): ties, rows before, key size and the average rank."""
     distinct = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        df.where(known(value))
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("ties"))
     )
@@ -80,9 +88,13 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def attach_ranks(df: DataFrame, keys: list[str], value: str, out: str = "avg_rank") -> DataFrame:
-    """Average rank of every row inside its key; rows without a value get null."""
+    """Average rank of every row inside its key; rows without a value get null and meet no join.
+
+    Rows of one value are a side that Spark's skew join can split; the ranks are one row per value.
+    """
     ranks = value_ranks(df, keys, value).select(*keys, value, F.col("avg_rank").alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    ranked = df.where(known(value)).join(ranks, [*keys, value])
+    return ranked.unionByName(df.where(~known(value)).withColumn(out, F.lit(None).cast("double")))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

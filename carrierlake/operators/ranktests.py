@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from carrierlake.functions.pvalues import chi_square_p, normal_p, student_p
-from carrierlake.operators.ranking import quantiles, running_totals, value_ranks
+from carrierlake.operators.ranking import known, quantiles, running_totals, value_ranks
 
 
 
@@ -11,7 +11,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, flag: str, min_arm:
     """Carrier against rest per key: U, tie-corrected normal p with continuity, medians, quartiles,
     rank-biserial effect. ``flag`` is boolean; rows with a null value or flag are left out.
     """
-    valid = df.where(F.col(value).isNotNull() & F.col(flag).isNotNull())
+    valid = df.where(known(value) & F.col(flag).isNotNull())
     distinct = valid.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(flag)).alias("_n1")
     )
@@ -67,7 +67,7 @@ def carrier_rank_tests(values: DataFrame, carriers: DataFrame, outcome: list[str
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """Rank correlation per key with its Student p; null when either side is constant."""
-    valid = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    valid = df.where(known(x, y))
     cells = valid.groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("_w"))
 
     def ranks(column: str, out: str) -> DataFrame:
@@ -96,7 +96,7 @@ def correlation_p(r: str, n: str):
 
 def kruskal(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
     """H with tie correction per key over any number of groups."""
-    valid = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    valid = df.where(known(value) & F.col(group).isNotNull())
     cells = valid.groupBy(*keys, value, group).agg(F.count(F.lit(1)).alias("_k"))
     distinct = cells.groupBy(*keys, value).agg(F.sum("_k").alias("_n"))
     ranked = running_totals(distinct, keys, value, {"rows": F.col("_n")})

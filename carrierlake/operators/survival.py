@@ -5,16 +5,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from carrierlake.functions.pvalues import chi_square_p
-from carrierlake.operators.ranking import running_totals
+from carrierlake.operators.ranking import known, running_totals
 from carrierlake.operators.regression import _effects, _iterate, _key_schema, _pairs
 from carrierlake.session import cut_lineage
 
 
+def observed(df: DataFrame, time: str, event: str) -> DataFrame:
+    """Rows with an event flag and a duration above zero."""
+    return df.where(known(time) & (F.col(time) > 0) & F.col(event).isNotNull())
+
+
 def km_table(df: DataFrame, keys: list[str], time: str, event: str) -> DataFrame:
     """Survival steps per key: at risk, events, survival after each time."""
-    at = df.where(F.col(time).isNotNull() & F.col(event).isNotNull()).groupBy(*keys, time).agg(
+    at = observed(df, time, event).groupBy(*keys, time).agg(
         F.count(F.lit(1)).alias("leaving"), F.sum(F.col(event).cast("bigint")).alias("events")
     )
     risk = running_totals(at, keys, time, {"risk": F.col("leaving")}, descending=True).drop("risk_total")
@@ -29,7 +35,7 @@ def logrank_by_key(df: DataFrame, keys: list[str], time: str, event: str, group:
     k = len(levels)
     member = lambda i: F.col(group) == levels[i]
     died = F.col(event) == 1
-    at = df.where(F.col(group).isin(levels) & F.col(time).isNotNull() & F.col(event).isNotNull()).groupBy(*keys, time).agg(
+    at = observed(df, time, event).where(F.col(group).isin(levels)).groupBy(*keys, time).agg(
         F.count_if(died).alias("d"),
         *[F.count_if(member(i)).alias(f"l{i}") for i in range(k)],
         *[F.count_if(member(i) & died).alias(f"d{i}") for i in range(k)],
@@ -67,17 +73,32 @@ def _logrank_batch(k: int, keep: list[str]):
     return step
 
 
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("s0", "s1", "q0", "q1", "q2")]))
+def efron_sums(d: pd.Series, r: pd.Series, e: pd.Series) -> pd.DataFrame:
+    """Sums over l < d of f^m / (r - f e)^n with f = l / d: s0, s1 for n = 1 and m = 0, 1; q0, q1, q2 for n = 2."""
+    rows = []
+    for deaths, risk, event in zip(d.to_numpy(float), r.to_numpy(float), e.to_numpy(float)):
+        total = np.zeros(5)
+        for begin in range(0, int(deaths), 1 << 16):
+            f = np.arange(begin, min(begin + (1 << 16), int(deaths))) / deaths
+            one = 1 / (risk - f * event)
+            two = one * one
+            total += [one.sum(), (f * one).sum(), two.sum(), (f * two).sum(), (f * f * two).sum()]
+        rows.append(total)
+    return pd.DataFrame(np.array(rows).reshape(-1, 5), columns=["s0", "s1", "q0", "q1", "q2"])
+
+
 def cox_by_key(
     df: DataFrame, keys: list[str], time: str, event: str, x: list[str], penalty: float = 0.0, min_events: int = 3,
     passes: int = 25, tolerance: float = 1e-8,
 ) -> DataFrame:
     """Proportional hazards per key with Efron ties; the first entry of ``x`` is reported.
 
-    A pass aggregates to (key, time), takes reverse running risk-set sums, spreads tied deaths
-    into rows and adds gradient and Hessian cells per key.
+    A pass aggregates to (key, time), takes reverse running risk-set sums, sums over tied deaths in Arrow batches of (key, time)
+    rows and adds gradient and Hessian cells per key. Durations must be above zero.
     """
     k = len(x)
-    valid = df.dropna(subset=[time, event, *x]).select(
+    valid = observed(df, time, event).where(known(*x)).select(
         *keys, F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"),
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)],
     )
@@ -106,15 +127,18 @@ def cox_by_key(
             *[F.sum(F.when(dead, F.col("_w") * F.col(f"x{i}")).otherwise(0.0)).alias(f"_dx{i}") for i in range(k)],
         )
         risk = running_totals(at, keys, "_t", {f"r_{name}": F.col(f"a_{name}") for name in weights}, descending=True).where("_d > 0")
-        tied = risk.withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_d").cast("int") - 1)))
-        left = lambda name: F.col(f"r_{name}_upto") - F.col("_l") / F.col("_d") * F.col(f"e_{name}")
-        mean = lambda i: left(f"s{i}") / left("s")
+        # the l-th of d tied deaths sees r - (l / d) e of every sum; over l these are linear in three power sums of 1 / (r - (l / d) e)
+        tied = risk.withColumn("_p", efron_sums(F.col("_d"), F.col("r_s_upto"), F.col("e_s")))
+        s0, s1, q0, q1, q2 = (F.col(f"_p.{c}") for c in ("s0", "s1", "q0", "q1", "q2"))
+        r, e = (lambda name: F.col(f"r_{name}_upto")), (lambda name: F.col(f"e_{name}"))
+        mean = lambda i: r(f"s{i}") * s0 - e(f"s{i}") * s1
+        square = lambda i, j: r(f"s{i}") * r(f"s{j}") * q0 - (r(f"s{i}") * e(f"s{j}") + e(f"s{i}") * r(f"s{j}")) * q1 + e(f"s{i}") * e(f"s{j}") * q2
         return (
             tied.groupBy(*keys)
             .agg(
-                F.sum(F.lit(1.0)).alias("_w"),
-                *[F.sum(F.col(f"_dx{i}") / F.col("_d") - mean(i)).alias(f"g{i}") for i in range(k)],
-                *[F.sum(left(f"s{i}_{j}") / left("s") - mean(i) * mean(j)).alias(f"h{i}_{j}") for i, j in _pairs(k)],
+                F.sum("_d").alias("_w"),
+                *[F.sum(F.col(f"_dx{i}") - mean(i)).alias(f"g{i}") for i in range(k)],
+                *[F.sum(r(f"s{i}_{j}") * s0 - e(f"s{i}_{j}") * s1 - square(i, j)).alias(f"h{i}_{j}") for i, j in _pairs(k)],
             )
             .join(betas, keys)
         )

@@ -1,5 +1,8 @@
 """Session defaults and the one place that cuts lineage."""
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -18,30 +21,34 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", f"file://{local_folder()}")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+    """The folder named in ``spark.checkpoint.dir`` or given to ``setCheckpointDir``.
 
-    Only a local master may fall back to a folder of its own; a cluster without the setting is
+    Only a local master without either takes a folder of its own; a cluster without the setting is
     an error, because a machine-local folder does not survive an executor.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return folder or local_folder()
 
 
 @cache
 def local_folder() -> str:
-    return tempfile.mkdtemp(prefix="carrierlake-scratch-")
+    """A folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="carrierlake-scratch-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the table to the shared scratch folder and read it back.
+    """Write the table to the shared scratch folder and read it back; the driver's JVM deletes it when it ends.
 
     Unlike ``checkpoint()`` the reader sees the true size on disk. A checkpointed plan keeps the
     estimate of the plan it replaced, and in a loop of joins that estimate squares every pass.
@@ -49,4 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/carrierlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
