@@ -1,6 +1,7 @@
 """Session defaults and the one place that cuts lineage."""
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -58,4 +59,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     written = spark._jvm.org.apache.hadoop.fs.Path(path)
     written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that no later plan reads, and let the driver clean up shuffle files of plans that are gone.
+
+    Spark drops shuffle files when their plan is garbage; a long job on a quiet driver otherwise keeps all of them on its disks.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
