@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from carrierlake.session import cut_lineage
+from carrierlake.session import cut_lineage, discard
 
 from .common import documents, query
 from .tokens import slices
@@ -220,7 +220,9 @@ def candidate_sets(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     prefix = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
     many = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("shared"))
     found = many.join(firsts.select(F.col("doc_id"), "n"), "doc_id").withColumn("alone", F.col("n") - F.size("shared"))
-    return members, cut_lineage(with_cells(found.where(F.col("alone") < prefix).select(F.col("doc_id").alias("id"), "n", "alone", "shared")))
+    sets = cut_lineage(with_cells(found.where(F.col("alone") < prefix).select(F.col("doc_id").alias("id"), "n", "alone", "shared")))
+    discard(counted)
+    return members, sets
 
 
 def with_cells(sets: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 A window (the first ``depth`` bytes of a suffix) belongs to its anchor: the leftmost of its ``gram``-byte strings with the least hash. Equal
 windows have equal anchors at equal places, so suffixes are dealt by anchor, about one per 35 bytes, in packed arrays; an anchor
 that occurs once ends there, and with it all of its suffixes. What is left are stretches of bytes around repeated anchors. Equal
-stretches meet in one aggregate; different ones of one anchor are sorted suffix by suffix, eight bytes a pass from the most significant,
-where suffixes that are alone leave after every pass. Groups equal after ``depth`` bytes are the repeated windows; the first place keeps
-its bytes. Bytes are compared to the end, so nothing rests on a hash of a window.
+stretches meet in one aggregate (by 128 bits of hash); different ones of one anchor are sorted suffix by suffix, eight bytes a pass from
+the most significant, where suffixes that are alone leave after every pass. Groups equal after ``depth`` bytes are the repeated windows;
+the first place keeps its bytes.
 """
 
 import hashlib
@@ -13,12 +13,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from carrierlake.session import cut_lineage
+from carrierlake.session import cut_lineage, discard
 
 from .common import documents, query
-from .jaccard import mixed
+from .jaccard import from_planes, mixed, planes
 from .tokens import slices
 
 DEPTH = 100
@@ -28,8 +29,10 @@ COMMON = 8
 #: An anchor with more different stretches is compared window by window in aggregates, not within one task.
 MOST_STRETCHES = 20_000
 
-DEALT = "bucket int, doc_id bigint, n_bytes bigint, sha string, ids binary, digests binary, docs binary, hashes binary, places binary, marks binary"
-PLACE = "doc_id bigint, h bigint, a int, lo int, hi int"
+DEALT = "bucket int, ids binary, docs binary, hashes binary, places binary, marks binary, digests binary, sizes binary"
+FOUND = "kind int, doc_id bigint, h bigint, a int, lo int, hi int, n_bytes bigint, sha binary"
+DOCUMENT, PLACE = range(2)
+KEYED = "h bigint, key bigint, doc_id bigint, a int, lo int, hi int"
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, depth: int, gram: int):
@@ -65,18 +68,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, depth: int, gram: int):
 
 
 def dealt_anchors(docs: DataFrame, buckets: int, depth: int, gram: int) -> DataFrame:
-    """One pass over the text. Rows of two kinds (DEALT).
+    """One pass over the text, two kinds of rows (DEALT), each packed per batch.
 
-    bucket null: a document with its size, SHA-256 and the places of anchors that are common in its batch. bucket set: packed anchors of
-    one hash range and batch with their places, and ``marks``: hashes of the common ones.
+    bucket 0 and up: anchors of one hash range with their places (place, and how far before it its windows start), and ``marks``: hashes
+    of anchors common in the batch. Below 0: documents with ``sizes`` and SHA-256 ``digests``, and the places of common anchors, which
+    they keep; ``marks`` tells ids that are not null.
     """
     shift = np.uint64(64 - (buckets - 1).bit_length())
     names = [c.split()[0] for c in DEALT.split(", ")]
 
-    def place_bytes(a, lo, hi):
-        return np.stack([a, a - lo, a - hi], axis=1).astype(np.uint32)
-
     def deal(batches):
+        holder = -1 - TaskContext.get().partitionId() % buckets
         for batch in batches:
             for part in slices(batch):
                 texts = pc.fill_null(part.column("text"), "").cast(pa.binary())
@@ -84,11 +86,11 @@ def dealt_anchors(docs: DataFrame, buckets: int, depth: int, gram: int) -> DataF
                 known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 ids = pc.fill_null(part.column("doc_id"), 0).to_numpy()
                 raw = texts.to_pylist()
-                hashed = [hashlib.sha256(x) for x in raw]
-                digests = np.array([int.from_bytes(x.digest()[:8], "little") for x in hashed], np.uint64)
+                shas = [hashlib.sha256(x).digest() for x in raw]
+                digests = np.array([int.from_bytes(x[:8], "little") for x in shas], np.uint64)
                 d, h, a, lo, hi = anchors(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes), depth, gram)
                 d, h, a, lo, hi = (x[known[d]] for x in (d, h, a, lo, hi))  # rows without doc_id have no order: they meet nobody
-                place = place_bytes(a, lo, hi)
+                place = np.stack([a, a - lo, a - hi], axis=1).astype(np.uint32)
                 order = np.argsort(h, kind="stable")
                 sorted_h = h[order]
                 first = np.ones(len(h), bool)
@@ -98,81 +100,92 @@ def dealt_anchors(docs: DataFrame, buckets: int, depth: int, gram: int) -> DataF
                 often = np.zeros(len(h), bool)
                 often[order] = np.repeat(lengths > COMMON, lengths)
                 marks = sorted_h[runs[lengths > COMMON]]
-                kept = [b""] * len(ids)
-                mine = np.flatnonzero(often)  # by document already
-                cuts = np.searchsorted(d[mine], np.arange(len(ids) + 1))
-                for i in np.flatnonzero(np.diff(cuts)):
-                    rows = mine[cuts[i] : cuts[i + 1]]
-                    kept[i] = h[rows].tobytes() + place[rows].tobytes()
-                n, none = len(ids), pa.nulls(len(ids), pa.binary())
-                columns = [pa.nulls(n, pa.int32()), pa.array(ids, mask=~known), pa.array(sizes), pa.array([x.hexdigest() for x in hashed]), *[none] * 4, pa.array(kept, pa.binary()), none]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                mine = np.flatnonzero(often)
+                rows = [(holder, ids.tobytes(), d[mine].astype(np.uint32).tobytes(), h[mine].tobytes(), place[mine].T.tobytes(), known.tobytes(), b"".join(shas), sizes.tobytes())]
                 rest = order[~often[order]]
                 rh = h[rest]
-                edges = np.arange(buckets + 1).astype(np.uint64)
-                cuts, mark_cuts = np.searchsorted(rh >> shift, edges), np.searchsorted(marks >> shift, edges)
-                rows = []
+                edges = np.arange(buckets).astype(np.uint64)
+                cuts, mark_cuts = np.append(np.searchsorted(rh >> shift, edges), len(rh)), np.append(np.searchsorted(marks >> shift, edges), len(marks))
                 for b in range(buckets):
                     here, m = rest[cuts[b] : cuts[b + 1]], marks[mark_cuts[b] : mark_cuts[b + 1]]
                     if not len(here) and not len(m):
                         continue
                     used, at = np.unique(d[here], return_inverse=True)
-                    planes = h[here].view(np.uint8).reshape(-1, 8).T.tobytes()
-                    rows.append((b, ids[used].tobytes(), digests[used].tobytes(), at.astype(np.uint32).tobytes(), planes, place[here].T.tobytes(), m.tobytes()))
-                if rows:
-                    cols, n = list(zip(*rows)), len(rows)
-                    columns = [pa.array(cols[0], pa.int32()), *[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.string()), *[pa.array(c, pa.binary()) for c in cols[1:]]]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    at = at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                    offsets = [place[here, 0].tobytes(), *[place[here, i].astype(np.uint8 if depth <= 255 else np.uint32).tobytes() for i in (1, 2)]]
+                    rows.append((b, planes(ids[used]), at.tobytes(), planes(h[here]), b"".join(offsets), m.tobytes(), digests[used].tobytes(), None))
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=names)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(deal, DEALT)
+
+
+def found_table(kind: int, length: int, **columns) -> pa.Table:
+    kinds = {"doc_id": pa.int64(), "h": pa.int64(), "a": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "n_bytes": pa.int64(), "sha": pa.binary()}
+    return pa.table({"kind": pa.array(np.full(length, kind, np.int32))} | {c: columns[c] if c in columns else pa.nulls(length, t) for c, t in kinds.items()})
 
-    return docs.select("doc_id", "text").mapInArrow(deal, DEALT)
 
+def place_table(ids: np.ndarray, h: np.ndarray, place: np.ndarray) -> pa.Table:
+    a, lo, hi = place.astype(np.int32)
+    return found_table(PLACE, len(ids), doc_id=pa.array(ids), h=pa.array(h.view(np.int64)), a=pa.array(a), lo=pa.array(a - lo), hi=pa.array(a - hi))
 
-def repeated_places(dealt: DataFrame) -> DataFrame:
-    """(PLACE) of anchors that occur at two places or more of different texts or of one text; of copies the smallest doc_id."""
+
+def repeated_places(dealt: DataFrame, depth: int) -> DataFrame:
+    """(FOUND): every document, and the places of anchors that occur twice or more in different texts or in one; of copies the smallest doc_id."""
 
     def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [[] for _ in range(5)]
-        marks = [np.empty(0, np.uint64)]
+        if key[0].as_py() < 0:
+            out = []
+            for row in table.to_pylist():
+                ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
+                shas = [row["digests"][i : i + 32] for i in range(0, len(row["digests"]), 32)]
+                out.append(found_table(DOCUMENT, len(ids), doc_id=pa.array(ids, mask=~np.frombuffer(row["marks"], bool)), n_bytes=pa.array(sizes), sha=pa.array(shas, pa.binary())))
+                place = np.frombuffer(row["places"], np.uint32).reshape(3, -1)
+                out.append(place_table(ids[np.frombuffer(row["docs"], np.uint32)], np.frombuffer(row["hashes"], np.uint64), place))
+            return pa.concat_tables(out)
+        parts, marks = [], [np.empty(0, np.uint64)]
+        small = np.uint8 if depth <= 255 else np.uint32
         for row in table.to_pylist():
-            at = np.frombuffer(row["docs"], np.uint32)
-            parts[0].append(np.frombuffer(row["hashes"], np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel())
-            parts[1].append(np.frombuffer(row["digests"], np.uint64)[at])
-            parts[2].append(np.frombuffer(row["ids"], np.int64)[at])
-            parts[3].append(np.frombuffer(row["places"], np.uint32).reshape(3, -1).T)
+            h, ids = from_planes(row["hashes"], np.uint64), from_planes(row["ids"], np.int64)
+            at = np.frombuffer(row["docs"], np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+            a = np.frombuffer(row["places"], np.uint32, len(h))
+            before = np.frombuffer(row["places"], small, 2 * len(h), 4 * len(h)).reshape(2, -1).astype(np.uint32)
+            parts.append((h, np.frombuffer(row["digests"], np.uint64)[at], ids[at], np.concatenate([a[None], before])))
             marks.append(np.frombuffer(row["marks"], np.uint64))
-        h, digest, ids, place = (np.concatenate(p) for p in parts[:4])
-        order = np.lexsort((ids, place[:, 0], digest, h))
-        h, digest, ids, place = h[order], digest[order], ids[order], place[order]
+        h, digest, ids, place = (np.concatenate(x, axis=-1) for x in zip(*parts))
+        order = np.lexsort((ids, place[0], digest, h))
+        h, digest, ids, place = h[order], digest[order], ids[order], place[:, order]
         fresh = np.ones(len(h), bool)  # not the same place of a copy
-        fresh[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (place[1:, 0] != place[:-1, 0])
-        h, ids, place = h[fresh], ids[fresh], place[fresh]
-        again = np.zeros(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (place[0, 1:] != place[0, :-1])
+        h, ids, place = h[fresh], ids[fresh], place[:, fresh]
+        again = np.isin(h, np.unique(np.concatenate(marks)))
         same = h[1:] == h[:-1]
         again[1:] |= same
         again[:-1] |= same
-        again |= np.isin(h, np.unique(np.concatenate(marks)))
-        a, lo, hi = (place[again, i].astype(np.int32) for i in range(3))
-        return pa.table({"doc_id": ids[again], "h": h[again].view(np.int64), "a": a, "lo": a - lo, "hi": a - hi})
+        return place_table(ids[again], h[again], place[:, again])
 
-    rows = dealt.where("bucket is not null").select("bucket", "ids", "digests", "docs", "hashes", "places", "marks")
-    return rows.groupBy("bucket").applyInArrow(find, PLACE)
+    return dealt.groupBy("bucket").applyInArrow(find, FOUND)
 
 
-def common_places(whole: DataFrame) -> DataFrame:
-    """(PLACE) of the common anchors that documents kept beside them."""
+def stretch_keys(texts: DataFrame, depth: int) -> DataFrame:
+    """(KEYED) from (doc_id, text, places): a 64-bit key of the bytes of each anchor's windows and of where the anchor lies in them."""
 
-    def rows(batches):
+    def cut(batches):
         for batch in batches:
-            for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(blob) // 20
-                place = np.frombuffer(blob, np.uint32, offset=8 * n).reshape(n, 3).astype(np.int32)
-                columns = [np.full(n, doc_id), np.frombuffer(blob, np.int64, n), place[:, 0], place[:, 0] - place[:, 1], place[:, 0] - place[:, 2]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "h", "a", "lo", "hi"])
+            for row in batch.to_pylist():
+                data, places = row["text"].encode(), row["places"]
+                keys = [
+                    int.from_bytes(hashlib.blake2b(data[p["lo"] : p["hi"] + depth], digest_size=8, salt=(p["a"] - p["lo"]).to_bytes(8, "little")).digest(), "little", signed=True)
+                    for p in places
+                ]
+                columns = [[p["h"] for p in places], keys, [row["doc_id"]] * len(places), *[[p[c] for p in places] for c in ("a", "lo", "hi")]]
+                kinds = (pa.int64(),) * 3 + (pa.int32(),) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in KEYED.split(", ")])
 
-    return whole.where(F.length("places") > 0).select("doc_id", "places").mapInArrow(rows, PLACE)
+    return texts.mapInArrow(cut, KEYED)
 
 
-STRETCH = "h bigint, doc_id bigint, a int, lo int, hi int, bytes binary"
+STRETCH = "h bigint, doc_id bigint, a int, lo int, hi int, m bigint, bytes binary"
 
 
 def stretches(texts: DataFrame, depth: int) -> DataFrame:
@@ -183,8 +196,8 @@ def stretches(texts: DataFrame, depth: int) -> DataFrame:
             for row in batch.to_pylist():
                 data, places = row["text"].encode(), row["places"]
                 blobs = [data[p["lo"] : p["hi"] + depth] for p in places]
-                columns = [[p["h"] for p in places], [row["doc_id"]] * len(places), *[[p[c] for p in places] for c in ("a", "lo", "hi")], blobs]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                columns = [[p["h"] for p in places], [row["doc_id"]] * len(places), *[[p[c] for p in places] for c in ("a", "lo", "hi", "m")], blobs]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in STRETCH.split(", ")])
 
     return texts.mapInArrow(cut, STRETCH)
@@ -284,26 +297,27 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, bucket
     if buckets is None:  # enough ranges for every shuffle task, a power of two
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = 1 << max(5, (2 * tasks - 1).bit_length())
-    dealt = cut_lineage(dealt_anchors(docs, buckets, depth, gram))
-    whole = dealt.where("bucket is null")
-    firsts = whole.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    sizes = cut_lineage(whole.select("doc_id", "n_bytes", "sha").join(firsts, "sha"))
+    found = cut_lineage(repeated_places(dealt_anchors(docs, buckets, depth, gram), depth))
+    whole = found.where(F.col("kind") == DOCUMENT).select("doc_id", "n_bytes", F.lower(F.hex("sha")).alias("sha"))
+    sizes = cut_lineage(whole.join(whole.groupBy("sha").agg(F.min("doc_id").alias("first")), "sha"))
     # an id with several different texts has no one text to compare
     own = sizes.groupBy("doc_id").agg(F.min("sha").alias("low"), F.max("sha").alias("high"), F.min("first").alias("first"))
     own = own.where("doc_id = first and low = high").select("doc_id")
-    places = repeated_places(dealt).unionByName(common_places(whole)).join(own, "doc_id")
+    places = found.where(F.col("kind") == PLACE).select("doc_id", "h", "a", "lo", "hi").join(own, "doc_id")
     listed = places.groupBy("doc_id").agg(F.collect_set(F.struct("h", "a", "lo", "hi")).alias("places"))  # bounded by the text
     texts = cut_lineage(docs.where("text is not null").select("doc_id", "text").join(listed, "doc_id"))
-    cut = cut_lineage(stretches(texts, depth))
-    key = F.xxhash64("bytes", F.col("a") - F.col("lo"))
+    discard(found)
+    keyed = cut_lineage(stretch_keys(texts, depth))
     place = F.struct("doc_id", "a", "lo", "hi")
-    same = cut.withColumn("key", key).groupBy("h", "key").agg(F.min(F.struct("doc_id", "a", "lo", "hi", "bytes")).alias("first"), F.count(F.lit(1)).alias("n"))
-    same = cut_lineage(same)
-    copies = cut.select("h", key.alias("key"), place.alias("place")).join(same.where("n > 1").select("h", "key", F.struct("first.doc_id", "first.a", "first.lo", "first.hi").alias("first")), ["h", "key"])
+    same = cut_lineage(keyed.groupBy("h", "key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    copies = keyed.select("h", "key", place.alias("place")).join(same.where("n > 1").select("h", "key", "first"), ["h", "key"])
     covered = copies.where(F.col("place") != F.col("first")).select("place.doc_id", F.col("place.lo").cast("long").alias("begin"), (F.col("place.hi") + depth).cast("long").alias("end"))
     several = same.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    reps = cut_lineage(same.join(several, "h").select("h", "first.*", "m"))
-    spans = covered.unionByName(sorted_windows(reps.where(F.col("m") <= most).drop("m"), buckets, depth)).unionByName(aggregated_windows(reps.where(F.col("m") > most), depth))
+    wanted = same.join(several, "h").select("first.doc_id", F.struct("h", "first.a", "first.lo", "first.hi", "m").alias("place"))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # bounded by the text
+    reps = cut_lineage(stretches(texts.select("doc_id", "text").join(wanted, "doc_id"), depth).distinct())
+    spans = cut_lineage(covered.unionByName(sorted_windows(reps.where(F.col("m") <= most), buckets, depth)).unionByName(aggregated_windows(reps.where(F.col("m") > most), depth)))
+    discard(keyed, same, reps)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by the text
     return sizes, texts.select("doc_id", "text").join(per_doc, "doc_id")
 
