@@ -36,14 +36,16 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
         for batch in batches:
             for part in slices(batch):
                 ends, ids = tokens.encode(part.column("text"), end_id)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                wide = ids.astype("<u4")
                 sizes = np.diff(ends, prepend=0)
                 pieces = -(-sizes // capacity)
                 of = np.repeat(np.arange(len(ends)), pieces)
                 start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
                 length = np.minimum(sizes[of] - start, capacity)
                 at = (ends - sizes)[of] + start
-                blobs = pa.array([raw[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist())], pa.binary())
+                # the pieces lie one after the other in the ids: no copy per piece
+                offsets = np.append(at, len(wide)).astype(np.int32) * 4
+                blobs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(wide)])
                 columns = [part.column("doc_id").take(pa.array(of)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(sizes[of]), blobs]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 

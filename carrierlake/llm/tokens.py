@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches kept per Python worker; when full, the older half stays.
-CACHE = 400_000
+CACHE = 250_000
 MARKS = ".,;:!?"
 PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
 
@@ -119,16 +119,19 @@ class Encoder:
             self.learn([names[i] for i in missing])
             slots[missing] = np.arange(first, first + len(missing))
         words = slots[coded.indices.to_numpy()]
-        lengths = self.length[words].astype(np.int64)
-        ends_of_words = np.cumsum(lengths)
+        lengths = self.length[words]
+        ends_of_words = np.cumsum(lengths, dtype=np.int64)
         total = int(ends_of_words[-1]) if len(words) else 0
-        source = np.repeat(self.begin[words] - (ends_of_words - lengths), lengths) + np.arange(total)
+        narrow = np.int32 if self.used < 1 << 31 and total + len(texts) < 1 << 31 else np.int64
+        source = np.repeat((self.begin[words] - (ends_of_words - lengths)).astype(narrow), lengths)
+        source += np.arange(total, dtype=narrow)
         word_ends = np.cumsum(per_text)
         ends = np.where(word_ends > 0, ends_of_words[np.maximum(word_ends, 1) - 1] if len(words) else 0, 0)
-        counts = np.diff(ends, prepend=0)
         ids = np.empty(total + len(ends), self.store.dtype)
-        ids[np.arange(total) + np.repeat(np.arange(len(ends)), counts)] = self.store[source]
         ends = ends + np.arange(1, len(ends) + 1)
+        inner = np.ones(len(ids), bool)
+        inner[ends - 1] = False
+        ids[inner] = self.store[source]
         ids[ends - 1] = end_id
         return ends, ids
 
@@ -143,7 +146,7 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4 << 20):
     """The batch in runs of rows with about so many bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes) - sizes) // most_bytes
