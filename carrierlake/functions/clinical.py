@@ -230,11 +230,13 @@ def figo_stage(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Spreadsheet serials, ISO, and slashed or dashed dates; day first unless that cannot be."""
+    """Spreadsheet serials, ISO, slashed, dashed, packed and worded dates; day first unless that cannot be."""
     s = clean_text(c)
     head = F.regexp_extract(s, r"^([0-9/-]+)", 1)
     clock = r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
     first, second = _group(s, r"^([0-9]{1,2})/"), _group(s, r"^[0-9]{1,2}/([0-9]{1,2})/")
+    # day, first three letters of an English month, year: "5 Mar 2020", "05-march-2020"
+    worded = F.regexp_replace(F.regexp_extract(s, r"^([0-9]{1,2}[ -][A-Za-z]{3,9}[ ,-]+[0-9]{4})$", 1), r"^([0-9]+)[ -]([A-Za-z]{3})[A-Za-z]*[ ,-]+", "$1 $2 ")
     serial = F.when(s.rlike(r"^[0-9]{1,5}(\.[0-9]+)?$"), s.try_cast("double"))
     slashed = s.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}" + clock)
     return (
@@ -243,6 +245,9 @@ def parse_date(c: Column) -> Column:
         .when(slashed & (second > 12) & (first <= 12), F.try_to_date(head, "M/d/yyyy"))
         .when(slashed, F.try_to_date(head, "d/M/yyyy"))
         .when(s.rlike(r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}" + clock), F.try_to_date(head, "d-M-yyyy"))
+        .when(s.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}" + clock), F.try_to_date(head, "yyyy/M/d"))
+        .when(s.rlike(r"^(19|20)[0-9]{6}$"), F.try_to_date(s, "yyyyMMdd"))
+        .when(worded != "", F.try_to_date(F.initcap(worded), "d MMM yyyy"))
     )
 
 

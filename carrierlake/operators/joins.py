@@ -26,10 +26,10 @@ def lossless_merge(master: DataFrame, table: DataFrame, key: str, prefix: str, o
     Every field is prefixed. A key with several candidate rows keeps the first by ``ordinal``
     and is marked ambiguous; the candidate count is kept.
     """
-    counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    first = keep_best(table, [key], [F.col(ordinal).asc()])
-    fields = [F.col(c).alias(f"{prefix}{c}") for c in table.columns if c not in (key, ordinal)]
-    joined = master.join(first.select(key, *fields), key, "left").join(counts, key, "left")
+    names = [c for c in table.columns if c not in (key, ordinal)]
+    row = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in names])
+    one = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min_by(row, F.col(ordinal)).alias("_first"))
+    joined = master.join(one, key, "left").select("*", *[F.col(f"_first.{prefix}{c}") for c in names])
     n = F.coalesce("_n", F.lit(0))
     status = F.when(n == 0, "unmatched").when(n == 1, "matched").otherwise("ambiguous")
     return joined.select(
@@ -127,7 +127,15 @@ def validate(df: DataFrame, required: list[str], allowed: dict[str, list] = {},
 
 
 def restrict_panel(df: DataFrame, filters: dict[str, list]) -> DataFrame:
-    """Kept and total rows per applied filter, with its status, beside the filtered rows."""
+    """Rows that every filter of a present column keeps; see ``panel_report`` for what each does alone."""
+    for column, values in filters.items():
+        if column in df.columns:
+            df = df.where(F.col(column).isin(values))
+    return df
+
+
+def panel_report(df: DataFrame, filters: dict[str, list]) -> DataFrame:
+    """Kept and total rows per filter, with its status."""
     known = {c: v for c, v in filters.items() if c in df.columns}
     report = [
         F.struct(

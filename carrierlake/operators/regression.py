@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from carrierlake.functions.pvalues import normal_p, student_p
+from carrierlake.operators.contingency import fisher_2x2, odds_ratio
 from carrierlake.session import cut_lineage
 
 CLIP = 20.0
@@ -114,14 +115,16 @@ def _iterate(start: DataFrame, sums, keys: list[str], k: int, passes: int, toler
     return done.unionByName(active)
 
 
-def _design(df: DataFrame, keys: list[str], y: str, x: str, covariates: list[str]) -> tuple[DataFrame, DataFrame]:
+def _design(df: DataFrame, keys: list[str], y: str, x: str, covariates: list[str], weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Weighted distinct rows ``y, x1.., _w`` with z-scored covariates, and the per-key gates."""
-    valid = df.dropna(subset=[y, x, *covariates])
+    valid = df.dropna(subset=[y, x, *covariates]).withColumn("_n", F.lit(1) if weight is None else F.col(weight)).where("_n > 0")
     weighted = valid.groupBy(*keys, F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("x1"), *covariates).agg(
-        F.count(F.lit(1)).cast("double").alias("_w")
+        F.sum("_n").cast("double").alias("_w")
     )
+    if weight is not None and covariates:
+        raise ValueError("covariates need one row per sample")
     moments = valid.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("events"),
+        F.sum("_n").alias("n"), F.sum(F.col(y).cast("double") * F.col("_n")).alias("events"),
         F.min(F.col(x).cast("double")).alias("_xlo"), F.max(F.col(x).cast("double")).alias("_xhi"),
         *[e for c in covariates for e in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))],
     )
@@ -135,16 +138,18 @@ def _design(df: DataFrame, keys: list[str], y: str, x: str, covariates: list[str
 
 def logit_by_key(
     df: DataFrame, keys: list[str], y: str, x: str, covariates: list[str] = (), min_events: int = 10, min_rows: int = 6,
-    passes: int = 25, tolerance: float = 1e-8, firth: bool = False,
+    passes: int = 25, tolerance: float = 1e-8, firth: bool = False, weight: str | None = None,
 ) -> DataFrame:
     """Logistic regression of a binary outcome on ``x`` per key: odds ratio, interval, p.
 
+    With ``weight`` (and no covariates) a row stands for so many samples, so a count table is enough.
+
     Every pass is one aggregate of gradient and Hessian cells over all unfinished keys. With
     ``firth`` the score carries the hat-value correction, which costs a second aggregate.
     """
     covariates = list(covariates)
     k = 2 + len(covariates)
-    data, moments = _design(df, keys, y, x, covariates)
+    data, moments = _design(df, keys, y, x, covariates, weight)
     gated = moments.where(
         (F.col("n") >= min_rows) & (F.least(F.col("events"), F.col("n") - F.col("events")) >= (0 if firth else 1))
         & (F.col("events") >= min_events) & (F.col("_xhi") > F.col("_xlo"))
@@ -207,6 +212,34 @@ def adjusted_models(df: DataFrame, keys: list[str], y: str, x: str, models: dict
     return out
 
 
+def dose_rows(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Six weighted rows (case, dosage, n) per key from a genotype count table; wild type is dose 0."""
+    cells = [
+        F.struct(F.lit(int(arm == "case")).alias("case"), F.lit(dose).alias("dosage"), F.col(f"{arm}_{g}").alias("n"))
+        for arm in ("case", "control") for dose, g in enumerate(("wt", "het", "hom"))
+    ]
+    return counts.select(*keys, F.inline(F.array(*cells)))
+
+
+def dose_risk(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Dose effect per key by a chain of fits: penalised, else ordinary where that does not settle, else the exact carrier test.
+
+    The row says in ``model`` which one it is.
+    """
+    rows = cut_lineage(dose_rows(counts, keys))
+    columns = [*keys, "odds_ratio", "ci_low", "ci_high", "p_value", "model"]
+    penalised = firth_by_key(rows, keys, "case", "dosage", weight="n").withColumn("model", F.lit("penalised"))
+    settled = cut_lineage(penalised.where("converged and not clipped and not isnan(p_value)").select(*columns))
+    left = rows.join(settled.select(*keys), keys, "left_anti")
+    ordinary = logit_by_key(left, keys, "case", "dosage", min_events=1, weight="n").withColumn("model", F.lit("ordinary"))
+    ordinary = cut_lineage(ordinary.where("converged and not clipped and not isnan(p_value)").select(*columns))
+    rest = counts.join(settled.unionByName(ordinary).select(*keys), keys, "left_anti")
+    cells = rest.select(*keys, *[c.alias(n) for n, c in zip("abcd", (F.col("case_het") + F.col("case_hom"), F.col("case_wt"), F.col("control_het") + F.col("control_hom"), F.col("control_wt")))])
+    ratio = odds_ratio(*[F.col(c) for c in "abcd"])
+    exact = fisher_2x2(cells, tuple("abcd")).select(*keys, ratio.alias("_r"), "p_value", F.lit("exact").alias("model")).select(*keys, "_r.odds_ratio", "_r.ci_low", "_r.ci_high", "p_value", "model")
+    return settled.unionByName(ordinary).unionByName(exact)
+
+
 def firth_by_key(df: DataFrame, keys: list[str], y: str, x: str, **options) -> DataFrame:
     """Penalised logistic fit; keys whose fit does not settle are left to the caller's exact test."""
     return logit_by_key(df, keys, y, x, (), min_events=options.pop("min_events", 1), firth=True, **options)

@@ -38,12 +38,12 @@ def _attach(t):
 SUPPLIED = """SELECT p_partkey, p_brand, f.l_suppkey AS s_l_suppkey, f.l_quantity AS s_l_quantity, coalesce(n, 0) AS s_candidates,
     CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS s_status
     FROM part LEFT JOIN (SELECT l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY ord) AS rn, count(*) OVER (PARTITION BY l_partkey) AS n
-      FROM (SELECT *, l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + l_quantity AS ord FROM lineitem WHERE l_discount >= 0.1)) f ON f.l_partkey = p_partkey AND rn = 1"""
+      FROM (SELECT *, l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + l_quantity AS ord FROM lineitem)) f ON f.l_partkey = p_partkey AND rn = 1"""
 
 
 def part_lines(t):
     ordinal = F.col("l_orderkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity")
-    return t.lineitem.where("l_discount >= 0.1").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey", "l_quantity", ordinal.alias("ord"))
+    return t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey", "l_quantity", ordinal.alias("ord"))
 
 
 def supplied(t):
@@ -63,9 +63,11 @@ def _audit(t):
     return joins.merge_audit(supplied(t), part_lines(t), "p_partkey", "s_status")["status"]
 
 
-@query("merge_audit_unmatched", f"SELECT DISTINCT p_partkey FROM ({SUPPLIED}) WHERE s_status = 'unmatched'")
+@query("merge_audit_unmatched", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _audit_unmatched(t):
-    return joins.merge_audit(supplied(t), part_lines(t), "p_partkey", "s_status")["unmatched"]
+    table = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    merged = joins.lossless_merge(t.customer.select("c_custkey"), table, "c_custkey", "o_", "o_orderkey")
+    return joins.merge_audit(merged, table, "c_custkey", "o_status")["unmatched"]
 
 
 @query("merge_audit_table_only", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -78,7 +80,7 @@ def _audit_right(t):
     "resolve_entities",
     """WITH l AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 50 END AS code, s_nationkey AS label FROM supplier),
       d AS (SELECT c_custkey % 400 AS code, count(DISTINCT c_custkey) AS dn, min(c_custkey) AS de FROM customer GROUP BY 1),
-      a AS (SELECT c_nationkey + (c_custkey % 7) * 5 AS label, count(DISTINCT c_custkey) AS n, min(c_custkey) AS e FROM customer WHERE c_acctbal < -800 GROUP BY 1)
+      a AS (SELECT c_nationkey + (c_custkey % 7) * 5 AS label, count(DISTINCT c_custkey) AS n, min(c_custkey) AS e FROM customer GROUP BY 1)
     SELECT s_suppkey, code, label, CASE WHEN coalesce(dn, n, 0) = 1 THEN coalesce(de, e) END AS c_custkey, coalesce(dn, n, 0) AS candidates,
       CASE WHEN dn IS NOT NULL THEN 'code' WHEN n IS NOT NULL THEN 'alias' ELSE 'none' END AS match_by,
       CASE WHEN coalesce(dn, n, 0) = 0 THEN 'unmatched' WHEN coalesce(dn, n, 0) = 1 THEN 'matched' ELSE 'ambiguous' END AS match_status
@@ -87,7 +89,7 @@ def _audit_right(t):
 def _resolve(t):
     left = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 50).alias("code"), F.col("s_nationkey").cast("bigint").alias("label"))
     entities = t.customer.select("c_custkey", (F.col("c_custkey") % 400).alias("code"))
-    aliases = t.customer.where("c_acctbal < -800").select("c_custkey", (F.col("c_nationkey") + (F.col("c_custkey") % 7) * 5).alias("alias"))
+    aliases = t.customer.select("c_custkey", (F.col("c_nationkey") + (F.col("c_custkey") % 7) * 5).alias("alias"))
     return joins.resolve_entities(left, entities, aliases, "code", "c_custkey", "label").select(
         "s_suppkey", "code", F.col("label").cast("int"), "c_custkey", "candidates", "match_by", "match_status"
     )
@@ -175,13 +177,18 @@ def _validate(t):
     return joins.validate(df, ["o_orderkey", "o_custkey"], {"o_orderstatus": ["F", "O"]}, ["pct"], "o_orderpriority")
 
 
+@query("restrict_panel_rows", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def _panel_rows(t):
+    return joins.restrict_panel(t.customer, {"c_mktsegment": ["BUILDING", "MACHINERY"], "sex": ["F"]}).select("c_custkey", "c_mktsegment")
+
+
 @query(
     "restrict_panel",
     """SELECT 'c_mktsegment' AS filter, 'applied' AS filter_status, count(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY')) AS kept, count(*) AS total FROM customer
       UNION ALL SELECT 'sex', 'column_absent', count(*), count(*) FROM customer""",
 )
 def _restrict(t):
-    return joins.restrict_panel(t.customer, {"c_mktsegment": ["BUILDING", "MACHINERY"], "sex": ["F"]})
+    return joins.panel_report(t.customer, {"c_mktsegment": ["BUILDING", "MACHINERY"], "sex": ["F"]})
 
 
 @query("drop_sparse_columns", "SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'x' END AS half FROM documents LEFT JOIN labels USING (doc_id)")

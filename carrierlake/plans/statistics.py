@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from carrierlake.operators import ranking, ranktests, regression, survival
+from carrierlake.operators import compare, ranking, ranktests, regression, survival
 from carrierlake.plans.registry import normal_sql, query, rounded, student_sql, with_sql
 
 LINES = """lines AS (SELECT p_brand AS k, l_quantity AS v, l_returnflag = 'R' AS f, l_linestatus || l_returnflag AS g, l_extendedprice AS price
@@ -81,10 +81,10 @@ def _carrier_ranks(t):
     f"""WITH {LINES}, a AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2.0 AS rx,
         rank() OVER (PARTITION BY k ORDER BY price) + (count(*) OVER (PARTITION BY k, price) - 1) / 2.0 AS ry FROM lines),
       c AS (SELECT k, count(*) AS n, corr(rx, ry) AS rho FROM a GROUP BY 1)
-    SELECT k, n, round(rho, 6) AS rho FROM c""",
+    SELECT k, n, round(rho, 6) AS rho, round({student_sql('rho * sqrt((n - 2) / (1 - rho * rho))', '(n - 2)')}, 6) AS p_value FROM c""",
 )
 def _spearman(t):
-    return rounded(ranktests.spearman(lines(t), ["k"], "v", "price").drop("p_value"))
+    return rounded(ranktests.spearman(lines(t), ["k"], "v", "price"))
 
 
 @query(
@@ -147,12 +147,35 @@ def _logit_adjusted(t):
     return rounded(regression.adjusted_models(late_rows(t), ["key"], "late", "urgent", models))
 
 
-@query("firth_logit")
+FIRTH = with_sql("samples purchases calls arms counts", "").rstrip().replace("WITH", "WITH RECURSIVE", 1) + """, cells AS (SELECT variant, case_callable + control_callable AS n, case_callable AS events,
+      case_wt + control_wt AS n0, case_het + control_het AS n1, case_hom + control_hom AS n2, case_wt AS y0, case_het AS y1, case_hom AS y2
+      FROM geno WHERE comparison = 'All' AND case_callable > 0 AND case_het + control_het + case_hom + control_hom > 0 AND case_callable + control_callable >= 6),
+    fit AS (SELECT variant, 0 AS pass, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS v1 FROM cells
+      UNION ALL SELECT variant, pass + 1, b0 + (i00 * u0 + i01 * u1), b1 + (i01 * u0 + i11 * u1), i11 FROM (
+        SELECT *, y0 + y1 + y2 - n0 * p0 - n1 * p1 - n2 * p2 + n0 * g0 * (0.5 - p0) + n1 * g1 * (0.5 - p1) + n2 * g2 * (0.5 - p2) AS u0,
+          y1 + 2 * y2 - n1 * p1 - 2 * n2 * p2 + n1 * g1 * (0.5 - p1) + 2 * n2 * g2 * (0.5 - p2) AS u1 FROM (
+          SELECT *, w0 * i00 AS g0, w1 * (i00 + 2 * i01 + i11) AS g1, w2 * (i00 + 4 * i01 + 4 * i11) AS g2 FROM (
+            SELECT *, h11 / det AS i00, -h01 / det AS i01, h00 / det AS i11 FROM (
+              SELECT *, h00 * h11 - h01 * h01 AS det FROM (
+                SELECT *, n0 * w0 + n1 * w1 + n2 * w2 AS h00, n1 * w1 + 2 * n2 * w2 AS h01, n1 * w1 + 4 * n2 * w2 AS h11 FROM (
+                  SELECT *, p0 * (1 - p0) AS w0, p1 * (1 - p1) AS w1, p2 * (1 - p2) AS w2 FROM (
+                    SELECT fit.*, n0, n1, n2, y0, y1, y2, 1 / (1 + exp(-b0)) AS p0, 1 / (1 + exp(-b0 - b1)) AS p1, 1 / (1 + exp(-b0 - 2 * b1)) AS p2
+                    FROM fit JOIN cells USING (variant) WHERE pass < 40))))))))
+    SELECT variant, n::BIGINT AS n, events::BIGINT AS events, round(b1, 4) AS beta, round(sqrt(v1), 4) AS se FROM fit JOIN cells USING (variant) WHERE pass = 40"""
+
+
+@query("firth_logit", FIRTH)
 def _firth(t):
-    dosed = t.calls().join(t.samples(), "sample").select(
-        "variant", "cohort", (F.col("tissue") == "Tumour").cast("int").alias("case"), "dosage"
-    )
-    return rounded(regression.firth_by_key(dosed, ["variant"], "case", "dosage"))
+    """All samples: the wild type enters by its count."""
+    counts = compare.genotype_counts(t.calls(), t.samples()).where("comparison = 'All'")
+    out = regression.firth_by_key(regression.dose_rows(counts, ["variant"]), ["variant"], "case", "dosage", weight="n")
+    return rounded(out.select("variant", F.col("n").cast("bigint").alias("n"), "events", "beta", "se"), 4)
+
+
+@query("dose_risk", FIRTH.replace("SELECT variant, n::BIGINT AS n, events::BIGINT AS events, round(b1, 4) AS beta, round(sqrt(v1), 4) AS se FROM fit", "SELECT variant, round(exp(b1), 3) AS odds_ratio, 'penalised' AS model FROM fit"))
+def _dose_risk(t):
+    counts = compare.genotype_counts(t.calls(), t.samples()).where("comparison = 'All'")
+    return rounded(regression.dose_risk(counts, ["variant"]).select("variant", "odds_ratio", "model"), 3)
 
 
 FOLLOW = """follow AS (SELECT o_custkey AS sample, datediff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days,
