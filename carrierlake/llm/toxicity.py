@@ -24,9 +24,11 @@ from .tokens import slices
 
 #: Labelled rows learned from: so many of the smallest hash of doc_id. They bound the index, the vocabulary and what the driver holds.
 MOST_LABELLED = 20_000
-MOST_FEATURES = 2_000
+MOST_FEATURES = 500
 LEAST_TOXIC = 5
 LEAST_CHI = 20.0
+#: A feature marks the label where at least this share of its labelled rows has it, and more than the base rate.
+LEAST_SHARE = 0.3
 NEIGHBOURS = 25
 BLOCK = 64
 CUT = 0.3
@@ -99,7 +101,8 @@ def choose_features(texts: DataFrame, most: int) -> list[str]:
     a, b = F.col("t"), F.col("n") - F.col("t")
     c, d = toxic - a, total - toxic - b
     chi = total * (a * d - b * c) ** 2 / (F.lit(float(toxic) * (total - toxic)) * F.col("n") * F.greatest(total - F.col("n"), F.lit(1)))
-    rows = counted.where((F.col("t") >= LEAST_TOXIC) & (F.col("t") * total > F.col("n") * toxic)).withColumn("chi", chi.cast("double"))
+    marks = (F.col("t") * total > F.col("n") * toxic) & (F.col("t") >= LEAST_SHARE * F.col("n"))
+    rows = counted.where((F.col("t") >= LEAST_TOXIC) & marks).withColumn("chi", chi.cast("double"))
     best = rows.where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "feature").limit(most)
     return [r.feature for r in best.collect()]
 
