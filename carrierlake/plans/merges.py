@@ -63,11 +63,11 @@ def _audit(t):
     return joins.merge_audit(supplied(t), part_lines(t), "p_partkey", "s_status")["status"]
 
 
-@query("merge_audit_unmatched", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("merge_audit_unmatched", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _audit_unmatched(t):
-    table = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    merged = joins.lossless_merge(t.customer.select("c_custkey"), table, "c_custkey", "o_", "o_orderkey")
-    return joins.merge_audit(merged, table, "c_custkey", "o_status")["unmatched"]
+    table = t.labels.select("doc_id", "toxic", F.col("doc_id").alias("ord"))
+    merged = joins.lossless_merge(t.documents.select("doc_id"), table, "doc_id", "l_", "ord")
+    return joins.merge_audit(merged, table, "doc_id", "l_status")["unmatched"]
 
 
 @query("merge_audit_table_only", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
