@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 from carrierlake.session import cut_lineage
 
 from .common import documents, query
+from .jaccard import mixed, shingle_sets
 from .tokens import slices
 
 #: Labelled rows learned from: so many of the smallest hash of doc_id. They bound the index, the vocabulary and what the driver holds.
 MOST_LABELLED = 20_000
 MOST_FEATURES = 500
+#: A feature needs so many positive rows, and this share of all of them, so that the words of a few copied rows are no features.
 LEAST_TOXIC = 5
+LEAST_PART = 0.01
 LEAST_CHI = 20.0
 #: A feature marks the label where at least this share of its labelled rows has it, and more than the base rate.
 LEAST_SHARE = 0.3
@@ -77,8 +80,29 @@ def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def without_near_copies(texts: DataFrame) -> DataFrame:
+    """rows (text, y) with one of those that share a min-hash of their five-word shingles, twice over; copies would count as evidence."""
+
+    def least(batches):
+        for batch in batches:
+            for part in slices(batch):
+                d, h = shingle_sets(part.column("text"), 5)
+                columns = []
+                for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
+                    least = np.full(part.num_rows, np.iinfo(np.uint64).max, np.uint64)
+                    np.minimum.at(least, d, mixed(h ^ salt))
+                    columns.append(pa.array(least.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("y"), *columns], names=["text", "y", "m1", "m2"])
+
+    rows = texts.select("text", "y").where("text is not null").mapInArrow(least, "text string, y int, m1 bigint, m2 bigint")
+    for key in ("m1", "m2"):
+        rest = [c for c in ("m2", "y", "text") if c != key]
+        rows = rows.withColumn("pick", F.xxhash64("text")).groupBy(key).agg(F.min(F.struct("pick", *rest)).alias("r")).select("r.*").drop("pick")
+    return rows
+
+
 def choose_features(texts: DataFrame, most: int) -> list[str]:
-    """Features of the label in rows (text, y): at least LEAST_TOXIC positive rows, a share above the base rate, the largest chi-squared."""
+    """Features of the label in rows (text, y): at least LEAST_TOXIC positive rows and LEAST_PART of them, a share above the base rate, the largest chi-squared."""
 
     def count(batches):
         for batch in batches:
@@ -102,7 +126,7 @@ def choose_features(texts: DataFrame, most: int) -> list[str]:
     c, d = toxic - a, total - toxic - b
     chi = total * (a * d - b * c) ** 2 / (F.lit(float(toxic) * (total - toxic)) * F.col("n") * F.greatest(total - F.col("n"), F.lit(1)))
     marks = (F.col("t") * total > F.col("n") * toxic) & (F.col("t") >= LEAST_SHARE * F.col("n"))
-    rows = counted.where((F.col("t") >= LEAST_TOXIC) & marks).withColumn("chi", chi.cast("double"))
+    rows = counted.where((F.col("t") >= max(LEAST_TOXIC, LEAST_PART * toxic)) & marks).withColumn("chi", chi.cast("double"))
     best = rows.where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "feature").limit(most)
     return [r.feature for r in best.collect()]
 
@@ -263,7 +287,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     """
     sample = cut_lineage(labelled_sample(labels, label, most))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")  # MOST_LABELLED rows of two numbers
-    features = choose_features(cut_lineage(texts), MOST_FEATURES)
+    features = choose_features(cut_lineage(without_near_copies(cut_lineage(texts))), MOST_FEATURES)
     vectors = cut_lineage(feature_vectors(docs, features))
     return scored(vectors, fit_index(vectors, sample, max(len(features), 1), k))
 
