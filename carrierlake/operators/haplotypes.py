@@ -8,6 +8,14 @@ from carrierlake.operators.fdr import bh_fdr
 from carrierlake.operators.ranking import share_of, top_k
 from carrierlake.session import cut_lineage
 
+#: Sites of one region: strings and pair expansions grow with it, so a larger region is an error, never cut short.
+MAX_SITES = 12
+
+
+def bounded_sites(n: Column) -> Column:
+    """n, or an error where a region has more than MAX_SITES sites."""
+    return F.when(n > MAX_SITES, F.raise_error(F.concat(F.lit(f"a region may have at most {MAX_SITES} sites, not "), n.cast("string"))).cast("bigint")).otherwise(n)
+
 
 def sample_haplotypes(alleles: DataFrame, sites: DataFrame, region: str = "region") -> DataFrame:
     """The two strings of every sample with all sites of the region called.
@@ -15,7 +23,7 @@ def sample_haplotypes(alleles: DataFrame, sites: DataFrame, region: str = "regio
     ``alleles``: sample, region, site, a1, a2 (null = missing). ``sites``: region, site. A region
     holds a dozen sites at most, which bounds what is gathered per sample.
     """
-    size = sites.groupBy(region).agg(F.countDistinct("site").alias("_size"))
+    size = sites.groupBy(region).agg(bounded_sites(F.countDistinct("site")).alias("_size"))
     called = alleles.where(F.col("a1").isNotNull() & F.col("a2").isNotNull()).join(sites.distinct(), [region, "site"], "left_semi")
     strings = called.groupBy("sample", region).agg(
         F.array_sort(F.collect_list(F.struct("site", "a1", "a2"))).alias("_s"), F.count(F.lit(1)).alias("_n")
@@ -210,11 +218,12 @@ def top_mass(counts: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
 def em_haplotypes(genotypes: DataFrame, region: str = "region", passes: int = 50, tolerance: float = 1e-7, display: float = 0.005) -> DataFrame:
     """Haplotype frequencies from unphased dosage strings by expectation-maximisation.
 
-    ``genotypes``: sample, region, g (one digit 0, 1 or 2 per site, a dozen sites at most). Equal
-    strings are one weighted row; a string with h heterozygous sites expands to 2^(h-1) pairs
+    ``genotypes``: sample, region, g (one digit 0, 1 or 2 per site, MAX_SITES at most). ``converged`` is false where ``passes`` ran out.
+    Equal strings are one weighted row; a string with h heterozygous sites expands to 2^(h-1) pairs
     once, and a pass is one join with the frequency table and two aggregates.
     """
     distinct = genotypes.where(~F.col("g").contains("9")).groupBy(region, "g").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    distinct = distinct.where(bounded_sites(F.length("g").cast("bigint")) >= 0)
     hets = F.length(F.regexp_replace("g", "[^1]", ""))
     choices = F.sequence(F.lit(0), F.pow(F.lit(2.0), F.greatest(hets - 1, F.lit(0)).cast("double")).cast("int") - 1)
     digits = F.filter(F.split("g", ""), lambda d: d != "")
@@ -242,6 +251,7 @@ def em_haplotypes(genotypes: DataFrame, region: str = "region", passes: int = 50
         share.select(region, both, (F.col("w") / F.col("_m")).alias("_e")).groupBy(region, "hap").agg(F.sum("_e").alias("_e"))
         .join(total, region).select(region, "hap", (F.col("_e") / F.col("_copies")).alias("f"))
     )
+    converged = False
     for _ in range(passes):
         f1 = freq.select(region, F.col("hap").alias("h1"), F.col("f").alias("f1"))
         f2 = freq.select(region, F.col("hap").alias("h2"), F.col("f").alias("f2"))
@@ -254,9 +264,10 @@ def em_haplotypes(genotypes: DataFrame, region: str = "region", passes: int = 50
         )
         gap = new.join(freq.withColumnRenamed("f", "_old"), [region, "hap"]).agg(F.max(F.abs(F.col("f") - F.col("_old")))).first()[0]
         freq = new
-        if gap is not None and gap < tolerance:
+        converged = gap is None or gap < tolerance
+        if converged:
             break
-    return freq.where(F.col("f") >= display).withColumnRenamed("f", "freq")
+    return freq.where(F.col("f") >= display).withColumnRenamed("f", "freq").withColumn("converged", F.lit(converged))
 
 
 # --- comparison with another panel --------------------------------------------------------------

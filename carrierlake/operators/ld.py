@@ -114,7 +114,7 @@ def block_summary(tests: DataFrame, group: list[str], block: str, p: str, fdr: s
 
 
 def partner_lists(pairs: DataFrame, region: str, threshold: float = 0.8) -> DataFrame:
-    """Linked partners per locus as one string; the pair window bounds the list."""
+    """Linked partners per locus as one string, of the pairs given: those within the window that ``ld_r2`` was asked for."""
     linked = pairs.where(F.col("r2") >= threshold - TIE)
     both = linked.select(region, "i", F.col("j").alias("partner")).union(linked.select(region, "j", F.col("i").alias("partner")))
     return both.groupBy(region, "i").agg(
@@ -131,8 +131,3 @@ def block_rollup(rows: DataFrame, block: str, comparison: str, comparisons: list
     )
     wide = rows.groupBy(block).pivot(comparison, comparisons).agg(F.countDistinct(key)).fillna(0)
     return base.join(wide, block)
-
-
-def numbered(df: DataFrame, region: str, order: list[Column], out: str = "i") -> DataFrame:
-    """Dense place of each locus in its region, from distinct loci, 0-based."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(region).orderBy(*order)) - 1)

@@ -267,3 +267,77 @@ def test_sparse_rank_test_equals_dense(spark):
     sparse = ranktests.carrier_rank_tests(v, c, ["var"], "exposure").first()
     dense = ranktests.mann_whitney(v.join(c, "sample", "left").withColumn("f", F.col("exposure").isNotNull()), ["var"], "value", "f").first()
     assert (sparse.u, sparse.p_value, sparse.n1, sparse.n2) == pytest.approx((dense.u, dense.p_value, dense.n1, dense.n2))
+
+
+def test_exact_test_of_huge_and_extreme_tables(spark):
+    n = 3 * 10**9
+    rows = [(n, n + 10**5, n, n - 10**5), (330, 0, 0, 330), (0, 0, 0, 0), (5, 0, 3, 0), (None, 1, 1, 1)]
+    got = [r.p for r in contingency.fisher_2x2(spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d bigint"), ("a", "b", "c", "d"), "p").orderBy("a", "b").collect()]
+    z = (n / (2 * n + 10**5) - n / (2 * n - 10**5)) / math.sqrt(0.25 / n)
+    assert got[0] is None and got[1] == 1.0 and got[2] == 1.0
+    assert got[3] == pytest.approx(2 / math.comb(660, 330), rel=1e-10)
+    assert got[4] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-3)
+
+
+def test_difference_tails_by_brute_force():
+    from carrierlake.functions.pvalues import difference_tails
+
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        a, b, c, d = (int(x) for x in rng.integers(0, 25, 4))
+        n1, n2, m = a + b, c + d, a + c
+        if not n1 or not n2:
+            continue
+        pmf = {k: math.comb(n1, k) * math.comb(n2, m - k) for k in range(max(0, m - n2), min(n1, m) + 1)}
+        gap = abs(a * n2 - c * n1)
+        low = sum(v for k, v in pmf.items() if k * n2 < (m - k) * n1 and abs(k * n2 - (m - k) * n1) >= gap) / sum(pmf.values())
+        high = sum(v for k, v in pmf.items() if k * n2 >= (m - k) * n1 and abs(k * n2 - (m - k) * n1) >= gap) / sum(pmf.values())
+        assert difference_tails(a, b, c, d) == pytest.approx((low, high), rel=1e-9, abs=1e-14)
+
+
+def test_tails_at_large_degrees_of_freedom():
+    from carrierlake.functions.pvalues import beta_lower, gamma_upper
+
+    for dof in (1e3, 1e6, 1e8, 1e9):
+        skew = 2 / math.sqrt(2 * math.pi) / 3 / math.sqrt(dof / 2)  # the median lies below the mean
+        assert gamma_upper(np.array([dof / 2]), np.array([dof / 2]))[0] == pytest.approx(0.5 - skew / 2, abs=3e-5)
+        assert beta_lower(np.array([dof / 2]), np.array([0.5]), np.array([dof / (dof + 4)]))[0] == pytest.approx(math.erfc(math.sqrt(2)), rel=4 / dof + 2e-3)
+
+
+def test_nan_takes_no_part_in_ranks(spark):
+    rows = [("k", float(i), i % 2 == 0) for i in range(30)]
+    clean = ranktests.mann_whitney(spark.createDataFrame(rows, "k string, v double, f boolean"), ["k"], "v", "f").first()
+    dirty = spark.createDataFrame(rows + [("k", float("nan"), True), ("k", None, False)] * 5, "k string, v double, f boolean")
+    assert ranktests.mann_whitney(dirty, ["k"], "v", "f").first() == clean
+    assert sum(r.avg_rank is None for r in ranking.attach_ranks(dirty, ["k"], "v").collect()) == 10
+
+
+def test_control_only_and_missing(spark):
+    """A variant only a control carries has a row in every comparison; an unusable call leaves one denominator only."""
+    from carrierlake.operators import compare, variants
+
+    samples = spark.createDataFrame([(1, "A", "Tumour"), (2, "B", "Tumour"), (3, "A", "Healthy"), (4, "B", "Healthy")], "sample int, cohort string, tissue string")
+    calls = spark.createDataFrame([(3, "v", 2), (1, "w", 1)], "sample int, variant string, dosage int")
+    missing = spark.createDataFrame([(2, "w"), (4, "v")], "sample int, variant string")
+    got = {(r.comparison, r.variant): r for r in compare.genotype_counts(calls, samples, missing=missing).collect()}
+    assert set(got) == {(c, v) for c in ("A", "B", "All") for v in "vw"}
+    v, w = got["B", "v"], got["All", "w"]
+    assert (v.case_callable, v.case_het + v.case_hom, v.control_callable, v.control_hom, v.control_wt) == (1, 0, 1, 1, 0)
+    assert (w.case_callable, w.case_het, w.case_wt, w.control_callable) == (1, 1, 0, 2)
+    screen = compare.case_vs_control(calls, samples, ["variant"], ["comparison"], min_total=1)
+    status = {(r.comparison, r.variant): r.variant_status for r in variants.status_direction(screen).collect()}
+    assert status["B", "v"] == "normal_only" and status["A", "w"] == "tumour_only"
+
+
+def test_unsettled_dose_fits_fall_back(spark):
+    columns = ["case_wt", "case_het", "case_hom", "control_wt", "control_het", "control_hom"]
+    counts = spark.createDataFrame([("fit", 40, 20, 9, 60, 15, 4), ("tiny", 1, 1, 0, 2, 0, 0)], "v string, " + ", ".join(f"{c} bigint" for c in columns))
+    got = {r.v: r for r in regression.dose_risk(counts, ["v"]).collect()}
+    assert got["fit"].model == "penalised" and 1 < got["fit"].odds_ratio < 4
+    assert got["tiny"].model == "exact" and 0 <= got["tiny"].p_value <= 1
+
+
+def test_regions_of_too_many_sites_fail(spark):
+    long = spark.createDataFrame([("s", "r", "1" * 13)], "sample string, region string, g string")
+    with pytest.raises(Exception, match="at most 12 sites"):
+        haplotypes.em_haplotypes(long)

@@ -166,3 +166,24 @@ def test_pair_classes(spark):
     df = spark.createDataFrame(rows, "c boolean, d boolean, concordance_all double")
     got = [r.classification.split("_")[0:3] for r in similarity.classify_pairs(df, "c", "d").collect()]
     assert got == [["SAME", "CODE", "EXACT"], ["SAME", "CODE", "DISTINCT"], ["DIFFERENT", "CODE", "IDENTICAL"], ["DIFFERENT", "CODE", "NEAR"], ["DISTINCT", "SAMPLES"]]
+
+
+def test_late_date_forms(spark):
+    from carrierlake.functions import clinical
+
+    cases = {"2020/01/05": (2020, 1, 5), "5 Mar 2020": (2020, 3, 5), "05-march-2020": (2020, 3, 5), "20200105": (2020, 1, 5), "19991231": (1999, 12, 31), "99999999": None, "5 Foo 2020": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.d for r in df.select("t", clinical.parse_date(F.col("t")).alias("d")).collect()}
+    assert got == {k: v and datetime.date(*v) for k, v in cases.items()}
+
+
+def test_call_files_of_two_header_orders(spark, tmp_path):
+    from carrierlake.sources import text
+
+    head = '##INFO=<ID=CSQ,Number=.,Type=String,Description="x Format: {}">\n#CHROM\n'
+    (tmp_path / "a.vcf").write_text(head.format("Allele|Consequence|SYMBOL") + "1\t10\t.\tCA\tC\t30\tPASS\tDP=60;CSQ=-|frameshift|G1\n")
+    (tmp_path / "b.vcf").write_text(head.format("Allele|SYMBOL|Consequence|Extra") + "1\t20\t.\tC\tCT,G\t30\tPASS\tDP=60;CSQ=T|G2|insertion|e,Z|G3|odd|\n")
+    rows = {(r.POS, r.ALT, r.Allele): (r.SYMBOL, r.Consequence, r.Extra) for r in text.read_variant_calls(spark, str(tmp_path / "*.vcf")).collect()}
+    assert rows == {
+        (10, "C", "-"): ("G1", "frameshift", None), (20, "CT", "T"): ("G2", "insertion", "e"), (20, "CT", "Z"): ("G3", "odd", None), (20, "G", None): (None, None, None),
+    }
