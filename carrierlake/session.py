@@ -64,15 +64,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, collect: bool = True) -> None:
     """Delete tables of ``cut_lineage`` that no later plan reads, and let the driver clean up shuffle files of plans that are gone.
 
     Spark drops shuffle files when their plan is garbage; a long job on a quiet driver otherwise keeps all of them on its disks.
+    ``collect=False`` leaves that to a later call.
     """
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    if tables:
+    if tables and collect:
+        gc.collect()
         tables[0].sparkSession._jvm.System.gc()
