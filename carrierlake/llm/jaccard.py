@@ -276,7 +276,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(small.distinct())
+        last, edges = edges, cut_lineage(small.distinct())
+        discard(last, collect=False)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -285,7 +286,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_links(sets: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """Links (a, b) that give the components of all links between representatives.
+    """Links (a, b), written, that give the components of all links between representatives.
 
     Every pair of linked sets shares a prefix shingle. Pairs with a list's pivot are verified first, with another pivot in the next round;
     then, in lists that still hold several components, the members outside the list's largest one meet the members of other components. A
@@ -295,7 +296,7 @@ def jaccard_links(sets: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     posts = postings(sets, per_cent)
     lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
     posts = cut_lineage(posts.join(lists, "h"))
-    checked, links, comps = None, None, None
+    checked, links, comps, scratch = None, None, None, [posts]
     for turn in range(PIVOTS):
         now = posts
         if comps is not None:
@@ -307,9 +308,11 @@ def jaccard_links(sets: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
             met = met.drop("comp")
         pairs = met.where(may_link("x", "p", per_cent)).select(F.least("x.id", "p.id").alias("a"), F.greatest("x.id", "p.id").alias("b"), F.col("p.id").alias("pivot"))
         done = cut_lineage(verified(pairs.select("a", "b"), sets, per_cent))
+        scratch.append(done)
         checked = done if checked is None else checked.unionByName(done)
         links = checked.where("linked").select("a", "b")
         comps = cut_lineage(components(links))
+        scratch.append(comps)
     now = cut_lineage(open_lists(posts, comps))
     largest = now.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
     minor = now.join(largest, "h").where("comp <> main").drop("main")
@@ -318,7 +321,9 @@ def jaccard_links(sets: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     pairs = cut_lineage(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
     far = far_apart(pairs, checked, 1 - per_cent / 100)
     rest = cut_lineage(verified(pairs.join(far, ["a", "b"], "left_anti"), sets, per_cent))
-    return links.unionByName(rest.where("linked").select("a", "b"))
+    found = cut_lineage(links.unionByName(rest.where("linked").select("a", "b")))
+    discard(*scratch, now, pairs, rest)
+    return found
 
 
 def open_lists(posts: DataFrame, comps: DataFrame) -> DataFrame:
@@ -344,7 +349,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CEN
     An empty table gives an empty table.
     """
     members, sets = candidate_sets(docs, width, per_cent, buckets)
-    comps = components(jaccard_links(sets, per_cent))
+    links = jaccard_links(sets, per_cent)
+    comps = components(links)
+    discard(sets, links)
     joined = members.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 

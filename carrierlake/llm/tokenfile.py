@@ -17,7 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from carrierlake.session import cut_lineage, scratch_folder
+from carrierlake.session import cut_lineage, discard, scratch_folder
 
 from .common import documents, query
 from .tokens import default_vocabulary, encoder, slices
@@ -108,6 +108,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     rows = cut_lineage(encoded(docs, vocabulary, end_id, dictionary))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "frame")
     blocks(ordered, dict_hash).write.parquet(f"{path}/blocks")
+    discard(rows)
     return dict_hash
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from carrierlake.session import cut_lineage
+from carrierlake.session import cut_lineage, discard
 
 from .common import documents, query
 from .jaccard import mixed, shingle_sets
@@ -287,7 +287,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     """
     sample = cut_lineage(labelled_sample(labels, label, most))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")  # MOST_LABELLED rows of two numbers
-    features = choose_features(cut_lineage(without_near_copies(cut_lineage(texts))), MOST_FEATURES)
+    texts = cut_lineage(texts)
+    apart = cut_lineage(without_near_copies(texts))
+    features = choose_features(apart, MOST_FEATURES)
+    discard(texts, apart)
     vectors = cut_lineage(feature_vectors(docs, features))
     return scored(vectors, fit_index(vectors, sample, max(len(features), 1), k))
 
