@@ -22,8 +22,9 @@ CAPACITY = 4096
 END_ID = 2
 #: Size classes: a piece of length n counts as ceil(n / UNIT) units of the sequence's CAPACITY / UNIT.
 UNIT = 32
-#: Rows of one group where ranks and running sums are formed in two steps.
+#: Rows of one group where running sums are formed in two steps, and pieces of one length that are ranked together.
 GROUP = 50_000
+RANKED = 1_000
 
 PIECES = "doc_id bigint, start bigint, length int, doc_tokens bigint, ids binary"
 
@@ -151,21 +152,20 @@ def running(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
 def ranked_pieces(pieces: DataFrame, histogram: dict[int, int], unit: int) -> DataFrame:
     """(piece, length, class, rank): ranks within a class from the longest piece down, dense from 0.
 
-    A hot length is spread over salts by piece; their counts give each salt its first rank.
+    A length is spread over as many salts as its count asks for; their counts give each salt its first rank.
     """
     spark = pieces.sparkSession
     before, seen = [], {}
     for length, n in sorted(histogram.items(), reverse=True):
         c = -(-length // unit)
-        before.append((length, c, seen.get(c, 0)))
+        before.append((length, c, seen.get(c, 0), math.ceil(n / RANKED)))
         seen[c] = seen.get(c, 0) + n
-    starts = spark.createDataFrame(before, "length int, class int, first bigint")  # one row per length, at most the capacity
-    salts = max(1, math.ceil(max(histogram.values()) / GROUP))
-    salted = pieces.select("piece", "length", F.pmod(F.xxhash64("piece"), F.lit(salts)).alias("salt"))
+    starts = F.broadcast(spark.createDataFrame(before, "length int, class int, first bigint, salts bigint"))  # one row per length, at most the capacity
+    salted = pieces.join(starts, "length").select("piece", "length", "class", "first", F.pmod(F.xxhash64("piece"), F.col("salts")).alias("salt"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("offset"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("piece")) - 1
-    placed = salted.withColumn("own", own).join(offsets, ["length", "salt"]).join(F.broadcast(starts), "length")
+    placed = salted.withColumn("own", own).join(offsets, ["length", "salt"])
     return placed.select("piece", "length", "class", (F.col("first") + F.col("offset") + F.col("own")).alias("rank"))
 
 

@@ -129,11 +129,12 @@ def test_one_hot_length(spark):
     """A third of all pieces of one length, more than one rank group; every piece lies in one place."""
     rows = [(i, 700 if i % 3 else 1 + i % 4095) for i in range(6000)]
     pieces = spark.createDataFrame(rows, "piece bigint, length int")
-    old, packing.GROUP = packing.GROUP, 500
+    old = packing.GROUP, packing.RANKED
+    packing.GROUP, packing.RANKED = 500, 100
     try:
         plan = packing.packing_plan(pieces).collect()
     finally:
-        packing.GROUP = old
+        packing.GROUP, packing.RANKED = old
     taken, filled = defaultdict(list), defaultdict(int)
     for r in plan:
         taken[r.piece].append((r.cut, r.take))
