@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from carrierlake.session import cut_lineage
 
-from .common import documents, query, text_of
+from .common import documents, hashed_sample, query, text_of
 
 #: Base patterns in the order of their kinds, the group that holds the value, and its least length.
 KINDS = [
@@ -66,12 +66,12 @@ def place_in_alphabet(character: Column) -> Column:
 
 def labelled_samples(docs: DataFrame, spans: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(token, random): values of base spans, and words of six or more characters with the base patterns taken out."""
-    values = spans.where(F.size("base") > 0).orderBy(F.xxhash64(F.to_json("base"))).limit(sample)
+    values = hashed_sample(spans.where(F.size("base") > 0).select("base"), sample)
     values = values.select(F.explode(F.transform("base", lambda b: b["value"])).alias("token"), F.lit(1).alias("random"))
     text = F.col("text")
     for _, pattern, _, _ in KINDS:
         text = F.regexp_replace(text, pattern, " ")
-    plain = docs.where(F.length("text") > 0).select("text").orderBy(F.xxhash64("text")).limit(sample)
+    plain = hashed_sample(docs.where(F.length("text") > 0).select("text"), sample)
     words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))
     return values.unionByName(plain.select(F.explode(words).alias("token"), F.lit(0).alias("random")))
 

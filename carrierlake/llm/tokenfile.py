@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from carrierlake.session import cut_lineage, discard, scratch_folder
 
-from .common import documents, query
+from .common import documents, hashed_sample, query
 from .tokens import default_vocabulary, encoder, slices
 
 END_ID = 1
@@ -34,7 +34,7 @@ BLOCK_DOCS = 8192
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
     """Dictionary over the serialized id arrays of a bounded sample; empty where zstandard cannot train one (too little data)."""
-    texts = docs.where(F.length("text") > 0).select("text").orderBy(F.xxhash64("text"), "text").limit(sample)
+    texts = hashed_sample(docs.where(F.length("text") > 0).select("text"), sample)
     arrays = []
     for batch in encoded(texts.withColumn("doc_id", F.lit(0).cast("bigint")), vocabulary, end_id, b"", plain=True).select("frame").toArrow().to_batches():
         for frame in batch.column(0).to_pylist():

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from carrierlake.session import cut_lineage, discard
 
-from .common import documents, query
+from .common import documents, hashed_sample, query
 from .jaccard import mixed, shingle_sets
 from .tokens import slices
 
-#: Labelled rows learned from: so many of the smallest hash of doc_id. They bound the index, the vocabulary and what the driver holds.
+#: Labelled rows learned from: so many of the smallest hash. They bound the index, the vocabulary and what the driver holds.
 MOST_LABELLED = 20_000
 MOST_FEATURES = 500
 #: A feature needs so many positive rows, and this share of all of them, so that the words of a few copied rows are no features.
@@ -77,7 +77,7 @@ def batch_features(texts: pa.Array, keep: dict[str, int] | None):
 def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, y) of at most ``most`` labelled rows; a repeated doc_id counts once, with its largest label."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return hashed_sample(rows.select("doc_id", "y"), most)
 
 
 def without_near_copies(texts: DataFrame) -> DataFrame:
