@@ -62,7 +62,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, depth: int, gram: int):
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first, len(at))[1:] - 1
     own = text[first]
     return own, h[at[first]], at[first] - begins[own], starts[first] - begins[own], starts[last] - begins[own]
 
@@ -249,7 +249,7 @@ def sorted_windows(reps: DataFrame, buckets: int, depth: int) -> DataFrame:
         new = np.ones(len(gone), bool)
         new[1:] = (of[gone[1:]] != of[gone[:-1]]) | (start[gone[1:]] != start[gone[:-1]] + 1)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(gone)) - 1
+        last = np.append(first, len(gone))[1:] - 1
         return pa.table({"doc_id": doc[of[gone[first]]], "begin": start[gone[first]].astype(np.int64), "end": start[gone[last]].astype(np.int64) + depth})
 
     dealt = reps.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
