@@ -325,7 +325,7 @@ def test_op9_by_brute_force(spark):
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0, None])]
-    rows += [(10, [1.0, 1.0, 1.0]), (11, [1e-300, 1e-300]), (12, [1e300, 1e300]), (13, [-1.0, 0.0]), (None, [1.0, 0.0])]
+    rows += [(10, [1.0, 1.0, 1.0]), (11, [2.0**-990] * 2), (12, [2.0**990] * 2), (13, [-1.0, 0.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     for size in (1, 3, 1024):
         got = defaultdict(list)
