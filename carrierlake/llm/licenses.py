@@ -16,27 +16,33 @@ BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 VERSION = r"(?:version |v)?"
 
-#: Label, gate keyword, and signatures over space-joined lower-case words; punctuation is gone, so "2.0" reads "2 0".
+#: Label, gate keyword, and signatures over space-joined lower-case words; punctuation is gone, so "2.0" reads "2 0". The keyword is a word of
+#: every wording that a signature matches; without it the signature is not tried.
 SIGNATURES = [
     ("mit", "mit", ["(?:the )?mit licen[cs]e", "mit licensed", "licen[cs]ed? under (?:the )?mit", "spdx license identifier mit", "opensource org licenses mit(?: license(?: php)?)?"]),
     ("mit", "permission", ["permission is hereby granted free of charge to any person obtaining a copy", "the above copyright notice and this permission notice shall be included in all copies"]),
     ("mit-0", "mit", ["mit no attribution", "mit 0 licen[cs]e", "spdx license identifier mit 0"]),
     ("x11", "x11", ["x11 licen[cs]e", "licen[cs]ed under (?:the )?x11", "spdx license identifier x11"]),
     ("apache", "apache", ["(?:the )?apache licen[cs]e", "apache software licen[cs]e", "apache org licenses license 2 0(?: txt| html)?"]),
-    ("apache-2.0", "apache", ["apache licen[cs]e " + VERSION + "2 0", "apache 2 0", "apache2 licen[cs]ed?", "spdx license identifier apache 2 0", "licen[cs]ed under (?:the )?apache " + VERSION + "2(?: 0)?"]),
+    ("apache-2.0", "apache", ["apache licen[cs]e " + VERSION + "2 0", "apache 2 0", "spdx license identifier apache 2 0", "licen[cs]ed under (?:the )?apache " + VERSION + "2(?: 0)?"]),
+    ("apache-2.0", "apache2", ["apache2 licen[cs]ed?"]),
     ("apache-1.1", "apache", ["apache (?:software )?licen[cs]e " + VERSION + "1 1", "spdx license identifier apache 1 1"]),
     ("apache-1.0", "apache", ["apache (?:software )?licen[cs]e " + VERSION + "1 0", "spdx license identifier apache 1 0"]),
     ("gpl", "general", ["gnu general public licen[cs]e", "general public licen[cs]e", "general public licen[cs]e as published by the free software foundation"]),
-    ("gpl-1.0", "gpl", ["gpl " + VERSION + "1(?: 0)?", "gplv1", "spdx license identifier gpl 1 0(?: only| or later)?"]),
-    ("gpl-2.0", "general", ["(?:gnu )?general public licen[cs]e " + VERSION + "2(?: 0)?", "either version 2 of the (?:gnu )?(?:general public )?licen[cs]e"]),
+    ("gpl-1.0", "gpl", ["gpl " + VERSION + "1(?: 0)?", "spdx license identifier gpl 1 0(?: only| or later)?"]),
+    ("gpl-1.0", "gplv1", ["gplv1"]),
+    ("gpl-2.0", "general", ["(?:gnu )?general public licen[cs]e " + VERSION + "2(?: 0)?"]),
+    ("gpl-2.0", "either", ["either version 2 of the (?:gnu )?(?:general public )?licen[cs]e"]),
     ("gpl-2.0", "gplv2", ["gplv2(?: only| or later)?"]),
     ("gpl-2.0", "gpl", ["gpl " + VERSION + "2(?: 0)?", "spdx license identifier gpl 2 0(?: only| or later)?", "gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?"]),
-    ("gpl-3.0", "general", ["(?:gnu )?general public licen[cs]e " + VERSION + "3(?: 0)?", "either version 3 of the (?:gnu )?(?:general public )?licen[cs]e"]),
+    ("gpl-3.0", "general", ["(?:gnu )?general public licen[cs]e " + VERSION + "3(?: 0)?"]),
+    ("gpl-3.0", "either", ["either version 3 of the (?:gnu )?(?:general public )?licen[cs]e"]),
     ("gpl-3.0", "gplv3", ["gplv3(?: only| or later)?"]),
     ("gpl-3.0", "gpl", ["gpl " + VERSION + "3(?: 0)?", "spdx license identifier gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0(?: html| txt)?"]),
     ("lgpl", "lesser", ["(?:gnu )?lesser general public licen[cs]e", "gnu lesser gpl"]),
     ("lgpl", "lgpl", ["(?:gnu )?lgpl", "licen[cs]ed under (?:the )?(?:gnu )?lgpl"]),
-    ("lgpl-2.0", "library", ["(?:gnu )?library general public licen[cs]e(?: " + VERSION + "2(?: 0)?)?", "spdx license identifier lgpl 2 0(?: only| or later)?"]),
+    ("lgpl-2.0", "library", ["(?:gnu )?library general public licen[cs]e(?: " + VERSION + "2(?: 0)?)?"]),
+    ("lgpl-2.0", "lgpl", ["spdx license identifier lgpl 2 0(?: only| or later)?"]),
     ("lgpl-2.1", "lesser", ["lesser general public licen[cs]e " + VERSION + "2 1"]),
     ("lgpl-2.1", "lgpl", ["lgpl " + VERSION + "2 1", "spdx license identifier lgpl 2 1(?: only| or later)?"]),
     ("lgpl-3.0", "lesser", ["lesser general public licen[cs]e " + VERSION + "3(?: 0)?"]),
@@ -44,9 +50,11 @@ SIGNATURES = [
     ("agpl-3.0", "affero", ["(?:gnu )?affero general public licen[cs]e(?: " + VERSION + "3(?: 0)?)?"]),
     ("agpl-3.0", "agpl", ["(?:gnu )?agpl(?: " + VERSION + "3(?: 0)?)?", "spdx license identifier agpl 3 0(?: only| or later)?"]),
     ("agpl-3.0", "agplv3", ["agplv3(?: only| or later)?"]),
-    ("gfdl", "documentation", ["(?:gnu )?free documentation licen[cs]e(?: " + VERSION + "1 [123])?", "spdx license identifier gfdl 1 [123](?: only| or later)?"]),
+    ("gfdl", "documentation", ["(?:gnu )?free documentation licen[cs]e(?: " + VERSION + "1 [123])?"]),
+    ("gfdl", "gfdl", ["spdx license identifier gfdl 1 [123](?: only| or later)?"]),
     ("bsd", "bsd", ["(?:the )?bsd licen[cs]e", "bsd style licen[cs]e", "licen[cs]ed under (?:the )?bsd", "bsd licensed", "opensource org licenses bsd license(?: php)?"]),
-    ("bsd-2-clause", "bsd", ["bsd 2 clause(?: simplified)?(?: licen[cs]e)?", "2 clause bsd(?: licen[cs]e)?", "simplified bsd licen[cs]e", "freebsd licen[cs]e", "spdx license identifier bsd 2 clause"]),
+    ("bsd-2-clause", "bsd", ["bsd 2 clause(?: simplified)?(?: licen[cs]e)?", "2 clause bsd(?: licen[cs]e)?", "simplified bsd licen[cs]e", "spdx license identifier bsd 2 clause"]),
+    ("bsd-2-clause", "freebsd", ["freebsd licen[cs]e"]),
     ("bsd-3-clause", "bsd", ["bsd 3 clause(?: new| revised)?(?: licen[cs]e)?", "3 clause bsd(?: licen[cs]e)?", "(?:new|revised|modified) bsd licen[cs]e", "spdx license identifier bsd 3 clause"]),
     ("bsd-4-clause", "bsd", ["bsd 4 clause(?: licen[cs]e)?", "4 clause bsd(?: licen[cs]e)?", "original bsd licen[cs]e", "spdx license identifier bsd 4 clause"]),
     ("0bsd", "0bsd", ["0bsd(?: licen[cs]e)?", "spdx license identifier 0bsd"]),
@@ -71,20 +79,23 @@ SIGNATURES = [
     ("artistic-2.0", "artistic", ["artistic licen[cs]e " + VERSION + "2(?: 0)?", "spdx license identifier artistic 2 0"]),
     ("zlib", "zlib", ["zlib licen[cs]e", "zlib libpng licen[cs]e", "spdx license identifier zlib", "licen[cs]ed under (?:the )?zlib"]),
     ("libpng", "libpng", ["libpng licen[cs]e(?: " + VERSION + "2)?", "spdx license identifier libpng(?: 2 0)?"]),
-    ("boost", "boost", ["boost software licen[cs]e(?: " + VERSION + "1(?: 0)?)?", "boost org license 1 0(?: txt)?", "spdx license identifier bsl 1 0"]),
+    ("boost", "boost", ["boost software licen[cs]e(?: " + VERSION + "1(?: 0)?)?", "boost org license 1 0(?: txt)?"]),
+    ("boost", "bsl", ["spdx license identifier bsl 1 0"]),
     ("unlicense", "unlicense", ["the unlicense", "unlicense org", "spdx license identifier unlicense"]),
     ("unlicense", "unencumbered", ["free and unencumbered software released into the public domain"]),
     ("wtfpl", "wtfpl", ["wtfpl(?: licen[cs]e)?(?: " + VERSION + "2)?", "spdx license identifier wtfpl"]),
     ("public-domain", "domain", ["(?:released|placed|dedicated) (?:in|into|to) the public domain", "public domain dedication", "public domain licen[cs]e"]),
-    ("cc0-1.0", "cc0", ["cc0(?: " + VERSION + "1(?: 0)?)?(?: universal)?", "spdx license identifier cc0 1 0", "creative commons (?:zero|cc0)"]),
-    ("cc-by-4.0", "commons", ["creative commons attribution (?:licen[cs]e )?4 0(?: international)?", "creativecommons org licenses by 4 0"]),
+    ("cc0-1.0", "cc0", ["cc0(?: " + VERSION + "1(?: 0)?)?(?: universal)?", "spdx license identifier cc0 1 0"]),
+    ("cc0-1.0", "commons", ["creative commons (?:zero|cc0)"]),
+    ("cc-by-4.0", "commons", ["creative commons attribution (?:licen[cs]e )?4 0(?: international)?"]),
+    ("cc-by-4.0", "creativecommons", ["creativecommons org licenses by 4 0"]),
     ("cc-by-3.0", "commons", ["creative commons attribution (?:licen[cs]e )?3 0(?: unported)?"]),
     ("cc-by", "commons", ["creative commons attribution(?: licen[cs]e)?(?: [1234] [05])?(?: international| unported| generic)?"]),
     ("cc-by-sa", "sharealike", ["(?:creative commons )?attribution sharealike(?: [1234] [05])?(?: international| unported)?"]),
     ("cc-by-sa", "alike", ["(?:creative commons )?attribution share alike(?: [1234] [05])?(?: international| unported)?"]),
     ("cc-by-nc", "noncommercial", ["(?:creative commons )?attribution noncommercial(?: [1234] [05])?(?: international| unported)?"]),
     ("cc-by-nc-sa", "noncommercial", ["(?:creative commons )?attribution noncommercial share ?alike(?: [1234] [05])?"]),
-    ("cc-by-nd", "noderivatives", ["(?:creative commons )?attribution no ?deriv(?:ative)?s(?: [1234] [05])?"]),
+    ("cc-by-nd", "attribution", ["(?:creative commons )?attribution no ?deriv(?:ative)?s(?: [1234] [05])?"]),
     ("cc-by", "cc", ["cc by(?: [1234] [05])?", "spdx license identifier cc by [1234] [05]"]),
     ("cc-by-sa", "cc", ["cc by sa(?: [1234] [05])?", "spdx license identifier cc by sa [1234] [05]"]),
     ("cc-by-nc", "cc", ["cc by nc(?: [1234] [05])?", "spdx license identifier cc by nc [1234] [05]"]),
@@ -97,7 +108,9 @@ SIGNATURES = [
     ("ofl-1.1", "sil", ["sil open font licen[cs]e(?: " + VERSION + "1 1)?", "scripts sil org ofl"]),
     ("ofl-1.1", "ofl", ["ofl " + VERSION + "1 1", "spdx license identifier ofl 1 1"]),
     ("postgresql", "postgresql", ["postgresql licen[cs]e", "spdx license identifier postgresql"]),
-    ("python", "python", ["python software foundation licen[cs]e(?: " + VERSION + "2(?: 0)?)?", "psf licen[cs]e", "spdx license identifier (?:python|psf) 2 0"]),
+    ("python", "python", ["python software foundation licen[cs]e(?: " + VERSION + "2(?: 0)?)?"]),
+    ("python", "identifier", ["spdx license identifier (?:python|psf) 2 0"]),
+    ("python", "psf", ["psf licen[cs]e"]),
     ("php", "php", ["php licen[cs]e(?: " + VERSION + "3(?: 0[01]?)?)?", "spdx license identifier php 3 01?"]),
     ("ruby", "ruby", ["ruby licen[cs]e", "(?:same|licensed under the) terms as ruby", "spdx license identifier ruby"]),
     ("perl", "perl", ["same terms as perl(?: itself)?", "perl licen[cs]e"]),
@@ -109,8 +122,10 @@ SIGNATURES = [
     ("odbl", "open", ["open (?:data commons )?(?:open )?database licen[cs]e(?: " + VERSION + "1(?: 0)?)?"]),
     ("odc-by", "open", ["open data commons attribution licen[cs]e(?: " + VERSION + "1(?: 0)?)?"]),
     ("ogl", "open", ["open government licen[cs]e(?: " + VERSION + "[123](?: 0)?)?"]),
-    ("ms-pl", "microsoft", ["microsoft public licen[cs]e", "spdx license identifier ms pl"]),
-    ("ms-rl", "microsoft", ["microsoft reciprocal licen[cs]e", "spdx license identifier ms rl"]),
+    ("ms-pl", "microsoft", ["microsoft public licen[cs]e"]),
+    ("ms-pl", "pl", ["spdx license identifier ms pl"]),
+    ("ms-rl", "microsoft", ["microsoft reciprocal licen[cs]e"]),
+    ("ms-rl", "rl", ["spdx license identifier ms rl"]),
     ("apsl", "apple", ["apple public source licen[cs]e(?: " + VERSION + "[12](?: [012])?)?"]),
     ("npl", "netscape", ["netscape public licen[cs]e(?: " + VERSION + "1 [01])?"]),
     ("qpl", "q", ["q public licen[cs]e(?: " + VERSION + "1(?: 0)?)?"]),
@@ -128,15 +143,19 @@ SIGNATURES = [
     ("w3c", "w3c", ["w3c software(?: notice and)? licen[cs]e", "spdx license identifier w3c"]),
     ("vim", "vim", ["vim licen[cs]e", "spdx license identifier vim"]),
     ("tcl", "tcl", ["tcl tk licen[cs]e", "spdx license identifier tcl"]),
-    ("json", "json", ["json licen[cs]e", "the software shall be used for good not evil", "spdx license identifier json"]),
-    ("beerware", "beer", ["beer ware licen[cs]e", "the beerware licen[cs]e"]),
+    ("json", "json", ["json licen[cs]e", "spdx license identifier json"]),
+    ("json", "evil", ["the software shall be used for good not evil"]),
+    ("beerware", "beer", ["beer ware licen[cs]e"]),
+    ("beerware", "beerware", ["the beerware licen[cs]e"]),
     ("upl-1.0", "permissive", ["universal permissive licen[cs]e(?: " + VERSION + "1(?: 0)?)?"]),
-    ("mulan", "mulan", ["mulan (?:permissive software|psl) licen[cs]e(?: v[12])?", "spdx license identifier mulanpsl [12] 0"]),
+    ("mulan", "mulan", ["mulan (?:permissive software|psl) licen[cs]e(?: v[12])?"]),
+    ("mulan", "mulanpsl", ["spdx license identifier mulanpsl [12] 0"]),
     ("blueoak", "blue", ["blue oak model licen[cs]e(?: 1 0 0)?"]),
     ("proprietary", "proprietary", ["proprietary licen[cs]e", "proprietary and confidential", "proprietary software licen[cs]e"]),
     ("all-rights-reserved", "reserved", ["all rights reserved"]),
     ("no-warranty", "warranty", ["without warranty of any kind(?: express or implied)?", "without even the implied warranty of merchantability"]),
-    ("fair-source", "fair", ["fair source licen[cs]e(?: " + VERSION + "0 9)?", "functional source licen[cs]e"]),
+    ("fair-source", "fair", ["fair source licen[cs]e(?: " + VERSION + "0 9)?"]),
+    ("fair-source", "functional", ["functional source licen[cs]e"]),
     ("hippocratic", "hippocratic", ["hippocratic licen[cs]e(?: [123] [01])?"]),
 ]
 

@@ -3,6 +3,8 @@
 import math
 import os
 import sys
+from itertools import product
+from re import _parser
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,56 @@ def test_license_suppression(spark):
     assert len(licenses.RULES) >= 200
 
 
+def wordings(pattern):
+    """Every string that a signature matches; signatures have no unbounded repeats."""
+    tree, out = _parser.parse(pattern) if isinstance(pattern, str) else pattern, [""]
+    for kind, value in tree:
+        if str(kind) == "LITERAL":
+            here = [chr(value)]
+        elif str(kind) == "IN":
+            here = [c for k, v in value for c in ([chr(v)] if str(k) == "LITERAL" else map(chr, range(v[0], v[1] + 1)))]
+        elif str(kind) == "SUBPATTERN":
+            here = wordings(value[3])
+        elif str(kind) == "BRANCH":
+            here = [w for branch in value[1] for w in wordings(branch)]
+        else:
+            assert str(kind) == "MAX_REPEAT" and value[1] == 1
+            here = [*([] if value[0] else [""]), *wordings(value[2])]
+        out = [a + b for a, b in product(out, here)]
+    return out
+
+
+def test_every_wording_of_every_signature_is_found(spark):
+    """Each wording alone: its rule's gate lets it pass, and its label stays unless a stronger or longer detection covers it."""
+    assert not [(rule, w) for rule in licenses.RULES for w in wordings(rule[2]) if rule[1] not in w.split(" ")]
+    rows = [(i, w) for i, rule in enumerate(licenses.RULES) for w in {wordings(rule[2])[0], wordings(rule[2])[-1]}]
+    docs = spark.createDataFrame([(i, f"qq {w.upper()} qq") for i, w in rows], "doc_id bigint, text string")
+    got = licenses.scan_licenses(docs).select("row.doc_id", "row.text", "n_words", "spans").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        label, _, _, priority, _ = licenses.RULES[r.doc_id]
+        covers = [s for s in r.spans if s.start == 1 and s.end == r.n_words - 1 and s.priority >= priority]
+        assert label in {s.label for s in r.spans} or covers, (label, r.text)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Apache2 licensed", "apache-2.0"), ("under GPLv1 terms", "gpl-1.0"), ("either version 2 of the License, or", "gpl-2.0"),
+        ("either version 3 of the License, or", "gpl-3.0"), ("SPDX-License-Identifier: LGPL-2.0-only", "lgpl-2.0"),
+        ("SPDX-License-Identifier: GFDL-1.3", "gfdl"), ("the FreeBSD License", "bsd-2-clause"), ("SPDX-License-Identifier: BSL-1.0", "boost"),
+        ("Creative Commons Zero", "cc0-1.0"), ("https://creativecommons.org/licenses/by/4.0/", "cc-by-4.0"),
+        ("Attribution-NoDerivs 3.0", "cc-by-nd"), ("Attribution No Derivatives", "cc-by-nd"), ("PSF license", "python"),
+        ("SPDX-License-Identifier: PSF-2.0", "python"), ("SPDX-License-Identifier: MS-PL", "ms-pl"), ("SPDX-License-Identifier: MS-RL", "ms-rl"),
+        ("The Software shall be used for Good, not Evil.", "json"), ("the Beerware license", "beerware"),
+        ("SPDX-License-Identifier: MulanPSL-2.0", "mulan"), ("Functional Source License", "fair-source"),
+    ],
+)
+def test_license_wordings_without_the_usual_keyword(spark, text, label):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert label in licenses.scan_licenses(docs).select(licenses.labels_of("spans").alias("l")).first().l.split(",")
+
+
 def test_op3_base_columns(spark):
     texts = texts_of(spark.read.parquet(f"{FOLDER}/documents.parquet"))
     rows = queries.QUERIES["op3_secrets"](spark, FOLDER).collect()
