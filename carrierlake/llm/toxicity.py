@@ -1,18 +1,20 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibration.
-
-Features are lower-case words and their first 5, 6 and 7 letters. Those that mark the label in a bounded sample of labelled rows (chi-squared,
-share above the base rate) form the vocabulary; their document frequencies are counted over all documents. Labelled examples of one
-vector are one entry with counts, so ties at the k-th neighbour are never cut. The index holds postings per feature and the largest weight
-of every feature in every block of entries; a query adds these up to bounds and visits blocks from the best bound down until no block
-can hold a nearer entry, which makes the result exact. Votes are weighted by similarity and mapped to probabilities by an isotonic fit
-of leave-one-out votes. A score is a function of the text alone.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over whole texts, distance-weighted votes, calibration.
+
+Features are lower-case words and their first 5, 6 and 7 letters, all of those in a bounded sample of labelled rows; none is left out.
+Their document frequencies are counted over all documents. A weight is TF-IDF times the feature's relevance, 1 plus its log-odds for the
+label where positive: every word keeps at least its TF-IDF, those that mark the label have more. Labelled examples of one vector are one
+entry with counts, so ties at the k-th neighbour are never cut. A query meets every entry: common features through one matrix product per
+batch of queries, the others through their postings. That is in single precision; entries within its error of the k-th are computed again
+in double, which makes the result exact. Votes are weighted by similarity and mapped to probabilities by an isotonic fit of leave-one-out
+votes. A score is a function of the text alone.
 """
 
+import hashlib
 import math
 import re
-from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -20,24 +22,21 @@ from pyspark.sql import DataFrame, functions as F
 from carrierlake.session import cut_lineage, discard
 
 from .common import documents, hashed_sample, query
-from .jaccard import mixed, shingle_sets
 from .tokens import slices
 
-#: Labelled rows learned from: so many of the smallest hash. They bound the index, the vocabulary and what the driver holds.
+#: Labelled rows learned from: so many of the smallest hash. They bound the index and what the driver holds.
 MOST_LABELLED = 20_000
-MOST_FEATURES = 500
-#: A feature needs so many positive rows, and this share of all of them, so that the words of a few copied rows are no features.
-LEAST_TOXIC = 5
-LEAST_PART = 0.01
-LEAST_CHI = 20.0
-#: A feature marks the label where at least this share of its labelled rows has it, and more than the base rate.
-LEAST_SHARE = 0.3
 NEIGHBOURS = 25
-BLOCK = 64
+#: Features with at least this share of the entries, so many at most, are a dense matrix; the others are postings.
+DENSE_SHARE = 1 / 32
+MOST_DENSE = 512
+#: Queries that meet the dense matrix at once, and a bound on the error of single precision.
+AT_ONCE = 64
+SLACK = 1e-4
 CUT = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 
-VECTORS = "doc_id bigint, features array<int>, counts array<int>"
+VECTORS = "doc_id bigint, digest binary, features array<int>, counts array<int>"
 
 
 def word_features(stretch: str) -> list[str]:
@@ -48,30 +47,37 @@ def word_features(stretch: str) -> list[str]:
     return found
 
 
-def batch_features(texts: pa.Array, keep: dict[str, int] | None):
-    """(document, feature number, times) of a batch, by document, and the feature names; with ``keep`` only those, under its numbers."""
+def batch_features(texts: pa.Array, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, feature, times) of a batch, by document, then feature: 64-bit hashes, or with a sorted ``vocabulary`` of them their places in it."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     coded = lists.flatten().dictionary_encode()
-    names: dict[str, int] = {} if keep is None else keep
+    names: dict[str, int] = {}
     numbers: list[int] = []
     lengths = np.zeros(len(coded.dictionary), np.int64)
     for i, stretch in enumerate(coded.dictionary.to_pylist()):
-        if keep is None:
-            own = [names.setdefault(f, len(names)) for f in word_features(stretch)]
-        else:
-            own = [names[f] for f in word_features(stretch) if f in names]
+        own = [names.setdefault(f, len(names)) for f in word_features(stretch)]
         lengths[i] = len(own)
         numbers += own
+    if not names or vocabulary is not None and not len(vocabulary):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    hashes = pd.util.hash_array(np.array(list(names), object), categorize=False)
+    kinds, rank = np.unique(hashes, return_inverse=True)
+    held = np.ones(len(kinds), bool)
+    if vocabulary is not None:
+        place = np.minimum(np.searchsorted(vocabulary, kinds), len(vocabulary) - 1)
+        held = vocabulary[place] == kinds
     codes = coded.indices.to_numpy()
     some = lengths[codes] > 0
     codes, owner = codes[some], owner[some]
     n = lengths[codes]
     first = np.cumsum(lengths) - lengths
     ends = np.cumsum(n)
-    flat = np.array(numbers, np.int64)[np.repeat(first[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(codes) else np.empty(0, np.int64)
-    pairs, times = np.unique(np.repeat(owner, n) * max(len(names), 1) + flat, return_counts=True)
-    return pairs // max(len(names), 1), pairs % max(len(names), 1), times, names
+    flat = np.array(rank, np.int64)[np.array(numbers, np.int64)][np.repeat(first[codes] - (ends - n), n) + np.arange(int(ends[-1]))]
+    own = held[flat]
+    pairs, times = np.unique(np.repeat(owner, n)[own] * len(kinds) + flat[own], return_counts=True)
+    found = pairs % len(kinds)
+    return pairs // len(kinds), kinds[found].view(np.int64) if vocabulary is None else place[found], times
 
 
 def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -80,219 +86,317 @@ def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     return hashed_sample(rows.select("doc_id", "y"), most)
 
 
-def without_near_copies(texts: DataFrame) -> DataFrame:
-    """rows (text, y) with one of those that share a min-hash of their five-word shingles, twice over; copies would count as evidence."""
+def vocabulary_of(texts: DataFrame) -> np.ndarray:
+    """The sorted hashes of all features of a bounded sample."""
 
-    def least(batches):
+    def hashes(batches):
+        seen = np.empty(0, np.int64)
         for batch in batches:
             for part in slices(batch):
-                d, h = shingle_sets(part.column("text"), 5)
-                columns = []
-                for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
-                    least = np.full(part.num_rows, np.iinfo(np.uint64).max, np.uint64)
-                    np.minimum.at(least, d, mixed(h ^ salt))
-                    columns.append(pa.array(least.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("y"), *columns], names=["text", "y", "m1", "m2"])
+                seen = np.union1d(seen, batch_features(part.column("text"))[1])
+        yield pa.RecordBatch.from_arrays([pa.array(seen)], names=["h"])
 
-    rows = texts.select("text", "y").where("text is not null").mapInArrow(least, "text string, y int, m1 bigint, m2 bigint")
-    for key in ("m1", "m2"):
-        rest = [c for c in ("m2", "y", "text") if c != key]
-        rows = rows.withColumn("pick", F.xxhash64("text")).groupBy(key).agg(F.min(F.struct("pick", *rest)).alias("r")).select("r.*").drop("pick")
-    return rows
+    return np.sort(texts.select("text").mapInArrow(hashes, "h bigint").distinct().toArrow().column("h").to_numpy().view(np.uint64))
 
 
-def choose_features(texts: DataFrame, most: int) -> list[str]:
-    """Features of the label in rows (text, y): at least LEAST_TOXIC positive rows and LEAST_PART of them, a share above the base rate, the largest chi-squared."""
+def feature_vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(VECTORS): the features of each whole text that are in the vocabulary, with their counts, and the MD5 of the text (empty where null)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
         for batch in batches:
             for part in slices(batch):
-                y = part.column("y").to_numpy()
-                docs, features, _, names = batch_features(part.column("text"), None)
-                n = np.bincount(features, minlength=len(names))
-                t = np.bincount(features, weights=y[docs], minlength=len(names)).astype(np.int64)
-                some = np.flatnonzero(t)  # a feature without any positive row here still counts by its rows
-                rest = np.flatnonzero((t == 0) & (n > 0))
-                every = np.concatenate([some, rest])
-                spelled = np.array(list(names), object)[every]
-                yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.string()), pa.array(n[every]), pa.array(t[every])], names=["feature", "n", "t"])
-
-    sums = texts.select(F.sum(F.lit(1)), F.sum("y")).first()
-    total, toxic = sums[0] or 0, sums[1] or 0
-    if not toxic or toxic == total:
-        return []
-    counted = texts.select("text", "y").mapInArrow(count, "feature string, n bigint, t bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    a, b = F.col("t"), F.col("n") - F.col("t")
-    c, d = toxic - a, total - toxic - b
-    chi = total * (a * d - b * c) ** 2 / (F.lit(float(toxic) * (total - toxic)) * F.col("n") * F.greatest(total - F.col("n"), F.lit(1)))
-    marks = (F.col("t") * total > F.col("n") * toxic) & (F.col("t") >= LEAST_SHARE * F.col("n"))
-    rows = counted.where((F.col("t") >= max(LEAST_TOXIC, LEAST_PART * toxic)) & marks).withColumn("chi", chi.cast("double"))
-    best = rows.where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "feature").limit(most)
-    return [r.feature for r in best.collect()]
-
-
-def feature_vectors(docs: DataFrame, features: list[str]) -> DataFrame:
-    """(VECTORS): the chosen features of each whole text with their counts."""
-    numbers = {f: i for i, f in enumerate(features)}
-
-    def count(batches):
-        for batch in batches:
-            for part in slices(batch):
-                owner, found, times, _ = batch_features(part.column("text"), numbers)
+                owner, found, times = batch_features(part.column("text"), shared.value)
                 ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (found, times)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], names=["doc_id", "features", "counts"])
+                digests = pa.array([hashlib.md5(x or b"").digest() for x in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), digests, *lists], names=["doc_id", "digest", "features", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(count, VECTORS)
 
 
+def document_frequencies(vectors: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """(documents, documents of each of ``size`` features) of (VECTORS); each task sends one row per feature that it saw."""
+
+    def count(batches):
+        seen, rows = np.zeros(size + 1, np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            seen[:size] += np.bincount(batch.column("features").flatten().to_numpy(), minlength=size)
+        seen[size] = rows
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], names=["f", "n"])
+
+    counted = vectors.select("features").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # one row per feature
+    df = np.zeros(size + 1)
+    df[counted.column("f").to_numpy()] = counted.column("n").to_numpy()
+    return int(df[size]), df[:size]
+
+
+class Entries:
+    """Distinct example vectors in rows of ``features`` and ``counts``, with n examples, t of them positive, and one example's doc_id."""
+
+    def __init__(self, rows):
+        """``rows``: (features, counts, y or (n, t), doc_id) each; features ascending. Rows without features are counted in ``empty``."""
+        found: dict[bytes, list] = {}
+        self.empty = [0, 0]
+        for features, counts, y, doc in rows:
+            n, t = y if isinstance(y, tuple) else (1, y)
+            if not len(features):
+                self.empty = [self.empty[0] + n, self.empty[1] + t]
+                continue
+            features, counts = np.asarray(features, np.int32), np.asarray(counts, np.int32)
+            counts = counts.astype(np.uint16) if counts.max() < 1 << 16 else counts
+            key = hashlib.blake2b(features.tobytes() + counts.tobytes(), digest_size=16).digest()
+            entry = found.setdefault(key, [features, counts, 0, 0, doc])
+            entry[2:] = entry[2] + n, entry[3] + t, min(entry[4], doc)
+        order = list(found.values())
+        self.ends = np.concatenate([[0], np.cumsum([len(e[0]) for e in order])]).astype(np.int64)
+        self.features = np.concatenate([e[0] for e in order]) if order else np.empty(0, np.int32)
+        self.counts = np.concatenate([e[1] for e in order]) if order else np.empty(0, np.uint16)
+        self.n, self.t = np.array([e[2] for e in order], float), np.array([e[3] for e in order], float)
+        self.example = [e[4] for e in order]
+
+    def __len__(self):
+        return len(self.example)
+
+    def __getstate__(self):
+        """Packed: features as steps from one to the next, bytes of one rank together."""
+        steps = np.diff(self.features, prepend=np.int32(0)).astype(np.int32)
+        packed = {"features": steps.view(np.uint8).reshape(-1, 4).T.tobytes(), "counts": self.counts.tobytes()}
+        sizes = {k: (len(v), pa.compress(v, codec="zstd", asbytes=True)) for k, v in packed.items()}
+        return self.__dict__ | sizes | {"kind": self.counts.dtype}
+
+    def __setstate__(self, state):
+        plain = {k: pa.decompress(state[k][1], decompressed_size=state[k][0], codec="zstd", asbytes=True) for k in ("features", "counts")}
+        steps = np.frombuffer(plain["features"], np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0]
+        self.__dict__ |= state | {"features": np.cumsum(steps, dtype=np.int64).astype(np.int32), "counts": np.frombuffer(plain["counts"], state["kind"])}
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.ends[i], self.ends[i + 1])
+        return self.features[at], self.counts[at]
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ends))
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Index:
-    """Entries (distinct example vectors with n examples, t of them positive) behind postings with block maxima."""
-
-    def __init__(self, idf: np.ndarray, vectors: dict[tuple, list], base: float, k: int = NEIGHBOURS):
-        self.idf, self.k, self.base = idf, k, base
-        self.empty = vectors.pop((), [0, 0, None])
-        # entries that share their strongest feature lie together, which keeps block maxima low
-        weights = {key: self.weigh(key[::2], key[1::2]) for key in vectors}
-        order = sorted(vectors, key=lambda v: (int(v[::2][int(np.argmax(weights[v]))]), v))
-        self.n = np.array([vectors[v][0] for v in order], float)
-        self.t = np.array([vectors[v][1] for v in order], float)
-        self.example = [vectors[v][2] for v in order]
-        self.place = {v: i for i, v in enumerate(order)}
-        lists: dict[int, list] = defaultdict(list)
-        for i, v in enumerate(order):
-            for f, w in zip(v[::2], weights[v]):
-                lists[f].append((i, w))
-        self.blocks = -(-len(order) // BLOCK)
-        self.postings, self.maxima = {}, {}
-        for f, rows in lists.items():
-            ids, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            starts = np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK)
-            held = np.flatnonzero(np.diff(starts))
-            self.postings[f] = (ids, w, starts)
-            self.maxima[f] = (held, np.maximum.reduceat(w, starts[held]))
-        self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    """Entries behind a dense matrix of their common features and postings of the others; both are made where they are first used."""
+
+    def __init__(self, idf: np.ndarray, vectors, base: float, k: int = NEIGHBOURS):
+        """``vectors``: Entries, or {(feature, count, feature, count ...): [n, t, doc_id]}."""
+        self.idf, self.k, self.base = np.asarray(idf, float), k, base
+        self.entries = vectors if isinstance(vectors, Entries) else Entries((v[::2], v[1::2], (x[0], x[1]), x[2]) for v, x in vectors.items())
+        self.n, self.t, self.example, self.empty = self.entries.n, self.entries.t, self.entries.example, self.entries.empty
+
+    @property
+    def place(self) -> dict[tuple, int]:
+        rows = (self.entries.row(i) for i in range(len(self.entries)))
+        return {tuple(x for p in zip(f.tolist(), c.tolist()) for x in p): i for i, (f, c) in enumerate(rows)}
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "made"}
+
+    def raw(self, features, counts) -> np.ndarray:
+        return (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(features, int)]
 
     def weigh(self, features, counts) -> np.ndarray:
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(features, int)]
+        w = self.raw(features, counts)
         return w / math.sqrt((w * w).sum())
 
+    def make(self):
+        """(norms, place of each feature in the matrix or -1, matrix, starts of postings, entries, weights)."""
+        if "made" not in self.__dict__:
+            e, size = self.entries, len(self.idf)
+            owner, w, norms = e.owners().astype(np.int32), np.empty(len(e.features), np.float32), np.empty(len(e))
+            for i in range(0, len(e), 500):  # single precision, a few entries at a time: the index takes most of a worker's memory
+                ends = e.ends[i : i + 501]
+                raw = self.raw(e.features[ends[0] : ends[-1]], e.counts[ends[0] : ends[-1]])
+                norms[i : i + 500] = np.sqrt(np.add.reduceat(raw * raw, ends[:-1] - ends[0]))
+                w[ends[0] : ends[-1]] = raw / np.repeat(norms[i : i + 500], np.diff(ends))
+            held = np.bincount(e.features, minlength=size)
+            common = np.argsort(-held, kind="stable")[:MOST_DENSE]
+            common = common[held[common] >= max(1, DENSE_SHARE * len(e))]
+            dense = np.full(size, -1, np.int32)
+            dense[common] = np.arange(len(common))
+            matrix = np.zeros((len(common), len(e)), np.float32)
+            at = dense[e.features] >= 0
+            matrix[dense[e.features[at]], owner[at]] = w[at]
+            keys = np.flatnonzero(~at) | e.features[~at].astype(np.int64) << 32
+            keys.sort()
+            order = (keys & 0xFFFFFFFF).astype(np.uint32)
+            del keys
+            held[common] = 0
+            starts = np.concatenate([[0], np.cumsum(held)])
+            self.made = norms, dense, matrix, starts, owner[order], w[order], np.zeros(size)
+        return self.made
+
+    def nearest_of(self, queries: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(entries, cosines) of each (features, counts), nearest first: as many as hold k examples, and every entry tied with the last."""
+        _, dense, matrix, starts, ids, own, _ = self.make()
+        out = []
+        for a in range(0, len(queries), AT_ONCE):
+            part = [(np.asarray(f, int), self.weigh(f, c)) for f, c in queries[a : a + AT_ONCE]]
+            asked = np.zeros((len(part), len(matrix)), np.float32)
+            for q, (f, w) in zip(asked, part):
+                at = dense[f] >= 0
+                q[dense[f[at]]] = w[at]
+            products = asked @ matrix
+            for near, (f, w) in zip(products, part):
+                at = dense[f] < 0
+                lengths = starts[f[at] + 1] - starts[f[at]]
+                flat = ranges(starts[f[at]], lengths)
+                near = near + np.bincount(ids[flat], own[flat] * np.repeat(w[at], lengths), len(near))
+                out.append(self.exact(near, f, w))
+        return out
+
     def nearest(self, features, counts) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, cosines), nearest first: as many as hold k examples, and every entry tied with the last."""
-        weights = self.weigh(features, counts)
-        bounds = np.zeros(self.blocks)
-        for f, w in zip(features, weights):
-            if f in self.maxima:
-                held, most = self.maxima[f]
-                bounds[held] += w * most
-        found, cosines, last = np.empty(0, int), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < last - 1e-9:
-                break
-            sums = np.zeros(BLOCK)
-            for f, w in zip(features, weights):
-                if f in self.postings:
-                    ids, own, starts = self.postings[f]
-                    at = slice(starts[b], starts[b + 1])
-                    sums[ids[at] - b * BLOCK] += w * own[at]
-            here = np.flatnonzero(sums >= max(last - 1e-9, 1e-12))
-            found, cosines = np.concatenate([found, here + b * BLOCK]), np.concatenate([cosines, sums[here]])
-            order = np.lexsort((found, -cosines))
-            found, cosines = found[order], cosines[order]
-            full = np.searchsorted(np.cumsum(self.n[found]), self.k)
-            if full < len(found):
-                last = cosines[full]
-                keep = cosines >= last - 1e-9
-                found, cosines = found[keep], cosines[keep]
-        return found, cosines
+        return self.nearest_of([(features, counts)])[0]
+
+    def last_of(self, cosines: np.ndarray, found: np.ndarray) -> float:
+        """The cosine at which ``found``, nearest first, hold more than k examples or as many, or 0."""
+        full = np.searchsorted(np.cumsum(self.n[found]), self.k)
+        return float(cosines[full]) if full < len(found) else 0.0
+
+    def exact(self, near: np.ndarray, features: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest entries in double precision; ``near`` are their cosines but for SLACK."""
+        top = np.argpartition(-near, self.k)[: self.k] if len(near) > self.k else np.arange(len(near))
+        top = top[np.argsort(-near[top], kind="stable")]
+        found = np.flatnonzero((near > 0) & (near >= self.last_of(near[top], top) - 2 * SLACK))
+        norms, *_, query = self.make()
+        e = self.entries
+        query[features] = weights
+        lengths = e.ends[found + 1] - e.ends[found]
+        flat = ranges(e.ends[found], lengths)
+        products = query[e.features[flat]] * self.raw(e.features[flat], e.counts[flat])
+        query[features] = 0
+        cosines = np.add.reduceat(products, np.cumsum(lengths) - lengths) / norms[found] if len(found) else np.empty(0)
+        order = np.lexsort((found, -cosines))
+        found, cosines = found[order], cosines[order]
+        keep = cosines >= self.last_of(cosines, found) - 1e-9
+        return found[keep], cosines[keep]
 
     def vote(self, n: np.ndarray, t: np.ndarray, cosines: np.ndarray) -> float:
         """Similarity-weighted share of positives, with one example's weight of the base rate."""
         return float(((cosines * t).sum() + self.base) / ((cosines * n).sum() + 1))
 
-    def calibrate(self, vectors: dict[tuple, list]) -> None:
-        """Isotonic fit of labels on leave-one-out votes (pool adjacent violators), with a pseudo-example at either end."""
+    def own_votes(self, which: np.ndarray) -> list[tuple[float, int, float]]:
+        """(leave-one-out vote, label, how many examples) of the entries ``which``."""
         votes = []
-        for key, (n, t, _) in vectors.items():
-            found, cosines = self.nearest(key[::2], key[1::2])
-            own = found == self.place[key]
-            for y, times in ((1, t), (0, n - t)):
-                if times:
-                    votes.append((self.vote(self.n[found] - own, self.t[found] - own * y, cosines), y, times))
-        blocks: list[list[float]] = []
-        for x, y, times in [(0.0, 0, 1), *sorted(votes), (1.0, 1, 1)]:
-            blocks.append([x * times, y * times, times])
-            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-                last = blocks.pop()
-                blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
-        self.curve = (np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks]))
-
-    def score(self, features, counts) -> tuple[float, list]:
-        """(probability, evidence): the nearest three entries as (an example's doc_id, cosine, examples, positives)."""
-        found, cosines = self.nearest(features, counts) if len(features) else (np.empty(0, int), np.empty(0))
-        if not len(found):
-            return (self.empty[1] + self.base) / (self.empty[0] + 1), []
-        value = float(np.interp(self.vote(self.n[found], self.t[found], cosines), *self.curve))
-        return value, [(self.example[e], float(c), int(self.n[e]), int(self.t[e])) for e, c in zip(found[:3], cosines[:3])]
-
-
-def fit_index(vectors: DataFrame, sample: DataFrame, n_features: int, k: int = NEIGHBOURS) -> Index:
-    """The index from (VECTORS) of all documents, for document frequencies, and (doc_id, y) of the sample."""
-    total = vectors.count()
-    counted = vectors.select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per feature
-    df = np.zeros(n_features)
-    for r in counted:
-        df[r.f] = r.n
-    idf = np.log((total + 1) / (df + 1)) + 1
-    entries: dict[tuple, list] = {}
-    n = t = 0
-    for r in vectors.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "features", "counts").collect():  # the bounded sample
-        entry = entries.setdefault(tuple(x for p in zip(r.features, r.counts) for x in p), [0, 0, r.doc_id])
-        entry[0], entry[1], entry[2] = entry[0] + 1, entry[1] + r.y, min(entry[2], r.doc_id)
-        n, t = n + 1, t + r.y
-    index = Index(idf, dict(entries), t / n if n else 0.0, k)
-    entries.pop((), None)
-    index.calibrate(entries)
-    return index
-
-
-SCORED = "doc_id bigint, score double, evidence array<struct<doc_id:bigint,cosine:double,examples:bigint,positive:bigint>>"
-
-
-def scored(vectors: DataFrame, index: Index) -> DataFrame:
+        for i, (found, cosines) in zip(which, self.nearest_of([self.entries.row(i) for i in which])):
+            own = found == i
+            n, t = self.n[i], self.t[i]
+            votes += [(self.vote(self.n[found] - own, self.t[found] - own * y, cosines), y, times) for y, times in ((1, t), (0, n - t)) if times]
+        return votes
+
+    def scores(self, queries: list, curve: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, list]]:
+        """(probability, evidence) of each (features, counts): the nearest three entries as (an example's doc_id, cosine, examples, positives)."""
+        asked = [i for i, (f, _) in enumerate(queries) if len(f) and len(self.entries)]
+        out = [((self.empty[1] + self.base) / (self.empty[0] + 1), [])] * len(queries)
+        for i, (found, cosines) in zip(asked, self.nearest_of([queries[i] for i in asked])):
+            value = float(np.interp(self.vote(self.n[found], self.t[found], cosines), *curve))
+            out[i] = value, [(self.example[e], float(c), int(self.n[e]), int(self.t[e])) for e, c in zip(found[:3], cosines[:3])]
+        return out
+
+
+def calibration(votes: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic fit of labels on leave-one-out votes (pool adjacent violators), with a pseudo-example at either end."""
+    blocks: list[list[float]] = []
+    for x, y, times in [(0.0, 0, 1), *sorted(votes), (1.0, 1, 1)]:
+        blocks.append([x * times, y * times, times])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
+    return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
+
+
+def relevance(entries: Entries, size: int) -> np.ndarray:
+    """1 plus the log-odds of the label where positive, with one pseudo-entry of the base rate; an entry counts once, by its share of positives."""
+    share = entries.t / entries.n
+    base = share.mean() if len(entries) else 0.0
+    if not 0 < base < 1:
+        return np.ones(size)
+    n = np.bincount(entries.features, minlength=size)
+    t = np.bincount(entries.features, share[entries.owners()], size)
+    return 1 + np.maximum(0, np.log((t + base) / (n - t + 1 - base) * (1 - base) / base))
+
+
+def fit_index(spark, vectors: DataFrame, entries: Entries, size: int, k: int = NEIGHBOURS):
+    """(the index of entries, broadcast; its calibration); (VECTORS) of all documents are read for document frequencies."""
+    total, df = document_frequencies(vectors, size)
+    n, t = entries.n.sum() + entries.empty[0], entries.t.sum() + entries.empty[1]
+    if t in (0, n):  # one label: nothing to tell apart
+        entries = Entries([((), (), (int(n), int(t)), None)])
+    count = len(entries)
+    shared = spark.sparkContext.broadcast(Index((np.log((total + 1) / (df + 1)) + 1) * relevance(entries, size), entries, t / n if n else 0.0, k))
+    if not count:
+        return shared, calibration([])
+
+    def votes(batches):
+        for batch in batches:
+            rows = shared.value.own_votes(batch.column("id").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.float64(), pa.int32(), pa.float64()))], names=["vote", "y", "times"])
+
+    rows = spark.range(0, count, 1, -(-count // 500)).mapInArrow(votes, "vote double, y int, times double").toArrow()
+    return shared, calibration(list(zip(*(rows.column(c).to_pylist() for c in ("vote", "y", "times")))))
+
+
+SCORED = "doc_id bigint, digest binary, score double, evidence array<struct<doc_id:bigint,cosine:double,examples:bigint,positive:bigint>>"
+
+
+def rows_of(column: pa.Array) -> list[np.ndarray]:
+    return np.split(column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())[:-1])
+
+
+def scored(vectors: DataFrame, shared, curve: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def score(batches):
         seen: dict = {}
         for batch in batches:
-            scores, evidence = [], []
-            for features, counts in zip(batch.column("features").to_pylist(), batch.column("counts").to_pylist()):
-                key = (tuple(features), tuple(counts))
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[key] = index.score(features, counts)
-                scores.append(seen[key][0])
-                evidence.append([dict(zip(("doc_id", "cosine", "examples", "positive"), e)) for e in seen[key][1]])
+            if not batch.num_rows:
+                continue
+            queries = list(zip(rows_of(batch.column("features")), rows_of(batch.column("counts"))))
+            keys = [hashlib.blake2b(f.tobytes() + c.tobytes(), digest_size=16).digest() for f, c in queries]
+            if len(seen) > 100_000:
+                seen.clear()
+            new = {key: i for i, key in enumerate(keys) if key not in seen}
+            seen.update(zip(new, shared.value.scores([queries[i] for i in new.values()], curve)))
+            scores = [seen[key][0] for key in keys]
+            evidence = [[dict(zip(("doc_id", "cosine", "examples", "positive"), e)) for e in seen[key][1]] for key in keys]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("examples", pa.int64()), ("positive", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "digest", "score", "evidence"])
 
     return vectors.mapInArrow(score, SCORED)
 
 
+def scored_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, k: int = NEIGHBOURS) -> DataFrame:
+    """(SCORED): ``toxicity_scores`` with the MD5 of each text."""
+    sample = cut_lineage(labelled_sample(labels, label, most))
+    texts = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id"))  # MOST_LABELLED ids
+    vocabulary = vocabulary_of(texts)
+    learned = feature_vectors(texts, vocabulary).select("doc_id", "features", "counts").toArrow()  # of the bounded sample
+    discard(texts)
+    y = {r.doc_id: r.y for r in sample.collect()}
+    rows = ((f, c, y[i], i) for b in learned.to_batches() if b.num_rows for f, c, i in zip(rows_of(b.column("features")), rows_of(b.column("counts")), b.column("doc_id").to_pylist()))
+    entries = Entries(rows)
+    del learned, rows
+    vectors = cut_lineage(feature_vectors(docs, vocabulary))
+    return scored(vectors, *fit_index(docs.sparkSession, vectors, entries, len(vocabulary), k))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence): one row per row of ``docs``, scored by its whole text.
 
-    ``labels`` (doc_id, label 0/1) are the rows to learn from; other labels, null ids and ids without a document are left out. Null, empty
-    and unmarked texts get the rate of unmarked examples. Equal texts get equal scores. Without labels of both kinds every score is the
-    base rate. An empty table gives an empty table.
+    ``labels`` (doc_id, label 0/1) are the rows to learn from; other labels, null ids and ids without a document are left out. Null and
+    empty texts, and texts that share no word with any example, get the rate of examples without words. Equal texts get equal scores.
+    Without labels of both kinds every score is the base rate. An empty table gives an empty table.
     """
-    sample = cut_lineage(labelled_sample(labels, label, most))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")  # MOST_LABELLED rows of two numbers
-    texts = cut_lineage(texts)
-    apart = cut_lineage(without_near_copies(texts))
-    features = choose_features(apart, MOST_FEATURES)
-    discard(texts, apart)
-    vectors = cut_lineage(feature_vectors(docs, features))
-    return scored(vectors, fit_index(vectors, sample, max(len(features), 1), k))
+    return scored_texts(docs, labels, label, most, k).drop("digest")
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -392,6 +392,24 @@ def test_toxicity_on_odd_rows(spark, odd):
     assert len({r.score for r in toxicity.toxicity_scores(odd, labels.limit(0)).collect()}) == 1
 
 
+def test_toxicity_reads_every_word(spark):
+    """Texts without any word that marks the label still have neighbours: those of the same ordinary words."""
+    topics = ["river stone harbour bridge", "violin sonata chamber tempo", "glacier summit ridge valley"]
+    texts = [f"{topics[i % 3]} {topics[i % 3].split()[i % 4]} extra{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "summit valley ridge", "stone bridge"])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 and i % 2 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    rows = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert all(len(rows[i].evidence) == 3 for i in rows)
+    assert all(e.doc_id % 3 == 2 for e in rows[60].evidence) and all(e.doc_id % 3 == 0 for e in rows[61].evidence)
+    assert rows[61].score > rows[60].score
+
+
+@pytest.mark.parametrize("most_dense", [0, 8, 512])
+def test_index_by_postings_and_matrix(monkeypatch, most_dense):
+    monkeypatch.setattr(toxicity, "MOST_DENSE", most_dense)
+    test_index_is_exact()
+
+
 # pipeline
 
 
