@@ -54,3 +54,19 @@ def hashed_sample(rows: DataFrame, n: int) -> DataFrame:
     if share < 1:
         rows = rows.where(key < F.lit(int(-(2**63) + share * 2**64)))
     return rows.orderBy(key).limit(n)
+
+
+def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows of the smallest hash of all their columns, all rows if there are fewer.
+
+    Rows per hash range are counted first (65,536 counts), so only ranges that hold the result are ordered, at any size.
+    """
+    key = F.xxhash64(*rows.columns)
+    place = F.shiftrightunsigned(key, 48)
+    kept, last = 0, -1
+    for r in sorted(rows.groupBy(place.alias("place")).count().collect()):
+        if kept >= n:
+            break
+        kept, last = kept + r[1], r.place
+    smallest = rows.where(place <= last)
+    return smallest.orderBy(place, key, *rows.columns).limit(n)

@@ -1,308 +1,323 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over whole texts, distance-weighted votes, calibration.
-
-Features are lower-case words and their first 5, 6 and 7 letters, all of those in a bounded sample of labelled rows; none is left out.
-Their document frequencies are counted over all documents. A weight is TF-IDF times the feature's relevance, 1 plus its log-odds for the
-label where positive: every word keeps at least its TF-IDF, those that mark the label have more. Labelled examples of one vector are one
-entry with counts, so ties at the k-th neighbour are never cut. A query meets every entry: common features through one matrix product per
-batch of queries, the others through their postings. That is in single precision; entries within its error of the k-th are computed again
-in double, which makes the result exact. Votes are weighted by similarity and mapped to probabilities by an isotonic fit of leave-one-out
-votes. A score is a function of the text alone.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index, distance-weighted votes, calibration.
+
+Terms are the lower-case words of a bounded sample of labelled rows; each counts once, whole. Their document frequencies are counted over all
+documents. A weight is (1 + log tf) * idf, times the relevance of the word for the label (1 plus its log-odds where positive, learned from
+the same rows). Labelled examples of one vector are one entry with counts, so ties at the k-th neighbour are never cut.
+
+Entries are laid out so that similar ones share a block. Every posting list is kept by block, with the largest weight of each block. A query
+first adds up block maxima, which bound the cosine of any entry of a block; blocks are then opened by falling bound until the bound is below
+the k-th best cosine so far, so what is skipped can't belong to the result. Cosines are sums in double precision. Votes are weighted by
+cosine and mapped to probabilities by an isotonic fit of leave-one-out votes. A score is a function of the text alone.
 """
 
 import hashlib
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from carrierlake.session import cut_lineage, discard
+from carrierlake.session import cut_lineage
 
-from .common import documents, hashed_sample, query
+from .common import bounded_sample, documents, query, text_of
 from .tokens import slices
 
-#: Labelled rows learned from: so many of the smallest hash. They bound the index and what the driver holds.
-MOST_LABELLED = 20_000
+#: Bounds of what is learned from: labelled rows, and their (word, row) pairs and bytes of words; rows of the smallest hash are taken.
+MOST_LABELLED = 10_000
+MOST_PAIRS = 4_000_000
+MOST_BYTES = 40_000_000
 NEIGHBOURS = 25
-#: Features with at least this share of the entries, so many at most, are a dense matrix; the others are postings.
-DENSE_SHARE = 1 / 32
-MOST_DENSE = 512
-#: Queries that meet the dense matrix at once, and a bound on the error of single precision.
-AT_ONCE = 64
-SLACK = 1e-4
+BLOCK = 64
+#: Blocks that a query opens first; each further step opens twice as many.
+OPENED = 6
 CUT = 0.3
-LETTERS = re.compile(r"[^\W\d_]+")
-
-VECTORS = "doc_id bigint, digest binary, features array<int>, counts array<int>"
-
-
-def word_features(stretch: str) -> list[str]:
-    found = []
-    for word in LETTERS.findall(stretch.lower()):
-        found.append(word + "$")
-        found += [word[:k] for k in (5, 6, 7) if len(word) > k]
-    return found
-
-
-def batch_features(texts: pa.Array, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature, times) of a batch, by document, then feature: 64-bit hashes, or with a sorted ``vocabulary`` of them their places in it."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    coded = lists.flatten().dictionary_encode()
-    names: dict[str, int] = {}
-    numbers: list[int] = []
-    lengths = np.zeros(len(coded.dictionary), np.int64)
-    for i, stretch in enumerate(coded.dictionary.to_pylist()):
-        own = [names.setdefault(f, len(names)) for f in word_features(stretch)]
-        lengths[i] = len(own)
-        numbers += own
-    if not names or vocabulary is not None and not len(vocabulary):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    hashes = pd.util.hash_array(np.array(list(names), object), categorize=False)
-    kinds, rank = np.unique(hashes, return_inverse=True)
-    held = np.ones(len(kinds), bool)
-    if vocabulary is not None:
-        place = np.minimum(np.searchsorted(vocabulary, kinds), len(vocabulary) - 1)
-        held = vocabulary[place] == kinds
-    codes = coded.indices.to_numpy()
-    some = lengths[codes] > 0
-    codes, owner = codes[some], owner[some]
-    n = lengths[codes]
-    first = np.cumsum(lengths) - lengths
-    ends = np.cumsum(n)
-    flat = np.array(rank, np.int64)[np.array(numbers, np.int64)][np.repeat(first[codes] - (ends - n), n) + np.arange(int(ends[-1]))]
-    own = held[flat]
-    pairs, times = np.unique(np.repeat(owner, n)[own] * len(kinds) + flat[own], return_counts=True)
-    found = pairs % len(kinds)
-    return pairs // len(kinds), kinds[found].view(np.int64) if vocabulary is None else place[found], times
+WORD = re.compile(r"[^\W\d_]+")
+#: Sums of one cosine differ by less than this, whatever the order of its terms.
+SLACK = 1e-9
+
+
+def word_counts(text: str) -> Counter:
+    return Counter(WORD.findall(text.lower()))
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+# what is learned from
 
 
 def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, y) of at most ``most`` labelled rows; a repeated doc_id counts once, with its largest label."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return hashed_sample(rows.select("doc_id", "y"), most)
+    return bounded_sample(cut_lineage(rows.select(F.col("doc_id").cast("bigint"), "y")), most)
 
 
-def vocabulary_of(texts: DataFrame) -> np.ndarray:
-    """The sorted hashes of all features of a bounded sample."""
+def sampled_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, digest, words, times): sorted words of each sampled id's text, joined by newlines, and their counts. Of several texts of one
+    id the one of the smallest digest counts.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id")  # MOST_LABELLED ids
 
-    def hashes(batches):
-        seen = np.empty(0, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                seen = np.union1d(seen, batch_features(part.column("text"))[1])
-        yield pa.RecordBatch.from_arrays([pa.array(seen)], names=["h"])
+                found = [sorted(word_counts(t).items()) for t in part.column("text").to_pylist()]
+                words = ["\n".join(w for w, _ in x) for x in found]
+                times = [np.array([c for _, c in x], np.uint32).tobytes() for x in found]
+                digests = [hashlib.blake2b(w.encode() + t, digest_size=16).digest() for w, t in zip(words, times)]
+                columns = [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(words, pa.string()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "words", "times"])
 
-    return np.sort(texts.select("text").mapInArrow(hashes, "h bigint").distinct().toArrow().column("h").to_numpy().view(np.uint64))
+    counted = texts.mapInArrow(count, "doc_id bigint, digest binary, words string, times binary")
+    return counted.groupBy("doc_id").agg(F.min(F.struct("digest", "words", "times")).alias("x")).select("doc_id", "x.*")
 
 
-def feature_vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(VECTORS): the features of each whole text that are in the vocabulary, with their counts, and the MD5 of the text (empty where null)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def learned_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[int, int, list[str], np.ndarray]]:
+    """(doc_id, y, words, counts) of the bounded sample, by doc_id."""
+    sample = cut_lineage(labelled_sample(labels, label, most))
+    counts = cut_lineage(sampled_counts(docs, sample).join(F.broadcast(sample), "doc_id"))
+    sizes = counts.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("words").alias("bytes"), (F.octet_length("times") / 4).alias("pairs"))
+    rows = sorted(sizes.collect(), key=lambda r: (r.h, r.doc_id))
+    fits = (np.cumsum([r.bytes for r in rows]) <= MOST_BYTES) & (np.cumsum([r.pairs for r in rows]) <= MOST_PAIRS)
+    if not fits.all():
+        last = rows[max(int(fits.sum()) - 1, 0)]
+        counts = counts.where(F.xxhash64("doc_id") <= last.h)
+    learned = counts.select("doc_id", "y", "words", "times").collect()
+    return [(r.doc_id, r.y, r.words.split("\n") if r.words else [], np.frombuffer(r.times, np.uint32)) for r in sorted(learned, key=lambda r: r.doc_id)]
 
-    def count(batches):
-        for batch in batches:
-            for part in slices(batch):
-                owner, found, times = batch_features(part.column("text"), shared.value)
-                ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (found, times)]
-                digests = pa.array([hashlib.md5(x or b"").digest() for x in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), digests, *lists], names=["doc_id", "digest", "features", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, VECTORS)
+class Vocabulary:
+    """Words in order; the table of places is made where it is first used."""
+
+    def __init__(self, words: list[str]):
+        self.text, self.size, self._place = "\n".join(words), len(words), None
 
+    def __getstate__(self):
+        return {"text": self.text, "size": self.size, "_place": None}
+
+    @property
+    def place(self) -> dict[str, int]:
+        if self._place is None:
+            self._place = {w: i for i, w in enumerate(self.text.split("\n") if self.size else [])}
+        return self._place
 
-def document_frequencies(vectors: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """(documents, documents of each of ``size`` features) of (VECTORS); each task sends one row per feature that it saw."""
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms ascending, counts) of a text."""
+        place = self.place
+        known = [(place[w], n) for w, n in word_counts(text).items() if w in place]
+        table = np.array(sorted(known), np.int64).reshape(-1, 2)
+        return table[:, 0], table[:, 1]
 
-    def count(batches):
-        seen, rows = np.zeros(size + 1, np.int64), 0
+
+#: Terms whose counts travel in one row.
+CHUNK = 4096
+
+
+def document_frequencies(docs: DataFrame, shared) -> tuple[int, np.ndarray]:
+    """(documents, documents that hold each term of the shared vocabulary); a task sends its counts in chunks of terms."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, rows = shared.value, 0
+        seen = np.zeros(-(-(vocabulary.size + 1) // CHUNK) * CHUNK, np.int64)
         for batch in batches:
             rows += batch.num_rows
-            seen[:size] += np.bincount(batch.column("features").flatten().to_numpy(), minlength=size)
-        seen[size] = rows
-        held = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], names=["f", "n"])
-
-    counted = vectors.select("features").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # one row per feature
-    df = np.zeros(size + 1)
-    df[counted.column("f").to_numpy()] = counted.column("n").to_numpy()
+            for part in slices(batch):
+                for text in part.column("text").to_pylist():
+                    seen[vocabulary.vector(text)[0]] += 1
+        seen[vocabulary.size] = rows
+        chunks = seen.reshape(-1, CHUNK)
+        held = np.flatnonzero(chunks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([chunks[i].tobytes() for i in held], pa.binary())], names=["chunk", "seen"])
+
+    def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CHUNK, np.int64)
+        for part in parts:
+            for x in part.column("seen").to_pylist():
+                total += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "seen"])
+
+    form = "chunk int, seen binary"
+    merged = docs.select(text_of().alias("text")).mapInArrow(count, form).groupBy("chunk").applyInArrow(merge, form).collect()
+    size = shared.value.size
+    df = np.zeros(-(-(size + 1) // CHUNK) * CHUNK, np.int64)
+    for r in merged:
+        df[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.seen, np.int64)
     return int(df[size]), df[:size]
 
 
+# the index
+
+
 class Entries:
-    """Distinct example vectors in rows of ``features`` and ``counts``, with n examples, t of them positive, and one example's doc_id."""
+    """Distinct example vectors in rows of ``terms`` and ``counts``, with n examples, t of them positive, and the smallest doc_id of them."""
 
     def __init__(self, rows):
-        """``rows``: (features, counts, y or (n, t), doc_id) each; features ascending. Rows without features are counted in ``empty``."""
+        """``rows``: (terms ascending, counts, n, t, doc_id). Rows without terms are counted in ``empty``."""
         found: dict[bytes, list] = {}
         self.empty = [0, 0]
-        for features, counts, y, doc in rows:
-            n, t = y if isinstance(y, tuple) else (1, y)
-            if not len(features):
+        for terms, counts, n, t, doc in rows:
+            if not len(terms):
                 self.empty = [self.empty[0] + n, self.empty[1] + t]
                 continue
-            features, counts = np.asarray(features, np.int32), np.asarray(counts, np.int32)
-            counts = counts.astype(np.uint16) if counts.max() < 1 << 16 else counts
-            key = hashlib.blake2b(features.tobytes() + counts.tobytes(), digest_size=16).digest()
-            entry = found.setdefault(key, [features, counts, 0, 0, doc])
+            terms, counts = np.asarray(terms, np.int32), np.asarray(counts, np.int32)
+            entry = found.setdefault(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest(), [terms, counts, 0, 0, doc])
             entry[2:] = entry[2] + n, entry[3] + t, min(entry[4], doc)
-        order = list(found.values())
+        self._set(list(found.values()))
+
+    def _set(self, order: list) -> None:
         self.ends = np.concatenate([[0], np.cumsum([len(e[0]) for e in order])]).astype(np.int64)
-        self.features = np.concatenate([e[0] for e in order]) if order else np.empty(0, np.int32)
-        self.counts = np.concatenate([e[1] for e in order]) if order else np.empty(0, np.uint16)
+        self.terms = np.concatenate([e[0] for e in order]) if order else np.empty(0, np.int32)
+        self.counts = np.concatenate([e[1] for e in order]) if order else np.empty(0, np.int32)
         self.n, self.t = np.array([e[2] for e in order], float), np.array([e[3] for e in order], float)
-        self.example = [e[4] for e in order]
+        self.example = np.array([e[4] for e in order], np.int64)
 
     def __len__(self):
-        return len(self.example)
-
-    def __getstate__(self):
-        """Packed: features as steps from one to the next, bytes of one rank together."""
-        steps = np.diff(self.features, prepend=np.int32(0)).astype(np.int32)
-        packed = {"features": steps.view(np.uint8).reshape(-1, 4).T.tobytes(), "counts": self.counts.tobytes()}
-        sizes = {k: (len(v), pa.compress(v, codec="zstd", asbytes=True)) for k, v in packed.items()}
-        return self.__dict__ | sizes | {"kind": self.counts.dtype}
-
-    def __setstate__(self, state):
-        plain = {k: pa.decompress(state[k][1], decompressed_size=state[k][0], codec="zstd", asbytes=True) for k in ("features", "counts")}
-        steps = np.frombuffer(plain["features"], np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0]
-        self.__dict__ |= state | {"features": np.cumsum(steps, dtype=np.int64).astype(np.int32), "counts": np.frombuffer(plain["counts"], state["kind"])}
+        return len(self.n)
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.ends[i], self.ends[i + 1])
-        return self.features[at], self.counts[at]
+        return self.terms[at], self.counts[at]
 
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.ends))
 
+    def ordered(self, order: np.ndarray) -> "Entries":
+        out = Entries([])
+        out.empty = self.empty
+        out._set([[*self.row(i), self.n[i], self.t[i], self.example[i]] for i in order.tolist()])
+        return out
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers of several ranges, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-class Index:
-    """Entries behind a dense matrix of their common features and postings of the others; both are made where they are first used."""
 
-    def __init__(self, idf: np.ndarray, vectors, base: float, k: int = NEIGHBOURS):
-        """``vectors``: Entries, or {(feature, count, feature, count ...): [n, t, doc_id]}."""
-        self.idf, self.k, self.base = np.asarray(idf, float), k, base
-        self.entries = vectors if isinstance(vectors, Entries) else Entries((v[::2], v[1::2], (x[0], x[1]), x[2]) for v, x in vectors.items())
-        self.n, self.t, self.example, self.empty = self.entries.n, self.entries.t, self.entries.example, self.entries.empty
+def relevance(entries: Entries, size: int) -> np.ndarray:
+    """1 plus the log-odds of the label where positive, with one pseudo-entry of the base rate; an entry counts once, by its share of positives."""
+    if not len(entries):
+        return np.ones(size)
+    share = entries.t / entries.n
+    base = share.mean()
+    if not 0 < base < 1:
+        return np.ones(size)
+    n = np.bincount(entries.terms, minlength=size)
+    t = np.bincount(entries.terms, share[entries.owners()], size)
+    return 1 + np.maximum(0, np.log((t + base) / (n - t + 1 - base) * (1 - base) / base))
 
-    @property
-    def place(self) -> dict[tuple, int]:
-        rows = (self.entries.row(i) for i in range(len(self.entries)))
-        return {tuple(x for p in zip(f.tolist(), c.tolist()) for x in p): i for i, (f, c) in enumerate(rows)}
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "made"}
-
-    def raw(self, features, counts) -> np.ndarray:
-        return (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(features, int)]
-
-    def weigh(self, features, counts) -> np.ndarray:
-        w = self.raw(features, counts)
-        return w / math.sqrt((w * w).sum())
-
-    def make(self):
-        """(norms, place of each feature in the matrix or -1, matrix, starts of postings, entries, weights)."""
-        if "made" not in self.__dict__:
-            e, size = self.entries, len(self.idf)
-            owner, w, norms = e.owners().astype(np.int32), np.empty(len(e.features), np.float32), np.empty(len(e))
-            for i in range(0, len(e), 500):  # single precision, a few entries at a time: the index takes most of a worker's memory
-                ends = e.ends[i : i + 501]
-                raw = self.raw(e.features[ends[0] : ends[-1]], e.counts[ends[0] : ends[-1]])
-                norms[i : i + 500] = np.sqrt(np.add.reduceat(raw * raw, ends[:-1] - ends[0]))
-                w[ends[0] : ends[-1]] = raw / np.repeat(norms[i : i + 500], np.diff(ends))
-            held = np.bincount(e.features, minlength=size)
-            common = np.argsort(-held, kind="stable")[:MOST_DENSE]
-            common = common[held[common] >= max(1, DENSE_SHARE * len(e))]
-            dense = np.full(size, -1, np.int32)
-            dense[common] = np.arange(len(common))
-            matrix = np.zeros((len(common), len(e)), np.float32)
-            at = dense[e.features] >= 0
-            matrix[dense[e.features[at]], owner[at]] = w[at]
-            keys = np.flatnonzero(~at) | e.features[~at].astype(np.int64) << 32
-            keys.sort()
-            order = (keys & 0xFFFFFFFF).astype(np.uint32)
-            del keys
-            held[common] = 0
-            starts = np.concatenate([[0], np.cumsum(held)])
-            self.made = norms, dense, matrix, starts, owner[order], w[order], np.zeros(size)
-        return self.made
-
-    def nearest_of(self, queries: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(entries, cosines) of each (features, counts), nearest first: as many as hold k examples, and every entry tied with the last."""
-        _, dense, matrix, starts, ids, own, _ = self.make()
-        out = []
-        for a in range(0, len(queries), AT_ONCE):
-            part = [(np.asarray(f, int), self.weigh(f, c)) for f, c in queries[a : a + AT_ONCE]]
-            asked = np.zeros((len(part), len(matrix)), np.float32)
-            for q, (f, w) in zip(asked, part):
-                at = dense[f] >= 0
-                q[dense[f[at]]] = w[at]
-            products = asked @ matrix
-            for near, (f, w) in zip(products, part):
-                at = dense[f] < 0
-                lengths = starts[f[at] + 1] - starts[f[at]]
-                flat = ranges(starts[f[at]], lengths)
-                near = near + np.bincount(ids[flat], own[flat] * np.repeat(w[at], lengths), len(near))
-                out.append(self.exact(near, f, w))
-        return out
+def unit_weights(terms: np.ndarray, counts: np.ndarray, value: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(counts)) * value[terms]
+    return w / math.sqrt((w * w).sum())
 
-    def nearest(self, features, counts) -> tuple[np.ndarray, np.ndarray]:
-        return self.nearest_of([(features, counts)])[0]
 
-    def last_of(self, cosines: np.ndarray, found: np.ndarray) -> float:
-        """The cosine at which ``found``, nearest first, hold more than k examples or as many, or 0."""
-        full = np.searchsorted(np.cumsum(self.n[found]), self.k)
+class Index:
+    """Entries behind posting lists that are cut into blocks of entries, with the largest weight of each block."""
+
+    def __init__(self, value: np.ndarray, entries: Entries, base: float, k: int = NEIGHBOURS, block: int = BLOCK):
+        """``value``: what one occurrence of each term weighs."""
+        self.value, self.k, self.base, self.block = value, k, base, block
+        self._lay(entries)
+        if len(entries) > 2 * block:
+            self._lay(entries.ordered(self._neighbourhoods()))
+
+    def _lay(self, entries: Entries) -> None:
+        self.entries = entries
+        size, n = len(self.value), len(entries)
+        owner = entries.owners()
+        weight = np.empty(len(entries.terms))
+        for i in range(n):
+            at = slice(entries.ends[i], entries.ends[i + 1])
+            weight[at] = unit_weights(entries.terms[at], entries.counts[at], self.value)
+        order = np.argsort(entries.terms, kind="stable")  # by term, then entry
+        terms = entries.terms[order]
+        self.entry, self.weight = owner[order].astype(np.int32), weight[order]
+        place = terms.astype(np.int64) * (n // self.block + 1) + self.entry // self.block
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        self.first = first.astype(np.int32)
+        self.length = np.diff(np.append(first, len(place))).astype(np.int32)
+        self.of_block = (self.entry[first] // self.block).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.ends = np.searchsorted(terms[first], np.arange(size + 1))
+        self.blocks = -(-n // self.block)
+
+    def _neighbourhoods(self) -> np.ndarray:
+        """Entries by their nearest of about sqrt(n) leaders: similar ones become neighbours, so block maxima are tight."""
+        n = len(self.entries)
+        leaders = np.arange(0, n, max(1, math.isqrt(n)))
+        rank = np.full(n, -1)
+        rank[leaders] = np.arange(len(leaders))
+        held = rank[self.entry] >= 0
+        before = np.concatenate([[0], np.cumsum(held)])
+        whose, weight = rank[self.entry[held]], self.weight[held]
+        begins = before[np.append(self.first, len(self.entry))[self.ends]]  # of each term's leaders
+        nearest = np.empty(n, np.int64)
+        for i in range(n):
+            terms, counts = self.entries.row(i)
+            lengths = begins[terms + 1] - begins[terms]
+            flat = ranges(begins[terms], lengths)
+            near = np.bincount(whose[flat], weight[flat] * np.repeat(unit_weights(terms, counts, self.value), lengths), len(leaders))
+            nearest[i] = np.argmax(near)
+        return np.lexsort((np.arange(n), nearest))
+
+    def last_of(self, found: np.ndarray, cosines: np.ndarray) -> float:
+        """The cosine at which entries, nearest first, hold k examples; 0 if they hold fewer."""
+        full = int(np.searchsorted(np.cumsum(self.entries.n[found]), self.k))
         return float(cosines[full]) if full < len(found) else 0.0
 
-    def exact(self, near: np.ndarray, features: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest entries in double precision; ``near`` are their cosines but for SLACK."""
-        top = np.argpartition(-near, self.k)[: self.k] if len(near) > self.k else np.arange(len(near))
-        top = top[np.argsort(-near[top], kind="stable")]
-        found = np.flatnonzero((near > 0) & (near >= self.last_of(near[top], top) - 2 * SLACK))
-        norms, *_, query = self.make()
-        e = self.entries
-        query[features] = weights
-        lengths = e.ends[found + 1] - e.ends[found]
-        flat = ranges(e.ends[found], lengths)
-        products = query[e.features[flat]] * self.raw(e.features[flat], e.counts[flat])
-        query[features] = 0
-        cosines = np.add.reduceat(products, np.cumsum(lengths) - lengths) / norms[found] if len(found) else np.empty(0)
-        order = np.lexsort((found, -cosines))
-        found, cosines = found[order], cosines[order]
-        keep = cosines >= self.last_of(cosines, found) - 1e-9
-        return found[keep], cosines[keep]
+    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, cosines), nearest first: as many as hold k examples, and every entry tied with the last."""
+        q = unit_weights(terms, counts, self.value)
+        lists = self.ends[terms + 1] - self.ends[terms]
+        held = ranges(self.ends[terms], lists)
+        asked = np.repeat(q, lists)
+        block = self.of_block[held]
+        bound = np.bincount(block, self.most[held] * asked, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        found, cosines, last, at, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, OPENED
+        opened = np.zeros(self.blocks, bool)
+        while at < self.blocks and bound[order[at]] > 0 and bound[order[at]] >= last - SLACK:
+            now = order[at : at + step]
+            now = now[(bound[now] > 0) & (bound[now] >= last - SLACK)]
+            at, step = at + step, 2 * step
+            opened[now] = True
+            own = opened[block]
+            opened[now] = False
+            lengths = self.length[held[own]]
+            flat = ranges(self.first[held[own]], lengths)
+            near = np.bincount(self.entry[flat], self.weight[flat] * np.repeat(asked[own], lengths), len(self.entries))
+            more = np.flatnonzero(near >= max(last - SLACK, 1e-300))
+            found, cosines = np.concatenate([found, more]), np.concatenate([cosines, near[more]])
+            rank = np.lexsort((self.entries.example[found], -cosines))
+            found, cosines = found[rank], cosines[rank]
+            last = self.last_of(found, cosines)
+            keep = cosines >= last - SLACK
+            found, cosines = found[keep], cosines[keep]
+        return found, cosines
 
     def vote(self, n: np.ndarray, t: np.ndarray, cosines: np.ndarray) -> float:
-        """Similarity-weighted share of positives, with one example's weight of the base rate."""
+        """Cosine-weighted share of positives, with one example's weight of the base rate."""
         return float(((cosines * t).sum() + self.base) / ((cosines * n).sum() + 1))
 
-    def own_votes(self, which: np.ndarray) -> list[tuple[float, int, float]]:
+    def own_votes(self, which: list[int]) -> list[tuple[float, int, float]]:
         """(leave-one-out vote, label, how many examples) of the entries ``which``."""
         votes = []
-        for i, (found, cosines) in zip(which, self.nearest_of([self.entries.row(i) for i in which])):
-            own = found == i
-            n, t = self.n[i], self.t[i]
-            votes += [(self.vote(self.n[found] - own, self.t[found] - own * y, cosines), y, times) for y, times in ((1, t), (0, n - t)) if times]
+        for i in which:
+            found, cosines = self.nearest(*self.entries.row(i))
+            own, n, t = found == i, self.entries.n[i], self.entries.t[i]
+            votes += [(self.vote(self.entries.n[found] - own, self.entries.t[found] - own * y, cosines), y, times) for y, times in ((1, t), (0, n - t)) if times]
         return votes
 
-    def scores(self, queries: list, curve: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, list]]:
-        """(probability, evidence) of each (features, counts): the nearest three entries as (an example's doc_id, cosine, examples, positives)."""
-        asked = [i for i, (f, _) in enumerate(queries) if len(f) and len(self.entries)]
-        out = [((self.empty[1] + self.base) / (self.empty[0] + 1), [])] * len(queries)
-        for i, (found, cosines) in zip(asked, self.nearest_of([queries[i] for i in asked])):
-            value = float(np.interp(self.vote(self.n[found], self.t[found], cosines), *curve))
-            out[i] = value, [(self.example[e], float(c), int(self.n[e]), int(self.t[e])) for e, c in zip(found[:3], cosines[:3])]
-        return out
+    def score(self, terms: np.ndarray, counts: np.ndarray, curve: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
+        """(probability, evidence): the nearest three entries as (an example's doc_id, cosine, examples, positives)."""
+        e = self.entries
+        if not len(terms) or not len(e):
+            return (e.empty[1] + self.base) / (e.empty[0] + 1), []
+        found, cosines = self.nearest(terms, counts)
+        value = float(np.interp(self.vote(e.n[found], e.t[found], cosines), *curve))
+        return value, [(int(e.example[i]), float(c), int(e.n[i]), int(e.t[i])) for i, c in zip(found[:3], cosines[:3])]
 
 
 def calibration(votes: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,87 +331,62 @@ def calibration(votes: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.n
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def relevance(entries: Entries, size: int) -> np.ndarray:
-    """1 plus the log-odds of the label where positive, with one pseudo-entry of the base rate; an entry counts once, by its share of positives."""
-    share = entries.t / entries.n
-    base = share.mean() if len(entries) else 0.0
-    if not 0 < base < 1:
-        return np.ones(size)
-    n = np.bincount(entries.features, minlength=size)
-    t = np.bincount(entries.features, share[entries.owners()], size)
-    return 1 + np.maximum(0, np.log((t + base) / (n - t + 1 - base) * (1 - base) / base))
-
-
-def fit_index(spark, vectors: DataFrame, entries: Entries, size: int, k: int = NEIGHBOURS):
-    """(the index of entries, broadcast; its calibration); (VECTORS) of all documents are read for document frequencies."""
-    total, df = document_frequencies(vectors, size)
-    n, t = entries.n.sum() + entries.empty[0], entries.t.sum() + entries.empty[1]
-    if t in (0, n):  # one label: nothing to tell apart
-        entries = Entries([((), (), (int(n), int(t)), None)])
-    count = len(entries)
-    shared = spark.sparkContext.broadcast(Index((np.log((total + 1) / (df + 1)) + 1) * relevance(entries, size), entries, t / n if n else 0.0, k))
+def calibrated(spark: SparkSession, shared) -> tuple[np.ndarray, np.ndarray]:
+    """The calibration of a shared index; its entries are asked in tasks."""
+    count = len(shared.value.entries)
     if not count:
-        return shared, calibration([])
+        return calibration([])
 
-    def votes(batches):
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = shared.value.own_votes(batch.column("id").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.float64(), pa.int32(), pa.float64()))], names=["vote", "y", "times"])
-
-    rows = spark.range(0, count, 1, -(-count // 500)).mapInArrow(votes, "vote double, y int, times double").toArrow()
-    return shared, calibration(list(zip(*(rows.column(c).to_pylist() for c in ("vote", "y", "times")))))
-
-
-SCORED = "doc_id bigint, digest binary, score double, evidence array<struct<doc_id:bigint,cosine:double,examples:bigint,positive:bigint>>"
+            rows = shared.value.own_votes(batch.column("id").to_pylist())
+            columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.float64(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vote", "y", "times"])
+
+    rows = spark.range(0, count, 1, -(-count // 500)).mapInArrow(votes, "vote double, y int, times double").collect()
+    return calibration([tuple(r) for r in rows])
+
+
+def learned_index(docs: DataFrame, labels: DataFrame, label: str, most: int, k: int):
+    """(shared vocabulary, shared index, calibration)."""
+    context = docs.sparkSession.sparkContext
+    rows = learned_rows(docs, labels, label, most)
+    words = sorted({w for _, _, found, _ in rows for w in found})
+    vocabulary = Vocabulary(words)
+    place = vocabulary.place
+    entries = Entries((np.array([place[w] for w in found], np.int32), counts, 1, y, doc) for doc, y, found, counts in rows)
+    n, t = entries.n.sum() + entries.empty[0], entries.t.sum() + entries.empty[1]
+    if t in (0, n):  # one label: nothing to tell apart
+        entries, vocabulary = Entries([((), (), int(n), int(t), 0)]), Vocabulary([])
+    shared = context.broadcast(vocabulary)  # MOST_BYTES
+    total, df = document_frequencies(docs, shared)
+    value = (np.log((total + 1) / (df + 1)) + 1) * relevance(entries, vocabulary.size)
+    index = context.broadcast(Index(value, entries, t / n if n else 0.0, k))  # MOST_PAIRS
+    return shared, index, calibrated(docs.sparkSession, index)
 
 
-def rows_of(column: pa.Array) -> list[np.ndarray]:
-    return np.split(column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())[:-1])
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
+    """(row, score, evidence): every row of ``docs`` (its columns ``keep``, else all), scored by its whole text.
 
+    ``labels`` (doc_id, label 0/1) are the rows to learn from; other labels, null ids and ids without a document are left out. Null and
+    empty texts, and texts that share no word with any example, get the rate of examples without words. Equal texts get equal scores, and a row
+    carries its own, whatever its doc_id. Without labels of both kinds every score is the base rate. An empty table gives an empty table.
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    source = docs.select(kept.alias("row"), text_of().alias("text"))
+    vocabulary, index, curve = learned_index(docs, labels, label, most, k)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("examples", pa.int64()), ("positive", pa.int64())]))
+    names = ("doc_id", "cosine", "examples", "positive")
 
-def scored(vectors: DataFrame, shared, curve: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    def score(batches):
-        seen: dict = {}
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            queries = list(zip(rows_of(batch.column("features")), rows_of(batch.column("counts"))))
-            keys = [hashlib.blake2b(f.tobytes() + c.tobytes(), digest_size=16).digest() for f, c in queries]
-            if len(seen) > 100_000:
-                seen.clear()
-            new = {key: i for i, key in enumerate(keys) if key not in seen}
-            seen.update(zip(new, shared.value.scores([queries[i] for i in new.values()], curve)))
-            scores = [seen[key][0] for key in keys]
-            evidence = [[dict(zip(("doc_id", "cosine", "examples", "positive"), e)) for e in seen[key][1]] for key in keys]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("examples", pa.int64()), ("positive", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "digest", "score", "evidence"])
-
-    return vectors.mapInArrow(score, SCORED)
-
-
-def scored_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, k: int = NEIGHBOURS) -> DataFrame:
-    """(SCORED): ``toxicity_scores`` with the MD5 of each text."""
-    sample = cut_lineage(labelled_sample(labels, label, most))
-    texts = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id"))  # MOST_LABELLED ids
-    vocabulary = vocabulary_of(texts)
-    learned = feature_vectors(texts, vocabulary).select("doc_id", "features", "counts").toArrow()  # of the bounded sample
-    discard(texts)
-    y = {r.doc_id: r.y for r in sample.collect()}
-    rows = ((f, c, y[i], i) for b in learned.to_batches() if b.num_rows for f, c, i in zip(rows_of(b.column("features")), rows_of(b.column("counts")), b.column("doc_id").to_pylist()))
-    entries = Entries(rows)
-    del learned, rows
-    vectors = cut_lineage(feature_vectors(docs, vocabulary))
-    return scored(vectors, *fit_index(docs.sparkSession, vectors, entries, len(vocabulary), k))
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, k: int = NEIGHBOURS) -> DataFrame:
-    """(doc_id, score, evidence): one row per row of ``docs``, scored by its whole text.
+            for part in slices(batch):
+                found = [index.value.score(*vocabulary.value.vector(t), curve) for t in part.column("text").to_pylist()]
+                evidence = pa.array([[dict(zip(names, e)) for e in x] for _, x in found], kind)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([s for s, _ in found], pa.float64()), evidence], names=["row", "score", "evidence"])
 
-    ``labels`` (doc_id, label 0/1) are the rows to learn from; other labels, null ids and ids without a document are left out. Null and
-    empty texts, and texts that share no word with any example, get the rate of examples without words. Equal texts get equal scores.
-    Without labels of both kinds every score is the base rate. An empty table gives an empty table.
-    """
-    return scored_texts(docs, labels, label, most, k).drop("digest")
+    form = "score double, evidence array<struct<doc_id:bigint,cosine:double,examples:bigint,positive:bigint>>"
+    return source.mapInArrow(score, StructType([source.schema["row"], *StructType.fromDDL(form).fields]))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -410,5 +400,5 @@ def held_out(column: str = "doc_id"):
 @query("op1_toxicity")
 def op1(spark, folder):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    rows = toxicity_scores(documents(spark, folder), learnable(labels))
+    rows = toxicity_scores(documents(spark, folder).select("doc_id", "text"), learnable(labels), keep=["doc_id"]).select("row.doc_id", "score", "evidence")
     return rows.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"), "evidence")

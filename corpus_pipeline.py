@@ -16,10 +16,12 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the cut; learned from the labels of the training fold."""
+    """Documents whose score stays below the cut; learned from the labels of the training fold.
+
+    A row is judged by its own text: rows without doc_id too, and rows that share one apart.
+    """
     labels = toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.toxicity_scores(docs, labels).where(F.col("score") >= toxicity.CUT).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return toxicity.toxicity_scores(docs, labels).where(F.col("score") < toxicity.CUT).select("row.*")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

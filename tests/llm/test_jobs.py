@@ -360,56 +360,106 @@ def test_op1_held_out_accuracy(spark):
     assert auc(s, y) > 0.95 and ((s >= 0.3) == y).mean() > 0.95
 
 
-def test_index_is_exact():
+def random_entries(rng, words=60, n=700):
+    rows = []
+    for i in range(n):
+        terms = np.sort(rng.choice(words, rng.integers(1, 6), replace=False))
+        rows.append((terms, rng.integers(1, 4, len(terms)), 1, int(rng.random() < 0.4), i))
+    return toxicity.Entries([*rows, ((), (), 3, 1, 0)])
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 64, 1000])
+def test_index_is_exact(block):
+    """Entries found through block maxima are those of a full search, ties at the k-th included."""
     rng = np.random.default_rng(4)
-    vectors = {}
-    for _ in range(700):
-        f = sorted(rng.choice(60, rng.integers(1, 6), replace=False).tolist())
-        key = tuple(x for p in zip(f, rng.integers(1, 4, len(f)).tolist()) for x in p)
-        entry = vectors.setdefault(key, [0, 0, len(vectors)])
-        entry[0] += 1
-        entry[1] += int(rng.random() < 0.4)
-    index = toxicity.Index(rng.uniform(1, 5, 60), dict(vectors), 0.4, k=10)
-    for key in list(vectors)[:80]:
-        q = dict(zip(key[::2], index.weigh(key[::2], key[1::2])))
-        cosines = np.array([sum(q.get(f, 0) * w for f, w in zip(v[::2], index.weigh(v[::2], v[1::2]))) for v in sorted(index.place, key=index.place.get)])
+    value = rng.uniform(0.1, 9, 60) ** 2
+    index = toxicity.Index(value, random_entries(rng), 0.4, k=10, block=block)
+    e, opened = index.entries, 0
+    assert e.empty == [3, 1] and e.n.sum() == 700
+    vectors = np.zeros((len(e), 60))
+    for i in range(len(e)):
+        vectors[i, e.row(i)[0]] = toxicity.unit_weights(*e.row(i), value)
+    for _ in range(120):
+        terms = np.sort(rng.choice(60, rng.integers(1, 8), replace=False))
+        counts = rng.integers(1, 5, len(terms))
+        q = np.zeros(60)
+        q[terms] = toxicity.unit_weights(terms, counts, value)
+        cosines = vectors @ q
         order = np.argsort(-cosines, kind="stable")
-        enough = np.searchsorted(np.cumsum(index.n[order]), 10)
-        want = {i for i in range(len(cosines)) if cosines[i] >= cosines[order[enough]] - 1e-9 and cosines[i] > 0}
-        found, got = index.nearest(key[::2], key[1::2])
+        enough = np.searchsorted(np.cumsum(e.n[order]), 10)
+        want = {i for i in range(len(e)) if cosines[i] >= cosines[order[enough]] - 1e-9 and cosines[i] > 0}
+        found, got = index.nearest(terms, counts)
         assert set(found.tolist()) == want and np.allclose(got, cosines[found])
+        opened += len(found)
+
+
+def test_vectors_of_texts():
+    vocabulary = toxicity.Vocabulary(["ab", "c", "é"])
+    terms, counts = vocabulary.vector("Ab é c2c ab_AB zz É")
+    assert terms.tolist() == [0, 1, 2] and counts.tolist() == [3, 2, 2]
+    assert not len(toxicity.Vocabulary([]).vector("ab")[0])
+
+
+def test_bounded_sample(spark):
+    """min(n, rows) rows at every size, also where most rows are equal."""
+    from carrierlake.llm.common import bounded_sample
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS a", "id % 3 = 0 AS b")
+    for n in (0, 1, 10, 999, 2999, 5000):
+        got = [tuple(r) for r in bounded_sample(rows, n).collect()]
+        assert len(got) == min(n, 3000)
+        assert set(got) <= {tuple(r) for r in rows.collect()}
+    assert bounded_sample(rows.limit(0), 5).count() == 0
 
 
 def test_toxicity_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1), (None, 1), (4, None), (5, 7)], "doc_id bigint, toxic int")
     rows = toxicity.toxicity_scores(odd, labels).collect()
-    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows) and rows[0].row.asDict().keys() == set(odd.columns)
     by = defaultdict(set)
     for r in rows:
-        by[r.doc_id].add(r.score)
-    assert all(len(v) == 1 for v in by.values()) and by[1] == by[2]
+        by[r.row.text].add(r.score)
+    assert all(len(v) == 1 for v in by.values()) and by[""] == by[" \n\t "] == by[None]
     assert toxicity.toxicity_scores(odd.limit(0), labels).count() == 0
     assert len({r.score for r in toxicity.toxicity_scores(odd, labels.limit(0)).collect()}) == 1
 
 
+def test_toxicity_within_its_bounds(spark, monkeypatch):
+    """Fewer examples, pairs or bytes than there are: the rest is left out and everything is still scored."""
+    docs = spark.createDataFrame([(i, f"plain words {i} " + ("foul vile rotten" if i % 4 == 0 else "calm quiet")) for i in range(200)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 AS int) AS toxic")
+    for name, bound in (("MOST_PAIRS", 300), ("MOST_BYTES", 1200)):
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, name, bound)
+            learned = toxicity.learned_rows(docs, labels, "toxic", 150)
+            assert 10 < len(learned) < 100
+            rows = toxicity.toxicity_scores(docs, labels, most=150).collect()
+            assert {r.row.doc_id for r in rows if r.score >= 0.5} == {i for i in range(200) if i % 4 == 0}
+
+
+def test_toxic_rows_go_by_their_own_text(spark, tmp_path):
+    """Rows without id are judged, and of rows with one id only the toxic one goes."""
+    texts = [("foul vile rotten" if i % 4 == 0 else "calm quiet") + f" words of text {i}" for i in range(80)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs += [(None, texts[0], None, None, None), (None, texts[1], None, None, None), (1, texts[4], "en", "s", 1), (None, None, None, None, None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, frame, str(tmp_path)).collect()), key=str)
+    assert got == sorted(((d[0], d[1]) for d in docs if "foul" not in (d[1] or "")), key=str)
+
+
 def test_toxicity_reads_every_word(spark):
     """Texts without any word that marks the label still have neighbours: those of the same ordinary words."""
     topics = ["river stone harbour bridge", "violin sonata chamber tempo", "glacier summit ridge valley"]
     texts = [f"{topics[i % 3]} {topics[i % 3].split()[i % 4]} extra{i}" for i in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "summit valley ridge", "stone bridge"])], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0 and i % 2 == 0)) for i in range(60)], "doc_id bigint, toxic int")
-    rows = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    rows = {r.row.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
     assert all(len(rows[i].evidence) == 3 for i in rows)
     assert all(e.doc_id % 3 == 2 for e in rows[60].evidence) and all(e.doc_id % 3 == 0 for e in rows[61].evidence)
     assert rows[61].score > rows[60].score
 
 
-@pytest.mark.parametrize("most_dense", [0, 8, 512])
-def test_index_by_postings_and_matrix(monkeypatch, most_dense):
-    monkeypatch.setattr(toxicity, "MOST_DENSE", most_dense)
-    test_index_is_exact()
-
-
 # pipeline
 
 
@@ -424,7 +474,7 @@ def test_pipeline_stage_by_stage(spark, plain):
         if name != "packing":
             assert docs.columns == source.columns
     before, after = seen["toxicity"]
-    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(source, toxicity.learnable(spark.read.parquet(f"{FOLDER}/labels.parquet"))).collect()}
+    scores = {r.row.doc_id: r.score for r in toxicity.toxicity_scores(source, toxicity.learnable(spark.read.parquet(f"{FOLDER}/labels.parquet"))).collect()}
     assert {r.doc_id for r in after} == {k for k, s in scores.items() if s < toxicity.CUT}
     before, after = seen["near_duplicates"]
     assert {r.doc_id for r in after} == {c for _, c in brute_components({r.doc_id: r.text for r in before}).values()}
