@@ -27,9 +27,9 @@ from .common import bounded_sample, documents, query, text_of
 from .tokens import slices
 
 #: Bounds of what is learned from: labelled rows, and their (word, row) pairs and bytes of words; rows of the smallest hash are taken.
-MOST_LABELLED = 10_000
-MOST_PAIRS = 4_000_000
-MOST_BYTES = 40_000_000
+MOST_LABELLED = 8_000
+MOST_PAIRS = 2_500_000
+MOST_BYTES = 25_000_000
 NEIGHBOURS = 25
 BLOCK = 64
 #: Blocks that a query opens first; each further step opens twice as many.
@@ -79,18 +79,25 @@ def sampled_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return counted.groupBy("doc_id").agg(F.min(F.struct("digest", "words", "times")).alias("x")).select("doc_id", "x.*")
 
 
-def learned_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[int, int, list[str], np.ndarray]]:
-    """(doc_id, y, words, counts) of the bounded sample, by doc_id."""
+def learned_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[tuple]]:
+    """(words, rows) of the bounded sample; a row is (terms ascending, counts, 1, y, doc_id), a term the place of its word."""
     sample = cut_lineage(labelled_sample(labels, label, most))
     counts = cut_lineage(sampled_counts(docs, sample).join(F.broadcast(sample), "doc_id"))
     sizes = counts.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("words").alias("bytes"), (F.octet_length("times") / 4).alias("pairs"))
-    rows = sorted(sizes.collect(), key=lambda r: (r.h, r.doc_id))
-    fits = (np.cumsum([r.bytes for r in rows]) <= MOST_BYTES) & (np.cumsum([r.pairs for r in rows]) <= MOST_PAIRS)
+    order = sorted(sizes.collect(), key=lambda r: (r.h, r.doc_id))
+    fits = (np.cumsum([r.bytes for r in order]) <= MOST_BYTES) & (np.cumsum([r.pairs for r in order]) <= MOST_PAIRS)
     if not fits.all():
-        last = rows[max(int(fits.sum()) - 1, 0)]
-        counts = counts.where(F.xxhash64("doc_id") <= last.h)
-    learned = counts.select("doc_id", "y", "words", "times").collect()
-    return [(r.doc_id, r.y, r.words.split("\n") if r.words else [], np.frombuffer(r.times, np.uint32)) for r in sorted(learned, key=lambda r: r.doc_id)]
+        counts = counts.where(F.xxhash64("doc_id") <= order[max(int(fits.sum()) - 1, 0)].h)
+    learned = counts.select("doc_id", "y", "words", "times").orderBy("doc_id").toArrow()
+    place: dict[str, int] = {}
+    rows = []
+    for batch in learned.to_batches():
+        for i in range(batch.num_rows):  # one row's words at a time
+            doc, y, words, times = (c[i].as_py() for c in batch.columns)
+            terms = np.array([place.setdefault(w, len(place)) for w in words.split("\n")] if words else [], np.int32)
+            by = np.argsort(terms)
+            rows.append((terms[by], np.frombuffer(times, np.uint32).astype(np.int32)[by], 1, y, doc))
+    return list(place), rows
 
 
 class Vocabulary:
@@ -163,15 +170,13 @@ class Entries:
         found: dict[bytes, list] = {}
         self.empty = [0, 0]
         for terms, counts, n, t, doc in rows:
+            terms, counts = np.asarray(terms, np.int32), np.asarray(counts, np.int32)
             if not len(terms):
                 self.empty = [self.empty[0] + n, self.empty[1] + t]
                 continue
-            terms, counts = np.asarray(terms, np.int32), np.asarray(counts, np.int32)
             entry = found.setdefault(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest(), [terms, counts, 0, 0, doc])
             entry[2:] = entry[2] + n, entry[3] + t, min(entry[4], doc)
-        self._set(list(found.values()))
-
-    def _set(self, order: list) -> None:
+        order = list(found.values())
         self.ends = np.concatenate([[0], np.cumsum([len(e[0]) for e in order])]).astype(np.int64)
         self.terms = np.concatenate([e[0] for e in order]) if order else np.empty(0, np.int32)
         self.counts = np.concatenate([e[1] for e in order]) if order else np.empty(0, np.int32)
@@ -188,11 +193,12 @@ class Entries:
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.ends))
 
-    def ordered(self, order: np.ndarray) -> "Entries":
-        out = Entries([])
-        out.empty = self.empty
-        out._set([[*self.row(i), self.n[i], self.t[i], self.example[i]] for i in order.tolist()])
-        return out
+    def reorder(self, order: np.ndarray) -> None:
+        lengths = np.diff(self.ends)[order]
+        flat = ranges(self.ends[order], lengths)
+        self.terms, self.counts = self.terms[flat], self.counts[flat]
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.n, self.t, self.example = self.n[order], self.t[order], self.example[order]
 
 
 def relevance(entries: Entries, size: int) -> np.ndarray:
@@ -218,24 +224,28 @@ class Index:
 
     def __init__(self, value: np.ndarray, entries: Entries, base: float, k: int = NEIGHBOURS, block: int = BLOCK):
         """``value``: what one occurrence of each term weighs."""
-        self.value, self.k, self.base, self.block = value, k, base, block
-        self._lay(entries)
+        self.value, self.k, self.base, self.block, self.entries = value, k, base, block, entries
+        self._lay()
         if len(entries) > 2 * block:
-            self._lay(entries.ordered(self._neighbourhoods()))
+            entries.reorder(self._neighbourhoods())
+            self._lay()
 
-    def _lay(self, entries: Entries) -> None:
-        self.entries = entries
-        size, n = len(self.value), len(entries)
-        owner = entries.owners()
+    def _lay(self) -> None:
+        entries, size, n = self.entries, len(self.value), len(self.entries)
+        self.entry = self.weight = self.most = self.first = self.length = self.of_block = None  # the former layout
+        owner = entries.owners().astype(np.int32)
         weight = np.empty(len(entries.terms))
         for i in range(n):
             at = slice(entries.ends[i], entries.ends[i + 1])
             weight[at] = unit_weights(entries.terms[at], entries.counts[at], self.value)
         order = np.argsort(entries.terms, kind="stable")  # by term, then entry
         terms = entries.terms[order]
-        self.entry, self.weight = owner[order].astype(np.int32), weight[order]
-        place = terms.astype(np.int64) * (n // self.block + 1) + self.entry // self.block
-        first = np.flatnonzero(np.diff(place, prepend=-1))
+        self.entry, self.weight = owner[order], weight[order]
+        del owner, weight, order
+        place = self.entry // self.block
+        begins = np.ones(len(terms), bool)
+        begins[1:] = (place[1:] != place[:-1]) | (terms[1:] != terms[:-1])
+        first = np.flatnonzero(begins)
         self.first = first.astype(np.int32)
         self.length = np.diff(np.append(first, len(place))).astype(np.int32)
         self.of_block = (self.entry[first] // self.block).astype(np.int32)
@@ -350,11 +360,9 @@ def calibrated(spark: SparkSession, shared) -> tuple[np.ndarray, np.ndarray]:
 def learned_index(docs: DataFrame, labels: DataFrame, label: str, most: int, k: int):
     """(shared vocabulary, shared index, calibration)."""
     context = docs.sparkSession.sparkContext
-    rows = learned_rows(docs, labels, label, most)
-    words = sorted({w for _, _, found, _ in rows for w in found})
-    vocabulary = Vocabulary(words)
-    place = vocabulary.place
-    entries = Entries((np.array([place[w] for w in found], np.int32), counts, 1, y, doc) for doc, y, found, counts in rows)
+    words, rows = learned_rows(docs, labels, label, most)
+    vocabulary, entries = Vocabulary(words), Entries(rows)
+    del words, rows
     n, t = entries.n.sum() + entries.empty[0], entries.t.sum() + entries.empty[1]
     if t in (0, n):  # one label: nothing to tell apart
         entries, vocabulary = Entries([((), (), int(n), int(t), 0)]), Vocabulary([])

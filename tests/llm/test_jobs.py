@@ -431,7 +431,7 @@ def test_toxicity_within_its_bounds(spark, monkeypatch):
     for name, bound in (("MOST_PAIRS", 300), ("MOST_BYTES", 1200)):
         with monkeypatch.context() as m:
             m.setattr(toxicity, name, bound)
-            learned = toxicity.learned_rows(docs, labels, "toxic", 150)
+            _, learned = toxicity.learned_rows(docs, labels, "toxic", 150)
             assert 10 < len(learned) < 100
             rows = toxicity.toxicity_scores(docs, labels, most=150).collect()
             assert {r.row.doc_id for r in rows if r.score >= 0.5} == {i for i in range(200) if i % 4 == 0}
