@@ -1,12 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index, distance-weighted votes, calibration.
 
 Terms are the lower-case words of a bounded sample of labelled rows; each counts once, whole. Their document frequencies are counted over all
-documents. A weight is (1 + log tf) * idf, times the relevance of the word for the label (1 plus its log-odds where positive, learned from
-the same rows). Labelled examples of one vector are one entry with counts, so ties at the k-th neighbour are never cut.
+documents. A weight is (1 + log tf) * idf, times the squared relevance of the word for the label (1 plus its log-odds where positive,
+learned from the same rows). Labelled examples of one vector are one entry with counts, so ties at the k-th neighbour are never cut.
 
 Entries are laid out so that similar ones share a block. Every posting list is kept by block, with the largest weight of each block. A query
-first adds up block maxima, which bound the cosine of any entry of a block; blocks are then opened by falling bound until the bound is below
-the k-th best cosine so far, so what is skipped can't belong to the result. Cosines are sums in double precision. Votes are weighted by
+first adds up block maxima, which bound the cosine of any entry of a block; it opens the blocks of the largest bounds, then every other one
+whose bound reaches the k-th best cosine of those, so what is skipped can't belong to the result. Cosines are sums in double precision. Votes are weighted by
 cosine and mapped to probabilities by an isotonic fit of leave-one-out votes. A score is a function of the text alone.
 """
 
@@ -27,13 +27,15 @@ from .common import bounded_sample, documents, query, text_of
 from .tokens import slices
 
 #: Bounds of what is learned from: labelled rows, and their (word, row) pairs and bytes of words; rows of the smallest hash are taken.
-MOST_LABELLED = 8_000
+MOST_LABELLED = 4_000
 MOST_PAIRS = 2_500_000
 MOST_BYTES = 25_000_000
 NEIGHBOURS = 25
 BLOCK = 64
-#: Blocks that a query opens first; each further step opens twice as many.
-OPENED = 6
+#: Blocks that a query opens first; their k-th best cosine decides which others are opened.
+OPENED = 8
+#: Stretches without white space whose words a worker remembers, and their greatest length.
+REMEMBERED, STRETCH = 200_000, 32
 CUT = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 #: Sums of one cosine differ by less than this, whatever the order of its terms.
@@ -104,10 +106,10 @@ class Vocabulary:
     """Words in order; the table of places is made where it is first used."""
 
     def __init__(self, words: list[str]):
-        self.text, self.size, self._place = "\n".join(words), len(words), None
+        self.text, self.size, self._place, self._seen = "\n".join(words), len(words), None, {}
 
     def __getstate__(self):
-        return {"text": self.text, "size": self.size, "_place": None}
+        return {"text": self.text, "size": self.size, "_place": None, "_seen": {}}
 
     @property
     def place(self) -> dict[str, int]:
@@ -117,10 +119,17 @@ class Vocabulary:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms ascending, counts) of a text."""
-        place = self.place
-        known = [(place[w], n) for w, n in word_counts(text).items() if w in place]
-        table = np.array(sorted(known), np.int64).reshape(-1, 2)
-        return table[:, 0], table[:, 1]
+        place, seen, terms = self.place, self._seen, []
+        for stretch in text.lower().split():  # words hold no white space
+            found = seen.get(stretch)
+            if found is None:
+                found = [place[w] for w in WORD.findall(stretch) if w in place]
+                if len(stretch) <= STRETCH:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[stretch] = found
+            terms += found
+        return np.unique(np.array(terms, np.int64), return_counts=True)
 
 
 #: Terms whose counts travel in one row.
@@ -286,17 +295,18 @@ class Index:
         block = self.of_block[held]
         bound = np.bincount(block, self.most[held] * asked, self.blocks)
         order = np.argsort(-bound, kind="stable")
-        found, cosines, last, at, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, OPENED
+        found, cosines, last = np.empty(0, np.int64), np.empty(0), 0.0
         opened = np.zeros(self.blocks, bool)
-        while at < self.blocks and bound[order[at]] > 0 and bound[order[at]] >= last - SLACK:
-            now = order[at : at + step]
+        for now in (order[:OPENED], order[OPENED:]):
             now = now[(bound[now] > 0) & (bound[now] >= last - SLACK)]
-            at, step = at + step, 2 * step
+            if not len(now):
+                break
+            opened[:] = False
             opened[now] = True
-            own = opened[block]
-            opened[now] = False
-            lengths = self.length[held[own]]
-            flat = ranges(self.first[held[own]], lengths)
+            own = np.flatnonzero(opened[block])
+            lists = held[own]
+            lengths = self.length[lists]
+            flat = ranges(self.first[lists], lengths)
             near = np.bincount(self.entry[flat], self.weight[flat] * np.repeat(asked[own], lengths), len(self.entries))
             more = np.flatnonzero(near >= max(last - SLACK, 1e-300))
             found, cosines = np.concatenate([found, more]), np.concatenate([cosines, near[more]])
@@ -368,7 +378,7 @@ def learned_index(docs: DataFrame, labels: DataFrame, label: str, most: int, k:
         entries, vocabulary = Entries([((), (), int(n), int(t), 0)]), Vocabulary([])
     shared = context.broadcast(vocabulary)  # MOST_BYTES
     total, df = document_frequencies(docs, shared)
-    value = (np.log((total + 1) / (df + 1)) + 1) * relevance(entries, vocabulary.size)
+    value = (np.log((total + 1) / (df + 1)) + 1) * relevance(entries, vocabulary.size) ** 2
     index = context.broadcast(Index(value, entries, t / n if n else 0.0, k))  # MOST_PAIRS
     return shared, index, calibrated(docs.sparkSession, index)
 
