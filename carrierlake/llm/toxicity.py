@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -117,19 +118,33 @@ class Vocabulary:
             self._place = {w: i for i, w in enumerate(self.text.split("\n") if self.size else [])}
         return self._place
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms ascending, counts) of a text."""
-        place, seen, terms = self.place, self._seen, []
-        for stretch in text.lower().split():  # words hold no white space
+    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms ascending, counts) of each text; words are sought once per distinct stretch without white space (words hold none)."""
+        place, seen = self.place, self._seen
+        lists = pc.ascii_split_whitespace(texts)
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = lists.flatten().dictionary_encode()
+        terms: list[int] = []
+        ends = np.zeros(len(coded.dictionary) + 1, np.int64)
+        for i, stretch in enumerate(coded.dictionary.to_pylist()):
             found = seen.get(stretch)
             if found is None:
-                found = [place[w] for w in WORD.findall(stretch) if w in place]
+                found = [place[w] for w in WORD.findall(stretch.lower()) if w in place]
                 if len(stretch) <= STRETCH:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen[stretch] = found
             terms += found
-        return np.unique(np.array(terms, np.int64), return_counts=True)
+            ends[i + 1] = len(terms)
+        codes = coded.indices.to_numpy()
+        lengths = np.diff(ends)[codes]
+        held = np.array(terms, np.int64)[ranges(ends[codes], lengths)] if terms else np.empty(0, np.int64)
+        pairs, counts = np.unique(np.repeat(owner, lengths) * max(self.size, 1) + held, return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(1, len(texts)) * max(self.size, 1))
+        return list(zip(np.split(pairs % max(self.size, 1), cuts), np.split(counts, cuts)))
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.vectors(pa.array([text], pa.string()))[0]
 
 
 #: Terms whose counts travel in one row.
@@ -145,8 +160,8 @@ def document_frequencies(docs: DataFrame, shared) -> tuple[int, np.ndarray]:
         for batch in batches:
             rows += batch.num_rows
             for part in slices(batch):
-                for text in part.column("text").to_pylist():
-                    seen[vocabulary.vector(text)[0]] += 1
+                for terms, _ in vocabulary.vectors(part.column("text")):
+                    seen[terms] += 1
         seen[vocabulary.size] = rows
         chunks = seen.reshape(-1, CHUNK)
         held = np.flatnonzero(chunks.any(axis=1))
@@ -399,7 +414,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [index.value.score(*vocabulary.value.vector(t), curve) for t in part.column("text").to_pylist()]
+                found = [index.value.score(*v, curve) for v in vocabulary.value.vectors(part.column("text"))]
                 evidence = pa.array([[dict(zip(names, e)) for e in x] for _, x in found], kind)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([s for s, _ in found], pa.float64()), evidence], names=["row", "score", "evidence"])
 
