@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 MASK = 0xFFFFFFFF
@@ -39,3 +40,14 @@ def uniform_sql(keys: list[str], seed: int) -> str:
         return f"list_transform([{b}], lambda v: xor(v, v >> 15))[1]"
 
     return f"({reduce(fold, keys, f'{seed & MASK}::BIGINT')} / 4294967296.0)"
+
+
+def draw_matrix(keys: list[np.ndarray], seed: int) -> np.ndarray:
+    """The same draws as 32-bit numbers (uint64) in numpy; keys are integer arrays that broadcast against each other."""
+    h = np.uint64(seed & MASK)
+    for key in keys:
+        h = h ^ (key.astype(np.int64).astype(np.uint64) & np.uint64(MASK))
+        for shift, multiplier in ((16, FIRST), (15, SECOND)):
+            h = ((h ^ (h >> np.uint64(shift))) * np.uint64(multiplier)) & np.uint64(MASK)
+        h = h ^ (h >> np.uint64(15))
+    return h

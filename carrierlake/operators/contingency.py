@@ -7,6 +7,7 @@ not the number of samples.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from carrierlake.functions.pvalues import chi_square_p, fisher_p, normal_p
+from carrierlake.operators.fdr import bh_fdr
 from carrierlake.session import cut_lineage
 
 
@@ -171,7 +172,21 @@ def genotype_test(df: DataFrame, case: list[str], control: list[str]) -> DataFra
         odds_ratio(*[F.col(f"_hom{i}") for i in range(4)])["odds_ratio"].alias("hom_or"),
         "hom_p",
     )
-    return out.withColumn("best_p", F.least("distribution_p", "trend_p", "het_p", "hom_p"))
+    primary = F.coalesce("distribution_p", "trend_p")
+    source = F.when(F.col("distribution_p").isNotNull(), "distribution").when(F.col("trend_p").isNotNull(), "trend")
+    return out.withColumn("best_p", F.least("distribution_p", "trend_p", "het_p", "hom_p")).withColumn("primary_p", primary).withColumn("primary_source", source)
+
+
+#: Families of p values that are corrected apart, each inside the caller's groups.
+FAMILIES = ("primary", "distribution", "trend", "het", "hom")
+
+
+def genotype_families(tests: DataFrame, group: list[str]) -> DataFrame:
+    """``genotype_test`` results with one FDR column per family of p values, inside each group."""
+    out = cut_lineage(tests)
+    for name in FAMILIES:
+        out = cut_lineage(bh_fdr(out, f"{name}_p", group, f"{name}_fdr"))  # each step reads its input several times
+    return out
 
 
 def _contrast(case: list[Column], control: list[Column], k: int) -> list[Column]:

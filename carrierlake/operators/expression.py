@@ -1,13 +1,22 @@
 """Expression tables in long form: normalisation, composition features, gates, profile tests."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from carrierlake.functions.draws import with_uniform
+from carrierlake.functions.draws import draw_matrix
 from carrierlake.operators.ranking import quantiles
+from carrierlake.operators.regression import _key_schema
 from carrierlake.session import cut_lineage
 
 PSEUDO = 1e-6
 BANDS = 64
+#: Rows of a key that a permutation kernel takes at once.
+PERMUTED = 1024
+#: Sums of squares that differ by less than this share of the total are equal.
+TIE = 1e-9
 
 
 def sum_present(*columns: Column) -> Column:
@@ -180,9 +189,10 @@ def clr_permanova(df: DataFrame, keys: list[str], row_id: str, group: str, parts
     """Pseudo-F of log-ratio profiles between groups per key, p = (hits + 1) / (permutations + 1).
 
     The total sum of squares does not change under permutation, so only group sums are redone.
-    A permutation orders the rows by a hashed draw and hands out the group sizes in that order.
-    Draws are cut into bands: a band that lies inside one group is only summed, and just the rows
-    of the few bands a group boundary falls into are ranked.
+    A permutation orders the rows by a hashed draw and hands out the group sizes in that order. Rows lie in
+    blocks; a kernel draws for all rows of a block and all permutations at once and returns sums per band of
+    draws. A band inside one group is only summed, and just the rows of the few bands a group boundary
+    falls into leave their block to be ranked.
     """
     k = len(parts)
     rows = cut_lineage(clr(df.select(*keys, row_id, group, *parts), parts).drop(*parts))
@@ -190,33 +200,40 @@ def clr_permanova(df: DataFrame, keys: list[str], row_id: str, group: str, parts
     centre = sum((F.col(f"_t{i}") * F.col(f"_t{i}") for i in range(1, k)), F.col("_t0") * F.col("_t0"))
     total = rows.groupBy(*keys).agg(
         F.sum(squares).alias("_q"), F.count(F.lit(1)).alias("_n"), *[F.sum(f"c{i}").alias(f"_t{i}") for i in range(k)]
-    ).select(*keys, (F.col("_q") - centre / F.col("_n")).alias("total_ss"))
+    ).select(*keys, "_n", (F.col("_q") - centre / F.col("_n")).alias("total_ss"))
     per_group = _group_sums(rows, [*keys, group], k)
-    observed = _between(per_group, keys, k).join(total, keys)
+    observed = _between(per_group, keys, k).join(total.drop("_n"), keys)
     # Ranks up to ``upto`` go to group ``g``; a key has a handful of groups.
     order = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
     cuts = per_group.select(*keys, group, F.sum("_ng").over(order).alias("upto")).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("upto", F.col(group).alias("g")))).alias("_cuts")
     )
     label = lambda place: F.get(F.filter("_cuts", lambda s: place <= s["upto"]), F.lit(0))["g"]
-    exploded = rows.drop(group).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    drawn = with_uniform(exploded, "_u", [F.col("perm"), F.col(row_id)], seed).withColumn("_band", F.floor(F.col("_u") * BANDS))
     by = [*keys, "perm"]
+    item = F.struct(F.col(row_id).cast("bigint").alias("id"), *[f"c{i}" for i in range(k)])
+    numbered = rows.join(total.select(*keys, "_n"), keys).withColumn("_block", F.pmod(F.xxhash64(row_id), F.ceil(F.col("_n") / PERMUTED)))
+    blocks = cut_lineage(numbered.groupBy(*keys, "_block").agg(F.collect_list(item).alias("_rows")).drop("_block"))
+    summed = blocks.mapInArrow(_band_sums(keys, k, permutations, seed), _key_schema(blocks, keys) + ", perm int, _band int, _ng bigint, " + ", ".join(f"_s{i} double" for i in range(k)))
+    sums = ["_ng", *[f"_s{i}" for i in range(k)]]
     along = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
     bands = cut_lineage(
-        _group_sums(drawn, [*by, "_band"], k).withColumn("_upto", F.sum("_ng").over(along)).join(cuts, keys)
+        summed.groupBy(*by, "_band").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_upto", F.sum("_ng").over(along)).join(cuts, keys)
         .withColumn("_first", label(F.col("_upto") - F.col("_ng") + 1)).withColumn("_last", label(F.col("_upto")))
     )
-    sums = ["_ng", *[f"_s{i}" for i in range(k)]]
     inside = bands.where("_first = _last").select(*by, F.col("_first").alias(group), *sums)
     split = bands.where("_first <> _last").select(*by, "_band", (F.col("_upto") - F.col("_ng")).alias("_before"), "_cuts")
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_band").orderBy("_u", row_id))
-    ranked = drawn.join(split, [*by, "_band"]).withColumn("_place", place).withColumn(group, label(F.col("_place")))
+    # permutations x groups entries per key at most
+    wanted = split.groupBy(*keys).agg(F.collect_list(F.struct("perm", "_band")).alias("_wanted"))
+    leaving = blocks.join(wanted, keys).mapInArrow(
+        _rows_of_bands(keys, k, permutations, seed), _key_schema(blocks, keys) + ", perm int, _band int, _u double, id bigint, " + ", ".join(f"c{i} double" for i in range(k))
+    )
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_band").orderBy("_u", "id"))
+    ranked = leaving.join(split, [*by, "_band"]).withColumn("_place", place).withColumn(group, label(F.col("_place")))
     parts_of = inside.unionByName(_group_sums(ranked, [*by, group], k)).groupBy(*by, group).agg(*[F.sum(c).alias(c) for c in sums])
     hits = (
         _between(parts_of, by, k).select(*keys, F.col("between_ss").alias("_b"))
-        .join(observed.select(*keys, F.col("between_ss").alias("_o")), keys)
-        .groupBy(*keys).agg(F.count_if(F.col("_b") >= F.col("_o") * (1 - 1e-12)).alias("hits"))
+        .join(observed.select(*keys, F.col("between_ss").alias("_o"), F.col("total_ss").alias("_all")), keys)
+        .groupBy(*keys).agg(F.count_if(F.col("_b") >= F.col("_o") - TIE * F.col("_all")).alias("hits"))
     )
     within = F.col("total_ss") - F.col("between_ss")
     pseudo = (F.col("between_ss") / (F.col("n_groups") - 1)) / (within / (F.col("n") - F.col("n_groups")))
@@ -226,6 +243,54 @@ def clr_permanova(df: DataFrame, keys: list[str], row_id: str, group: str, parts
     )
 
 
+def _block_draws(batch: pa.RecordBatch, i: int, k: int, permutations: int, seed: int):
+    """(ids, profiles, draws of every permutation as rows) of one block."""
+    found = batch.column("_rows")[i].values
+    ids = found.field("id").to_numpy()
+    profiles = np.stack([found.field(f"c{j}").to_numpy() for j in range(k)], axis=1)
+    return ids, profiles, draw_matrix([np.arange(1, permutations + 1)[:, None], ids[None, :]], seed)
+
+
+def _band_sums(keys: list[str], k: int, permutations: int, seed: int):
+    """Kernel: rows and profile sums of a block per (permutation, band)."""
+    shift = np.uint64(32 - (BANDS - 1).bit_length())
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, profiles, draws = _block_draws(batch, i, k, permutations, seed)
+                at = ((draws >> shift).astype(np.int64) + np.arange(permutations)[:, None] * BANDS).ravel()
+                size = permutations * BANDS
+                count = np.bincount(at, minlength=size)
+                held = np.flatnonzero(count)
+                totals = [np.bincount(at, np.tile(profiles[:, j], permutations), size)[held] for j in range(k)]
+                own = [batch.column(c).take(pa.array(np.full(len(held), i))) for c in keys]
+                columns = [*own, pa.array((held // BANDS + 1).astype(np.int32)), pa.array((held % BANDS).astype(np.int32)), pa.array(count[held]), *[pa.array(t) for t in totals]]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "perm", "_band", "_ng", *[f"_s{j}" for j in range(k)]])
+
+    return sums
+
+
+def _rows_of_bands(keys: list[str], k: int, permutations: int, seed: int):
+    """Kernel: the rows of a block whose draw lies in a wanted band of its permutation."""
+    shift = np.uint64(32 - (BANDS - 1).bit_length())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, profiles, draws = _block_draws(batch, i, k, permutations, seed)
+                wanted = np.zeros((permutations, BANDS), bool)
+                asked = batch.column("_wanted")[i].values
+                wanted[asked.field("perm").to_numpy() - 1, asked.field("_band").to_numpy()] = True
+                bands = (draws >> shift).astype(np.int64)
+                perm, row = np.nonzero(np.take_along_axis(wanted, bands, axis=1))
+                own = [batch.column(c).take(pa.array(np.full(len(perm), i))) for c in keys]
+                numbers = [pa.array((perm + 1).astype(np.int32)), pa.array(bands[perm, row].astype(np.int32)), pa.array(draws[perm, row] / 2.0**32), pa.array(ids[row])]
+                yield pa.RecordBatch.from_arrays([*own, *numbers, *[pa.array(profiles[row, j]) for j in range(k)]], names=[*keys, "perm", "_band", "_u", "id", *[f"c{j}" for j in range(k)]])
+
+    return rows
+
+
 def top_shift(df: DataFrame, keys: list[str], dose: str, parts: list[str]) -> DataFrame:
     """Part with the largest absolute slope on dose per key."""
     slopes = df.groupBy(*keys).agg(*[F.regr_slope(F.col(c), F.col(dose)).alias(c) for c in parts])
@@ -235,7 +300,7 @@ def top_shift(df: DataFrame, keys: list[str], dose: str, parts: list[str]) -> Da
 
 
 def qc_pca(df: DataFrame, features: list[str], k: int = 2) -> tuple[DataFrame, list[float]]:
-    """Scores on the first standardised components and their explained variance."""
+    """Scores on the first standardised components and their explained variance; the first feature's loading is positive."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -243,5 +308,6 @@ def qc_pca(df: DataFrame, features: list[str], k: int = 2) -> tuple[DataFrame, l
     scaled = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True).fit(valid).transform(valid)
     model = PCA(k=k, inputCol="_std", outputCol="_pc").fit(scaled)
     scores = model.transform(scaled).withColumn("_pc", vector_to_array("_pc"))
-    named = scores.select(*df.columns, *[F.col("_pc")[i].alias(f"pc{i + 1}") for i in range(k)])
+    sign = np.where(model.pc.toArray()[0] < 0, -1.0, 1.0)
+    named = scores.select(*df.columns, *[(F.col("_pc")[i] * F.lit(float(sign[i]))).alias(f"pc{i + 1}") for i in range(k)])
     return named, [float(v) for v in model.explainedVariance]

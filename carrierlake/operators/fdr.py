@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from carrierlake.operators.ranking import known, value_band, value_ranks
+from carrierlake.session import cut_lineage
 
 
 def bh_fdr(df: DataFrame, p: str, family: list[str], out: str = "fdr") -> DataFrame:
@@ -41,5 +42,5 @@ def block_fdr(
     """FDR inside each block and over the whole group; a key without block is its own block."""
     placed = df.withColumn(block, F.coalesce(F.col(block), F.concat(F.lit("Singleton::"), F.col(key).cast("string"))))
     sizes = placed.groupBy(*group, block).agg(F.count(F.lit(1)).alias("block_tests"))
-    both = bh_fdr(bh_fdr(placed, p, [*group, block], out), p, group, legacy)
+    both = bh_fdr(cut_lineage(bh_fdr(cut_lineage(placed), p, [*group, block], out)), p, group, legacy)
     return both.join(sizes, [*group, block])

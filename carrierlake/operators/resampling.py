@@ -8,12 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from carrierlake.functions.draws import with_uniform
+from carrierlake.functions.draws import draw_matrix, with_uniform
 from carrierlake.functions.pvalues import difference_tails_p
 from carrierlake.operators.ranking import quantiles
 from carrierlake.operators.regression import _key_schema
 from carrierlake.session import cut_lineage
 
+#: Least eigenvalue of the predictors' correlations, below which they count as dependent.
+SINGULAR = 1e-12
 # Cumulative Poisson(1) probabilities: a draw's weight is the number of them not above it.
 POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1)) for j in range(13)]
 
@@ -41,21 +43,32 @@ def permutation_difference(
     observed table exactly when it falls into one of the two tails, so a replicate is one
     comparison and no array is shuffled. ``keys`` are integers; each test has its own draws.
     """
-    tails = hypergeometric_tails(df, cells)
-    drawn = with_uniform(
-        tails.select(*keys, "tail_low", "tail_high", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")), "_u", [*[F.col(k) for k in keys], F.col("_b")], seed
-    )
-    extreme = (F.col("_u") < F.col("tail_low")) | (F.col("_u") >= 1 - F.col("tail_high"))
-    hits = drawn.groupBy(*keys).agg(F.count_if(extreme).alias("hits"))
+    tails = hypergeometric_tails(df, cells).withColumn("hits", _hits(draws, seed)(*[F.col(k) for k in keys], "tail_low", "tail_high"))
     a, b, c, d = (F.col(x) for x in cells)
     angle = lambda x, y: F.asin(F.sqrt(x / (x + y)))
     shift = 1 if plus_one else 0
-    return tails.join(hits, keys).select(
+    return tails.select(
         *keys, "observed_difference", "hits", ((F.col("hits") + shift) / F.lit(float(draws + shift))).alias("p_permutation"),
         F.least(F.lit(1.0), F.col("tail_low") + F.col("tail_high")).alias("p_exact"), (2 * (angle(a, b) - angle(c, d))).alias("cohens_h"),
     )
 
 
+def _hits(draws: int, seed: int):
+    """Draws of each test that fall into one of its tails, counted where the test is: no replicate becomes a row."""
+
+    @F.pandas_udf("bigint")
+    def count(*columns: pd.Series) -> pd.Series:
+        keys, low, high = [c.to_numpy(np.int64) for c in columns[:-2]], columns[-2].to_numpy(float), columns[-1].to_numpy(float)
+        out, replicates = np.zeros(len(low), np.int64), np.arange(1, draws + 1)
+        for a in range(0, len(low), 64):
+            at = slice(a, a + 64)
+            u = draw_matrix([*[k[at, None] for k in keys], replicates[None, :]], seed) / 2.0**32
+            out[at] = ((u < low[at, None]) | (u >= 1 - high[at, None])).sum(axis=1)
+        return pd.Series(out)
+
+    return count
+
+
 def agreement(df: DataFrame, p: str, q: str, alpha: float = 0.05) -> DataFrame:
     """Do two tests agree at a level: counts of the four outcomes."""
     side = lambda c: F.when(F.col(c) < alpha, "significant").otherwise("not_significant")
@@ -101,7 +114,7 @@ def mediation(
 ) -> DataFrame:
     """Indirect effect a*b of x on y through m, direct and total effects, bootstrap interval.
 
-    Only the moment matrix of a (key, replicate) reaches the solve.
+    Only the moment matrix of a (key, replicate) reaches the solve. Replicates whose predictors are dependent have no effects and take no part.
     """
     names = [x, *covariates, m, y]
     valid = df.dropna(subset=names).select(*keys, row_id.alias("_id"), *[F.col(c).cast("double").alias(f"z{i + 1}") for i, c in enumerate(names)])
@@ -112,7 +125,7 @@ def mediation(
     rows = _weights(valid, F.col("_id"), replicates, seed).select(*original.columns).unionByName(original)
     moments = rows.groupBy(*keys, "_b").agg(*[F.sum(F.col("_w") * z(i) * z(j)).alias(f"m{i}_{j}") for i, j in cells])
     schema = _key_schema(moments, [*keys, "_b"]) + ", n double, a double, b double, direct double, total double"
-    fits = cut_lineage(moments.mapInPandas(_mediation_batch(k, [*keys, "_b"]), schema)).where(F.col("a").isNotNull())
+    fits = cut_lineage(moments.mapInPandas(_mediation_batch(k, [*keys, "_b"]), schema)).where((F.col("a") * F.col("b")).isNotNull())
     point = fits.where("_b = 0").select(*keys, F.col("n").cast("bigint").alias("n"), "a", "b", "direct", "total", (F.col("a") * F.col("b")).alias("indirect"))
     draws = fits.where("_b > 0").select(*keys, (F.col("a") * F.col("b")).alias("v"))
     return point.join(quantiles(draws, keys, "v", {"indirect_low": 0.025, "indirect_high": 0.975}).withColumnRenamed("n", "replicates"), keys)
@@ -128,7 +141,12 @@ def _mediation_batch(k: int, keep: list[str]):
 
             def fit(predictors: list[int], target: int) -> np.ndarray:
                 gram = full[:, predictors][:, :, predictors]
-                return np.einsum("nij,nj->ni", np.linalg.pinv(gram, hermitian=True), full[:, predictors, target])
+                found = np.einsum("nij,nj->ni", np.linalg.pinv(gram, hermitian=True), full[:, predictors, target])
+                # a replicate without spread in a predictor has no slope; columns of length one make the test independent of units
+                length = np.sqrt(np.einsum("nii->ni", gram))
+                unit = gram / np.where(length > 0, length, 1.0)[:, :, None] / np.where(length > 0, length, 1.0)[:, None, :]
+                found[np.linalg.eigvalsh(unit)[:, 0] < SINGULAR] = np.nan
+                return found
 
             base = list(range(k - 2))
             out = frame[keep].copy()

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from carrierlake.session import cut_lineage
+
 CALLABLE = ["WT", "Het_ALT", "Hom_ALT", "Other_ALT_model"]
 NON_REFERENCE = ["Het_ALT", "Hom_ALT", "Other_ALT_model"]
 
@@ -72,3 +74,56 @@ def classify_pairs(pairs: DataFrame, same_code: str, same_digest: str) -> DataFr
         .otherwise("DISTINCT_SAMPLES")
     )
     return pairs.withColumn("classification", label)
+
+
+#: Bands of a signature and hashes per band: sets of Jaccard 0.9 share no band once in about 10^8 pairs, sets of 0.2 share one in 700.
+BANDS, PER_BAND = 24, 6
+#: Members of a bucket that meet in one task.
+BLOCK = 256
+
+
+def candidate_pairs(calls: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, block: int = BLOCK) -> DataFrame:
+    """Pairs (sample_1 < sample_2) whose (locus, call) sets agree in a band of their minwise signatures.
+
+    Signatures are one aggregate. A bucket of many members is cut into blocks, and each pair of blocks meets by itself, so one common
+    signature doesn't fill a task; the pairs of a bucket still grow with its square, so equal genotypes should be one row (``representatives``).
+    """
+    token = F.xxhash64("locus", "call")
+    least = [F.min(F.xxhash64(F.col("_t"), F.lit(i))).alias(f"m{i}") for i in range(bands * per_band)]
+    signed = calls.select("sample", token.alias("_t")).groupBy("sample").agg(*least)
+    own = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * per_band + i}" for i in range(per_band)]).alias("key")) for b in range(bands)]
+    buckets = cut_lineage(signed.select("sample", F.inline(F.array(*own))))
+    sizes = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    crowded = buckets.join(sizes, ["band", "key"]).withColumn("_parts", F.ceil(F.col("_m") / block).cast("int"))
+    placed = crowded.withColumn("_part", F.pmod(F.xxhash64("sample"), F.col("_parts")).cast("int")).drop("_m")
+    left = placed.select("band", "key", F.col("sample").alias("_a"), F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_j"))
+    right = placed.select("band", "key", F.col("sample").alias("_b"), F.col("_part").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_i"))
+    met = left.join(right, ["band", "key", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_a") < F.col("_b")))
+    return met.select(F.least("_a", "_b").alias("sample_1"), F.greatest("_a", "_b").alias("sample_2")).distinct()
+
+
+def representatives(digests: DataFrame) -> DataFrame:
+    """(sample, n_loci, copies): the least sample of each genotype digest, for all samples that share it."""
+    return digests.groupBy("digest").agg(F.min("sample").alias("sample"), F.first("n_loci").alias("n_loci"), F.count(F.lit(1)).alias("copies"))
+
+
+def near_identical(calls: DataFrame, classes: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Pairs of different genotypes whose call sets have a Jaccard similarity of ``threshold`` or more, with their concordances.
+
+    Nothing is passed in: candidates come from signatures and are then scored exactly. ``calls``: sample, locus, call. One sample stands for
+    those of equal genotype; ``representatives`` says which.
+    """
+    rows = cut_lineage(calls.select("sample", "locus", "call").distinct())
+    chosen = cut_lineage(representatives(genotype_digest(rows)))
+    own = cut_lineage(rows.join(chosen.select("sample"), "sample", "left_semi"))
+    pairs = cut_lineage(candidate_pairs(own))
+    size = lambda i: chosen.select(F.col("sample").alias(f"sample_{i}"), F.col("n_loci").alias(f"n_{i}"), F.col("copies").alias(f"copies_{i}"))
+    keys = ["sample_1", "sample_2"]
+    tokens = own.select("sample", "locus", "call")
+    shared = (
+        pairs.join(tokens.withColumnRenamed("sample", "sample_1"), "sample_1").join(tokens.withColumnRenamed("sample", "sample_2"), ["sample_2", "locus", "call"])
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("shared")).join(size(1), "sample_1").join(size(2), "sample_2")
+    )
+    jaccard = F.col("shared") / (F.col("n_1") + F.col("n_2") - F.col("shared"))
+    close = cut_lineage(shared.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select(*keys, "copies_1", "copies_2", "jaccard"))
+    return close.join(pair_concordance(close.select(*keys), own.withColumnRenamed("call", "status"), classes), keys)

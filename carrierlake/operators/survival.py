@@ -145,3 +145,31 @@ def cox_by_key(
 
     fitted = _iterate(start, sums, keys, k, passes, tolerance, penalty)
     return _effects(fitted.join(moments.select(*keys, "n", "events"), keys), keys, "b0", "v0", "hazard_ratio")
+
+
+def cox_with_fallback(df: DataFrame, keys: list[str], time: str, event: str, x: str, sets: list[list[str]], min_rows: int = 6, **options) -> DataFrame:
+    """``cox_by_key`` under the first covariate set that a key supports; ``adjustment`` names it.
+
+    ``sets`` are tried in order, the last one usually empty. A key moves on where fewer than ``min_rows`` rows know the whole set, or where its
+    fit does not settle; a key that no set fits is left out. Rows with the set complete are those of the fit (``n`` of ``n_total``).
+    """
+    needed = list(dict.fromkeys(c for own in sets for c in own))
+    rows = cut_lineage(observed(df, time, event).where(known(x)).select(*keys, time, event, x, *needed))
+    complete = [known(*own) if own else F.lit(True) for own in sets]
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), *[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(complete)]))
+    after = lambda level: F.coalesce(*[F.when((F.col(f"_n{i}") >= min_rows) & (F.lit(i) > level), F.lit(i)) for i in range(len(sets))])
+    state, done = sizes.withColumn("_level", after(F.lit(-1))).where("_level is not null"), None
+    label = F.element_at(F.array(*[F.lit("+".join(own) or "unadjusted") for own in sets]), F.col("_level") + 1)
+    for _ in sets:
+        state = cut_lineage(state)
+        if state.isEmpty():
+            break
+        # all keys in one fit, whatever their set: a covariate outside it is constant, and a constant keeps its coefficient at 0
+        placed = rows.join(state.select(*keys, "_level"), keys).where(F.get(F.array(*complete), F.col("_level")))
+        used = lambda c: F.col("_level").isin([i for i, own in enumerate(sets) if c in own])
+        given = placed.select(*keys, time, event, x, *[F.when(used(c), F.col(c).cast("double")).otherwise(0.0).alias(c) for c in needed])
+        fit = cut_lineage(cox_by_key(given, keys, time, event, [x, *needed], **options).where("converged and not clipped"))
+        settled = fit.join(state.select(*keys, "n_total", label.alias("adjustment")), keys)
+        done = settled if done is None else done.unionByName(settled)
+        state = state.join(fit.select(*keys), keys, "left_anti").withColumn("_level", after(F.col("_level"))).where("_level is not null")
+    return done

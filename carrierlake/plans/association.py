@@ -285,7 +285,7 @@ def _genotype_test(t):
     out = contingency.genotype_test(
         counts.select(*columns), [f"case_{x}" for x in names], [f"control_{x}" for x in names]
     )
-    return rounded(out.drop(*columns[2:]))
+    return rounded(out.drop(*columns[2:], "primary_p", "primary_source"))
 
 
 @query(

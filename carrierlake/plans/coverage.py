@@ -22,14 +22,14 @@ def ship_intervals(t):
 
 def ship_points(t):
     day = F.datediff("l_shipdate", F.lit(EPOCH).cast("date")).cast("bigint")
-    return t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_suppkey").alias("chrom"), day.alias("pos"))
+    return t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("chrom"), day.alias("pos"))
 
 
 SPANS = """spans AS (SELECT l_suppkey AS chrom, l_partkey, any_value(p_brand) AS label,
     min(datediff('day', DATE '1992-01-01', l_shipdate::DATE)) AS first, max(datediff('day', DATE '1992-01-01', l_shipdate::DATE)) AS last
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(*) > 1)"""
 POINTS = """points AS (SELECT l_orderkey, l_suppkey AS chrom, datediff('day', DATE '1992-01-01', l_shipdate::DATE) AS pos
-    FROM lineitem WHERE l_returnflag = 'R')"""
+    FROM lineitem)"""
 
 
 @query(

@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from carrierlake.functions.draws import uniform_sql
 from carrierlake.operators import expression, ranktests, resampling
-from carrierlake.operators.contingency import fisher_2x2
 from carrierlake.plans.association import PART_CELLS, part_cells
-from carrierlake.plans.registry import fisher_sql, log_choose, query, rounded, with_sql
+from carrierlake.plans.registry import log_choose, query, rounded, with_sql
 
 EXPR = """ex AS (SELECT l_suppkey AS sample, p_brand AS feature, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 HOUSE = ["Brand#1", "Brand#2"]
@@ -162,7 +161,7 @@ B_PERM = 499
       al AS (SELECT cohort, 0 AS b, tissue AS g, c0, c1, c2 FROM cl UNION ALL SELECT cohort, b, g, c0, c1, c2 FROM sh),
       gs AS (SELECT cohort, b, g, count(*) AS k, sum(c0) AS s0, sum(c1) AS s1, sum(c2) AS s2 FROM al GROUP BY 1, 2, 3),
       bs AS (SELECT cohort, b, sum((s0 ** 2 + s1 ** 2 + s2 ** 2) / k) - (sum(s0) ** 2 + sum(s1) ** 2 + sum(s2) ** 2) / sum(k) AS bss, count(*) AS n_groups FROM gs GROUP BY 1, 2),
-      ob AS (SELECT cohort, bss AS obs, n_groups FROM bs WHERE b = 0), ht AS (SELECT cohort, count(*) FILTER (bss >= obs) AS hits FROM bs JOIN ob USING (cohort) WHERE b > 0 GROUP BY 1)
+      ob AS (SELECT cohort, bss AS obs, n_groups FROM bs WHERE b = 0), ht AS (SELECT cohort, count(*) FILTER (bss >= obs - 1e-9 * total_ss) AS hits FROM bs JOIN ob USING (cohort) JOIN tot USING (cohort) WHERE b > 0 GROUP BY 1)
     SELECT cohort, n, n_groups, round(obs, 6) AS between_ss, round(total_ss - obs, 6) AS within_ss, round(total_ss, 6) AS total_ss,
       round((obs / (n_groups - 1)) / ((total_ss - obs) / (n - n_groups)), 6) AS pseudo_f, round((hits + 1) / {B_PERM + 1}.0::DOUBLE, 6) AS p_value FROM tot JOIN ob USING (cohort) JOIN ht USING (cohort)""",
 )
@@ -183,13 +182,14 @@ def _shift(t):
 
 @query(
     "qc_pca",
-    """WITH x AS (SELECT o_custkey, avg(o_totalprice) AS spend, count(*)::DOUBLE AS n FROM orders GROUP BY 1)
-    SELECT unnest([1, 2]) AS component, round(unnest([(1 + abs(corr(spend, n))) / 2, (1 - abs(corr(spend, n))) / 2]), 6) AS explained FROM x""",
+    """WITH x AS (SELECT o_custkey AS sample, avg(o_totalprice) AS spend, count(*)::DOUBLE AS n FROM orders GROUP BY 1), c AS (SELECT corr(spend, n) AS r, avg(spend) AS ms, stddev_samp(spend) AS ss, avg(n) AS mn, stddev_samp(n) AS sn FROM x),
+      z AS (SELECT sample, r, (spend - ms) / ss AS a, (n - mn) / sn AS b FROM x, c)
+    SELECT sample, round((a + sign(r) * b) / sqrt(2), 4) AS pc1, round((a - sign(r) * b) / sqrt(2), 4) AS pc2, round((1 + abs(r)) / 2, 6) AS explained1, round((1 - abs(r)) / 2, 6) AS explained2 FROM z""",
 )
 def _pca(t):
-    metrics = t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("spend"), F.count(F.lit(1)).cast("double").alias("n"))
-    _, explained = expression.qc_pca(metrics, ["spend", "n"], 2)
-    return t.spark.createDataFrame([(i + 1, round(v, 6)) for i, v in enumerate(explained)], "component int, explained double")
+    metrics = t.orders.groupBy(F.col("o_custkey").alias("sample")).agg(F.avg("o_totalprice").alias("spend"), F.count(F.lit(1)).cast("double").alias("n"))
+    scores, explained = expression.qc_pca(metrics, ["spend", "n"], 2)
+    return rounded(scores.select("sample", "pc1", "pc2"), 4).select("*", *[F.round(F.lit(v), 6).alias(f"explained{i + 1}") for i, v in enumerate(explained)])
 
 
 LAYERS = """ly AS (SELECT p_brand AS gene, l_suppkey AS sample, sum(l_quantity) FILTER (l_returnflag = 'A') AS x, sum(l_quantity) FILTER (l_returnflag = 'R') AS y
@@ -227,12 +227,15 @@ DRAWS = 10_000
 PMF = f"exp({log_choose('n1', 'k')} + {log_choose('n2', '(m - k)')} - {log_choose('(n1 + n2)', 'm')})"
 
 
-@query(
-    "permutation_difference",
-    f"""WITH {PART_CELLS}, mm AS (SELECT key, a + b AS n1, c + d AS n2, a + c AS m, a, b, c, d, a::DOUBLE / (a + b) - c::DOUBLE / (c + d) AS gap FROM cells WHERE a + b > 0 AND c + d > 0),
+TAILS = f"""WITH {PART_CELLS}, mm AS (SELECT key, a + b AS n1, c + d AS n2, a + c AS m, a, b, c, d, a::DOUBLE / (a + b) - c::DOUBLE / (c + d) AS gap FROM cells WHERE a + b > 0 AND c + d > 0),
       tl AS (SELECT *, list_sum(list_transform(range(greatest(0, m - n2)::BIGINT, least(n1, m)::BIGINT + 1), lambda k: CASE WHEN k::DOUBLE / n1 - (m - k)::DOUBLE / n2 < 0 AND abs(k::DOUBLE / n1 - (m - k)::DOUBLE / n2) >= abs(gap) - 1e-12 THEN {PMF} ELSE 0.0 END)) AS lo,
         list_sum(list_transform(range(greatest(0, m - n2)::BIGINT, least(n1, m)::BIGINT + 1), lambda k: CASE WHEN k::DOUBLE / n1 - (m - k)::DOUBLE / n2 >= 0 AND abs(k::DOUBLE / n1 - (m - k)::DOUBLE / n2) >= abs(gap) - 1e-12 THEN {PMF} ELSE 0.0 END)) AS hi FROM mm),
-      dr AS (SELECT key, count(*) FILTER (u < lo OR u >= 1 - hi) AS hits FROM (SELECT key, lo, hi, {uniform_sql(['key', 'rep'], 42)} AS u FROM tl, range(1, {DRAWS + 1}) q(rep)) GROUP BY 1)
+      dr AS (SELECT key, count(*) FILTER (u < lo OR u >= 1 - hi) AS hits FROM (SELECT key, lo, hi, {uniform_sql(['key', 'rep'], 42)} AS u FROM tl, range(1, {DRAWS + 1}) q(rep)) GROUP BY 1)"""
+
+
+@query(
+    "permutation_difference",
+    TAILS + f"""
     SELECT key, round(gap, 6) AS observed_difference, hits, round(hits / {DRAWS}.0::DOUBLE, 6) AS p_permutation, round(least(1.0, lo + hi), 6) AS p_exact,
       round(2 * (asin(sqrt(a::DOUBLE / (a + b))) - asin(sqrt(c::DOUBLE / (c + d)))), 6) AS cohens_h FROM tl JOIN dr USING (key)""",
 )
@@ -242,12 +245,12 @@ def _permutation(t):
 
 @query(
     "permutation_agreement",
-    f"""WITH {PART_CELLS}, t AS (SELECT {fisher_sql('a', 'b', 'c', 'd')} AS p, {fisher_sql('a', 'c', 'b', 'd')} AS q FROM cells)
-    SELECT CASE WHEN p < 0.05 THEN 'significant' ELSE 'not_significant' END AS p, CASE WHEN q < 0.05 THEN 'significant' ELSE 'not_significant' END AS q, count(*) AS n FROM t GROUP BY 1, 2""",
+    f"""{TAILS} SELECT CASE WHEN hits / {DRAWS}.0::DOUBLE < 0.05 THEN 'significant' ELSE 'not_significant' END AS p_permutation,
+      CASE WHEN least(1.0, lo + hi) < 0.05 THEN 'significant' ELSE 'not_significant' END AS p_exact, count(*) AS n FROM tl JOIN dr USING (key) GROUP BY 1, 2""",
 )
 def _agreement(t):
-    one = fisher_2x2(part_cells(t), ("a", "b", "c", "d"), "p")
-    return resampling.agreement(fisher_2x2(one, ("a", "c", "b", "d"), "q"), "p", "q")
+    tested = resampling.permutation_difference(part_cells(t).drop("family"), ["key"], ("a", "b", "c", "d"), DRAWS)
+    return resampling.agreement(tested.where("p_exact is not null"), "p_permutation", "p_exact")
 
 
 REPS = 200
@@ -283,7 +286,7 @@ def _cov(p: str, q: str) -> str:
     "mediation",
     CUSTOMER_SQL + f""", {WEIGHTED}, al AS (SELECT cohort, 0 AS b, 1 AS w, x, m, y FROM cu UNION ALL SELECT cohort, b, w, x, m, y FROM wt WHERE w > 0),
       mo AS (SELECT cohort, b, count(*) AS n, {_cov('x', 'x')} AS xx, {_cov('m', 'm')} AS mm, {_cov('x', 'm')} AS xm, {_cov('x', 'y')} AS xy, {_cov('m', 'y')} AS my FROM al GROUP BY 1, 2),
-      ef AS (SELECT *, xm / xx AS a, (my * xx - xy * xm) / (xx * mm - xm * xm) AS bb, (xy * mm - my * xm) / (xx * mm - xm * xm) AS direct, xy / xx AS total FROM mo)
+      ef AS (SELECT *, xm / xx AS a, (my * xx - xy * xm) / (xx * mm - xm * xm) AS bb, (xy * mm - my * xm) / (xx * mm - xm * xm) AS direct, xy / xx AS total FROM mo WHERE xx > 1e-9 AND xx * mm - xm * xm > 1e-9 * xx * mm)
     SELECT p.cohort, p.n, round(p.a, 4) AS a, round(p.bb, 4) AS b, round(p.direct, 4) AS direct, round(p.total, 4) AS total, round(p.a * p.bb, 4) AS indirect, d.replicates, d.lo AS indirect_low, d.hi AS indirect_high
     FROM (SELECT * FROM ef WHERE b = 0) p JOIN (SELECT cohort, count(*) AS replicates, round(quantile_cont(a * bb, 0.025), 4) AS lo, round(quantile_cont(a * bb, 0.975), 4) AS hi FROM ef WHERE b > 0 GROUP BY 1) d USING (cohort)""",
 )

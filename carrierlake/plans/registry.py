@@ -156,6 +156,56 @@ def bh_sql(source: str, p: str, family: str, out: str, columns: str = "*") -> st
         RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q_raw FROM {source} WHERE {p} IS NOT NULL)"""
 
 
+def _ordered_solve(p: int, g: str = "g", h: str = "h") -> str:
+    """Select items that solve the p normal equations by LDL factors; ``move{i}``, and ``v`` as the variance of the last unknown."""
+    out = []
+    for j in range(p):
+        out.append(f"{h}{j}_{j}" + "".join(f" - l{j}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f" AS d{j}")
+        out += [f"({h}{j}_{i}" + "".join(f" - l{i}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f") / d{j} AS l{i}_{j}" for i in range(j + 1, p)]
+    out += [f"{g}{i}" + "".join(f" - l{i}_{k} * y{k}" for k in range(i)) + f" AS y{i}" for i in range(p)]
+    out += [f"y{i} / d{i}" + "".join(f" - l{k}_{i} * move{k}" for k in range(i + 1, p)) + f" AS move{i}" for i in reversed(range(p))]
+    return ", ".join([*out, f"1 / d{p - 1} AS v_new"])
+
+
+def logit_sql(name: str, source: str, keys: str, p: int, passes: int = 15) -> str:
+    """Recursive CTE ``name`` (keys, pass, b0.., v): Newton's method over ``source`` (keys, f0.., n, e); the last feature is the exposure."""
+    b, pairs = [f"b{i}" for i in range(p)], [(i, j) for i in range(p) for j in range(i, p)]
+    eta = " + ".join(f"b{i} * f{i}" for i in range(p))
+    sums = [f"sum((e - n * q) * f{i}) AS g{i}" for i in range(p)] + [f"sum(n * q * (1 - q) * f{i} * f{j}) AS h{i}_{j}" for i, j in pairs]
+    start = ", ".join(f"0.0::DOUBLE AS {c}" for c in (*b, "v"))
+    return f"""{name} AS (SELECT DISTINCT {keys}, 0 AS pass, {start} FROM {source}
+      UNION ALL SELECT {keys}, pass + 1, {', '.join(f'b{i} + move{i}' for i in range(p))}, v_new FROM (SELECT *, {_ordered_solve(p)} FROM (
+        SELECT {keys}, pass, {', '.join(b)}, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS q FROM {name} JOIN {source} USING ({keys}) WHERE pass < {passes}) GROUP BY ALL)))"""
+
+
+def cox_sql(name: str, source: str, keys: str, p: int, penalty: float = 0.0, passes: int = 15) -> str:
+    """Recursive CTE ``name`` (keys, pass, b0.., v): proportional hazards with Efron ties over ``source`` (keys, t, e, f0..); the last feature is the exposure."""
+    b, pairs = [f"b{i}" for i in range(p)], [(i, j) for i in range(p) for j in range(i, p)]
+    terms = {"": "r"} | {f"_{i}": f"r * f{i}" for i in range(p)} | {f"_{i}_{j}": f"r * f{i} * f{j}" for i, j in pairs}
+    at = [f"sum({x}) AS a{k}, sum(e * {x}) AS m{k}" for k, x in terms.items()] + ["sum(e) AS d"] + [f"sum(e * f{i}) AS x{i}" for i in range(p)]
+    num = lambda k: f"(s{k} - l / d * m{k})"
+    once = lambda x: f"CASE WHEN l = 0 THEN {x} ELSE 0 END"
+    sums = [f"sum({once(f'x{i} - {penalty} * d * b{i}')} - {num(f'_{i}')} / {num('')}) AS g{i}" for i in range(p)]
+    sums += [
+        f"sum({num(f'_{i}_{j}')} / {num('')} - {num(f'_{i}')} * {num(f'_{j}')} / {num('')} ** 2 + {once(f'{penalty if i == j else 0.0} * d')}) AS h{i}_{j}" for i, j in pairs
+    ]
+    start = ", ".join(f"0.0::DOUBLE AS {c}" for c in (*b, "v"))
+    beta = ", ".join(b)
+    return f"""{name} AS (SELECT DISTINCT {keys}, 0 AS pass, {start} FROM {source}
+      UNION ALL SELECT {keys}, pass + 1, {', '.join(f'b{i} + move{i}' for i in range(p))}, v_new FROM (SELECT *, {_ordered_solve(p)} FROM (
+        SELECT {keys}, pass, {beta}, {', '.join(sums)} FROM (
+          SELECT *, {', '.join(f'sum(a{k}) OVER (PARTITION BY {keys} ORDER BY t DESC) AS s{k}' for k in terms)} FROM (
+            SELECT {keys}, pass, {beta}, t, {', '.join(at)} FROM (SELECT *, exp({' + '.join(f'b{i} * f{i}' for i in range(p))}) AS r FROM {name} JOIN {source} USING ({keys}) WHERE pass < {passes}) GROUP BY ALL))
+        JOIN (SELECT unnest(range(0, 400))::DOUBLE AS l) ties ON l < d GROUP BY ALL)))"""
+
+
+def effect_sql(ratio: str, beta: str = "b", v: str = "v") -> str:
+    """Select items of a fit: beta, se, ratio with its interval, flags and p."""
+    se = f"sqrt({v})"
+    return f"""round({beta}, 4) AS beta, round({se}, 4) AS se, round(exp({beta}), 4) AS {ratio}, round(exp({beta} - 1.96 * {se}), 4) AS ci_low, round(exp({beta} + 1.96 * {se}), 4) AS ci_high,
+      false AS clipped, true AS converged, round({normal_sql(f'{beta} / {se}')}, 4) AS p_value"""
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for the value hash; everything else unchanged."""
     kinds = dict(df.dtypes)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from carrierlake.operators import compare, ranking, ranktests, regression, survival
-from carrierlake.plans.registry import normal_sql, query, rounded, student_sql, with_sql
+from carrierlake.plans.registry import cox_sql, effect_sql, logit_sql, normal_sql, query, rounded, student_sql, with_sql
 
 LINES = """lines AS (SELECT p_brand AS k, l_quantity AS v, l_returnflag = 'R' AS f, l_linestatus || l_returnflag AS g, l_extendedprice AS price
     FROM lineitem JOIN part ON l_partkey = p_partkey)"""
@@ -141,10 +141,27 @@ def _logit(t):
     return rounded(out.select("key", "n", "events", "beta", "se", "odds_ratio"))
 
 
-@query("logit_adjusted")
+LATE = """o AS (SELECT any_value(o_orderstatus) AS key, CASE WHEN max(datediff('day', o_orderdate::DATE, l_shipdate::DATE)) > 80 THEN 1 ELSE 0 END AS late,
+      CASE WHEN any_value(o_orderpriority) < '3' THEN 1.0 ELSE 0.0 END AS urgent, round(any_value(o_totalprice) / 1000) / 100 AS price, count(*) / 4.0 AS n_lines
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey),
+    g AS (SELECT key, count(*) AS n, sum(late)::BIGINT AS events FROM o GROUP BY 1 HAVING sum(late) >= 10 AND count(*) - sum(late) >= 1 AND count(DISTINCT urgent) = 2)"""
+ADJUSTED = {"price": ["price"], "lines": ["n_lines"], "price_lines": ["price", "n_lines"]}
+
+
+def late_fit_sql(name: str, covariates: list[str]) -> str:
+    features = ["1.0", *covariates, "urgent"]
+    source = f"s_{name} AS (SELECT key, {', '.join(f'{c} AS f{i}' for i, c in enumerate(features))}, count(*) AS n, sum(late) AS e FROM o JOIN g USING (key) GROUP BY ALL)"
+    return source + ", " + logit_sql(f"fit_{name}", f"s_{name}", "key", len(features), 25)
+
+
+@query(
+    "logit_adjusted",
+    f"WITH RECURSIVE {LATE}, " + ", ".join(late_fit_sql(name, own) for name, own in ADJUSTED.items()) + " " + " UNION ALL ".join(
+        f"SELECT key, n, events, {effect_sql('odds_ratio', f'b{len(own) + 1}')}, '{name}' AS model FROM fit_{name} JOIN g USING (key) WHERE pass = 25" for name, own in ADJUSTED.items()
+    ),
+)
 def _logit_adjusted(t):
-    models = {"price": ["price"], "lines": ["n_lines"], "price_lines": ["price", "n_lines"]}
-    return rounded(regression.adjusted_models(late_rows(t), ["key"], "late", "urgent", models))
+    return rounded(regression.adjusted_models(late_rows(t), ["key"], "late", "urgent", ADJUSTED), 4)
 
 
 FIRTH = with_sql("samples purchases calls arms counts", "").rstrip().replace("WITH", "WITH RECURSIVE", 1) + """, cells AS (SELECT variant, case_callable + control_callable AS n, case_callable AS events,
@@ -180,7 +197,7 @@ def _dose_risk(t):
 
 FOLLOW = """follow AS (SELECT o_custkey AS sample, datediff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days,
     CASE WHEN arg_max(o_orderstatus, struct_pack(d := o_orderdate, k := o_orderkey)) = 'F' THEN 1 ELSE 0 END AS event FROM orders GROUP BY 1),
-  surv AS (SELECT cohort, tissue, days, event FROM follow JOIN samples USING (sample))"""
+  surv AS (SELECT cohort, tissue, days, event FROM follow JOIN samples USING (sample) WHERE days > 0)"""
 
 
 def follow_up(t):
@@ -222,9 +239,44 @@ def _logrank(t):
     return rounded(survival.logrank_by_key(follow_up(t), ["cohort"], "days", "event", "tissue", ["Tumour", "Healthy"]))
 
 
-@query("cox_by_key")
+COX = with_sql("samples", "").rstrip().replace("WITH", "WITH RECURSIVE", 1) + """, follow AS (SELECT o_custkey AS sample, datediff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days, count(*) / 10.0 AS load,
+      CASE WHEN arg_max(o_orderstatus, struct_pack(d := o_orderdate, k := o_orderkey)) = 'F' THEN 1 ELSE 0 END AS event FROM orders GROUP BY 1),
+    sv AS (SELECT cohort, days AS t, event AS e, load, (tissue = 'Tumour')::INT::DOUBLE AS f, sample FROM follow JOIN samples USING (sample) WHERE days > 0),
+    kg AS (SELECT cohort, count(*) AS n, sum(e)::BIGINT AS events, avg(load) AS ml, avg(f) AS mf FROM sv GROUP BY 1 HAVING sum(e) >= 3 AND count(DISTINCT f) = 2)"""
+
+
+@query(
+    "cox_by_key",
+    COX + ", s1 AS (SELECT cohort, t, e, f - mf AS f0 FROM sv JOIN kg USING (cohort)), s2 AS (SELECT cohort, t, e, load - ml AS f0, f - mf AS f1 FROM sv JOIN kg USING (cohort)), "
+    + cox_sql("c1", "s1", "cohort", 1) + ", " + cox_sql("c2", "s2", "cohort", 2, 0.1)
+    + f""" SELECT cohort, n, events, {effect_sql('hazard_ratio', 'b0')}, 'unadjusted' AS model FROM c1 JOIN kg USING (cohort) WHERE pass = 15 AND abs(b0) < 10
+      UNION ALL SELECT cohort, n, events, {effect_sql('hazard_ratio', 'b1')}, 'adjusted' FROM c2 JOIN kg USING (cohort) WHERE pass = 15 AND abs(b1) < 10""",
+)
 def _cox(t):
     rows = follow_up(t).withColumn("case", (F.col("tissue") == "Tumour").cast("int")).withColumn("load", F.col("n_orders") / 10.0)
     plain = survival.cox_by_key(rows, ["cohort"], "days", "event", ["case"]).withColumn("model", F.lit("unadjusted"))
     adjusted = survival.cox_by_key(rows, ["cohort"], "days", "event", ["case", "load"], penalty=0.1).withColumn("model", F.lit("adjusted"))
-    return rounded(plain.unionByName(adjusted))
+    return rounded(plain.unionByName(adjusted).where("converged and not clipped"), 4)
+
+
+COVERED = """cv AS (SELECT cohort, t, e, f, CASE WHEN cohort <> 'BUILDING' AND sample % 7 > 0 THEN c_nationkey / 10.0 END AS age,
+      CASE WHEN cohort <> 'AUTOMOBILE' AND sample % 5 > 0 THEN (sample % 30) / 10.0 END AS bmi FROM sv JOIN customer ON c_custkey = sample),
+    full_ AS (SELECT cohort, t, e, bmi AS f0, age AS f1, f AS f2 FROM cv WHERE age IS NOT NULL AND bmi IS NOT NULL AND cohort NOT IN ('BUILDING', 'AUTOMOBILE')),
+    part_ AS (SELECT cohort, t, e, age AS f0, f AS f1 FROM cv WHERE age IS NOT NULL AND cohort = 'AUTOMOBILE'), none_ AS (SELECT cohort, t, e, f AS f0 FROM cv WHERE cohort = 'BUILDING')"""
+FALLBACK = {"full_": ("age+bmi", 3), "part_": ("age", 2), "none_": ("unadjusted", 1)}
+
+
+@query(
+    "cox_with_fallback",
+    f"{COX}, {COVERED}, " + ", ".join(cox_sql(f"fit{s}", s, "cohort", p) for s, (_, p) in FALLBACK.items()) + " " + " UNION ALL ".join(
+        f"SELECT cohort, c.n, c.events, {effect_sql('hazard_ratio', f'b{p - 1}')}, '{label}' AS adjustment, kg.n AS n_total FROM fit{s} JOIN (SELECT cohort, count(*) AS n, sum(e)::BIGINT AS events FROM {s} GROUP BY 1 HAVING sum(e) >= 3) c USING (cohort) JOIN kg USING (cohort) WHERE pass = 15 AND abs(b{p - 1}) < 10"
+        for s, (label, p) in FALLBACK.items()
+    ),
+)
+def _cox_fallback(t):
+    """One cohort knows no age, one no BMI; of the others some samples lack either."""
+    rows = follow_up(t).withColumn("case", (F.col("tissue") == "Tumour").cast("int")).join(t.customer.select(F.col("c_custkey").alias("sample"), "c_nationkey"), "sample")
+    age = F.when((F.col("cohort") != "BUILDING") & (F.col("sample") % 7 > 0), F.col("c_nationkey") / 10.0)
+    bmi = F.when((F.col("cohort") != "AUTOMOBILE") & (F.col("sample") % 5 > 0), (F.col("sample") % 30) / 10.0)
+    out = survival.cox_with_fallback(rows.withColumn("age", age).withColumn("bmi", bmi), ["cohort"], "days", "event", "case", [["age", "bmi"], ["age"], []], passes=10)
+    return rounded(out, 4)

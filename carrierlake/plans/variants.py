@@ -324,9 +324,13 @@ def _locus_class(t):
     return variants.locus_class(t.part, "p_name", "p_retailprice", 1000.0)
 
 
+#: All loci of the table.
+LOCI = [10 * i + j for i in range(1, 6) for j in range(1, 6)]
+
+
 @query(
     "pivot_wide",
-    with_sql("purchases calls", "SELECT sample, " + ", ".join(f"max(CASE WHEN variant = 'Brand#{b}' THEN dosage END) AS \"Brand#{b}\"" for b in (11, 12, 13)) + " FROM calls GROUP BY 1"),
+    with_sql("purchases calls", "SELECT sample, " + ", ".join(f"max(CASE WHEN variant = 'Brand#{b}' THEN dosage END) AS \"Brand#{b}\"" for b in LOCI) + " FROM calls GROUP BY 1"),
 )
 def _pivot_wide(t):
-    return variants.pivot_wide(t.calls(), ["sample"], "variant", ["Brand#11", "Brand#12", "Brand#13"], "dosage")
+    return variants.pivot_wide(t.calls(), ["sample"], "variant", [f"Brand#{b}" for b in LOCI], "dosage")
