@@ -40,12 +40,14 @@ def screen_sql(models: dict, outcomes: dict[str, str], var: bool) -> str:
         parts.append(f"SELECT var, variant, '{name}' AS model, carriers, n, events, b{p - 1} AS b, v FROM fit_{name} JOIN g_{name} USING (variant, var) WHERE pass = 15")
     ctes.append(f"ft AS MATERIALIZED (SELECT *, {effect_sql('odds_ratio')}, {normal_sql('b / sqrt(v)')} AS p_raw FROM ({' UNION ALL '.join(parts)}) WHERE abs(b) < 10)")
     ctes.append(f"ad AS ({bh_sql('ft', 'p_raw', 'var, model', 'q')})")
-    columns = ("var, " if var else "") + "variant, model, carriers, n, events, beta, se, odds_ratio, ci_low, ci_high, clipped, converged, p_value, round(q, 4) AS fdr"
+    columns = ("var, " if var else "") + "variant, model, carriers, n, events, beta, se, round(exp(b), 9) AS odds_ratio, ci_low, ci_high, clipped, converged, p_value, round(q, 4) AS fdr"
     return with_sql("samples purchases calls", "").rstrip().replace("WITH", "WITH RECURSIVE", 1) + f", {PEOPLE}, " + ", ".join(ctes) + f" SELECT {columns} FROM ad"
 
 
 def settled(df):
-    return rounded(df.where("converged and not clipped"), 4)
+    # odds ratios of plain models are fractions of small numbers, which lie on ties of few digits
+    digits = {c: 9 if c == "odds_ratio" else 4 for c, kind in df.dtypes if kind == "double"}
+    return df.where("converged and not clipped").select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in df.columns])
 
 
 @query("risk_screen", screen_sql(screens.risk_models(), {"cancer": "cancer"}, False))

@@ -257,26 +257,3 @@ def _cox(t):
     plain = survival.cox_by_key(rows, ["cohort"], "days", "event", ["case"]).withColumn("model", F.lit("unadjusted"))
     adjusted = survival.cox_by_key(rows, ["cohort"], "days", "event", ["case", "load"], penalty=0.1).withColumn("model", F.lit("adjusted"))
     return rounded(plain.unionByName(adjusted).where("converged and not clipped"), 4)
-
-
-COVERED = """cv AS (SELECT cohort, t, e, f, CASE WHEN cohort <> 'BUILDING' AND sample % 7 > 0 THEN c_nationkey / 10.0 END AS age,
-      CASE WHEN cohort <> 'AUTOMOBILE' AND sample % 5 > 0 THEN (sample % 30) / 10.0 END AS bmi FROM sv JOIN customer ON c_custkey = sample),
-    full_ AS (SELECT cohort, t, e, bmi AS f0, age AS f1, f AS f2 FROM cv WHERE age IS NOT NULL AND bmi IS NOT NULL AND cohort NOT IN ('BUILDING', 'AUTOMOBILE')),
-    part_ AS (SELECT cohort, t, e, age AS f0, f AS f1 FROM cv WHERE age IS NOT NULL AND cohort = 'AUTOMOBILE'), none_ AS (SELECT cohort, t, e, f AS f0 FROM cv WHERE cohort = 'BUILDING')"""
-FALLBACK = {"full_": ("age+bmi", 3), "part_": ("age", 2), "none_": ("unadjusted", 1)}
-
-
-@query(
-    "cox_with_fallback",
-    f"{COX}, {COVERED}, " + ", ".join(cox_sql(f"fit{s}", s, "cohort", p) for s, (_, p) in FALLBACK.items()) + " " + " UNION ALL ".join(
-        f"SELECT cohort, c.n, c.events, {effect_sql('hazard_ratio', f'b{p - 1}')}, '{label}' AS adjustment, kg.n AS n_total FROM fit{s} JOIN (SELECT cohort, count(*) AS n, sum(e)::BIGINT AS events FROM {s} GROUP BY 1 HAVING sum(e) >= 3) c USING (cohort) JOIN kg USING (cohort) WHERE pass = 15 AND abs(b{p - 1}) < 10"
-        for s, (label, p) in FALLBACK.items()
-    ),
-)
-def _cox_fallback(t):
-    """One cohort knows no age, one no BMI; of the others some samples lack either."""
-    rows = follow_up(t).withColumn("case", (F.col("tissue") == "Tumour").cast("int")).join(t.customer.select(F.col("c_custkey").alias("sample"), "c_nationkey"), "sample")
-    age = F.when((F.col("cohort") != "BUILDING") & (F.col("sample") % 7 > 0), F.col("c_nationkey") / 10.0)
-    bmi = F.when((F.col("cohort") != "AUTOMOBILE") & (F.col("sample") % 5 > 0), (F.col("sample") % 30) / 10.0)
-    out = survival.cox_with_fallback(rows.withColumn("age", age).withColumn("bmi", bmi), ["cohort"], "days", "event", "case", [["age", "bmi"], ["age"], []], passes=10)
-    return rounded(out, 4)
