@@ -166,6 +166,20 @@ def test_host_verdicts(spark):
     assert got["small"].host_rate < 1.0
 
 
+def test_hosts_are_measured_against_each_other(spark):
+    """Forty hosts near one in ten and one at three in ten: only that one is bad, and a host of two documents is not."""
+    rows = [(f"h{h:02d}", i % 10 == h % 10) for h in range(40) for i in range(100)]
+    rows += [("worse", i % 10 < 3) for i in range(200)] + [("tiny", i == 0) for i in range(2)]
+    got = {r.host: r.host_bad for r in quality.host_verdicts(spark.createDataFrame(rows, "host string, soft boolean")).collect()}
+    assert got.pop("worse") and not any(got.values())
+
+
+def test_some_host_decides_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    verdicts = quality.quality_rules(docs).select("base_failed", "kept").collect()
+    assert any(not r.base_failed and not r.kept for r in verdicts)
+
+
 def test_mixing(spark, odd):
     rows = [(i, "w " * (1 + i % 7), "abc"[min(i % 9, 2)]) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
