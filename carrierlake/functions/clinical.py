@@ -281,6 +281,20 @@ def months_between_dates(start: Column, end: Column) -> Column:
     return F.when((months > 0) & (months < 600), months)
 
 
+def grade_number(c: Column) -> Column:
+    """First digit of a grade text such as ``G2``."""
+    return _group(c.cast("string"), "([0-9])")
+
+
+def ki67_fraction(c: Column) -> Column:
+    """Share between 0 and 1 from a number or the middle of a range; values above 1 are per cent."""
+    s = F.trim(F.translate(clean_text(c), "%", ""))
+    low, high = (_group(s, r"^([0-9.]+)\s*[-\u2013]\s*([0-9.]+)", i) for i in (1, 2))
+    single = F.when(s.rlike(r"^[0-9]*\.?[0-9]+$"), s.try_cast("double"))
+    value = F.coalesce((low + high) / 2.0, single)
+    return F.when(value > 1, value / 100.0).otherwise(value)
+
+
 def ordinal(c: Column, levels: dict[str, float]) -> Column:
     """Rank of a category from a level map, null when unknown."""
     table = F.create_map(*[x for k, v in levels.items() for x in (F.lit(k), F.lit(float(v)))])
@@ -289,8 +303,8 @@ def ordinal(c: Column, levels: dict[str, float]) -> Column:
 
 # Ordered categories.
 FIGO_LEVELS = {
-    "I": 1, "IA": 1, "IB": 1, "II": 2, "IIA": 2, "IIB": 2,
-    "III": 3, "IIIA": 3, "IIIB": 3, "IIIC": 3, "IIIC1": 3, "IIIC2": 3, "IV": 4, "IVA": 4, "IVB": 4,
+    "IA": 1.0, "IB": 1.5, "I": 1.5, "II": 2.0,
+    "IIIA": 3.1, "IIIB": 3.2, "IIIC1": 3.3, "IIIC2": 3.4, "III": 3.0, "IVA": 4.1, "IVB": 4.2, "IV": 4.0,
 }
-RISK_LEVELS = {"LOW": 0, "INTERMEDIATE": 1, "HIGH-INTERMEDIATE": 2, "HIGH": 3}
+RISK_LEVELS = {"LOW": 1, "INTERMEDIATE": 2, "INTERMEDIATE-HIGH": 3, "HIGH": 4}
 YES_NO_LEVELS = {"NO": 0, "YES": 1}

@@ -218,7 +218,7 @@ def top_mass(counts: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
 def em_haplotypes(genotypes: DataFrame, region: str = "region", passes: int = 50, tolerance: float = 1e-7, display: float = 0.005) -> DataFrame:
     """Haplotype frequencies from unphased dosage strings by expectation-maximisation.
 
-    ``genotypes``: sample, region, g (one digit 0, 1 or 2 per site, MAX_SITES at most). ``converged`` is false where ``passes`` ran out.
+    ``genotypes``: sample, region, g (one digit 0, 1 or 2 per site, MAX_SITES at most). ``converged`` is a region's own: false where ``passes`` ran out.
     Equal strings are one weighted row; a string with h heterozygous sites expands to 2^(h-1) pairs
     once, and a pass is one join with the frequency table and two aggregates.
     """
@@ -251,23 +251,27 @@ def em_haplotypes(genotypes: DataFrame, region: str = "region", passes: int = 50
         share.select(region, both, (F.col("w") / F.col("_m")).alias("_e")).groupBy(region, "hap").agg(F.sum("_e").alias("_e"))
         .join(total, region).select(region, "hap", (F.col("_e") / F.col("_copies")).alias("f"))
     )
-    converged = False
-    for _ in range(passes):
+    done = None
+    for left in reversed(range(passes)):
         f1 = freq.select(region, F.col("hap").alias("h1"), F.col("f").alias("f1"))
         f2 = freq.select(region, F.col("hap").alias("h2"), F.col("f").alias("f2"))
         joint = pairs.join(f1, [region, "h1"]).join(f2, [region, "h2"]).withColumn("_q", F.col("f1") * F.col("f2"))
         norm = joint.groupBy(region, "g").agg(F.sum("_q").alias("_z"))
-        new = cut_lineage(
+        new = (
             joint.join(norm, [region, "g"]).select(region, both, F.try_divide(F.col("w") * F.col("_q"), F.col("_z")).alias("_e"))
             .groupBy(region, "hap").agg(F.sum("_e").alias("_e")).join(total, region)
             .select(region, "hap", (F.col("_e") / F.col("_copies")).alias("f"))
+            .join(freq.withColumnRenamed("f", "_old"), [region, "hap"])
         )
-        gap = new.join(freq.withColumnRenamed("f", "_old"), [region, "hap"]).agg(F.max(F.abs(F.col("f") - F.col("_old")))).first()[0]
-        freq = new
-        converged = gap is None or gap < tolerance
-        if converged:
+        gaps = new.groupBy(region).agg(F.max(F.abs(F.col("f") - F.col("_old"))).alias("_gap"))
+        judged = cut_lineage(new.drop("_old").join(gaps.select(region, (F.col("_gap") < tolerance).alias("converged")), region))
+        # Regions at rest leave with their frequencies; only the others take part in the next pass.
+        rest = judged if left == 0 else judged.where("converged")
+        done = rest if done is None else done.unionByName(rest)
+        freq = judged.where(~F.col("converged")).drop("converged")
+        if left == 0 or freq.isEmpty():
             break
-    return freq.where(F.col("f") >= display).withColumnRenamed("f", "freq").withColumn("converged", F.lit(converged))
+    return done.where(F.col("f") >= display).withColumnRenamed("f", "freq")
 
 
 # --- comparison with another panel --------------------------------------------------------------

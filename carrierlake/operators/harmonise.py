@@ -8,6 +8,8 @@ from carrierlake.functions import clinical
 from carrierlake.functions.keys import coalesce_with_source
 from carrierlake.operators import ranktests
 from carrierlake.operators.contingency import chi_square, fisher_2x2, genotype_test, odds_ratio
+from carrierlake.operators.fdr import bh_fdr
+from carrierlake.session import cut_lineage
 
 Rule = Callable[[Column], Column]
 
@@ -49,7 +51,8 @@ def triple_negative(er: Column, pr: Column, her2: Column) -> Column:
     return F.when(F.coalesce(every, F.lit(False)), "Yes").when(some, "No")
 
 
-def vital_status(exitus: Column) -> Column:
+def vital_from_flag(exitus: Column) -> Column:
+    """Vital status where a sheet has only the death flag; status texts go through ``decisions.decide``."""
     flag = clinical.yes_no(exitus)
     return F.when(flag == "Yes", "Dead").when(flag == "No", "Alive")
 
@@ -65,13 +68,6 @@ def menopause(status: Column, age: Column, limit: float = 50.0) -> Column:
     return F.when(s.contains("pre"), "Pre").when(s.contains("post"), "Post").when(age >= limit, "Post").when(age < limit, "Pre")
 
 
-def msi_status(c: Column) -> Column:
-    s = F.upper(clinical.clean_text(c))
-    return F.when(s.contains("MSI-H") | s.contains("UNSTABLE") | s.contains("DMMR") | s.contains("LOSS"), "MSI").when(
-        s.contains("MSS") | s.contains("STABLE") | s.contains("PMMR") | s.contains("INTACT"), "MSS"
-    )
-
-
 def fill_months(df: DataFrame, months: str, start: str, end: str) -> DataFrame:
     """Fill missing months from two dates and mark where they came from."""
     derived = clinical.months_between_dates(F.col(start), F.col(end))
@@ -147,6 +143,39 @@ def dose_association(calls: DataFrame, outcomes: DataFrame, exposure: str) -> Da
     return genotype_test(table, [f"case_{x}" for x in names], [f"control_{x}" for x in names])
 
 
+def dose_cells(carriers: DataFrame, outcomes: DataFrame, exposure: str) -> DataFrame:
+    """Cells (exposure, var, dosage, value, n) from carrier rows; the dose of 0 follows from the totals."""
+    totals = outcomes.groupBy("var", "value").agg(F.count(F.lit(1)).alias("_t"))
+    hit = outcomes.join(carriers.select("sample", exposure, "dosage"), "sample").groupBy(exposure, "var", "value", "dosage").agg(F.count(F.lit(1)).alias("n"))
+    taken = hit.groupBy(exposure, "var", "value").agg(F.sum("n").alias("_k"))
+    rest = hit.select(exposure, "var").distinct().join(totals, "var").join(taken, [exposure, "var", "value"], "left")
+    zero = rest.select(exposure, "var", "value", F.lit(0).alias("dosage"), (F.col("_t") - F.coalesce("_k", F.lit(0))).alias("n"))
+    return hit.select(exposure, "var", "value", F.col("dosage").cast("int").alias("dosage"), "n").unionByName(zero.where("n > 0"))
+
+
+def haplotype_dose(carriers: DataFrame, outcomes: DataFrame, exposure: str, least: int = 3) -> DataFrame:
+    """Dose 0 / 1 / 2 of every haplotype against typed outcomes: Spearman for continuous ones, chi-square of dose by level for the others.
+
+    ``carriers``: sample, exposure, dosage above 0, one row per sample and exposure. ``outcomes``: sample, var, type, value (text), of
+    callable samples only: every one without a carrier row has dose 0. A dose class of fewer than ``least`` samples leaves the chi-square
+    table; a continuous outcome needs two classes of that size. FDR runs over all tests of a type.
+    """
+    called = carriers.where("dosage > 0")
+    valid = outcomes.where(F.col("value").isNotNull())
+    numeric = valid.where(F.col("type") == "continuous").select("sample", "var", F.col("value").try_cast("double").alias("value"))
+    continuous = ranktests.dose_spearman(numeric, called, ["var"], exposure, least=least).select(
+        exposure, "var", F.lit("continuous").alias("type"), "n", F.col("rho").alias("statistic"), "p_value"
+    )
+    cells = cut_lineage(dose_cells(called, valid.where(F.col("type") != "continuous").select("sample", "var", "value"), exposure))
+    sizes = cells.groupBy(exposure, "var", "dosage").agg(F.sum("n").alias("_size")).where(F.col("_size") >= least)
+    large = cells.join(sizes, [exposure, "var", "dosage"])
+    types = valid.select("var", "type").distinct()
+    levels = chi_square(large, [exposure, "var"], "dosage", "value").where("statistic is not null")
+    nominal = levels.join(types, "var").select(exposure, "var", "type", F.col("n").cast("bigint").alias("n"), "statistic", "p_value")
+    # The adjustment reads the tests several times: one written row per test instead of as many fits.
+    return bh_fdr(cut_lineage(continuous.unionByName(nominal)), "p_value", ["type"], "fdr")
+
+
 def in_strata(carriers: DataFrame, strata: DataFrame, least: int = 15) -> tuple[DataFrame, DataFrame]:
     """Stratum sizes and the carrier rows repeated per stratum their sample belongs to.
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from carrierlake.functions.pvalues import chi_square_p, normal_p, student_p
 from carrierlake.operators.ranking import known, quantiles, running_totals, value_ranks
+from carrierlake.session import cut_lineage
 
 
 
@@ -65,6 +66,37 @@ def carrier_rank_tests(values: DataFrame, carriers: DataFrame, outcome: list[str
     return _u_statistic(sums)
 
 
+def dose_spearman(values: DataFrame, carriers: DataFrame, outcome: list[str], exposure: str, dose: str = "dosage", value: str = "value", least: int = 3) -> DataFrame:
+    """Spearman of dose against outcome per exposure, from carrier rows only.
+
+    Samples without a carrier row have dose 0 and are one tie group. Centred outcome ranks add up to zero, so the group's share is minus
+    the carriers' rank sum; its own rank, and the spread of the dose ranks, follow from its size. The outcome is ranked once for all
+    exposures. Kept where at least two dose classes have ``least`` samples and four samples take part.
+    """
+    ranks = value_ranks(values, outcome, value)
+    cubes = F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties")
+    totals = ranks.groupBy(*outcome).agg(F.max("n").cast("double").alias("_n"), F.sum(cubes).alias("_ties"))
+    centred = ranks.select(*outcome, value, (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias("_ry"))
+    rows = values.where(known(value)).join(carriers.select("sample", exposure, dose), "sample")
+    counted = rows.groupBy(exposure, *outcome, dose, value).agg(F.count(F.lit(1)).cast("double").alias("_k"))
+    per_dose = cut_lineage(counted.join(centred, [*outcome, value]).groupBy(exposure, *outcome, dose).agg(F.sum("_k").alias("_m"), F.sum(F.col("_k") * F.col("_ry")).alias("_r")))
+    # One row per copy number and key; the zero group starts the order.
+    ordered = running_totals(per_dose, [exposure, *outcome], dose, {"rows": F.col("_m")}).join(totals, outcome)
+    zero = F.col("_n") - F.col("rows_total")
+    rank = zero + F.col("rows_upto") - (F.col("_m") - 1) / 2.0 - (F.col("_n") + 1) / 2.0
+    ground = (zero - F.col("_n")) / 2.0
+    sums = ordered.select("*", zero.alias("_zero"), rank.alias("_rx"), ground.alias("_rz")).groupBy(exposure, *outcome).agg(
+        F.first("_n").alias("_n"), F.first("_ties").alias("_ties"), F.first("_zero").alias("_zero"), F.first("_rz").alias("_rz"),
+        F.sum((F.col("_rx") - F.col("_rz")) * F.col("_r")).alias("_xy"), F.sum(F.col("_m") * F.col("_rx") * F.col("_rx")).alias("_xx"), F.count_if(F.col("_m") >= least).alias("_classes"),
+    )
+    n = F.col("_n")
+    spread = (F.col("_xx") + F.col("_zero") * F.col("_rz") * F.col("_rz")) * (n * n * n - n - F.col("_ties")) / 12.0
+    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("_xy"), F.sqrt(spread))))
+    enough = (F.col("_classes") + F.when(F.col("_zero") >= least, 1).otherwise(0) >= 2) & (n >= 4)
+    out = sums.where(enough).select(exposure, *outcome, n.cast("bigint").alias("n"), rho.alias("rho")).where(F.col("rho").isNotNull())
+    return out.withColumn("p_value", correlation_p("rho", "n"))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """Rank correlation per key with its Student p; null when either side is constant."""
     valid = df.where(known(x, y))

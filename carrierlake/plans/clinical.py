@@ -26,13 +26,11 @@ CASES = {
     "chemo": [("'AC x4 + taxol'", "'Yes'"), ("'tamoxifeno'", "'No'"), ("'no consta'", "NULL"), ("'QT + RT'", "'Yes'"), ("'x'", "NULL"), ("'Radioterapia'", "'No'"), ("'quimio'", "'Yes'"), ("''", "NULL")],
     "volume": [("'2 x 3 x 4'", "24.0"), ("'1,5x2'", "3.0"), ("'7'", "NULL"), ("n || ' × 2'", "n * 2"), ("'x'", "NULL"), ("'2x2x2x9'", "8.0"), ("'big'", "NULL"), ("'10X10'", "100.0")],
     "clean": [("'aÃ±os'", "'años'"), ("' x '", "'x'"), ("'Ã©xito'", "'éxito'"), ("'plain'", "'plain'"), ("'NAN'", "NULL"), ("'null'", "NULL"), ("'Sí'", "'Sí'"), ("'N/A'", "NULL")],
-    "msi": [("'MSI-H'", "'MSI'"), ("'MSS'", "'MSS'"), ("'stable'", "'MSS'"), ("'unstable'", "'MSI'"), ("'dMMR'", "'MSI'"), ("'pMMR'", "'MSS'"), ("'?'", "NULL"), ("'intact'", "'MSS'")],
 }
 RULES = {
     "yes_no": rules.yes_no, "first_number": rules.first_number, "bmi": rules.bmi, "bmi_category": rules.bmi_category, "weight_kg": rules.weight_kg, "midpoint": rules.numeric_midpoint,
     "ki67": rules.ki67_percent, "receptor_status": lambda c: rules.receptor(c)["status"], "p53_status": lambda c: rules.p53(c)["status"], "grade": rules.grade, "figo": rules.figo_stage,
     "date": lambda c: rules.parse_date(c).cast("string"), "chemo": lambda c: rules.treatment_flags(c)["chemotherapy"], "volume": rules.tumour_volume, "clean": rules.meaningful,
-    "msi": harmonise.msi_status,
 }
 KINDS = {"first_number": "DOUBLE", "bmi": "DOUBLE", "weight_kg": "DOUBLE", "midpoint": "DOUBLE", "ki67": "DOUBLE", "grade": "INTEGER", "volume": "DOUBLE"}
 
@@ -69,7 +67,7 @@ def _canonicalise(t):
     raw = raw.withColumnRenamed("Second_col", "second")
     out = harmonise.canonicalise(raw, {"exitus": (["FIRST", "missing_one", "second"], rules.yes_no), "absent": (["nothing"], None)})
     return out.select(
-        "o_orderkey", "canon__exitus", "canon__exitus__source", "canon__absent", "canon__absent__source", harmonise.vital_status(F.col("canon__exitus")).alias("vital"),
+        "o_orderkey", "canon__exitus", "canon__exitus__source", "canon__absent", "canon__absent__source", harmonise.vital_from_flag(F.col("canon__exitus")).alias("vital"),
         harmonise.event_flag(F.col("canon__exitus"), F.lit("2020-01-01").cast("date")).alias("recurrence"),
     )
 
@@ -105,7 +103,7 @@ def _flags(t):
 
 @query(
     "ordinal_levels",
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 3.0 WHEN 2 THEN 4.0 END::DOUBLE AS figo, CASE o_orderstatus WHEN 'F' THEN 0.0 WHEN 'O' THEN 3.0 END::DOUBLE AS risk,
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 3.3 WHEN 2 THEN 4.0 END::DOUBLE AS figo, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 4.0 END::DOUBLE AS risk,
       CASE WHEN o_custkey % 60 < 20 THEN NULL WHEN o_custkey % 60 < 25 THEN 'Normal' WHEN o_custkey % 60 < 30 THEN 'Overweight' ELSE 'Obese' END AS bmi_class FROM orders""",
 )
 def _ordinal(t):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from carrierlake.functions.draws import uniform_sql
 from carrierlake.operators import expression, ranktests, resampling
 from carrierlake.plans.association import PART_CELLS, part_cells
-from carrierlake.plans.registry import log_choose, query, rounded, with_sql
+from carrierlake.plans.registry import log_choose, query, rounded, student_sql, with_sql
 
 EXPR = """ex AS (SELECT l_suppkey AS sample, p_brand AS feature, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 HOUSE = ["Brand#1", "Brand#2"]
@@ -192,17 +192,19 @@ def _pca(t):
     return rounded(scores.select("sample", "pc1", "pc2"), 4).select("*", *[F.round(F.lit(v), 6).alias(f"explained{i + 1}") for i, v in enumerate(explained)])
 
 
+RHO_P = f"CASE WHEN n > 2 AND abs(rho) < 1 THEN round({student_sql('rho * sqrt((n - 2) / (1 - rho * rho))', '(n - 2)')}, 6) WHEN n > 2 AND rho IS NOT NULL THEN 0.0 END AS p_value"
+
 LAYERS = """ly AS (SELECT p_brand AS gene, l_suppkey AS sample, sum(l_quantity) FILTER (l_returnflag = 'A') AS x, sum(l_quantity) FILTER (l_returnflag = 'R') AS y
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), lv AS (SELECT * FROM ly WHERE x IS NOT NULL AND y IS NOT NULL),
   lr AS (SELECT gene, rank() OVER (PARTITION BY gene ORDER BY x) + (count(*) OVER (PARTITION BY gene, x) - 1) / 2.0 AS rx,
     rank() OVER (PARTITION BY gene ORDER BY y) + (count(*) OVER (PARTITION BY gene, y) - 1) / 2.0 AS ry FROM lv)"""
 
 
-@query("layer_concordance", f"WITH {LAYERS} SELECT gene, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM lr GROUP BY 1")
+@query("layer_concordance", f"WITH {LAYERS}, c AS (SELECT gene, count(*) AS n, corr(rx, ry) AS rho FROM lr GROUP BY 1) SELECT gene, n, round(rho, 6) AS rho, {RHO_P} FROM c")
 def _layers(t):
     side = lambda f: F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")))
     df = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("gene"), "l_suppkey").agg(side("A").alias("x"), side("R").alias("y"))
-    return rounded(ranktests.spearman(df, ["gene"], "x", "y").drop("p_value"))
+    return rounded(ranktests.spearman(df, ["gene"], "x", "y"))
 
 
 @query(
@@ -211,14 +213,15 @@ def _layers(t):
         UNION ALL SELECT s_suppkey, 'nation', s_nationkey::DOUBLE FROM supplier) USING (sample)),
       r AS (SELECT feature, outcome, rank() OVER (PARTITION BY feature, outcome ORDER BY value) + (count(*) OVER (PARTITION BY feature, outcome, value) - 1) / 2.0 AS rx,
         rank() OVER (PARTITION BY feature, outcome ORDER BY y) + (count(*) OVER (PARTITION BY feature, outcome, y) - 1) / 2.0 AS ry FROM j)
-    SELECT feature, outcome, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1, 2""",
+, c AS (SELECT feature, outcome, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY 1, 2)
+    SELECT feature, outcome, n, round(rho, 6) AS rho, {RHO_P} FROM c""",
 )
 def _gene_clinical(t):
     outcomes = t.supplier.select(F.col("s_suppkey").alias("sample"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation")).unpivot(
         ["sample"], ["balance", "nation"], "outcome", "y"
     )
     joined = supplier_expression(t).join(outcomes, "sample")
-    return rounded(ranktests.spearman(joined, ["feature", "outcome"], "value", "y").drop("p_value"))
+    return rounded(ranktests.spearman(joined, ["feature", "outcome"], "value", "y"))
 
 
 # --- resampling ---------------------------------------------------------------------------------

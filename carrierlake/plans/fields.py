@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from carrierlake.functions import annotation, genotype, keys
 from carrierlake.functions.sequence import sequence_metrics
 from carrierlake.plans.registry import query, rounded
+from carrierlake.sources import tables
 
 # One call per order line, spelled the way call files spell it.
 CALL_TEXT = """calltext AS (SELECT o_custkey AS sample, l_orderkey, p_brand AS chrom, p_size AS pos, p_partkey,
@@ -61,6 +62,17 @@ def _norm(t):
     )
 
 
+@query(
+    "source_order",
+    f"""WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal, {RAW_CHROM} AS raw FROM part), m AS (SELECT p_partkey, ordinal, {NORM_SQL} AS chrom FROM n)
+    SELECT chrom, p_partkey, ordinal, row_number() OVER (PARTITION BY chrom ORDER BY ordinal) AS place FROM m""",
+)
+def _source_order(t):
+    """Rows by chromosome, then as the file has them (the part table lies in key order)."""
+    rows = tables.with_ordinal(t.part).select(keys.norm_chrom(raw_chrom()).alias("chrom"), "p_partkey", "ordinal")
+    return tables.ordered_places(rows, "chrom").select("chrom", "p_partkey", "ordinal", "place").orderBy(keys.chrom_rank(F.col("chrom")), "ordinal")
+
+
 @query(
     "map_labels",
     """SELECT event_id, CASE event_type WHEN 'signup' THEN 'Tumour' WHEN 'error' THEN 'Tumour' WHEN 'view' THEN 'Healthy'

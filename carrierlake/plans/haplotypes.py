@@ -308,7 +308,21 @@ def _top_mass(t):
     return rounded(haplotypes.top_mass(haplotypes.haplotype_counts(haps(t), ["region"]), ["region"]))
 
 
-@query("em_haplotypes")
+# Pairs of alleles that add up to the dosages; a region's passes go on while its largest change is 1e-7 or more.
+EM = """gn AS (SELECT region, g, count(*)::DOUBLE AS w FROM (SELECT region, array_to_string(list_transform(range(1, len(h1) + 1), lambda i: (h1[i]::INT + h2[i]::INT)::VARCHAR), '') AS g FROM haps) GROUP BY 1, 2),
+  hp AS (SELECT array_to_string(list_transform(range(0, 5), lambda i: ((c >> i) & 1)::VARCHAR), '') AS h1 FROM range(0, 32) r(c)),
+  pr AS (SELECT *, w / count(*) OVER (PARTITION BY region, g) AS e FROM (SELECT *, array_to_string(list_transform(range(1, 6), lambda i: (g[i]::INT - h1[i]::INT)::VARCHAR), '') AS h2 FROM gn, hp) WHERE regexp_matches(h2, '^[01]+$') AND h1 <= h2),
+  cp AS (SELECT region, 2 * sum(w) AS copies FROM gn GROUP BY 1),
+  em AS (SELECT region, 0 AS pass, hap, sum(e) / any_value(copies) AS f, 1.0::DOUBLE AS gap FROM (SELECT region, unnest([h1, h2]) AS hap, e FROM pr) JOIN cp USING (region) GROUP BY 1, 3
+    UNION ALL SELECT region, pass + 1, hap, f, max(abs(f - old)) OVER (PARTITION BY region) FROM (
+      SELECT region, pass, u.hap AS hap, any_value(u.old) AS old, sum(e) / any_value(copies) AS f FROM (
+        SELECT pr.region, a.pass, copies, unnest([{'hap': h1, 'old': a.f}, {'hap': h2, 'old': b.f}]) AS u, w * a.f * b.f / sum(a.f * b.f) OVER (PARTITION BY pr.region, g) AS e
+        FROM pr JOIN cp ON cp.region = pr.region JOIN em a ON a.region = pr.region AND a.hap = h1 JOIN em b ON b.region = pr.region AND b.hap = h2 WHERE a.pass < 50 AND a.gap >= 1e-7)
+      GROUP BY region, pass, u.hap))
+  SELECT region, hap, round(f, 6) AS freq, gap < 1e-7 AS converged FROM (SELECT * FROM em QUALIFY pass = max(pass) OVER (PARTITION BY region)) WHERE f >= 0.005"""
+
+
+@query("em_haplotypes", HAP_SQL.replace("WITH", "WITH RECURSIVE", 1) + ", " + EM)
 def _em(t):
     digits = F.array_join(
         F.transform(F.sequence(F.lit(1), F.length("h1")), lambda i: (F.substring("h1", i, F.lit(1)).cast("int") + F.substring("h2", i, F.lit(1)).cast("int")).cast("string")), ""

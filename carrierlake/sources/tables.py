@@ -2,10 +2,12 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from carrierlake.operators.ranking import running_totals
+
 
 def union_tables(tables: list[DataFrame]) -> DataFrame:
     """Union by name; columns a table lacks are null."""
@@ -36,6 +38,29 @@ def with_path_context(df: DataFrame, levels: list[str], path: Column | None = No
     return out.withColumn("file_name", F.element_at("_parts", -1)).drop("_parts")
 
 
+def with_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
+    """Number the rows of a Parquet scan from 0 in file order, files in the order of their paths.
+
+    A row's place is its file's start plus its index in the file, so nothing is sorted: one count per file is shuffled and only the
+    table of files is ordered. Partitions, splits and later filters don't change it. Use it as the last column of an order that must
+    be the same in every run.
+    """
+    rows = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    files = rows.groupBy("_path").agg((F.max("_index") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select("_path", F.coalesce(before, F.lit(0)).alias("_start"))
+    return rows.join(starts, "_path").select(*df.columns, (F.col("_start") + F.col("_index")).alias(out))
+
+
+def ordered_places(df: DataFrame, chrom: str, ordinal: str = "ordinal", out: str = "place") -> DataFrame:
+    """Place of every row inside its chromosome by source order, from 1; blocks of 65,536 ordinals are ordered apart.
+
+    Sort by ``keys.chrom_rank`` and this for the whole order.
+    """
+    ranked = running_totals(df, [chrom], ordinal, {"_rows": F.lit(1)}, band=F.floor(F.col(ordinal) / 65536))
+    return ranked.withColumnRenamed("_rows_upto", out).drop("_rows_total")
+
+
 def parse_manifest(lines: DataFrame, pattern: str, column: str = "value") -> DataFrame:
     """One file path per line to (path, sample); comments, blanks and repeats dropped."""
     path = F.trim(F.regexp_replace(column, "\r", ""))

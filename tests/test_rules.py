@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from carrierlake.functions import annotation, clinical, genotype, keys
 from carrierlake.functions.pvalues import beta_lower, gamma_upper, log_factorial, normal_two_sided
-from carrierlake.operators import contingency, coverage, expression, intervals, similarity, variants
+from carrierlake.operators import contingency, coverage, decisions, expression, intervals, ranktests, similarity, variants
 from carrierlake.sources import tables, text
 
 
@@ -187,3 +187,41 @@ def test_call_files_of_two_header_orders(spark, tmp_path):
     assert rows == {
         (10, "C", "-"): ("G1", "frameshift", None), (20, "CT", "T"): ("G2", "insertion", "e"), (20, "CT", "Z"): ("G3", "odd", None), (20, "G", None): (None, None, None),
     }
+
+
+def test_decision_table_takes_the_first_row_and_keeps_other_texts(spark):
+    """First row that holds; blank and placeholder texts decide nothing; sources that are not given leave their outputs out."""
+    texts = ["MSI", "no loss", "unstable ", "", None, "NaN"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, `msi text` string")
+    out = decisions.coded(decisions.decide(df, decisions.CLINICAL_TABLE, {"msi": "msi text"}))
+    assert out.columns == ["i", "msi text", "canon__msi_status__rule", "canon__msi_status", "canon__msi_flag"]
+    got = [(r["canon__msi_status__rule"], r["canon__msi_status"], r["canon__msi_flag"]) for r in out.orderBy("i").collect()]
+    assert got == [(2, "Unstable", 1), (3, "no loss", None), (2, "Unstable", 1), (None, None, None), (None, None, None), (None, None, None)]
+    with pytest.raises(ValueError):
+        decisions.decide(df, [decisions.Row("x", "msi", "like", ("a",), "b")], {"msi": "msi text"})
+
+
+def test_dose_spearman_equals_the_dense_one(spark):
+    """Closed form of the zero-dose group against Spearman over all samples, with ties, nulls and an exposure of every sample."""
+    values = [(s, "y", float(s * 7 % 10) if s % 11 else None) for s in range(80)]
+    doses = [(s, "rare", 1 + s % 2) for s in range(0, 80, 9)] + [(s, "all", 1 + s % 2) for s in range(80)] + [(s, "two", 2) for s in (3, 5, 8, 13)]
+    v = spark.createDataFrame(values, "sample int, var string, value double")
+    d = spark.createDataFrame(doses, "sample int, hap string, dosage int")
+    got = {r.hap: (r.n, r.rho, r.p_value) for r in ranktests.dose_spearman(v, d, ["var"], "hap").collect()}
+    grid = v.crossJoin(d.select("hap").distinct()).join(d, ["sample", "hap"], "left").fillna(0, ["dosage"])
+    for r in ranktests.spearman(grid, ["hap"], "dosage", "value").collect():
+        assert got.pop(r.hap) == pytest.approx((r.n, r.rho, r.p_value))
+    assert not got
+
+
+def test_source_ordinals_do_not_depend_on_partitions(spark, tmp_path):
+    """Three files: rows are numbered through them in path order, before and after filters and with small splits."""
+    path = str(tmp_path / "rows")
+    spark.range(0, 90, numPartitions=3).select("id", (F.col("id") % 4).cast("string").alias("chrom")).write.parquet(path)
+    whole = {r.id: r.ordinal for r in tables.with_ordinal(spark.read.parquet(path)).collect()}
+    assert sorted(whole.values()) == list(range(90)) and [whole[i] for i in range(90)] == list(range(90))
+    kept = tables.with_ordinal(spark.read.parquet(path)).where("id > 40").repartition(7)
+    assert {r.id: r.ordinal for r in kept.collect()} == {i: i for i in range(41, 90)}
+    placed = {r.id: r.place for r in tables.ordered_places(tables.with_ordinal(spark.read.parquet(path)), "chrom").collect()}
+    assert placed == {i: i // 4 + 1 for i in range(90)}
+    assert tables.with_ordinal(spark.read.parquet(path)).limit(0).columns == ["id", "chrom", "ordinal"]
