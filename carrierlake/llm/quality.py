@@ -10,12 +10,12 @@ from carrierlake.session import cut_lineage
 
 from .common import NON_SPACE, documents, query, spaced_words, text_of
 
-#: Soft rules. One alone never rejects a document; it does on a host whose shrunk failure rate is over HOST_FACTOR times the prior's mean.
+#: Soft rules. One alone never rejects a document; it does on a host whose shrunk failure rate is surely over the prior's mean.
 SOFT_REPEATS = 30  # per cent of words in repeated windows
 SOFT_SYMBOLS = 10  # symbols per 100 words
 SOFT_LINES = 3  # repeated lines
 SOFT_WORD = (2.0, 15.0)  # mean characters of a word
-HOST_FACTOR = 1.25
+HOST_Z = 1.28  # posterior standard deviations that "surely" asks for, one side, about nine in ten
 
 
 def counted(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -63,12 +63,13 @@ def soft_failed() -> Column:
     )
 
 
-def host_verdicts(flags: DataFrame, factor: float = HOST_FACTOR) -> DataFrame:
+def host_verdicts(flags: DataFrame, z: float = HOST_Z) -> DataFrame:
     """(host, n, failed, host_rate, host_bad) from rows (host, soft).
 
     Failures are summed per host before anything meets. The beta prior has the mean and variance of the hosts' own rates (moments; with
     one host or equal rates it is the uniform prior), so a host of few documents stays near the common rate. A host is bad when its shrunk
-    rate is over ``factor`` times the prior's mean: it is measured against the other hosts, not against a fixed share.
+    rate less ``z`` standard deviations of its beta posterior is over the prior's mean: hosts are measured against each other, not
+    against a fixed share, and one bad document of a small host does not decide.
     """
     hosts = flags.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("soft").cast("int")).alias("failed"))
     rates = hosts.agg(F.avg(F.col("failed") / F.col("n")).alias("m"), F.var_pop(F.col("failed") / F.col("n")).alias("v"))
@@ -79,29 +80,31 @@ def host_verdicts(flags: DataFrame, factor: float = HOST_FACTOR) -> DataFrame:
         F.coalesce(F.when(known, (1 - F.col("m")) * strength), F.lit(1.0)).alias("beta"),
     )
     one = prior.withColumn("one", F.lit(1))
-    shrunk = (F.col("failed") + F.col("alpha")) / (F.col("n") + F.col("alpha") + F.col("beta"))
+    weight = F.col("n") + F.col("alpha") + F.col("beta")
+    shrunk = (F.col("failed") + F.col("alpha")) / weight
+    lowest = shrunk - z * F.sqrt(shrunk * (1 - shrunk) / (weight + 1))
     return (
         hosts.withColumn("one", F.lit(1)).join(one, "one")
-        .select("host", "n", "failed", shrunk.alias("host_rate"), (shrunk > factor * F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("host_bad"))
+        .select("host", "n", "failed", shrunk.alias("host_rate"), (lowest > F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("host_bad"))
     )
 
 
-def with_verdicts(rows: DataFrame, host: str, factor: float = HOST_FACTOR) -> DataFrame:
+def with_verdicts(rows: DataFrame, host: str, z: float = HOST_Z) -> DataFrame:
     """rows (host column and the counts) with base_failed, host_rate and kept."""
     rows = rows.withColumn("base_failed", base_failed()).withColumn("_soft", soft_failed())
-    hosts = host_verdicts(rows.select(F.col(host).alias("host"), F.col("_soft").alias("soft")), factor)
+    hosts = host_verdicts(rows.select(F.col(host).alias("host"), F.col("_soft").alias("soft")), z)
     hosts = cut_lineage(hosts.select(F.col("host").alias("_host"), "host_rate", "host_bad"))
     kept = ~F.col("base_failed") & ~(F.col("host_bad") & F.col("_soft"))
     return rows.join(hosts, F.col(host).eqNullSafe(F.col("_host"))).withColumn("kept", kept).drop("_host", "_soft", "host_bad")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", factor: float = HOST_FACTOR) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", z: float = HOST_Z) -> DataFrame:
     """One row per document: ``row`` (the input row whole), the counts, base_failed, host_rate and kept.
 
     A null host is a host of its own. Repeated rows are judged alike, one row each. An empty table gives an empty table.
     """
     rows = counted(docs).withColumn("_key", F.col(f"_row.{host}"))
-    return with_verdicts(rows, "_key", factor).withColumnRenamed("_row", "row").drop("_key")
+    return with_verdicts(rows, "_key", z).withColumnRenamed("_row", "row").drop("_key")
 
 
 ORACLE = r"""
@@ -120,10 +123,11 @@ judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 hosts AS (SELECT source, count(*) AS n, sum(soft::INT) AS failed FROM judged GROUP BY source),
 moments AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts),
 prior AS (SELECT CASE WHEN v > 1e-12 AND m * (1 - m) / v - 1 > 0 THEN m * (m * (1 - m) / v - 1) ELSE 1.0 END AS alpha,
-  CASE WHEN v > 1e-12 AND m * (1 - m) / v - 1 > 0 THEN (1 - m) * (m * (1 - m) / v - 1) ELSE 1.0 END AS beta FROM moments)
+  CASE WHEN v > 1e-12 AND m * (1 - m) / v - 1 > 0 THEN (1 - m) * (m * (1 - m) / v - 1) ELSE 1.0 END AS beta FROM moments),
+posterior AS (SELECT *, (failed + alpha) / (n + alpha + beta) AS rate FROM hosts CROSS JOIN prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ((failed + alpha) / (n + alpha + beta) > 1.25 * alpha / (alpha + beta) AND soft) AS kept
-FROM judged j JOIN hosts h ON j.source IS NOT DISTINCT FROM h.source CROSS JOIN prior
+  NOT base_failed AND NOT (rate - 1.28 * sqrt(rate * (1 - rate) / (n + alpha + beta + 1)) > alpha / (alpha + beta) AND soft) AS kept
+FROM judged j JOIN posterior h ON j.source IS NOT DISTINCT FROM h.source
 """
 
 
