@@ -23,11 +23,64 @@ def ld_r2(calls: DataFrame, region: str, order: str, window: int, min_shared: in
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
     )
+    return _correlated(sums, [region, "i", "j"], min_shared)
+
+
+def _correlated(sums: DataFrame, keys: list[str], min_shared: int) -> DataFrame:
+    """Shared samples and r2 from n, sx, sy, sxx, syy, sxy; null with few samples or a constant side."""
     n = F.col("n")
     vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
     r2 = F.when((n >= min_shared) & (vx > 0) & (vy > 0), F.try_divide(cov * cov, vx * vy))
-    return sums.select(region, "i", "j", n.cast("bigint").alias("n_shared"), r2.alias("r2"))
+    return sums.select(*keys, n.cast("bigint").alias("n_shared"), r2.alias("r2"))
+
+
+def loci_within(loci: DataFrame, region: str, locus: str, pos: str, distance: int) -> DataFrame:
+    """(region, i, j) of distinct loci at most ``distance`` base pairs apart, each pair once, i before j by (position, locus).
+
+    Bins are as wide as the distance, so partners lie in a locus's own bin or the next: each locus is looked up twice.
+    """
+    base = loci.select(region, F.col(locus).alias("i"), F.col(pos).cast("bigint").alias("_p"))
+    bin_of = F.floor(F.col("_p") / F.lit(max(distance, 1)))
+    here = base.withColumn("_bin", F.explode(F.array(bin_of, bin_of + 1)))
+    there = base.select(region, F.col("i").alias("j"), F.col("_p").alias("_q"), F.floor(F.col("_p") / F.lit(max(distance, 1))).alias("_bin"))
+    later = (F.col("_q") > F.col("_p")) | ((F.col("_q") == F.col("_p")) & (F.col("j") > F.col("i")))
+    return here.join(there, [region, "_bin"]).where(later & (F.col("_q") - F.col("_p") <= distance)).select(region, "i", "j")
+
+
+def dosage_planes(calls: DataFrame, region: str, locus: str, number: str) -> DataFrame:
+    """Sixty-four samples in three words per locus: called, dosage 1, dosage 2.
+
+    ``number`` is a non-negative integer of the sample; gaps cost words, not results. One row per (sample, locus); rows with a null
+    number or dosage are not called.
+    """
+    valid = calls.where(F.col(number).isNotNull() & F.col("dosage").isNotNull())
+    bit = F.expr(f"shiftleft(1L, CAST(`{number}` % 64 AS INT))")
+    plane = lambda test: F.bit_or(F.when(test, bit).otherwise(F.lit(0).cast("bigint")))
+    return valid.groupBy(region, locus, F.floor(F.col(number) / 64).alias("word")).agg(
+        plane(F.lit(True)).alias("called"), plane(F.col("dosage") == 1).alias("one"), plane(F.col("dosage") == 2).alias("two")
+    )
+
+
+def ld_by_distance(calls: DataFrame, region: str, locus: str, pos: str, number: str, distance: int, min_shared: int = 3) -> DataFrame:
+    """r2 of all loci at most ``distance`` base pairs apart in their region, however many lie between them.
+
+    ``calls``: region, locus, pos, a sample number and dosage 0, 1 or 2 (absent = not called). Pairs meet as words of 64 samples, and all
+    six sums of a pair are bit counts of ANDs, so a pair costs a sixty-fourth of the join by sample. Pairs without a common sample are left out.
+    """
+    planes = cut_lineage(dosage_planes(calls, region, locus, number))
+    pairs = loci_within(calls.select(region, locus, pos).distinct(), region, locus, pos, distance)
+    side = lambda name, tag: planes.select(region, F.col(locus).alias(name), "word", *[F.col(c).alias(f"{c}_{tag}") for c in ("called", "one", "two")])
+    met = pairs.join(side("i", "x"), [region, "i"]).join(side("j", "y"), [region, "j", "word"])
+    count = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.col(b)))
+    total = lambda c: F.sum(c).cast("double")
+    sums = met.groupBy(region, "i", "j").agg(
+        total(count("called_x", "called_y")).alias("n"),
+        total(count("one_x", "called_y") + 2 * count("two_x", "called_y")).alias("sx"), total(count("called_x", "one_y") + 2 * count("called_x", "two_y")).alias("sy"),
+        total(count("one_x", "called_y") + 4 * count("two_x", "called_y")).alias("sxx"), total(count("called_x", "one_y") + 4 * count("called_x", "two_y")).alias("syy"),
+        total(count("one_x", "one_y") + 2 * count("one_x", "two_y") + 2 * count("two_x", "one_y") + 4 * count("two_x", "two_y")).alias("sxy"),
+    )
+    return _correlated(sums.where("n > 0"), [region, "i", "j"], min_shared)
 
 
 def ld_blocks(
@@ -114,7 +167,7 @@ def block_summary(tests: DataFrame, group: list[str], block: str, p: str, fdr: s
 
 
 def partner_lists(pairs: DataFrame, region: str, threshold: float = 0.8) -> DataFrame:
-    """Linked partners per locus as one string, of the pairs given: those within the window that ``ld_r2`` was asked for."""
+    """Linked partners per locus as one string, of the pairs given: those of ``ld_r2``'s window or ``ld_by_distance``'s reach."""
     linked = pairs.where(F.col("r2") >= threshold - TIE)
     both = linked.select(region, "i", F.col("j").alias("partner")).union(linked.select(region, "j", F.col("i").alias("partner")))
     return both.groupBy(region, "i").agg(

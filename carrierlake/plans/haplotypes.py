@@ -50,6 +50,31 @@ def _ld(t):
     return rounded(ladder_pairs(t))
 
 
+# Every eleventh call is missing; positions grow with the threshold, in uneven steps.
+NEAR = """cl AS (SELECT *, i * 1000 + i % 7 * 100 AS pos FROM ladder WHERE (sample + i) % 11 > 0),
+  near AS (SELECT a.region, a.i, b.i AS j, count(*) AS n_shared, CASE WHEN count(*) >= 3 AND var_pop(a.x) > 1e-12 AND var_pop(b.x) > 1e-12 THEN corr(a.x, b.x) ** 2 END AS r2
+    FROM cl a JOIN cl b ON a.sample = b.sample AND b.pos > a.pos AND b.pos - a.pos <= 20000 GROUP BY 1, 2, 3)"""
+
+
+def near_pairs(t):
+    calls = ladder(t).where((F.col("sample") + F.col("i")) % 11 > 0).withColumn("pos", F.col("i") * 1000 + F.col("i") % 7 * 100)
+    return ld.ld_by_distance(calls, "region", "i", "pos", "sample", 20_000)
+
+
+@query("ld_by_distance", LADDER_SQL + ", " + NEAR + " SELECT region, i, j, n_shared, round(r2, 6) AS r2 FROM near")
+def _near(t):
+    return rounded(near_pairs(t))
+
+
+@query(
+    "partners_by_distance",
+    LADDER_SQL + ", " + NEAR + """, both_ways AS (SELECT region, i, j FROM near WHERE r2 >= 0.8 - 1e-9 UNION ALL SELECT region, j, i FROM near WHERE r2 >= 0.8 - 1e-9)
+    SELECT region, i, count(*) AS n_partners, string_agg(j::VARCHAR, ', ' ORDER BY j) AS partners FROM both_ways GROUP BY 1, 2""",
+)
+def _near_partners(t):
+    return ld.partner_lists(near_pairs(t), "region")
+
+
 @query("ld_blocks", LADDER_SQL + ", " + BLOCKS + ' SELECT region, start, fin AS "end", size FROM blocks')
 def _blocks(t):
     return ladder_blocks(t)

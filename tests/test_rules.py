@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from carrierlake.functions import annotation, clinical, genotype, keys
 from carrierlake.functions.pvalues import beta_lower, gamma_upper, log_factorial, normal_two_sided
-from carrierlake.operators import contingency, coverage, decisions, expression, intervals, ranktests, similarity, variants
+from carrierlake.operators import contingency, coverage, decisions, expression, intervals, ld, ranktests, similarity, variants
 from carrierlake.sources import tables, text
 
 
@@ -225,3 +225,18 @@ def test_source_ordinals_do_not_depend_on_partitions(spark, tmp_path):
     placed = {r.id: r.place for r in tables.ordered_places(tables.with_ordinal(spark.read.parquet(path)), "chrom").collect()}
     assert placed == {i: i // 4 + 1 for i in range(90)}
     assert tables.with_ordinal(spark.read.parquet(path)).limit(0).columns == ["id", "chrom", "ordinal"]
+
+
+def test_linkage_by_distance_equals_the_window_join(spark):
+    """All pairs within reach, loci of one position included; nulls are not called; sample numbers with gaps."""
+    rows = [(s, "r", f"L{i}", 100 * (i // 2), (s // 64 + s * i + i) % 3 if (s + i) % 5 else None) for s in range(0, 300, 3) for i in range(6)]
+    df = spark.createDataFrame(rows, "sample bigint, region string, locus string, pos int, dosage int")
+    got = {(r.i, r.j): (r.n_shared, r.r2) for r in ld.ld_by_distance(df, "region", "locus", "pos", "sample", 100).collect()}
+    near = {(f"L{i}", f"L{j}") for i in range(6) for j in range(i + 1, 6) if j // 2 - i // 2 <= 1}
+    assert set(got) == near
+    placed = df.where("dosage is not null").withColumn("i", F.substring("locus", 2, 1).cast("int"))
+    for r in ld.ld_r2(placed, "region", "i", 6).collect():
+        pair = (f"L{r.i}", f"L{r.j}")
+        if pair in near:
+            assert got[pair] == (r.n_shared, pytest.approx(r.r2))
+    assert ld.ld_by_distance(df.limit(0), "region", "locus", "pos", "sample", 100).count() == 0
