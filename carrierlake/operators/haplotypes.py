@@ -6,6 +6,7 @@ from carrierlake.operators import compare
 from carrierlake.operators.contingency import fisher_2x2, odds_ratio
 from carrierlake.operators.fdr import bh_fdr
 from carrierlake.operators.ranking import share_of, top_k
+from carrierlake.operators.regression import dose_risk
 from carrierlake.session import cut_lineage
 
 #: Sites of one region: strings and pair expansions grow with it, so a larger region is an error, never cut short.
@@ -184,6 +185,24 @@ def haplotype_association(
     return bh_fdr(tested, "p_value", ["comparison", region])
 
 
+def with_dose_risk(tests: DataFrame, region: str = "region") -> DataFrame:
+    """Add the dose model of every carrier test: odds ratio per copy with its interval and p, and which fit of the chain gave it.
+
+    Dose counts follow from carriers and copies (a carrier of two copies counts twice), so no sample is read again.
+    """
+    keys = ["comparison", region, "hap_id"]
+    tests = cut_lineage(tests)
+    doses = [
+        column.alias(f"{arm}_{name}") for arm in ("case", "control") for name, column in (
+            ("wt", F.col(f"{arm}_callable") - F.col(f"{arm}_carriers")), ("het", 2 * F.col(f"{arm}_carriers") - F.col(f"{arm}_copies")),
+            ("hom", F.col(f"{arm}_copies") - F.col(f"{arm}_carriers")),
+        )
+    ]
+    risk = dose_risk(tests.select(*keys, *doses), keys)
+    named = {"odds_ratio": "dose_or", "ci_low": "dose_ci_low", "ci_high": "dose_ci_high", "p_value": "dose_p", "model": "dose_model"}
+    return tests.join(risk.select(*keys, *[F.col(a).alias(b) for a, b in named.items()]), keys, "left")
+
+
 def best_per_region(tests: DataFrame, keys: list[str], p: str, name: str) -> DataFrame:
     """Tests, significant count and best haplotype per region."""
     best = F.min(F.struct(F.col(p).isNull().alias("missing"), F.col(p).alias("p"), F.col(name).alias("name")))

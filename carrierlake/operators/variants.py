@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from carrierlake.operators import compare
 from carrierlake.functions import annotation
 from carrierlake.functions.genotype import is_het, substitution_class
 from carrierlake.functions.keys import null_if_token
@@ -278,3 +279,26 @@ def locus_class(df: DataFrame, locus: str, frequency: str, threshold: float = 0.
 def pivot_wide(df: DataFrame, rows: list[str], column: str, levels: list, value: str) -> DataFrame:
     """Wide export of a long table; the levels are given, so no extra pass finds them."""
     return df.groupBy(*rows).pivot(column, levels).agg(F.first(value))
+
+
+def qc_sensitivity(calls: DataFrame, samples: DataFrame, high_qc: DataFrame, key: str = "variant") -> DataFrame:
+    """Carrier percentages of every comparison in all samples and in those of high quality, side by side.
+
+    ``high_qc``: sample, one row each. Both sets are counted in one pass over the carriers. ``direction`` compares cases with controls
+    (a difference up to 1e-9 is none); it is not estimable where an arm has no sample left. ``agrees`` is null in that case.
+    """
+    marked = samples.join(high_qc.select("sample", F.lit(1).alias("_high")), "sample", "left").withColumn("_high", F.coalesce("_high", F.lit(0)))
+    of = lambda name: [F.count(F.lit(1)).alias(name), F.sum("_high").alias(f"{name}_high")]
+    carriers = calls.select("sample", key).distinct().join(marked, "sample").groupBy("cohort", "tissue", key).agg(*of("carriers"))
+    sizes = marked.groupBy("cohort", "tissue").agg(*of("n"))
+    comparisons = compare.arm_sizes(samples)
+    table = compare.pooled_arms(carriers, [key], ["carriers", "carriers_high"], comparisons).join(compare.pooled_arms(sizes, [], ["n", "n_high"], comparisons), "comparison")
+    columns = []
+    for suffix in ("", "_high"):
+        case, control = (F.try_divide(F.col(f"{arm}_carriers{suffix}") * 100.0, F.col(f"{arm}_n{suffix}")) for arm in ("case", "control"))
+        delta = case - control
+        way = F.when(delta < -1e-9, "Lower in tumour").when(delta > 1e-9, "Higher in tumour").when(delta.isNotNull(), "Same frequency").otherwise("Not estimable")
+        columns += [case.alias(f"case_pct{suffix}"), control.alias(f"control_pct{suffix}"), delta.alias(f"difference_pct{suffix}"), way.alias(f"direction{suffix}")]
+    sides = [F.col(f"{arm}_n{suffix}") for arm in ("case", "control") for suffix in ("", "_high")]
+    known = F.col("difference_pct").isNotNull() & F.col("difference_pct_high").isNotNull()
+    return table.select("comparison", key, *sides, *columns).withColumn("agrees", F.when(known, F.col("direction") == F.col("direction_high")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from carrierlake.operators import haplotypes, ld
 from carrierlake.plans.association import ODDS_SQL, cells_sql
 from carrierlake.plans.registry import bh_sql, fisher_sql, query, rounded, with_sql
+from carrierlake.plans.statistics import FIRTH
 
 # Threshold loci: allele 1 is set when the smallest part of finished orders is at most the
 # threshold, allele 2 the same for open orders, so neighbouring thresholds are linked.
@@ -298,6 +299,21 @@ def _hap_association(t):
     return rounded(hap_tests(t).select("comparison", "region", "hap_id", *ARMS, "case_freq", "control_freq", "odds_ratio", "p_value", "fdr"))
 
 
+# The penalised fit of the statistics queries in half steps, which settle in small arms too.
+HALF_STEPS = FIRTH[FIRTH.index("fit AS"):].rsplit("SELECT variant, n", 1)[0].replace("b0 + (i00", "b0 + 0.5 * (i00").replace("b1 + (i01", "b1 + 0.5 * (i01").replace("pass < 40", "pass < 120")
+
+
+@query(
+    "haplotype_dose_risk",
+    ASSOC_SQL.replace("WITH", "WITH RECURSIVE", 1) + """, cells AS (SELECT comparison || '|' || region || '|' || hap_id AS variant, comparison, region, hap_id, case_callable + control_callable AS n, case_callable AS events,
+      case_rest + control_rest AS n0, 2 * case_carriers - case_copies + 2 * control_carriers - control_copies AS n1, case_copies - case_carriers + control_copies - control_carriers AS n2,
+      case_rest AS y0, 2 * case_carriers - case_copies AS y1, case_copies - case_carriers AS y2 FROM adj), """ + HALF_STEPS
+    + """ SELECT comparison, region, hap_id, round(exp(b1), 3) AS dose_or, 'penalised' AS dose_model FROM fit JOIN cells USING (variant) WHERE pass = 120""",
+)
+def _hap_dose_risk(t):
+    return rounded(haplotypes.with_dose_risk(hap_tests(t)).select("comparison", "region", "hap_id", "dose_or", "dose_model"), 3)
+
+
 @query(
     "best_per_region",
     ASSOC_SQL + """, b AS (SELECT *, row_number() OVER (PARTITION BY comparison, region ORDER BY round(p, 12), hap_id) AS rn FROM adj)

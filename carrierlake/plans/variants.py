@@ -315,6 +315,29 @@ def _sensitivity(t):
     return rounded(out.select("comparison", "variant", "case_callable", "control_callable", "case_carrier_pct", "control_carrier_pct"))
 
 
+def _direction_sql(d: str) -> str:
+    return f"CASE WHEN {d} < -1e-9 THEN 'Lower in tumour' WHEN {d} > 1e-9 THEN 'Higher in tumour' WHEN {d} IS NOT NULL THEN 'Same frequency' ELSE 'Not estimable' END"
+
+
+@query(
+    "qc_sensitivity_change",
+    with_sql("samples purchases calls arms", "").rstrip() + f""", hq AS (SELECT o_custkey AS sample FROM orders GROUP BY 1 HAVING count(*) >= 12),
+      am AS (SELECT *, sample IN (SELECT sample FROM hq) AS high FROM arms),
+      sz AS (SELECT comparison, {', '.join(f"count(*) FILTER (is_case = {v}{c}) AS {arm}_n{x}" for arm, v in (('case', 1), ('control', 0)) for x, c in (('', ''), ('_high', ' AND high')))} FROM am GROUP BY 1),
+      ct AS (SELECT comparison, variant, {', '.join(f"count(*) FILTER (is_case = {v}{c}) AS {arm}_k{x}" for arm, v in (('case', 1), ('control', 0)) for x, c in (('', ''), ('_high', ' AND high')))}
+        FROM am JOIN calls USING (sample) GROUP BY 1, 2),
+      pc AS (SELECT comparison, variant, case_n, case_n_high, control_n, control_n_high, {', '.join(f"{arm}_k{x} * 100.0 / nullif({arm}_n{x}, 0)::DOUBLE AS {arm}_pct{x}" for x in ('', '_high') for arm in ('case', 'control'))}
+        FROM sz LEFT JOIN ct USING (comparison) WHERE variant IS NOT NULL),
+      df AS (SELECT *, case_pct - control_pct AS d, case_pct_high - control_pct_high AS dh FROM pc)
+    SELECT comparison, variant, case_n, case_n_high, control_n, control_n_high, round(case_pct, 6) AS case_pct, round(control_pct, 6) AS control_pct, round(d, 6) AS difference_pct, {_direction_sql('d')} AS direction,
+      round(case_pct_high, 6) AS case_pct_high, round(control_pct_high, 6) AS control_pct_high, round(dh, 6) AS difference_pct_high, {_direction_sql('dh')} AS direction_high,
+      CASE WHEN d IS NOT NULL AND dh IS NOT NULL THEN {_direction_sql('d')} = {_direction_sql('dh')} END AS agrees FROM df""",
+)
+def _sensitivity_change(t):
+    good = t.orders.groupBy(F.col("o_custkey").alias("sample")).agg(F.count(F.lit(1)).alias("n")).where("n >= 12").select("sample")
+    return rounded(variants.qc_sensitivity(t.calls(), t.samples(), good))
+
+
 @query(
     "locus_class",
     """WITH x AS (SELECT p_name, bool_and(p_retailprice > 1000) AS a, bool_or(p_retailprice > 1000) AS o FROM part GROUP BY 1)

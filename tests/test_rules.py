@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from carrierlake.functions import annotation, clinical, genotype, keys
 from carrierlake.functions.pvalues import beta_lower, gamma_upper, log_factorial, normal_two_sided
-from carrierlake.operators import contingency, coverage, decisions, expression, intervals, ld, ranktests, similarity, variants
+from carrierlake.operators import contingency, coverage, decisions, expression, intervals, ld, ranktests, regression, similarity, variants
 from carrierlake.sources import tables, text
 
 
@@ -240,3 +240,15 @@ def test_linkage_by_distance_equals_the_window_join(spark):
         if pair in near:
             assert got[pair] == (r.n_shared, pytest.approx(r.r2))
     assert ld.ld_by_distance(df.limit(0), "region", "locus", "pos", "sample", 100).count() == 0
+
+
+def test_penalised_doses_equal_the_general_fit(spark):
+    """The kernel over six counts against the row-wise fit; no case, one dose and few samples are left out."""
+    rows = [(1, 30, 12, 4, 40, 9, 1), (2, 25, 6, 0, 30, 11, 2), (3, 0, 0, 0, 40, 9, 1), (4, 9, 0, 0, 30, 0, 0), (5, 1, 1, 0, 1, 0, 0)]
+    counts = spark.createDataFrame(rows, "k int, " + ", ".join(f"{a}_{g} long" for a in ("case", "control") for g in ("wt", "het", "hom")))
+    got = {r.k: r for r in regression.dose_firth(counts, ["k"]).collect()}
+    general = regression.firth_by_key(regression.dose_rows(counts, ["k"]), ["k"], "case", "dosage", weight="n")
+    expected = {r.k: r for r in general.where("k < 3").collect()}
+    assert set(got) == {1, 2} == set(expected)
+    for k, r in got.items():
+        assert r.converged and (r.odds_ratio, r.ci_low, r.p_value) == pytest.approx((expected[k].odds_ratio, expected[k].ci_low, expected[k].p_value), rel=1e-5)
