@@ -51,9 +51,10 @@ def _ld(t):
     return rounded(ladder_pairs(t))
 
 
-# Every eleventh call is missing; positions grow with the threshold, in uneven steps.
+# Every eleventh call is missing; positions grow with the threshold, in uneven steps. Whole sums, so that ties of rounding agree.
 NEAR = """cl AS (SELECT *, i * 1000 + i % 7 * 100 AS pos FROM ladder WHERE (sample + i) % 11 > 0),
-  near AS (SELECT a.region, a.i, b.i AS j, count(*) AS n_shared, CASE WHEN count(*) >= 3 AND var_pop(a.x) > 1e-12 AND var_pop(b.x) > 1e-12 THEN corr(a.x, b.x) ** 2 END AS r2
+  near AS (SELECT a.region, a.i, b.i AS j, count(*) AS n_shared, CASE WHEN count(*) >= 3 AND var_pop(a.x) > 1e-12 AND var_pop(b.x) > 1e-12 THEN (count(*) * sum(a.x * b.x) - sum(a.x) * sum(b.x)) ** 2
+      / ((count(*) * sum(a.x * a.x) - sum(a.x) ** 2) * (count(*) * sum(b.x * b.x) - sum(b.x) ** 2)) END AS r2
     FROM cl a JOIN cl b ON a.sample = b.sample AND b.pos > a.pos AND b.pos - a.pos <= 20000 GROUP BY 1, 2, 3)"""
 
 
