@@ -3,11 +3,12 @@
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from carrierlake.functions.draws import draw_matrix
-from carrierlake.operators.ranking import quantiles
+from carrierlake.operators.ranking import known, quantiles
 from carrierlake.operators.regression import _key_schema
 from carrierlake.session import cut_lineage
 
@@ -299,6 +300,57 @@ def top_shift(df: DataFrame, keys: list[str], dose: str, parts: list[str]) -> Da
     return slopes.select(*keys, best["part"].alias("top_part"), best["slope"].alias("top_slope"))
 
 
+def pca_by_key(df: DataFrame, keys: list[str], features: list[str], k: int = 2, least: int = 4) -> DataFrame:
+    """Rows with their scores ``pc1``.. on the first components of the standardised features of their key, and ``explained1``.. of the key.
+
+    Means, deviations and correlations are one aggregate; only a key's few moments meet the eigen solve, in batches; scores are computed
+    where the rows are. A component's first loading that is not 0 is positive. A constant feature adds nothing. Rows with a missing
+    feature and keys of fewer than ``least`` rows are left out; components beyond the number of features have score 0.
+    """
+    complete, m = df.where(known(*features)), len(features)
+    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
+    moments = complete.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(features)], *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(features)],
+        *[F.corr(features[i], features[j]).alias(f"_r{i}_{j}") for i, j in pairs],
+    ).where(F.col("_n") >= least)
+    shape = _key_schema(df, keys) + ", _mean array<double>, _scale array<double>, _load array<array<double>>, _share array<double>"
+    rows = complete.join(moments.mapInPandas(_components(keys, m, k), shape), keys)
+    z = [F.coalesce(F.try_divide(F.col(c) - F.get("_mean", F.lit(i)), F.get("_scale", F.lit(i))), F.lit(0.0)) for i, c in enumerate(features)]
+    scores = [sum((z[i] * F.get(F.get("_load", F.lit(c)), F.lit(i)) for i in range(m)), F.lit(0.0)).alias(f"pc{c + 1}") for c in range(k)]
+    return rows.select(*df.columns, *scores, *[F.get("_share", F.lit(c)).alias(f"explained{c + 1}") for c in range(k)])
+
+
+def _components(keys: list[str], m: int, k: int):
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            scale = np.nan_to_num(np.stack([frame[f"_s{i}"].to_numpy(float) for i in range(m)], axis=1))
+            table = np.zeros((len(frame), m, m))
+            for i in range(m):
+                table[:, i, i] = scale[:, i] > 0
+                for j in range(i + 1, m):
+                    table[:, i, j] = table[:, j, i] = np.nan_to_num(frame[f"_r{i}_{j}"].to_numpy(float))
+            values, vectors = np.linalg.eigh(table)
+            values, vectors = np.maximum(values[:, ::-1], 0), vectors[:, :, ::-1]
+            total = values.sum(axis=1, keepdims=True)
+            share, load = np.zeros((len(frame), k)), np.zeros((len(frame), k, m))
+            some = min(k, m)
+            share[:, :some] = np.divide(values, total, out=np.zeros_like(values), where=total > 0)[:, :some]
+            load[:, :some] = vectors.transpose(0, 2, 1)[:, :some]
+            first = np.take_along_axis(load, (np.abs(load) > 1e-9).argmax(axis=2)[:, :, None], axis=2)
+            load = load * np.where(first < 0, -1.0, 1.0)
+            out = frame[keys].copy()
+            out["_mean"] = list(np.stack([frame[f"_m{i}"].to_numpy(float) for i in range(m)], axis=1))
+            out["_scale"], out["_load"], out["_share"] = list(scale), [list(x) for x in load], list(share)
+            yield out
+
+    return solve
+
+
+def with_pass_only(df: DataFrame, passed: str, variant: str = "variant") -> DataFrame:
+    """Every row under ``all``, and once more under ``pass`` where it passed."""
+    return df.withColumn(variant, F.explode(F.when(F.col(passed), F.array(F.lit("all"), F.lit("pass"))).otherwise(F.array(F.lit("all")))))
+
+
 def qc_pca(df: DataFrame, features: list[str], k: int = 2) -> tuple[DataFrame, list[float]]:
     """Scores on the first standardised components and their explained variance; the first feature's loading is positive."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler

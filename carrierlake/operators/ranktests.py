@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from carrierlake.functions.pvalues import chi_square_p, normal_p, student_p
+from carrierlake.operators.fdr import bh_fdr
 from carrierlake.operators.ranking import known, quantiles, running_totals, value_ranks
 from carrierlake.session import cut_lineage
 
@@ -144,6 +145,47 @@ def kruskal(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame
         F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("_rg") * F.col("_rg") / F.col("_ng")).alias("_q")
     ).join(ties, keys)
     n = F.col("_all")
-    h = (12.0 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))
+    h = F.try_divide(12.0 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1), 1 - F.col("_ties") / (n * n * n - n))
     out = sums.where("n_groups >= 2").select(*keys, n.cast("bigint").alias("n"), "n_groups", h.alias("h"))
     return out.withColumn("p_value", chi_square_p(F.col("h"), F.col("n_groups") - 1.0))
+
+
+def typed_association(values: DataFrame, outcomes: DataFrame, keys: list[str], family: list[str], least: int = 10, min_arm: int = 5, min_group: int = 3) -> DataFrame:
+    """Every measured value against every outcome by the outcome's declared kind, with one FDR per ``family``.
+
+    ``values``: sample, keys, value. ``outcomes``: sample, outcome, kind, answer (text). Continuous answers go to Spearman, binary ones (0 or
+    1, others are left out) to Mann-Whitney with the difference of medians as effect, nominal ones to Kruskal-Wallis over groups of at
+    least ``min_group`` samples. A pair needs ``least`` samples with both sides known, a binary one ``min_arm`` on each side. Pairs whose
+    test is undefined (one side constant) are left out. ``n`` counts the samples that entered the test.
+    """
+    pair = [*keys, "outcome"]
+    answered = outcomes.where(F.col("answer").isNotNull()).select("sample", "outcome", "kind", "answer")
+    rows = cut_lineage(values.where(known("value")).join(answered, "sample").select(*pair, "kind", F.col("value").cast("double").alias("value"), "answer"))
+    enough = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("_known")).where(F.col("_known") >= least).select(*pair)
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    number = F.col("answer").try_cast("double")
+    named = lambda df, kind, test, n, effect: df.select(*pair, F.lit(kind).alias("kind"), F.lit(test).alias("test"), n.cast("bigint").alias("n"), effect.alias("effect"), "p_value")
+    ranked = spearman(of("continuous").withColumn("_y", number), pair, "value", "_y", least)
+    split = mann_whitney(of("binary").where(number.isin(0.0, 1.0)).withColumn("_yes", number == 1), pair, "value", "_yes", min_arm)
+    trimmed = of("nominal").withColumn("answer", F.trim("answer"))
+    sizes = trimmed.groupBy(*pair, "answer").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_group)
+    grouped = kruskal(trimmed.join(sizes.select(*pair, "answer"), [*pair, "answer"]), pair, "value", "answer")
+    tested = (
+        named(ranked, "continuous", "Spearman", F.col("n"), F.col("rho"))
+        .unionByName(named(split, "binary", "Mann-Whitney", F.col("n1") + F.col("n2"), F.col("median_carrier") - F.col("median_rest")))
+        .unionByName(named(grouped, "nominal", "Kruskal-Wallis", F.col("n"), F.col("h")))
+    )
+    return bh_fdr(cut_lineage(tested.where(F.col("effect").isNotNull()).join(enough, pair)), "p_value", family)
+
+
+def feature_pairs(a: DataFrame, b: DataFrame, keys: list[str], family: list[str], least: int = 10) -> DataFrame:
+    """Spearman of every feature of ``a`` with every feature of ``b`` over common samples, with one FDR per ``family``.
+
+    Both sides: sample, keys, feature, value. The pairs are the result (features of a times features of b); their rows are counted per
+    (pair, value, value) before anything is ranked. A feature is not paired with itself.
+    """
+    left = a.where(known("value")).select("sample", *keys, F.col("feature").alias("feature_a"), F.col("value").alias("_x"))
+    right = b.where(known("value")).select("sample", *keys, F.col("feature").alias("feature_b"), F.col("value").alias("_y"))
+    rows = left.join(right, ["sample", *keys]).where(F.col("feature_a") != F.col("feature_b"))
+    tested = spearman(rows, [*keys, "feature_a", "feature_b"], "_x", "_y", least)
+    return bh_fdr(cut_lineage(tested.where(F.col("rho").isNotNull())), "p_value", family)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from carrierlake.functions.draws import uniform_sql
 from carrierlake.operators import expression, ranktests, resampling
 from carrierlake.plans.association import PART_CELLS, part_cells
-from carrierlake.plans.registry import log_choose, query, rounded, student_sql, with_sql
+from carrierlake.plans.registry import bh_sql, log_choose, normal_sql, query, rounded, student_sql, with_sql
+from carrierlake.plans.statistics import U_SQL
 
 EXPR = """ex AS (SELECT l_suppkey AS sample, p_brand AS feature, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 HOUSE = ["Brand#1", "Brand#2"]
@@ -192,6 +193,20 @@ def _pca(t):
     return rounded(scores.select("sample", "pc1", "pc2"), 4).select("*", *[F.round(F.lit(v), 6).alias(f"explained{i + 1}") for i, v in enumerate(explained)])
 
 
+@query(
+    "qc_pca_pass_only",
+    """WITH x AS (SELECT o_custkey AS sample, avg(o_totalprice) AS spend, count(*)::DOUBLE AS n FROM orders GROUP BY 1), v AS (SELECT 'all' AS variant, * FROM x UNION ALL SELECT 'pass', * FROM x WHERE n >= 8),
+      c AS (SELECT variant, corr(spend, n) AS r, avg(spend) AS ms, stddev_samp(spend) AS ss, avg(n) AS mn, stddev_samp(n) AS sn FROM v GROUP BY 1 HAVING count(*) >= 4),
+      z AS (SELECT variant, sample, r, (spend - ms) / ss AS a, (n - mn) / sn AS b FROM v JOIN c USING (variant))
+    SELECT variant, sample, round((a + sign(r) * b) / sqrt(2), 4) AS pc1, round((a - sign(r) * b) / sqrt(2), 4) AS pc2, round((1 + abs(r)) / 2, 6) AS explained1, round((1 - abs(r)) / 2, 6) AS explained2 FROM z""",
+)
+def _pca_pass(t):
+    metrics = t.orders.groupBy(F.col("o_custkey").alias("sample")).agg(F.avg("o_totalprice").alias("spend"), F.count(F.lit(1)).cast("double").alias("n"))
+    rows = expression.with_pass_only(metrics.withColumn("passed", F.col("n") >= 8), "passed")
+    out = expression.pca_by_key(rows, ["variant"], ["spend", "n"])
+    return out.select("variant", "sample", *[F.round(c, 4).alias(c) for c in ("pc1", "pc2")], *[F.round(c, 6).alias(c) for c in ("explained1", "explained2")])
+
+
 RHO_P = f"CASE WHEN n > 2 AND abs(rho) < 1 THEN round({student_sql('rho * sqrt((n - 2) / (1 - rho * rho))', '(n - 2)')}, 6) WHEN n > 2 AND rho IS NOT NULL THEN 0.0 END AS p_value"
 
 LAYERS = """ly AS (SELECT p_brand AS gene, l_suppkey AS sample, sum(l_quantity) FILTER (l_returnflag = 'A') AS x, sum(l_quantity) FILTER (l_returnflag = 'R') AS y
@@ -224,6 +239,61 @@ def _gene_clinical(t):
     return rounded(ranktests.spearman(joined, ["feature", "outcome"], "value", "y"))
 
 
+CHI_TAIL = f"""CASE n_groups WHEN 2 THEN {normal_sql('sqrt(h)')} WHEN 3 THEN exp(-h / 2) ELSE {normal_sql('sqrt(h)')} + sqrt(2 * h / pi()) * exp(-h / 2) END"""
+RANKS = "rank() OVER (PARTITION BY cohort, feature, outcome ORDER BY {c}) + (count(*) OVER (PARTITION BY cohort, feature, outcome, {c}) - 1) / 2.0"
+TIES = "(SELECT cohort, feature, outcome, sum(c * c * c - c)::DOUBLE AS ties, sum(c)::DOUBLE AS m FROM (SELECT cohort, feature, outcome, value, count(*) AS c FROM {src} GROUP BY ALL) GROUP BY ALL)"
+FIELDS = "cohort, feature, outcome"
+
+
+@query(
+    "endpoint_vs_clinical",
+    f"""WITH {EXPR}, su AS (SELECT s_suppkey AS sample, 'c' || s_nationkey % 2 AS cohort, s_acctbal::VARCHAR AS balance, CASE WHEN s_nationkey = 3 THEN '2' WHEN s_acctbal > 4000 THEN '1' ELSE '0' END AS rich,
+        CASE WHEN s_nationkey = 24 THEN 'rare' WHEN s_nationkey = 5 THEN NULL ELSE 'n' || s_nationkey % 3 END AS nation FROM supplier),
+      an AS (SELECT sample, cohort, unnest([{{'outcome': 'balance', 'answer': balance}}, {{'outcome': 'rich', 'answer': rich}}, {{'outcome': 'nation', 'answer': nation}}], recursive := true) FROM su),
+      j AS (SELECT cohort, feature, outcome, value, answer FROM ex JOIN an USING (sample) WHERE answer IS NOT NULL), ok AS (SELECT {FIELDS} FROM j GROUP BY ALL HAVING count(*) >= 10),
+      sp AS (SELECT {FIELDS}, count(*) AS n, corr(rx, ry) AS rho FROM (SELECT *, {RANKS.format(c='value')} AS rx, {RANKS.format(c='answer::DOUBLE')} AS ry FROM j WHERE outcome = 'balance') GROUP BY ALL),
+      bi AS (SELECT * FROM j WHERE outcome = 'rich' AND answer IN ('0', '1')),
+      mw AS (SELECT {FIELDS}, count(*) FILTER (answer = '1') AS n1, count(*) FILTER (answer = '0') AS n2, sum(r) FILTER (answer = '1') - count(*) FILTER (answer = '1') * (count(*) FILTER (answer = '1') + 1) / 2.0 AS u,
+        median(value) FILTER (answer = '1') - median(value) FILTER (answer = '0') AS gap FROM (SELECT *, {RANKS.format(c='value')} AS r FROM bi) GROUP BY ALL),
+      mz AS (SELECT *, {U_SQL} AS z FROM mw JOIN {TIES.format(src='bi')} USING ({FIELDS}) WHERE n1 >= 5 AND n2 >= 5),
+      no AS (SELECT * FROM j WHERE outcome = 'nation' QUALIFY count(*) OVER (PARTITION BY {FIELDS}, answer) >= 3),
+      kq AS (SELECT {FIELDS}, count(*) AS n_groups, sum(rg * rg / ng)::DOUBLE AS q FROM (SELECT {FIELDS}, answer, count(*) AS ng, sum(r) AS rg FROM (SELECT *, {RANKS.format(c='value')} AS r FROM no) GROUP BY ALL) GROUP BY ALL),
+      kh AS (SELECT *, (12 / (m * (m + 1)) * q - 3 * (m + 1)) / (1 - ties / (m * m * m - m)) AS h FROM kq JOIN {TIES.format(src='no')} USING ({FIELDS}) WHERE n_groups >= 2),
+      al AS (SELECT {FIELDS}, 'continuous' AS kind, 'Spearman' AS test, n, rho AS effect, {student_sql('rho * sqrt((n - 2) / (1 - rho * rho))', '(n - 2)')} AS p_value FROM sp WHERE n >= 10
+        UNION ALL SELECT {FIELDS}, 'binary', 'Mann-Whitney', n1 + n2, gap, {normal_sql('z')} FROM mz UNION ALL SELECT {FIELDS}, 'nominal', 'Kruskal-Wallis', m::BIGINT, h, {CHI_TAIL} FROM kh),
+      kept AS (SELECT al.* FROM al JOIN ok USING ({FIELDS}) WHERE effect IS NOT NULL), q AS ({bh_sql('kept', 'p_value', 'cohort', 'fdr')})
+    SELECT {FIELDS}, kind, test, n, round(effect, 6) AS effect, round(p_value, 6) AS p_value, round(fdr, 4) AS fdr FROM q""",
+)
+def _endpoint_clinical(t):
+    nation = F.col("s_nationkey")
+    answers = t.supplier.select(
+        F.col("s_suppkey").alias("sample"), F.concat(F.lit("c"), nation % 2).alias("cohort"), F.col("s_acctbal").cast("string").alias("balance"),
+        F.when(nation == 3, "2").when(F.col("s_acctbal") > 4000, "1").otherwise("0").alias("rich"),
+        F.when(nation == 24, " rare ").when(nation == 5, F.lit(None)).otherwise(F.concat(F.lit("n"), nation % 3)).alias("nation"),
+    )
+    values = supplier_expression(t).join(answers.select("sample", "cohort"), "sample")
+    kinds = F.create_map(*[F.lit(x) for x in ("balance", "continuous", "rich", "binary", "nation", "nominal")])
+    outcomes = answers.unpivot(["sample"], ["balance", "rich", "nation"], "outcome", "answer").withColumn("kind", kinds[F.col("outcome")])
+    out = ranktests.typed_association(values, outcomes, ["cohort", "feature"], ["cohort"])
+    return rounded(out.withColumn("fdr", F.round("fdr", 4)))
+
+
+@query(
+    "isoform_vs_gene",
+    f"""WITH {EXPR}, iso AS (SELECT l_suppkey AS sample, p_type AS feature, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+      r AS (SELECT a.feature AS feature_a, b.feature AS feature_b, rank() OVER (PARTITION BY a.feature, b.feature ORDER BY a.value) + (count(*) OVER (PARTITION BY a.feature, b.feature, a.value) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY a.feature, b.feature ORDER BY b.value) + (count(*) OVER (PARTITION BY a.feature, b.feature, b.value) - 1) / 2.0 AS ry FROM iso a JOIN ex b USING (sample)),
+      c AS (SELECT feature_a, feature_b, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY 1, 2 HAVING count(*) >= 10),
+      t AS (SELECT feature_a, feature_b, n, rho, CASE WHEN abs(rho) >= 1 THEN 0.0 ELSE {student_sql('rho * sqrt((n - 2) / (1 - rho * rho))', '(n - 2)')} END AS p_value FROM c),
+      q AS ({bh_sql('t', 'p_value', 'feature_a', 'fdr')})
+    SELECT feature_a, feature_b, n, round(rho, 6) AS rho, round(p_value, 6) AS p_value, round(fdr, 4) AS fdr FROM q""",
+)
+def _isoform(t):
+    iso = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("sample"), F.col("p_type").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+    out = ranktests.feature_pairs(iso, supplier_expression(t), [], ["feature_a"])
+    return rounded(out.withColumn("fdr", F.round("fdr", 4)))
+
+
 # --- resampling ---------------------------------------------------------------------------------
 
 DRAWS = 10_000

@@ -19,6 +19,21 @@ def _panel(t):
     return text.parse_panel(t.part.select(line.alias("value")))
 
 
+@query(
+    "parse_panel_wide",
+    """SELECT DISTINCT 'chr' || p_size AS chr, p_partkey AS start, p_partkey + 200 AS "end", 'amp' || p_partkey AS amplicon_id, 'rs' || p_partkey AS rsid, 'G' || p_size AS gene,
+      p_partkey + 1 AS start_1based, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS pool, CASE WHEN p_partkey % 3 = 2 THEN 's' || p_size END AS extra_2 FROM part WHERE p_partkey % 50 <> 0""",
+)
+def _panel_wide(t):
+    """A header that names seven of eight columns; lines of six to eight fields."""
+    k, tab = F.col("p_partkey"), F.lit("\t")
+    six = F.concat_ws("\t", "p_size", k, k + 200, F.concat(F.lit("amp"), k), F.concat(F.lit("rs"), k), F.concat(F.lit("G"), "p_size"))
+    rest = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.concat(tab, "p_brand")).otherwise(F.concat(tab, "p_brand", tab, F.lit("s"), "p_size"))
+    header = "Chrom\tStart\tEnd\tAmplicon_ID\trsID\tGene\tPool"
+    lines = t.part.select(F.when(k % 100 == 0, "browser position").when(k % 50 == 0, header).otherwise(F.concat(six, rest)).alias("value"))
+    return text.parse_panel(lines, extras=text.panel_layout(lines)[len(text.PANEL_COLUMNS):])
+
+
 @query(
     "parse_depth",
     """SELECT l_suppkey::VARCHAR AS sample, 'chr' || l_linenumber AS chr, l_orderkey AS start, l_orderkey + 10 AS "end", l_quantity AS depth FROM lineitem""",

@@ -4,32 +4,72 @@ Every reader is ``parse_*`` on a DataFrame of lines or string columns plus a thi
 supplies it, so parsing is plain Spark and can run on any source of lines.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from carrierlake.functions.keys import norm_chrom, null_if_token
 from carrierlake.session import cut_lineage
 
 
-def parse_panel(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Target lines to (chr, start, end, amplicon_id, rsid, gene, start_1based).
+#: Columns of a panel line in order, and the words of a header line.
+PANEL_COLUMNS = ["chr", "start", "end", "amplicon_id", "rsid", "gene"]
+HEADER_WORDS = ["CHR", "CHROM", "CHROMOSOME", "START", "END", "AMPLICONID", "AMPLICON", "RSID", "GENE", "NAME", "TARGET"]
 
-    Carriage returns go, track, browser, comment and header lines are skipped, three fields are
-    required, repeats are dropped.
-    """
+
+def panel_fields(lines: DataFrame, column: str = "value") -> DataFrame:
+    """One array ``_f`` per line that is no track, browser or comment line."""
     text = F.regexp_replace(F.col(column), "\r", "")
     fields = F.filter(F.split(F.trim(text), "[\t ]+"), lambda x: x != "")
+    return lines.where(~F.lower(F.trim(text)).rlike("^(track|browser|#)")).select(fields.alias("_f"))
+
+
+def panel_layout(lines: DataFrame, column: str = "value") -> list[str]:
+    """Names of all columns of a panel, from one aggregate over its lines.
+
+    A header line (two header words, or START and END in their places) names the columns after the sixth; those it does not name are
+    ``extra_1`` and so on. Names are lower case, without other marks, and never equal to a fixed or an earlier one (``_2`` is added). Of
+    several header lines the longest counts, then the largest.
+    """
+    words = F.transform("_f", lambda w: F.upper(F.regexp_replace(w, "[^A-Za-z0-9]", "")))
+    header = (F.size(F.filter(words, lambda w: w.isin(HEADER_WORDS))) >= 2) | F.get(words, F.lit(1)).eqNullSafe("START") | F.get(words, F.lit(2)).eqNullSafe("END")
+    seen = panel_fields(lines, column).agg(
+        F.max(F.size("_f")).alias("width"), F.max_by(F.when(header, F.col("_f")), F.when(header, F.struct(F.size("_f"), F.col("_f")))).alias("header")
+    ).first()
+    names, taken = list(PANEL_COLUMNS), {*PANEL_COLUMNS, "start_1based"}
+    given = seen.header or []
+    for i in range(len(PANEL_COLUMNS), seen.width or 0):
+        own = re.sub(r"[^a-z0-9]+", "_", given[i].lower()).strip("_") if i < len(given) else ""
+        base = name = own or f"extra_{i - len(PANEL_COLUMNS) + 1}"
+        copy = 1
+        while name in taken:
+            copy += 1
+            name = f"{base}_{copy}"
+        names.append(name)
+        taken.add(name)
+    return names
+
+
+def parse_panel(lines: DataFrame, column: str = "value", extras: list[str] | None = None) -> DataFrame:
+    """Target lines to (chr, start, end, amplicon_id, rsid, gene, start_1based) and one text column for each of ``extras``.
+
+    Carriage returns go, track, browser, comment and header lines are skipped, three fields are
+    required, repeats are dropped. ``extras`` names the fields from the seventh on (``panel_layout``); a short line has nulls there.
+    """
     part = lambda i: F.get(F.col("_f"), F.lit(i))
     start, end = part(1).try_cast("bigint"), part(2).try_cast("bigint")
-    rows = lines.where(~F.lower(F.trim(text)).rlike("^(track|browser|#)")).select(fields.alias("_f"))
+    rows = panel_fields(lines, column)
     return rows.where((F.size("_f") >= 3) & start.isNotNull() & end.isNotNull()).select(
         norm_chrom(part(0)).alias("chr"), start.alias("start"), end.alias("end"),
         null_if_token(part(3)).alias("amplicon_id"), null_if_token(part(4)).alias("rsid"), null_if_token(part(5)).alias("gene"),
-        (start + 1).alias("start_1based"),
+        (start + 1).alias("start_1based"), *[null_if_token(part(len(PANEL_COLUMNS) + i)).alias(name) for i, name in enumerate(extras or [])],
     ).distinct()
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    return parse_panel(spark.read.text(path))
+    """All columns of a panel file; its width and header are read first."""
+    lines = spark.read.text(path)
+    return parse_panel(lines, extras=panel_layout(lines)[len(PANEL_COLUMNS):])
 
 
 def depth_column(df: DataFrame, fields: list[str]) -> str:
