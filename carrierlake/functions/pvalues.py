@@ -216,8 +216,14 @@ def difference_tails_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -
 
 @F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Two-sided exact p of the table (a, b; c, d)."""
-    return pd.Series([fisher_two_sided(*map(int, row)) for row in zip(a, b, c, d)], dtype="float64")
+    """Two-sided exact p of the table (a, b; c, d); null where a cell is null. Repeated tables of a batch are computed once."""
+    cells = pd.DataFrame({"a": a, "b": b, "c": c, "d": d})
+    whole = cells.notna().all(axis=1).to_numpy()
+    out = np.full(len(cells), np.nan)
+    if whole.any():
+        tables, place = np.unique(cells[whole].to_numpy().astype(np.int64), axis=0, return_inverse=True)
+        out[whole] = np.array([fisher_two_sided(*map(int, row)) for row in tables])[place.ravel()]
+    return pd.Series(out, dtype="float64").where(whole, other=None)
 
 
 def _batched(kernel, *series: pd.Series) -> pd.Series:

@@ -311,7 +311,7 @@ def pca_by_key(df: DataFrame, keys: list[str], features: list[str], k: int = 2,
     pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
     moments = complete.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(features)], *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(features)],
-        *[F.corr(features[i], features[j]).alias(f"_r{i}_{j}") for i, j in pairs],
+        *[F.covar_samp(features[i], features[j]).alias(f"_c{i}_{j}") for i, j in pairs],
     ).where(F.col("_n") >= least)
     shape = _key_schema(df, keys) + ", _mean array<double>, _scale array<double>, _load array<array<double>>, _share array<double>"
     rows = complete.join(moments.mapInPandas(_components(keys, m, k), shape), keys)
@@ -328,7 +328,8 @@ def _components(keys: list[str], m: int, k: int):
             for i in range(m):
                 table[:, i, i] = scale[:, i] > 0
                 for j in range(i + 1, m):
-                    table[:, i, j] = table[:, j, i] = np.nan_to_num(frame[f"_r{i}_{j}"].to_numpy(float))
+                    spread = scale[:, i] * scale[:, j]
+                    table[:, i, j] = table[:, j, i] = np.divide(frame[f"_c{i}_{j}"].to_numpy(float), spread, out=np.zeros(len(frame)), where=spread > 0)
             values, vectors = np.linalg.eigh(table)
             values, vectors = np.maximum(values[:, ::-1], 0), vectors[:, :, ::-1]
             total = values.sum(axis=1, keepdims=True)

@@ -1,6 +1,6 @@
 """Rank tests per key, computed from counts of distinct values rather than from rows."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from carrierlake.functions.pvalues import chi_square_p, normal_p, student_p
 from carrierlake.operators.fdr import bh_fdr
@@ -92,7 +92,7 @@ def dose_spearman(values: DataFrame, carriers: DataFrame, outcome: list[str], ex
     )
     n = F.col("_n")
     spread = (F.col("_xx") + F.col("_zero") * F.col("_rz") * F.col("_rz")) * (n * n * n - n - F.col("_ties")) / 12.0
-    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("_xy"), F.sqrt(spread))))
+    rho = clamped(F.try_divide(F.col("_xy"), F.sqrt(spread)))
     enough = (F.col("_classes") + F.when(F.col("_zero") >= least, 1).otherwise(0) >= 2) & (n >= 4)
     out = sums.where(enough).select(exposure, *outcome, n.cast("bigint").alias("n"), rho.alias("rho")).where(F.col("rho").isNotNull())
     return out.withColumn("p_value", correlation_p("rho", "n"))
@@ -115,11 +115,16 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) ->
         F.sum(w).alias("_n"), F.sum(w * F.col("_rx") * F.col("_ry")).alias("_xy"),
         F.sum(w * F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(w * F.col("_ry") * F.col("_ry")).alias("_yy"),
     )
-    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))))
+    rho = clamped(F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy"))))
     out = sums.where(F.col("_n") >= min_n).select(*keys, F.col("_n").cast("bigint").alias("n"), rho.alias("rho"))
     return out.withColumn("p_value", correlation_p("rho", "n"))
 
 
+def clamped(r: Column) -> Column:
+    """A correlation kept between -1 and 1; null stays null (``least`` alone would skip it)."""
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def correlation_p(r: str, n: str):
     """Student p of a correlation; 0 for a perfect one."""
     dof = F.col(n) - 2.0

@@ -147,11 +147,23 @@ def cox_by_key(
     return _effects(fitted.join(moments.select(*keys, "n", "events"), keys), keys, "b0", "v0", "hazard_ratio")
 
 
+def estimable(df: DataFrame, keys: list[str], event: str, x: str) -> DataFrame:
+    """Keys whose hazard ratio of ``x`` can be finite: not all events lie at the largest, or all at the smallest value of ``x``.
+
+    Where they do, the partial likelihood rises without end in the coefficient of ``x``, whatever the covariates.
+    """
+    dead = F.col(event) == 1
+    ends = df.groupBy(*keys).agg(
+        F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.min(F.when(dead, F.col(x))).alias("_from"), F.max(F.when(dead, F.col(x))).alias("_to")
+    )
+    return ends.where((F.col("_from") < F.col("_hi")) & (F.col("_to") > F.col("_lo"))).select(*keys)
+
+
 def cox_with_fallback(df: DataFrame, keys: list[str], time: str, event: str, x: str, sets: list[list[str]], min_rows: int = 6, **options) -> DataFrame:
     """``cox_by_key`` under the first covariate set that a key supports; ``adjustment`` names it.
 
     ``sets`` are tried in order, the last one usually empty. A key moves on where fewer than ``min_rows`` rows know the whole set, or where its
-    fit does not settle; a key that no set fits is left out. Rows with the set complete are those of the fit (``n`` of ``n_total``).
+    fit does not settle; a key that no set fits is left out. Without a penalty, keys that are not ``estimable`` move on before any pass. Rows with the set complete are those of the fit (``n`` of ``n_total``).
     """
     needed = list(dict.fromkeys(c for own in sets for c in own))
     rows = cut_lineage(observed(df, time, event).where(known(x)).select(*keys, time, event, x, *needed))
@@ -168,6 +180,9 @@ def cox_with_fallback(df: DataFrame, keys: list[str], time: str, event: str, x:
         placed = rows.join(state.select(*keys, "_level"), keys).where(F.get(F.array(*complete), F.col("_level")))
         used = lambda c: F.col("_level").isin([i for i, own in enumerate(sets) if c in own])
         given = placed.select(*keys, time, event, x, *[F.when(used(c), F.col(c).cast("double")).otherwise(0.0).alias(c) for c in needed])
+        if not options.get("penalty"):
+            given = cut_lineage(given)
+            given = given.join(estimable(given, keys, event, x), keys)
         fit = cut_lineage(cox_by_key(given, keys, time, event, [x, *needed], **options).where("converged and not clipped"))
         settled = fit.join(state.select(*keys, "n_total", label.alias("adjustment")), keys)
         done = settled if done is None else done.unionByName(settled)

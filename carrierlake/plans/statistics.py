@@ -257,3 +257,39 @@ def _cox(t):
     plain = survival.cox_by_key(rows, ["cohort"], "days", "event", ["case"]).withColumn("model", F.lit("unadjusted"))
     adjusted = survival.cox_by_key(rows, ["cohort"], "days", "event", ["case", "load"], penalty=0.1).withColumn("model", F.lit("adjusted"))
     return rounded(plain.unionByName(adjusted).where("converged and not clipped"), 4)
+
+
+FALLBACK = {"load+spend": ["load", "spend"], "load": ["load"], "unadjusted": []}
+
+
+def fallback_fit_sql(level: int, covariates: list[str]) -> str:
+    """Fit of one covariate set over the rows that know it, where an arm of each kind has an event and someone without one of its value."""
+    name, features = f"v{level}", [*covariates, "f"]
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in covariates) or "true"
+    kept = f"""k{level} AS (SELECT cohort, count(*) AS n, sum(e)::BIGINT AS events, {', '.join(f'avg({c}) AS m_{c}' for c in features)} FROM sv WHERE {whole} GROUP BY 1
+        HAVING count(*) >= 6 AND sum(e) >= 3 AND min(f) FILTER (e = 1) < max(f) AND max(f) FILTER (e = 1) > min(f))"""
+    source = f"s{level} AS (SELECT cohort, t, e, {', '.join(f'{c} - m_{c} AS f{i}' for i, c in enumerate(features))} FROM sv JOIN k{level} USING (cohort) WHERE {whole})"
+    last = f"b{len(covariates)}"
+    done = f"r{level} AS (SELECT cohort, n, events, {last} AS b, v, {level} AS level FROM {name} JOIN k{level} USING (cohort) WHERE pass = 15 AND abs({last}) < 10)"
+    return ", ".join([kept, source, cox_sql(name, f"s{level}", "cohort", len(features)), done])
+
+
+@query(
+    "cox_with_fallback",
+    with_sql("samples", "").rstrip().replace("WITH", "WITH RECURSIVE", 1)
+    + """, follow AS (SELECT o_custkey AS sample, datediff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days, count(*) / 10.0 AS load, avg(o_totalprice) / 100000 AS spend,
+      CASE WHEN arg_max(o_orderstatus, struct_pack(d := o_orderdate, k := o_orderkey)) = 'F' THEN 1 ELSE 0 END AS event FROM orders GROUP BY 1),
+    sv AS (SELECT cohort, days AS t, event AS e, (tissue = 'Tumour')::INT::DOUBLE AS f, CASE WHEN cohort <> 'BUILDING' THEN load END AS load,
+      CASE WHEN cohort <> 'BUILDING' AND cohort <> 'MACHINERY' THEN spend END AS spend FROM follow JOIN samples USING (sample) WHERE days > 0),
+    tot AS (SELECT cohort, count(*) AS n_total FROM sv GROUP BY 1), """
+    + ", ".join(fallback_fit_sql(i, own) for i, own in enumerate(FALLBACK.values()))
+    + f""", best AS (SELECT * FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY level) = 1)
+    SELECT cohort, n, events, {effect_sql('hazard_ratio')}, n_total, {str(list(FALLBACK)).replace('[', 'list_extract([', 1)}, level + 1) AS adjustment FROM best JOIN tot USING (cohort)""",
+)
+def _cox_fallback(t):
+    known_in = lambda names, c: F.when(~F.col("cohort").isin(names), F.col(c))
+    rows = follow_up(t).withColumn("load", F.col("n_orders") / 10.0).withColumn("spend", F.col("spend") / 100000).select(
+        "cohort", "days", "event", (F.col("tissue") == "Tumour").cast("int").alias("case"),
+        known_in(["BUILDING"], "load").alias("load"), known_in(["BUILDING", "MACHINERY"], "spend").alias("spend"),
+    )
+    return rounded(survival.cox_with_fallback(rows, ["cohort"], "days", "event", "case", list(FALLBACK.values())), 4)

@@ -128,13 +128,18 @@ def parse_calls(lines: DataFrame, annotation_fields: list[str], column: str = "v
     base = lines.where(~F.col(column).startswith("#")).select(
         *keep, part.alias("_p"), (F.col(order) if order else F.array(*[F.lit(x) for x in annotation_fields])).alias("_order")
     ).where(F.size("_p") >= 8)
-    named = F.map_from_entries(F.arrays_zip(F.split(at(8), ":"), F.split(at(9), ":")))
-    rows = base.select(
+    # every field once per line, before lines become alleles; the first of repeated keys counts
+    sample = lambda key: F.get("_values", F.nullif(F.array_position("_names", key).cast("int"), F.lit(0)) - 1)
+    staged = base.select(
         *keep, "_order", norm_chrom(at(0)).alias("CHROM"), at(1).try_cast("bigint").alias("POS"), at(3).alias("REF"), at(4).alias("_alts"),
         at(5).try_cast("double").alias("QUAL"), at(6).alias("FILTER"), at(7).alias("_info"),
-        F.when(F.size("_p") >= 10, named).alias("_sample"),
+        F.when(F.size("_p") >= 10, F.split(at(8), ":")).alias("_names"), F.split(at(9), ":").alias("_values"),
+    )
+    rows = staged.select(
+        *keep, "_order", "CHROM", "POS", "REF", "_alts", "QUAL", "FILTER", _info(F.col("_info"), "CSQ").alias("_csq"), sample("GT").alias("_gt"),
+        *[F.coalesce(sample(key), _info(F.col("_info"), key)).alias(f"_{key.lower()}") for key in ("DP", "AF", "AO", "RO")],
     ).select("*", F.posexplode(F.split("_alts", ",")).alias("_i", "ALT"))
-    field = lambda key: F.coalesce(F.try_element_at("_sample", F.lit(key)), _info(F.col("_info"), key))
+    field = lambda key: F.col(f"_{key.lower()}")
     one = lambda key: F.get(F.split(field(key), ","), F.col("_i")).try_cast("double")
     ao, ro = one("AO"), field("RO").try_cast("double")
     spelled = lambda e: F.substring_index(e, "|", 1)
@@ -145,10 +150,10 @@ def parse_calls(lines: DataFrame, annotation_fields: list[str], column: str = "v
     )
     rows = rows.withColumn("_trim", trim).withColumn("_every", every)
     own = lambda e: (spelled(e) == F.col("ALT")) | (spelled(e) == F.col("_trim")) | ((F.col("_i") == 0) & ~F.array_contains(F.col("_every"), spelled(e)))
-    entries = F.filter(F.split(_info(F.col("_info"), "CSQ"), ","), own)
+    entries = F.filter(F.split("_csq", ","), own)
     parsed = rows.select(
         *keep, "_order", "CHROM", "POS", "REF", "ALT", "QUAL", "FILTER", field("DP").try_cast("int").alias("DP"),
-        F.coalesce(one("AF"), F.try_divide(ao, ao + ro)).alias("AF"), F.try_element_at("_sample", F.lit("GT")).alias("GT"), entries.alias("_e"),
+        F.coalesce(one("AF"), F.try_divide(ao, ao + ro)).alias("AF"), F.col("_gt").alias("GT"), entries.alias("_e"),
     ).select("*", F.explode_outer("_e").alias("_entry")).drop("_e")
     entry = F.split("_entry", r"\|")
     place = lambda i, name: F.lit(i) if order is None else F.nullif(F.array_position("_order", name).cast("int"), F.lit(0)) - 1

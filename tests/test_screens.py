@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from carrierlake.functions.draws import draw_matrix, with_uniform
-from carrierlake.operators import regression, screens, similarity, survival
+from carrierlake.operators import expression, ranktests, regression, screens, similarity, survival
+from carrierlake.sources import text
 
 
 def test_screen_equals_dense_fits(spark):
@@ -112,3 +113,62 @@ def test_cox_moves_on_where_a_set_is_missing(spark):
     assert {k: r.adjustment for k, r in got.items()} == {"both": "age+bmi", "one": "age", "none": "unadjusted"} and all(r.n_total == 80 for r in got.values())
     alone = survival.cox_by_key(df.where("k = 'one'"), ["k"], "t", "e", ["x", "age"]).first()
     assert got["one"].beta == pytest.approx(alone.beta, abs=1e-9)
+
+
+def test_pca_per_key_equals_eigen_solve(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, *map(float, rng.normal(size=3) @ rng.normal(size=(3, 3))), 7.0) for k in ("a", "b") for i in range(30)] + [("few", 0, 1.0, 2.0, 3.0, 7.0), ("a", 99, None, 1.0, 1.0, 7.0)]
+    df = spark.createDataFrame(rows, "k string, id int, x double, y double, z double, same double")
+    got = expression.pca_by_key(df, ["k"], ["x", "y", "z", "same"], 2).toPandas()
+    assert set(got.k) == {"a", "b"} and 99 not in set(got.id)
+    for k in ("a", "b"):
+        own = got[got.k == k].sort_values("id")
+        data = own[["x", "y", "z"]].to_numpy()
+        data = (data - data.mean(0)) / data.std(0, ddof=1)
+        values, vectors = np.linalg.eigh(np.corrcoef(data.T))
+        vectors = vectors[:, ::-1] * np.where(vectors[0, ::-1] < 0, -1, 1)
+        assert np.allclose(own[["pc1", "pc2"]], data @ vectors[:, :2], atol=1e-9)
+        assert np.allclose(own[["explained1", "explained2"]].iloc[0], values[::-1][:2] / 3, atol=1e-12)
+
+
+def test_pass_only_repeats_passing_rows(spark):
+    df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, ok boolean")
+    got = sorted((r.variant, r.id) for r in expression.with_pass_only(df, "ok").collect())
+    assert got == [("all", 1), ("all", 2), ("all", 3), ("pass", 1)]
+
+
+def test_panel_layout_names_every_column(spark):
+    lines = ["track name=x", "Chrom\tStart\tEnd\tName\trsID\tGene\tPool_1\tgene\tPool-1\r", "1\t5\t9\ta\tr\tg\tp\tq\tr\ts", "2\t5\t9"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    names = text.panel_layout(df)
+    assert names == [*text.PANEL_COLUMNS, "pool_1", "gene_2", "pool_1_2", "extra_4"]
+    got = {r.chr: r for r in text.parse_panel(df, extras=names[6:]).collect()}
+    assert got["chr1"].pool_1_2 == "r" and got["chr1"].extra_4 == "s" and got["chr2"].pool_1 is None and len(got) == 2
+    empty = df.where("false")
+    assert text.panel_layout(empty) == text.PANEL_COLUMNS and text.parse_panel(empty).count() == 0
+
+
+def test_typed_association_edges(spark):
+    """Ties on one side, small groups, odd answers and too few samples."""
+    values = spark.createDataFrame([(i, "g", float(i % 7)) for i in range(24)] + [(i, "flat", 1.0) for i in range(24)] + [(30, "g", None)], "sample int, feature string, value double")
+    answers = [(i, "num", "continuous", str(i % 5)) for i in range(24)] + [(0, "num", "continuous", "x")]
+    answers += [(i, "bin", "binary", "2" if i > 20 else str(i % 2)) for i in range(24)] + [(i, "cat", "nominal", "abc"[i % 3] if i < 22 else "z") for i in range(24)] + [(i, "short", "continuous", str(i)) for i in range(9)]
+    outcomes = spark.createDataFrame(answers, "sample int, outcome string, kind string, answer string")
+    got = {(r.feature, r.outcome): r for r in ranktests.typed_association(values, outcomes, ["feature"], ["feature"]).collect()}
+    assert {k for k in got if k[0] == "g"} == {("g", "num"), ("g", "bin"), ("g", "cat")}
+    assert got["g", "num"].n == 24 and got["g", "bin"].n == 21 and got["g", "cat"].n == 22
+    assert ("flat", "num") not in got and ("flat", "cat") not in got and all(r.fdr >= r.p_value for r in got.values())
+    none = ranktests.typed_association(values.where("false"), outcomes, ["feature"], ["feature"])
+    assert none.count() == 0
+
+
+def test_keys_without_a_finite_hazard_are_known_before_any_pass(spark):
+    rows = [("all_in_arm", 1, 1), ("all_in_arm", 0, 0), ("all_in_arm", 0, 1), ("both", 1, 1), ("both", 1, 0), ("none", 0, 1), ("none", 0, 0)]
+    df = spark.createDataFrame(rows, "k string, e int, x int")
+    assert [r.k for r in survival.estimable(df, ["k"], "e", "x").collect()] == ["both"]
+
+
+def test_a_constant_side_has_no_rank_correlation(spark):
+    df = spark.createDataFrame([("flat", 1.0, float(i)) for i in range(5)] + [("rise", float(i), float(i)) for i in range(5)], "k string, x double, y double")
+    got = {r.k: (r.rho, r.p_value) for r in ranktests.spearman(df, ["k"], "x", "y").collect()}
+    assert got == {"flat": (None, None), "rise": (1.0, 0.0)}
