@@ -57,13 +57,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/carrierlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    written = spark._jvm.org.apache.hadoop.fs.Path(path)
-    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
+    delete_at_exit(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver's JVM delete a written folder when it ends."""
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written folder now."""
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).delete(written, True)
+
+
 def discard(*tables: DataFrame, collect: bool = True) -> None:
     """Delete tables of ``cut_lineage`` that no later plan reads, and let the driver clean up shuffle files of plans that are gone.
 
@@ -71,9 +82,7 @@ def discard(*tables: DataFrame, collect: bool = True) -> None:
     ``collect=False`` leaves that to a later call.
     """
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table.sparkSession, table._scratch_path)
     if tables and collect:
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
