@@ -50,14 +50,14 @@ def spans_of(docs: DataFrame, name: str, text: str, kind: int, pattern: str, gro
 
 
 def candidate_spans(docs: DataFrame) -> DataFrame:
-    """``row`` (the input row whole), ``base`` spans and ``tokens``: long tokens that touch no base span."""
+    """``row`` (the input row whole), ``base`` spans and ``tokens``: long tokens that lie inside no base span (they may reach into one)."""
     stage = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("_text"))
     for k, (name, pattern, group, least) in enumerate(KINDS):
         stage = spans_of(stage, f"_{name}", "_text", k, pattern, group, least)
     stage = spans_of(stage, "_tokens", "_text", len(KINDS), TOKEN, 0, 20)
     stage = stage.withColumn("base", F.sort_array(F.concat(*[f"_{k[0]}" for k in KINDS])))
-    apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    return stage.select("row", "base", F.when(F.size("base") == 0, F.col("_tokens")).otherwise(F.filter("_tokens", apart)).alias("tokens"))
+    outside = lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))
+    return stage.select("row", "base", F.when(F.size("base") == 0, F.col("_tokens")).otherwise(F.filter("_tokens", outside)).alias("tokens"))
 
 
 def place_in_alphabet(character: Column) -> Column:

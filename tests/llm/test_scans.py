@@ -209,3 +209,15 @@ def test_targets_stop_at_cap_everywhere(spark):
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
     assert got["a"] == 2 and got["b"] == 2 and got[None] == 10 and got["z"] == 0
     assert math.isclose(sum(got.values()), 1.5 * 1007)
+
+
+def test_a_token_that_sticks_out_of_a_base_span_is_scored(spark):
+    """A key whose middle is a fixed pattern: the rest of it must not stay in a masked text."""
+    key = "Zq9XkV7pLw" + "0123456789abcdef0a" + "Tz4RmB8nYc"
+    df = spark.createDataFrame([(1, f"see {key} here"), (2, "token=Zq9XkV7pLw3Hd8Tz4RmB here")], "doc_id bigint, text string")
+    found = {r.row.doc_id: r for r in secrets.candidate_spans(df).collect()}
+    assert [t.value for t in found[1].tokens] == [key] and len(found[1].base) == 1
+    assert found[2].tokens == [] and len(found[2].base) == 1
+    spans = secrets.candidate_spans(df).select("row.doc_id", "row.text", F.sort_array(F.concat("base", "tokens")).alias("spans"))
+    safe = {r.doc_id: r.safe for r in spans.select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("safe")).collect()}
+    assert safe == {1: "see [secret] here", 2: "[secret] here"}
