@@ -1,8 +1,8 @@
 """Token ids in binary files: one shared zstandard dictionary, one frame per document, and an offset index.
 
 A file set under ``path`` has two Spark-written tables. ``dictionary``: (dict_hash, dictionary), one row. ``blocks``: one row per block of
-consecutive documents in ascending doc_id: part and block (their order), dict_hash, width (bytes per id), doc_ids, n_tokens, offsets (the
-index into the payload) and payload (the frames one after the other). A frame is the little-endian id array of one document, so a
+consecutive documents in ascending doc_id: part and block (their order), dict_hash, width (bytes per id), first_id and last_id (Parquet's
+statistics skip blocks by them), doc_ids, n_tokens, offsets (the index into the payload) and payload (the frames one after the other). A frame is the little-endian id array of one document, so a
 single short document is read with one block row, one offset and one small decompression. Blocks are rows, so Spark's committer makes
 a lost executor's work safe to repeat, and column pruning reads the index without the payload.
 """
@@ -17,7 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from carrierlake.session import cut_lineage, discard, scratch_folder
+from carrierlake.session import cut_lineage, delete_at_exit, discard, scratch_folder
 
 from .common import documents, hashed_sample, query
 from .tokens import default_vocabulary, encoder, slices
@@ -65,7 +65,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, dictionary: bytes, pl
 
 
 BLOCK_TYPE = (
-    "part int, block int, dict_hash string, width int, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
+    "part int, block int, dict_hash string, width int, first_id bigint, last_id bigint, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
 )
 
 
@@ -77,8 +77,9 @@ def blocks(rows: DataFrame, dict_hash: str) -> DataFrame:
 
         def close():
             offsets = np.concatenate([[0], np.cumsum([len(r[3]) for r in held])]).tolist()
-            values = [part, block, dict_hash, held[0][2], [r[0] for r in held], [r[1] for r in held], offsets, b"".join(r[3] for r in held)]
-            types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+            known = [r[0] for r in held if r[0] is not None]
+            values = [part, block, dict_hash, held[0][2], min(known, default=None), max(known, default=None), [r[0] for r in held], [r[1] for r in held], offsets, b"".join(r[3] for r in held)]
+            types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
             names = [c.split()[0] for c in BLOCK_TYPE.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
@@ -155,7 +156,8 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
     dictionary = spark.read.parquet(f"{path}/dictionary").first().dictionary
     table = spark.read.schema(BLOCK_TYPE).parquet(f"{path}/blocks")
     at: Column = F.explode(F.filter(F.sequence(F.lit(1), F.size("doc_ids")), lambda i: F.get("doc_ids", i - 1) == doc_id))
-    found = table.where(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))).withColumn("at", at)
+    near = table.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    found = near.where(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))).withColumn("at", at)
     begin, end = F.get("offsets", F.col("at") - 1), F.get("offsets", F.col("at"))
     frame = F.substring("payload", (begin + 1).cast("int"), (end - begin).cast("int"))
     shared = zstandard.ZstdCompressionDict(bytes(dictionary)) if dictionary else None
@@ -168,4 +170,5 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
 def op7(spark, folder):
     path = f"{scratch_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     write_token_files(documents(spark, folder), path)
+    delete_at_exit(spark, path)
     return read_token_files(spark, path, digest=True)
