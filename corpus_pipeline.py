@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from carrierlake.llm import jaccard, mixing, packing, secrets, toxicity
-from carrierlake.session import scratch_folder
+from carrierlake.session import delete_at_exit, remove, scratch_folder
 
 #: Toxicity, near duplicates and packing are not expressible in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates."""
+    """The document of the smallest doc_id of each group of near duplicates; ``jaccard.deduplicated`` states what null and repeated ids do."""
     return jaccard.deduplicated(docs)
 
 
@@ -58,11 +58,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again as the next one's input."""
+    """All stages over ``documents``; each result is written as Parquet and read again as the next one's input.
+
+    A stage's folder goes once the next one is written, the last one when the driver ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{scratch_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        else:
+            delete_at_exit(spark, folder)
+        before = path
     return docs
