@@ -21,17 +21,17 @@ POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1)) for j
 
 
 def hypergeometric_tails(df: DataFrame, cells: tuple[str, str, str, str]) -> DataFrame:
-    """Exact probability of a difference in proportions at least as large, below and above."""
+    """Exact probability of a difference in proportions at least as large, below and above; a table with a null cell or an empty arm has none and no row."""
     names = ["_fa", "_fb", "_fc", "_fd"]
     keyed = df.select("*", *[F.col(c).cast("bigint").alias(n) for c, n in zip(cells, names)])
 
     n1, n2 = F.col("_fa") + F.col("_fb"), F.col("_fc") + F.col("_fd")
     tails = (
         keyed.select(*names).dropna().distinct().where((n1 > 0) & (n2 > 0))
-        .withColumn("observed_difference", F.col("_fa").cast("double") / n1 - F.col("_fc").cast("double") / n2)
+        .withColumn("observed_difference", F.try_divide(F.col("_fa").cast("double"), n1) - F.try_divide(F.col("_fc").cast("double"), n2))
         .withColumn("_t", difference_tails_p(*names)).select(*names, "observed_difference", F.col("_t.low").alias("tail_low"), F.col("_t.high").alias("tail_high"))
     )
-    return keyed.join(tails, names, "left").drop(*names)
+    return keyed.join(tails, names).drop(*names)
 
 
 def permutation_difference(
@@ -45,7 +45,7 @@ def permutation_difference(
     """
     tails = hypergeometric_tails(df, cells).withColumn("hits", _hits(draws, seed)(*[F.col(k) for k in keys], "tail_low", "tail_high"))
     a, b, c, d = (F.col(x) for x in cells)
-    angle = lambda x, y: F.asin(F.sqrt(x / (x + y)))
+    angle = lambda x, y: F.asin(F.sqrt(F.try_divide(x, x + y)))
     shift = 1 if plus_one else 0
     return tails.select(
         *keys, "observed_difference", "hits", ((F.col("hits") + shift) / F.lit(float(draws + shift))).alias("p_permutation"),
