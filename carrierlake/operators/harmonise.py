@@ -51,6 +51,14 @@ def triple_negative(er: Column, pr: Column, her2: Column) -> Column:
     return F.when(F.coalesce(every, F.lit(False)), "Yes").when(some, "No")
 
 
+def msi_status(c: Column) -> Column:
+    """MSI or MSS by the words of a free text; ``decisions.decide`` maps whole texts to its own categories."""
+    s = F.upper(clinical.clean_text(c))
+    return F.when(s.contains("MSI-H") | s.contains("UNSTABLE") | s.contains("DMMR") | s.contains("LOSS"), "MSI").when(
+        s.contains("MSS") | s.contains("STABLE") | s.contains("PMMR") | s.contains("INTACT"), "MSS"
+    )
+
+
 def vital_from_flag(exitus: Column) -> Column:
     """Vital status where a sheet has only the death flag; status texts go through ``decisions.decide``."""
     flag = clinical.yes_no(exitus)

@@ -1,6 +1,9 @@
 """Cases of the third review: each failed before its change."""
 
-from carrierlake.operators import resampling
+from pyspark.sql import functions as F
+
+from carrierlake.operators import harmonise, resampling
+from carrierlake.plans import clinical
 
 
 def test_empty_arms_and_null_cells_have_no_permutation_test(spark):
@@ -8,3 +11,10 @@ def test_empty_arms_and_null_cells_have_no_permutation_test(spark):
     df = spark.createDataFrame(rows, "k int, a int, b int, c int, d int")
     got = resampling.permutation_difference(df, ["k"], ("a", "b", "c", "d"), 200).collect()
     assert [r.k for r in got] == [1] and 0 < got[0].p_exact <= 1
+
+
+def test_harmonise_clinical_has_every_column(spark):
+    texts = ["MSI-H", "MSS", "stable", "unstable", "dMMR", "pMMR", "?", "intact"]
+    got = spark.createDataFrame([(x,) for x in texts], "raw string").select(harmonise.msi_status(F.col("raw")).alias("v")).collect()
+    assert [r.v for r in got] == ["MSI", "MSS", "MSS", "MSI", "MSI", "MSS", None, "MSS"]
+    assert "msi" in clinical.CASES and "msi" in clinical.RULES
