@@ -19,8 +19,8 @@ def observed(df: DataFrame, time: str, event: str) -> DataFrame:
 
 
 def km_table(df: DataFrame, keys: list[str], time: str, event: str) -> DataFrame:
-    """Survival steps per key: at risk, events, survival after each time."""
-    at = observed(df, time, event).groupBy(*keys, time).agg(
+    """Survival steps per key: at risk, events, survival after each time; a duration of zero is a step like any other."""
+    at = df.where(known(time) & F.col(event).isNotNull()).groupBy(*keys, time).agg(
         F.count(F.lit(1)).alias("leaving"), F.sum(F.col(event).cast("bigint")).alias("events")
     )
     risk = running_totals(at, keys, time, {"risk": F.col("leaving")}, descending=True).drop("risk_total")

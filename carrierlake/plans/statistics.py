@@ -200,6 +200,10 @@ FOLLOW = """follow AS (SELECT o_custkey AS sample, datediff('day', min(o_orderda
   surv AS (SELECT cohort, tissue, days, event FROM follow JOIN samples USING (sample) WHERE days > 0)"""
 
 
+# The product-limit curve counts samples of one day, too.
+EVERY_FOLLOW = FOLLOW.replace(" WHERE days > 0", "")
+
+
 def follow_up(t):
     """Days from first to last order; the event is a finished last order."""
     last = F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus"))["o_orderstatus"]
@@ -215,7 +219,7 @@ def follow_up(t):
 
 @query(
     "km_table",
-    with_sql("samples", "").rstrip() + f""", {FOLLOW}, steps AS (SELECT cohort, tissue, days, count(*) AS leaving, sum(event)::BIGINT AS events FROM surv GROUP BY 1, 2, 3),
+    with_sql("samples", "").rstrip() + f""", {EVERY_FOLLOW}, steps AS (SELECT cohort, tissue, days, count(*) AS leaving, sum(event)::BIGINT AS events FROM surv GROUP BY 1, 2, 3),
       r AS (SELECT *, sum(leaving) OVER (PARTITION BY cohort, tissue ORDER BY days DESC)::BIGINT AS at_risk FROM steps)
     SELECT cohort, tissue, days, at_risk, events, round(CASE WHEN sum(CASE WHEN events = at_risk THEN 1 ELSE 0 END) OVER w > 0 THEN 0.0
       ELSE exp(sum(CASE WHEN events = at_risk THEN 0.0 ELSE ln(1 - events / at_risk::DOUBLE) END) OVER w) END, 6) AS survival

@@ -1,8 +1,9 @@
 """Cases of the third review: each failed before its change."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from carrierlake.operators import harmonise, resampling
+from carrierlake.operators import harmonise, resampling, survival
 from carrierlake.plans import clinical
 
 
@@ -18,3 +19,10 @@ def test_harmonise_clinical_has_every_column(spark):
     got = spark.createDataFrame([(x,) for x in texts], "raw string").select(harmonise.msi_status(F.col("raw")).alias("v")).collect()
     assert [r.v for r in got] == ["MSI", "MSS", "MSS", "MSI", "MSI", "MSS", None, "MSS"]
     assert "msi" in clinical.CASES and "msi" in clinical.RULES
+
+
+def test_km_counts_durations_of_zero(spark):
+    df = spark.createDataFrame([("a", 0, 1), ("a", 0, 0), ("a", 3, 1), ("a", 5, 0), ("a", None, 1)], "k string, t int, e int")
+    got = {r.t: (r.at_risk, r.events, r.survival) for r in survival.km_table(df, ["k"], "t", "e").collect()}
+    assert {t: v[:2] for t, v in got.items()} == {0: (4, 1), 3: (2, 1), 5: (1, 0)}
+    assert [got[t][2] for t in (0, 3, 5)] == pytest.approx([0.75, 0.375, 0.375])
