@@ -1,8 +1,12 @@
 """Cases of the third review: each failed before its change."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from carrierlake.functions.sequence import sequence_metrics
 from carrierlake.operators import harmonise, resampling, survival
 from carrierlake.plans import clinical
 
@@ -26,3 +30,35 @@ def test_km_counts_durations_of_zero(spark):
     got = {r.t: (r.at_risk, r.events, r.survival) for r in survival.km_table(df, ["k"], "t", "e").collect()}
     assert {t: v[:2] for t, v in got.items()} == {0: (4, 1), 3: (2, 1), 5: (1, 0)}
     assert [got[t][2] for t in (0, 3, 5)] == pytest.approx([0.75, 0.375, 0.375])
+
+
+def brute_metrics(s, window=20):
+    size, w = len(s), min(window, len(s))
+    def stretch(k):
+        return max(map(len, "".join("1" if s[i] == s[i + k] else "0" for i in range(size - k)).split("0")))
+    gc = [sum(x in "GC" for x in s[i : i + w]) * 100.0 / w for i in range(size - w + 1)]
+    stem = lambda i: s[i : i + 6][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    g, c = s.count("G"), s.count("C")
+    return (
+        (g + c) * 100.0 / size, (g - c) / (g + c) if g + c else 0.0, max(gc), min(gc), stretch(1) + 1,
+        max((stretch(k) + k) // k * k if stretch(k) >= k else 0 for k in (2, 3)), any(stem(i) in s[i + 6 :] for i in range(size - 11)),
+    )
+
+
+def test_sequence_metrics_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["A", "AC", "ACA", "GGG", "ACGTN", "A" * 12, "ACGTACGTACGT", "AAACCCGGGTTT", "AAACCCXGGGTTT", "ATATATA", "ÉÑACGTÉÑ😀ACGT"]
+    texts += ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ACGT", "AC", "ACGTN") for n in (11, 12, 13, 20, 21, 60, 400) for _ in range(4)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, "", None])], "i int, s string")
+    got = {r.i: tuple(r)[1:] for r in rows.select("i", sequence_metrics(F.col("s")).alias("m")).select("i", "m.*").collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_metrics(x) for x in texts]
+    assert got[len(texts)] == got[len(texts) + 1] == (None,) * 7
+
+
+def test_sequence_metrics_of_a_long_text_takes_seconds(spark):
+    """Before, each window and each stem read the whole text."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("AC") for _ in range(400_000))
+    begin = time.time()
+    got = spark.createDataFrame([(text,)], "s string").select(sequence_metrics(F.col("s")).alias("m")).first().m
+    assert time.time() - begin < 30 and not got.hairpin and got.gc_pct == text.count("C") * 100.0 / len(text)
