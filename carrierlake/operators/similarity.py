@@ -82,23 +82,61 @@ BANDS, PER_BAND = 24, 6
 BLOCK = 256
 
 
-def candidate_pairs(calls: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, block: int = BLOCK) -> DataFrame:
-    """Pairs (sample_1 < sample_2) whose (locus, call) sets agree in a band of their minwise signatures.
+#: Differences up to which a signature takes two of d + 2 parts; beyond, one of d + 1.
+PAIRED_PARTS = 5
+#: Differences beyond which the number of parts goes up in steps of a quarter.
+EVERY_NUMBER = 16
 
-    Signatures are one aggregate. A bucket of many members is cut into blocks, and each pair of blocks meets by itself, so one common
-    signature doesn't fill a task; the pairs of a bucket still grow with its square, so equal genotypes should be one row (``representatives``).
+
+def _parts_table(calls: DataFrame, threshold: float) -> DataFrame:
+    """(sample, size, band, key): sets with a Jaccard similarity of ``threshold`` or more share at least one (band, key), without exception.
+
+    Sets of n and m tokens at the threshold differ in at most d = (n + m)(1 - t)/(1 + t) tokens. Tokens are dealt to d + 2 parts by hash, so
+    at least two parts hold no difference (one of d + 1). Each sample files itself under every d a partner of allowed size can give.
+    A key covers about ten tokens or more, so samples that are not alike rarely share one. Rows of ``calls`` are distinct.
+    """
+    sizes = calls.groupBy("sample").agg(F.count(F.lit(1)).alias("size"))
+    gap = 1 - threshold
+    differences = F.sequence(F.floor(F.col("size") * gap - 1e-9), F.floor(F.col("size") * gap / threshold + 1e-9))
+    step = lambda d: F.ceil(EVERY_NUMBER * F.pow(F.lit(1.25), F.ceil(F.log(d / F.lit(float(EVERY_NUMBER))) / F.log(F.lit(1.25)) - 1e-9)))
+    band = lambda d: F.when(d <= EVERY_NUMBER, d).otherwise(F.greatest(d, step(d)))
+    filed = sizes.where("size > 0").withColumn("band", F.explode(F.array_distinct(F.transform(differences, band))))
+    parts = F.col("band") + F.when(F.col("band") <= PAIRED_PARTS, 2).otherwise(1)
+    dealt = calls.select("sample", F.xxhash64("locus", "call").alias("_t")).join(filed, "sample").withColumn("_part", F.pmod(F.xxhash64("_t", "band"), parts))
+    digests = dealt.groupBy("sample", "size", "band", "_part").agg(F.xxhash64(F.bit_xor(F.xxhash64("_t", F.lit(1))), F.count(F.lit(1))).alias("_d"))
+    whole = digests.groupBy("sample", "size", "band").agg(F.map_from_entries(F.collect_list(F.struct("_part", "_d"))).alias("_m"))
+    every = F.sequence(F.lit(0).cast("bigint"), parts - 1)
+    digest = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("bigint"))
+    one = F.transform(every, lambda i: F.xxhash64(F.col("band"), i, digest(i)))
+    two = F.flatten(F.transform(every, lambda i: F.transform(F.filter(every, lambda j: j > i), lambda j: F.xxhash64(F.col("band"), i, j, digest(i), digest(j)))))
+    return whole.select("sample", "size", "band", F.explode(F.when(F.col("band") <= PAIRED_PARTS, two).otherwise(one)).alias("key"))
+
+
+def candidate_pairs(calls: DataFrame, bands: int = BANDS, per_band: int = PER_BAND, block: int = BLOCK, *, threshold: float | None = None) -> DataFrame:
+    """Pairs (sample_1 < sample_2) whose (locus, call) sets may be alike.
+
+    With a ``threshold`` every pair of that Jaccard similarity is among them: sets that agree in parts (see ``_parts_table``) and whose sizes
+    allow it. Without, sets that agree in a band of their minwise signatures, which is one aggregate. A bucket of many members is cut into
+    blocks, and each pair of blocks meets by itself, so one common signature doesn't fill a task; the pairs of a bucket still grow with its
+    square, so equal genotypes should be one row (``representatives``).
     """
-    token = F.xxhash64("locus", "call")
-    least = [F.min(F.xxhash64(F.col("_t"), F.lit(i))).alias(f"m{i}") for i in range(bands * per_band)]
-    signed = calls.select("sample", token.alias("_t")).groupBy("sample").agg(*least)
-    own = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * per_band + i}" for i in range(per_band)]).alias("key")) for b in range(bands)]
-    buckets = cut_lineage(signed.select("sample", F.inline(F.array(*own))))
+    if threshold is None:
+        token = F.xxhash64("locus", "call")
+        least = [F.min(F.xxhash64(F.col("_t"), F.lit(i))).alias(f"m{i}") for i in range(bands * per_band)]
+        signed = calls.select("sample", token.alias("_t")).groupBy("sample").agg(*least)
+        own = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * per_band + i}" for i in range(per_band)]).alias("key")) for b in range(bands)]
+        filed = signed.select("sample", F.lit(1).cast("bigint").alias("size"), F.inline(F.array(*own)))
+    else:
+        filed = _parts_table(calls, threshold)
+    buckets = cut_lineage(filed)
     sizes = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     crowded = buckets.join(sizes, ["band", "key"]).withColumn("_parts", F.ceil(F.col("_m") / block).cast("int"))
     placed = crowded.withColumn("_part", F.pmod(F.xxhash64("sample"), F.col("_parts")).cast("int")).drop("_m")
-    left = placed.select("band", "key", F.col("sample").alias("_a"), F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_j"))
-    right = placed.select("band", "key", F.col("sample").alias("_b"), F.col("_part").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_i"))
+    left = placed.select("band", "key", F.col("sample").alias("_a"), F.col("size").alias("_n"), F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_j"))
+    right = placed.select("band", "key", F.col("sample").alias("_b"), F.col("size").alias("_o"), F.col("_part").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_i"))
     met = left.join(right, ["band", "key", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_a") < F.col("_b")))
+    if threshold is not None:
+        met = met.where(F.least("_n", "_o") >= F.greatest("_n", "_o") * threshold - 1e-9)
     return met.select(F.least("_a", "_b").alias("sample_1"), F.greatest("_a", "_b").alias("sample_2")).distinct()
 
 
@@ -110,13 +148,13 @@ def representatives(digests: DataFrame) -> DataFrame:
 def near_identical(calls: DataFrame, classes: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Pairs of different genotypes whose call sets have a Jaccard similarity of ``threshold`` or more, with their concordances.
 
-    Nothing is passed in: candidates come from signatures and are then scored exactly. ``calls``: sample, locus, call. One sample stands for
+    Nothing is passed in: candidates agree in parts, which no such pair can fail to do, and are then scored exactly. ``calls``: sample, locus, call. One sample stands for
     those of equal genotype; ``representatives`` says which.
     """
     rows = cut_lineage(calls.select("sample", "locus", "call").distinct())
     chosen = cut_lineage(representatives(genotype_digest(rows)))
     own = cut_lineage(rows.join(chosen.select("sample"), "sample", "left_semi"))
-    pairs = cut_lineage(candidate_pairs(own))
+    pairs = cut_lineage(candidate_pairs(own, threshold=threshold))
     size = lambda i: chosen.select(F.col("sample").alias(f"sample_{i}"), F.col("n_loci").alias(f"n_{i}"), F.col("copies").alias(f"copies_{i}"))
     keys = ["sample_1", "sample_2"]
     tokens = own.select("sample", "locus", "call")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carrierlake.functions.sequence import sequence_metrics
-from carrierlake.operators import harmonise, intervals, resampling, survival
+from carrierlake.operators import harmonise, intervals, resampling, similarity, survival
 from carrierlake.plans import clinical
 
 
@@ -92,3 +92,15 @@ def test_targets_by_class_against_all_pairs(spark):
     for r in intervals.targets_summary(targets, links).collect():
         keys = sorted({key for key, target, _ in pairs if target == r.target_id and target is not None})
         assert r.n_variants == len(keys) and r.examples == "; ".join(sorted(map(str, keys[:5]))) and r.any_variant == bool(keys)
+
+
+def test_samples_that_are_not_alike_do_not_meet(spark):
+    """Random sets over few tokens, as many samples have: minwise bands let a pair in a thousand meet, parts next to none, and lose none that are alike."""
+    rng = random.Random(9)
+    base = [frozenset(rng.sample(range(200), rng.randrange(9, 70))) for _ in range(700)]
+    changed = [x ^ set(rng.sample(range(200), rng.randrange(1, 5))) for x in base[:120]]
+    sets = dict(enumerate({*base, *map(frozenset, changed)}))
+    calls = spark.createDataFrame([(i, x, "WT") for i, own in sets.items() for x in own], "sample int, locus int, call string")
+    alike = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) * 10 >= 9 * len(sets[i] | sets[j])}
+    got = {tuple(r) for r in similarity.candidate_pairs(calls, threshold=0.9).collect()}
+    assert len(alike) > 30 and alike <= got and len(got) < 2 * len(changed)
