@@ -35,17 +35,22 @@ def _correlated(sums: DataFrame, keys: list[str], min_shared: int) -> DataFrame:
     return sums.select(*keys, n.cast("bigint").alias("n_shared"), r2.alias("r2"))
 
 
-def loci_within(loci: DataFrame, region: str, locus: str, pos: str, distance: int) -> DataFrame:
+def loci_within(
+    loci: DataFrame, region: str, locus: str, pos: str, distance: int, same: list[str] = [], values: list[str] = []  # noqa: B006
+) -> DataFrame:
     """(region, i, j) of distinct loci at most ``distance`` base pairs apart, each pair once, i before j by (position, locus).
 
-    Bins are as wide as the distance, so partners lie in a locus's own bin or the next: each locus is looked up twice.
+    Bins are as wide as the distance, so partners lie in a locus's own bin or the next: each locus is looked up twice. Where loci have rows
+    per ``same``, only rows that agree in it meet; ``values`` come along as ``_x`` and ``_y``.
     """
-    base = loci.select(region, F.col(locus).alias("i"), F.col(pos).cast("bigint").alias("_p"))
+    tagged = lambda tag: [*same, *[F.col(c).alias(f"{c}_{tag}") for c in values]]
+    base = loci.select(region, F.col(locus).alias("i"), F.col(pos).cast("bigint").alias("_p"), *same, *values)
     bin_of = F.floor(F.col("_p") / F.lit(max(distance, 1)))
-    here = base.withColumn("_bin", F.explode(F.array(bin_of, bin_of + 1)))
-    there = base.select(region, F.col("i").alias("j"), F.col("_p").alias("_q"), F.floor(F.col("_p") / F.lit(max(distance, 1))).alias("_bin"))
+    here = base.select(region, "i", "_p", *tagged("x"), F.explode(F.array(bin_of, bin_of + 1)).alias("_bin"))
+    there = base.select(region, F.col("i").alias("j"), F.col("_p").alias("_q"), *tagged("y"), bin_of.alias("_bin"))
     later = (F.col("_q") > F.col("_p")) | ((F.col("_q") == F.col("_p")) & (F.col("j") > F.col("i")))
-    return here.join(there, [region, "_bin"]).where(later & (F.col("_q") - F.col("_p") <= distance)).select(region, "i", "j")
+    both = here.join(there, [region, *same, "_bin"]).where(later & (F.col("_q") - F.col("_p") <= distance))
+    return both.select(region, "i", "j", *same, *[f"{c}_{tag}" for tag in "xy" for c in values])
 
 
 def dosage_planes(calls: DataFrame, region: str, locus: str, number: str) -> DataFrame:
@@ -66,12 +71,13 @@ def ld_by_distance(calls: DataFrame, region: str, locus: str, pos: str, number:
     """r2 of all loci at most ``distance`` base pairs apart in their region, however many lie between them.
 
     ``calls``: region, locus, pos, a sample number and dosage 0, 1 or 2 (absent = not called). Pairs meet as words of 64 samples, and all
-    six sums of a pair are bit counts of ANDs, so a pair costs a sixty-fourth of the join by sample. Pairs without a common sample are left out.
+    six sums of a pair are bit counts of ANDs, so a pair costs a sixty-fourth of the join by sample. A word goes to its two bins of
+    positions, not to each of its partners. Pairs without a common sample are left out.
     """
-    planes = cut_lineage(dosage_planes(calls, region, locus, number))
-    pairs = loci_within(calls.select(region, locus, pos).distinct(), region, locus, pos, distance)
-    side = lambda name, tag: planes.select(region, F.col(locus).alias(name), "word", *[F.col(c).alias(f"{c}_{tag}") for c in ("called", "one", "two")])
-    met = pairs.join(side("i", "x"), [region, "i"]).join(side("j", "y"), [region, "j", "word"])
+    planes = dosage_planes(calls, region, locus, number)
+    loci = cut_lineage(calls.select(region, locus, pos).distinct())  # written, so its true size decides how it is joined
+    placed = cut_lineage(planes.join(loci, [region, locus]))
+    met = loci_within(placed, region, locus, pos, distance, ["word"], ["called", "one", "two"])
     count = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.col(b)))
     total = lambda c: F.sum(c).cast("double")
     sums = met.groupBy(region, "i", "j").agg(
