@@ -123,10 +123,11 @@ def parse_calls(lines: DataFrame, annotation_fields: list[str], column: str = "v
     separated CSQ entry, in its order unless the array column ``order`` gives that of the line's file. An entry belongs to the allele
     it spells, whole or trimmed; one that spells none of them stays with the first. An allele without entry keeps one row.
     """
-    part = F.split(F.regexp_replace(F.col(column), "\r", ""), "\t")
+    part = F.split(F.replace(F.col(column), F.lit("\r"), F.lit("")), "\t")
     at = lambda i: F.get(F.col("_p"), F.lit(i))
+    # an array of one, so that a later filter reads the split fields: pushed below a plain column it would split the line at every mention
     base = lines.where(~F.col(column).startswith("#")).select(
-        *keep, part.alias("_p"), (F.col(order) if order else F.array(*[F.lit(x) for x in annotation_fields])).alias("_order")
+        *keep, F.explode(F.array(part)).alias("_p"), (F.col(order) if order else F.array(*[F.lit(x) for x in annotation_fields])).alias("_order")
     ).where(F.size("_p") >= 8)
     # every field once per line, before lines become alleles; the first of repeated keys counts
     sample = lambda key: F.get("_values", F.nullif(F.array_position("_names", key).cast("int"), F.lit(0)) - 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from carrierlake.functions.sequence import sequence_metrics
 from carrierlake.operators import harmonise, intervals, resampling, similarity, survival
 from carrierlake.plans import clinical
+from carrierlake.sources import text
 
 
 def test_empty_arms_and_null_cells_have_no_permutation_test(spark):
@@ -104,3 +105,12 @@ def test_samples_that_are_not_alike_do_not_meet(spark):
     alike = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) * 10 >= 9 * len(sets[i] | sets[j])}
     got = {tuple(r) for r in similarity.candidate_pairs(calls, threshold=0.9).collect()}
     assert len(alike) > 30 and alike <= got and len(got) < 2 * len(changed)
+
+
+def test_a_filter_on_parsed_calls_splits_a_line_once(spark):
+    """Pushed below the fields, the filter of one chromosome used to split the line at each of its mentions."""
+    lines = [f"{c}\t{p}\t.\tC\tG\t30\t{f}\tDP={d}\tGT:AF\t0/1:0.5\r" for p, (c, f, d) in enumerate([("7", "PASS", 60), ("chr7", "PASS", 50), ("7", "LOW", 60), ("8", "PASS", 60), ("7", "PASS", 49)])]
+    calls = text.parse_calls(spark.createDataFrame([(x,) for x in lines], "value string"), ["Allele"])
+    got = text.simple_snvs(text.passing_sites(calls), "chr7")
+    assert sorted((r.CHROM, r.POS, r.DP) for r in got.collect()) == [("chr7", 0, 60), ("chr7", 1, 50)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(replace(") == 1
