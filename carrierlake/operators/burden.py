@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from carrierlake.session import spread
+
 
 def sample_burden(rows: DataFrame, samples: DataFrame) -> DataFrame:
     """Distinct variants and genes per sample with any / multiple flags; samples without rows get zero.
@@ -23,11 +25,11 @@ def co_carried_pairs(rows: DataFrame, variant: str, least: int) -> DataFrame:
     """Unordered variant pairs carried together by at least ``least`` samples.
 
     Variants under the threshold on their own cannot reach it in a pair and leave before the
-    self-join; the join is reduced by partial counts.
+    self-join; the join is reduced by partial counts. What is kept is dealt by sample once, for both sides.
     """
     distinct = rows.select("sample", variant).distinct()
     frequent = distinct.groupBy(variant).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(variant)
-    kept = distinct.join(frequent, variant, "left_semi")
+    (kept,) = spread((distinct.join(frequent, variant, "left_semi"), ["sample"]))
     a, b = kept.select("sample", F.col(variant).alias("first")), kept.select("sample", F.col(variant).alias("second"))
     return a.join(b, "sample").where("first < second").groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
