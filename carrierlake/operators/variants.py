@@ -7,10 +7,15 @@ from carrierlake.functions import annotation
 from carrierlake.functions.genotype import is_het, substitution_class
 from carrierlake.functions.keys import null_if_token
 from carrierlake.operators.ranking import quantiles, top_k
+from carrierlake.session import cut_lineage
 
 STATUSES = ["WT", "Het_ALT", "Hom_ALT", "Below_DP_threshold", "No_call", "Other_ALT_model"]
 
 
+#: What ``collapse_annotations`` reads beside its key, order and frequency.
+COLLAPSED = ["sample", "cohort", "dp", "af", "PICK", "CANONICAL", "MANE_SELECT", "IMPACT", "Consequence", "Feature"]
+
+
 def first_examples(df: DataFrame, keys: list[str], value: str, k: int, out: str) -> DataFrame:
     """The first ``k`` distinct values per key as one joined string; never more than k are gathered."""
     distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
@@ -126,7 +131,11 @@ def representative_row(df: DataFrame, keys: list[str], fields: list[str], ordina
 
 
 def collapse_annotations(df: DataFrame, key: str, ordinal: str, frequency: str, threshold: float = 0.01) -> DataFrame:
-    """One record per variant from transcript-expanded rows: sample-level means first, then the variant."""
+    """One record per variant from transcript-expanded rows: sample-level means first, then the variant.
+
+    The rows are written once: five aggregates read them, and would each repeat the joins that expand them.
+    """
+    df = cut_lineage(df.select(key, ordinal, frequency, *[c for c in COLLAPSED if c not in (key, ordinal, frequency)]))
     per_sample = df.groupBy(key, "sample").agg(F.avg("dp").alias("dp"), F.avg("af").alias("af"))
     means = per_sample.groupBy(key).agg(
         F.count("sample").alias("n_samples"), F.avg("dp").alias("mean_dp"), F.avg("af").alias("mean_af")

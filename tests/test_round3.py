@@ -6,8 +6,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from carrierlake import session
 from carrierlake.functions.sequence import sequence_metrics
-from carrierlake.operators import harmonise, intervals, resampling, similarity, survival
+from carrierlake.operators import burden, compare, harmonise, intervals, resampling, similarity, survival, variants
 from carrierlake.plans import clinical
 from carrierlake.sources import text
 
@@ -114,3 +115,45 @@ def test_a_filter_on_parsed_calls_splits_a_line_once(spark):
     got = text.simple_snvs(text.passing_sites(calls), "chr7")
     assert sorted((r.CHROM, r.POS, r.DP) for r in got.collect()) == [("chr7", 0, 60), ("chr7", 1, 50)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(replace(") == 1
+
+
+def dealt(df) -> bool:
+    return "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_task_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """More bytes of input than the shuffle partitions hold: rows are dealt into more, with the same pairs and carriers."""
+    rng = random.Random(3)
+    rows = sorted({(rng.randrange(300), f"v{rng.randrange(9)}", rng.choice("CGT")) for _ in range(2000)})
+    spark.createDataFrame(rows, "sample int, v string, alt string").write.parquet(f"{tmp_path}/rows")
+    table = spark.read.parquet(f"{tmp_path}/rows")
+    samples = spark.range(300).select(F.col("id").cast("int").alias("sample"), F.lit("a").alias("cohort"), F.when(F.col("id") % 2 == 0, "Tumour").otherwise("Healthy").alias("tissue"))
+    held = {}
+    for sample, v, _ in rows:
+        held.setdefault(sample, set()).add(v)
+    pairs = {}
+    for own in held.values():
+        for a in own:
+            for b in own:
+                if a < b:
+                    pairs[a, b] = pairs.get((a, b), 0) + 1
+    assert not dealt(burden.co_carried_pairs(table, "v", 3))
+    monkeypatch.setattr(session, "SPREAD_BYTES", 64)
+    got = burden.co_carried_pairs(table, "v", 3)
+    assert dealt(got) and {(r["first"], r["second"]): r.n for r in got.collect()} == {k: n for k, n in pairs.items() if n >= 3}
+    asked = []
+    monkeypatch.setattr(compare, "spread", lambda *tables: asked.append([c for _, c in tables]) or session.spread(*tables))
+    hot = compare.hotspots(table, samples, ["v"], "alt").where("comparison = 'All'").collect()
+    assert asked == [[["sample"], ["sample"]]]
+    assert {r.v: r.case_carriers + r.control_carriers for r in hot} == {f"v{i}": sum(f"v{i}" in own for own in held.values()) for i in range(9)}
+
+
+def test_annotations_are_expanded_once(spark):
+    """Five aggregates read the written rows; each used to repeat the joins that made them."""
+    rows = [(1, s, "a", 60, 0.5, 0.02, "", "-", ".", "missense_variant", "", f"t{s}", s) for s in (1, 2, 2)]
+    names = "key int, sample int, cohort string, dp int, af double, f double, PICK string, CANONICAL string, MANE_SELECT string, Consequence string, IMPACT string, Feature string, o int"
+    out = variants.collapse_annotations(spark.createDataFrame(rows, names), "key", "o", "f")
+    files = out.inputFiles()
+    assert files and all("/carrierlake-" in f for f in files)
+    r = out.first()
+    assert (r.n_samples, r.n_transcript_rows, r.common, r.transcript, r.impact, r.basis) == (2, 3, True, "t1", "MODERATE", "worst_available_transcript")
