@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from carrierlake.operators.contingency import fisher_2x2, odds_ratio
 from carrierlake.operators.fdr import bh_fdr, block_fdr
-from carrierlake.session import cut_lineage
+from carrierlake.session import cut_lineage, spread
 
 CASE, CONTROL, EVERY = "Tumour", "Healthy", "All"
 
@@ -180,7 +180,8 @@ def mask_burden(rows: DataFrame, samples: DataFrame, masks: dict[str, Column]) -
 
 def hotspots(rows: DataFrame, samples: DataFrame, position: list[str], allele: str, min_carriers: int = 2) -> DataFrame:
     """Distinct carriers per comparison and position over all alleles, tested, with the observed alleles."""
-    distinct = rows.select("sample", *position, allele).distinct().join(samples, "sample")
+    dealt, known = spread((rows.select("sample", *position, allele), ["sample"]), (samples, ["sample"]))
+    distinct = dealt.distinct().join(known, "sample")
     alleles = distinct.select(*position, allele).distinct().groupBy(*position).agg(
         F.array_join(F.array_sort(F.collect_list(F.col(allele).cast("string"))), ",").alias("alleles")
     )
