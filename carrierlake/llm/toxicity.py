@@ -4,8 +4,9 @@ Terms are the lower-case words of a bounded sample of labelled rows; each counts
 documents. A weight is (1 + log tf) * idf, times the squared relevance of the word for the label (1 plus its log-odds where positive,
 learned from the same rows). Labelled examples of one vector are one entry with counts, so ties at the k-th neighbour are never cut.
 
-Entries are laid out so that similar ones share a block. Every posting list is kept by block, with the largest weight of each block. A query
-first adds up block maxima, which bound the cosine of any entry of a block; it opens the blocks of the largest bounds, then every other one
+Entries are laid out so that similar ones share a block. Every posting list is kept by block, with the largest weight of each block. The lists of
+the most common terms, which hold most postings that a query meets, are dense rows, multiplied for many queries at once. A query
+first adds block maxima of the other lists to its largest dense sum of a block, which bounds the cosine of any entry there; it opens the blocks of the largest bounds, then every other one
 whose bound reaches the k-th best cosine of those, so what is skipped can't belong to the result. Cosines are sums in double precision. Votes are weighted by
 cosine and mapped to probabilities by an isotonic fit of leave-one-out votes. A score is a function of the text alone.
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -34,10 +36,12 @@ NEIGHBOURS = 25
 BLOCK = 64
 #: Blocks that a query opens first; their k-th best cosine decides which others are opened.
 OPENED = 8
-#: Stretches without white space whose words a worker remembers, and their greatest length.
-REMEMBERED, STRETCH = 200_000, 32
+#: Most terms whose lists are dense rows, the share of entries that hold such a term at least, and queries that meet the rows together.
+DENSE, DENSE_SHARE, TOGETHER = 512, 1 / 32, 64
 CUT = 0.3
 WORD = re.compile(r"[^\W\d_]+")
+#: Stretches of ASCII and Latin letters, whose words Arrow finds as WORD does, and what parts these words in lower case.
+LATIN, BETWEEN = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ]+$", "[^a-zß-öø-ÿ]+"
 #: Sums of one cosine differ by less than this, whatever the order of its terms.
 SLACK = 1e-9
 
@@ -106,10 +110,10 @@ class Vocabulary:
     """Words in order; the table of places is made where it is first used."""
 
     def __init__(self, words: list[str]):
-        self.text, self.size, self._place, self._seen = "\n".join(words), len(words), None, {}
+        self.text, self.size, self._place = "\n".join(words), len(words), None
 
     def __getstate__(self):
-        return {"text": self.text, "size": self.size, "_place": None, "_seen": {}}
+        return {"text": self.text, "size": self.size, "_place": None}
 
     @property
     def place(self) -> dict[str, int]:
@@ -117,27 +121,47 @@ class Vocabulary:
             self._place = {w: i for i, w in enumerate(self.text.split("\n") if self.size else [])}
         return self._place
 
+    def terms_of(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, lengths, terms): the known words of each stretch without white space, in one array."""
+        latin = pc.match_substring_regex(stretches, LATIN)
+        found = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(stretches.filter(latin)), BETWEEN, " "))
+        others = [WORD.findall(x.lower()) for x in stretches.filter(pc.invert(latin)).to_pylist()]
+        counts = np.concatenate([pc.list_value_length(found).to_numpy(), [len(x) for x in others]]).astype(np.int64)
+        coded = pa.concat_arrays([found.flatten(), pa.array([w for x in others for w in x], pa.string())]).dictionary_encode()
+        place = self.place
+        places = np.fromiter((place.get(w, -1) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        terms = places[coded.indices.to_numpy()]
+        known = np.concatenate([[0], np.cumsum(terms >= 0)])
+        ends = known[np.cumsum(counts)]
+        starts = known[np.cumsum(counts) - counts]
+        order = np.argsort(~latin.to_numpy(zero_copy_only=False), kind="stable")
+        own = np.empty(len(order), np.int64)
+        own[order] = np.arange(len(order))
+        return starts[own], (ends - starts)[own], terms[terms >= 0]
+
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, terms, counts): each text's terms, ascending, and their counts, one text after the other. Null counts as empty."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        starts, lengths, terms = self.terms_of(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        met = terms[ranges(starts[codes], lengths[codes])]
+        keys, counts = np.unique(np.repeat(owner, lengths[codes]) * max(self.size, 1) + met, return_counts=True)
+        docs, found = np.divmod(keys, max(self.size, 1))
+        return np.searchsorted(docs, np.arange(len(texts)), side="right"), found, counts
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms ascending, counts) of a text."""
-        place, seen, terms = self.place, self._seen, []
-        for stretch in text.lower().split():  # words hold no white space
-            found = seen.get(stretch)
-            if found is None:
-                found = [place[w] for w in WORD.findall(stretch) if w in place]
-                if len(stretch) <= STRETCH:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[stretch] = found
-            terms += found
-        return np.unique(np.array(terms, np.int64), return_counts=True)
+        return self.vectors(pa.array([text], pa.string()))[1:]
 
 
 #: Terms whose counts travel in one row.
 CHUNK = 4096
 
 
-def document_frequencies(docs: DataFrame, shared) -> tuple[int, np.ndarray]:
-    """(documents, documents that hold each term of the shared vocabulary); a task sends its counts in chunks of terms."""
+def document_frequencies(docs: DataFrame, shared, size: int) -> tuple[int, np.ndarray]:
+    """(documents, documents that hold each term of the shared vocabulary of that size); a task sends its counts in chunks of terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, rows = shared.value, 0
@@ -145,8 +169,7 @@ def document_frequencies(docs: DataFrame, shared) -> tuple[int, np.ndarray]:
         for batch in batches:
             rows += batch.num_rows
             for part in slices(batch):
-                for text in part.column("text").to_pylist():
-                    seen[vocabulary.vector(text)[0]] += 1
+                seen += np.bincount(vocabulary.vectors(part.column("text"))[1], minlength=len(seen))
         seen[vocabulary.size] = rows
         chunks = seen.reshape(-1, CHUNK)
         held = np.flatnonzero(chunks.any(axis=1))
@@ -161,7 +184,6 @@ def document_frequencies(docs: DataFrame, shared) -> tuple[int, np.ndarray]:
 
     form = "chunk int, seen binary"
     merged = docs.select(text_of().alias("text")).mapInArrow(count, form).groupBy("chunk").applyInArrow(merge, form).collect()
-    size = shared.value.size
     df = np.zeros(-(-(size + 1) // CHUNK) * CHUNK, np.int64)
     for r in merged:
         df[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.seen, np.int64)
@@ -233,7 +255,7 @@ class Index:
 
     def __init__(self, value: np.ndarray, entries: Entries, base: float, k: int = NEIGHBOURS, block: int = BLOCK):
         """``value``: what one occurrence of each term weighs."""
-        self.value, self.k, self.base, self.block, self.entries = value, k, base, block, entries
+        self.value, self.k, self.base, self.block, self.entries, self._dense = value, k, base, block, entries, None
         self._lay()
         if len(entries) > 2 * block:
             entries.reorder(self._neighbourhoods())
@@ -281,6 +303,33 @@ class Index:
             nearest[i] = np.argmax(near)
         return np.lexsort((np.arange(n), nearest))
 
+    def __getstate__(self):
+        return self.__dict__ | {"_dense": None}
+
+    @property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each term or -1, rows over the entries) of the most common terms; made where it is first used."""
+        if self._dense is None:
+            held = np.diff(np.append(self.first, len(self.entry))[self.ends])
+            common = np.argsort(-held, kind="stable")[:DENSE]
+            common = common[held[common] >= max(DENSE_SHARE * len(self.entries), 1)]
+            row, rows = np.full(len(held), -1), np.zeros((len(common), len(self.entries)))
+            row[common] = np.arange(len(common))
+            begins = np.append(self.first, len(self.entry))[self.ends[common]]
+            for i, (a, n) in enumerate(zip(begins, held[common])):
+                rows[i, self.entry[a : a + n]] = self.weight[a : a + n]
+            self._dense = row, rows
+        return self._dense
+
+    def common_sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms of each query (terms, weights) add to its cosine with each entry."""
+        row, rows = self.dense
+        asked = np.zeros((len(queries), len(rows)))
+        for i, (terms, q) in enumerate(queries):
+            at = row[terms]
+            asked[i, at[at >= 0]] = q[at >= 0]
+        return asked @ rows
+
     def last_of(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """The cosine at which entries, nearest first, hold k examples; 0 if they hold fewer."""
         full = int(np.searchsorted(np.cumsum(self.entries.n[found]), self.k))
@@ -288,27 +337,39 @@ class Index:
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines), nearest first: as many as hold k examples, and every entry tied with the last."""
-        q = unit_weights(terms, counts, self.value)
+        return next(self.all_nearest([(terms, counts)]))
+
+    def all_nearest(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each query (terms, counts), in order."""
+        for i in range(0, len(queries), TOGETHER):
+            some = [(terms, unit_weights(terms, counts, self.value)) for terms, counts in queries[i : i + TOGETHER]]
+            for (terms, q), sums in zip(some, self.common_sums(some)):
+                rare = self.dense[0][terms] < 0
+                yield self._nearest(terms[rare], q[rare], sums)
+
+    def _nearest(self, terms: np.ndarray, q: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` of a query of rare terms and their weights, given the sums of its common ones."""
         lists = self.ends[terms + 1] - self.ends[terms]
         held = ranges(self.ends[terms], lists)
         asked = np.repeat(q, lists)
         block = self.of_block[held]
-        bound = np.bincount(block, self.most[held] * asked, self.blocks)
+        begins = np.arange(0, len(sums), self.block)
+        bound = np.bincount(block, self.most[held] * asked, self.blocks) + np.maximum.reduceat(sums, begins)
         order = np.argsort(-bound, kind="stable")
         found, cosines, last = np.empty(0, np.int64), np.empty(0), 0.0
-        opened = np.zeros(self.blocks, bool)
         for now in (order[:OPENED], order[OPENED:]):
             now = now[(bound[now] > 0) & (bound[now] >= last - SLACK)]
             if not len(now):
                 break
-            opened[:] = False
+            opened = np.zeros(self.blocks, bool)
             opened[now] = True
             own = np.flatnonzero(opened[block])
             lists = held[own]
             lengths = self.length[lists]
             flat = ranges(self.first[lists], lengths)
-            near = np.bincount(self.entry[flat], self.weight[flat] * np.repeat(asked[own], lengths), len(self.entries))
+            near = sums + np.bincount(self.entry[flat], self.weight[flat] * np.repeat(asked[own], lengths), len(sums))
             more = np.flatnonzero(near >= max(last - SLACK, 1e-300))
+            more = more[opened[more // self.block]]
             found, cosines = np.concatenate([found, more]), np.concatenate([cosines, near[more]])
             rank = np.lexsort((self.entries.example[found], -cosines))
             found, cosines = found[rank], cosines[rank]
@@ -324,20 +385,24 @@ class Index:
     def own_votes(self, which: list[int]) -> list[tuple[float, int, float]]:
         """(leave-one-out vote, label, how many examples) of the entries ``which``."""
         votes = []
-        for i in which:
-            found, cosines = self.nearest(*self.entries.row(i))
+        for i, (found, cosines) in zip(which, self.all_nearest([self.entries.row(i) for i in which])):
             own, n, t = found == i, self.entries.n[i], self.entries.t[i]
             votes += [(self.vote(self.entries.n[found] - own, self.entries.t[found] - own * y, cosines), y, times) for y, times in ((1, t), (0, n - t)) if times]
         return votes
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, curve: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
-        """(probability, evidence): the nearest three entries as (an example's doc_id, cosine, examples, positives)."""
+    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]], curve: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, list]]:
+        """(probability, evidence) of each query (terms, counts): the nearest three entries as (an example's doc_id, cosine, examples, positives)."""
         e = self.entries
-        if not len(terms) or not len(e):
-            return (e.empty[1] + self.base) / (e.empty[0] + 1), []
-        found, cosines = self.nearest(terms, counts)
-        value = float(np.interp(self.vote(e.n[found], e.t[found], cosines), *curve))
-        return value, [(int(e.example[i]), float(c), int(e.n[i]), int(e.t[i])) for i, c in zip(found[:3], cosines[:3])]
+        nearest = self.all_nearest([(terms, counts) for terms, counts in queries if len(terms)]) if len(e) else iter(())
+        out = []
+        for terms, _ in queries:
+            if not len(terms) or not len(e):
+                out.append(((e.empty[1] + self.base) / (e.empty[0] + 1), []))
+                continue
+            found, cosines = next(nearest)
+            value = float(np.interp(self.vote(e.n[found], e.t[found], cosines), *curve))
+            out.append((value, [(int(e.example[i]), float(c), int(e.n[i]), int(e.t[i])) for i, c in zip(found[:3], cosines[:3])]))
+        return out
 
 
 def calibration(votes: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -351,9 +416,8 @@ def calibration(votes: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.n
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def calibrated(spark: SparkSession, shared) -> tuple[np.ndarray, np.ndarray]:
-    """The calibration of a shared index; its entries are asked in tasks."""
-    count = len(shared.value.entries)
+def calibrated(spark: SparkSession, shared, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The calibration of a shared index of so many entries; they are asked in tasks."""
     if not count:
         return calibration([])
 
@@ -377,10 +441,10 @@ def learned_index(docs: DataFrame, labels: DataFrame, label: str, most: int, k:
     if t in (0, n):  # one label: nothing to tell apart
         entries, vocabulary = Entries([((), (), int(n), int(t), 0)]), Vocabulary([])
     shared = context.broadcast(vocabulary)  # MOST_BYTES
-    total, df = document_frequencies(docs, shared)
+    total, df = document_frequencies(docs, shared, vocabulary.size)
     value = (np.log((total + 1) / (df + 1)) + 1) * relevance(entries, vocabulary.size) ** 2
     index = context.broadcast(Index(value, entries, t / n if n else 0.0, k))  # MOST_PAIRS
-    return shared, index, calibrated(docs.sparkSession, index)
+    return shared, index, calibrated(docs.sparkSession, index, len(entries))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
@@ -399,7 +463,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [index.value.score(*vocabulary.value.vector(t), curve) for t in part.column("text").to_pylist()]
+                ends, terms, counts = vocabulary.value.vectors(part.column("text"))
+                found = index.value.scores(list(zip(np.split(terms, ends[:-1]), np.split(counts, ends[:-1]))), curve)
                 evidence = pa.array([[dict(zip(names, e)) for e in x] for _, x in found], kind)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([s for s, _ in found], pa.float64()), evidence], names=["row", "score", "evidence"])
 
