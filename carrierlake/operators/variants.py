@@ -1,12 +1,14 @@
 """Catalogues, summaries and quality of variant calls; annotation collapse and landscape tables."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from carrierlake.operators import compare
 from carrierlake.functions import annotation
 from carrierlake.functions.genotype import is_het, substitution_class
 from carrierlake.functions.keys import null_if_token
-from carrierlake.operators.ranking import quantiles, top_k
+from carrierlake.operators.ranking import known, quantiles, top_k
 from carrierlake.session import cut_lineage
 
 STATUSES = ["WT", "Het_ALT", "Hom_ALT", "Below_DP_threshold", "No_call", "Other_ALT_model"]
@@ -78,10 +80,16 @@ def carriers_long(long: DataFrame, locus: list[str]) -> DataFrame:
 
 
 def sample_summary(long: DataFrame, locus: str, keys: list[str]) -> DataFrame:
-    base = long.groupBy(*keys).agg(
-        F.countDistinct(locus).alias("n_loci"), *status_counts(), F.round(F.avg("dp"), 2).alias("mean_dp")
+    """Loci, status counts, mean and median depth per sample, in one aggregate: rows dealt by some of the keys stay where they are.
+
+    The median is exact: a sample keeps one count per distinct depth. Where a key is null there is no median.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    summary = long.groupBy(*keys).agg(
+        F.countDistinct(locus).alias("n_loci"), *status_counts(), F.round(F.avg("dp"), 2).alias("mean_dp"),
+        F.percentile(F.when(known("dp"), F.col("dp").cast("double")), 0.5).alias("median_dp"),
     )
-    return base.join(quantiles(long.select(*keys, "dp"), keys, "dp", {"median_dp": 0.5}).drop("n"), keys, "left")
+    return summary.withColumn("median_dp", F.when(whole, F.col("median_dp")))
 
 
 def cell_totals(long: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from carrierlake.operators import compare, fdr, variants
 from carrierlake.plans.association import SCREEN_CTES, SCREEN_SQL
 from carrierlake.plans.fields import CALL_TEXT, CLASS_SQL, TERM_TABLE, TERMS, call_text
 from carrierlake.plans.registry import bh_sql, query, rounded, with_sql
+from carrierlake.session import spread
 
 CALLS = with_sql("samples", "").rstrip() + f""", {CALL_TEXT}, called AS (SELECT * FROM calltext JOIN samples USING (sample))"""
 
@@ -48,8 +49,12 @@ STATUS_SQL = ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s.lower()}" for
 
 
 def long_calls(t):
+    return with_status(called(t))
+
+
+def with_status(calls):
     raw = genotype.classify_genotype(F.col("gt"), F.col("dp"))
-    return called(t).withColumn("status", genotype.threshold_status(raw, F.col("dp")))
+    return calls.withColumn("status", genotype.threshold_status(raw, F.col("dp")))
 
 
 @query(
@@ -79,7 +84,9 @@ def _carriers_long(t):
       FROM long GROUP BY 1, 2, 3""",
 )
 def _sample_summary(t):
-    return variants.sample_summary(long_calls(t), "p_partkey", ["sample", "cohort", "tissue"])
+    """Calls and samples are dealt by sample once, for the join and the aggregate."""
+    calls, samples = spread((call_text(t), ["sample"]), (t.samples(), ["sample"]))
+    return variants.sample_summary(with_status(calls.join(samples, "sample")), "p_partkey", ["sample", "cohort", "tissue"])
 
 
 @query("cell_totals", LONG + " SELECT status, count(*) AS cells FROM long GROUP BY 1")
