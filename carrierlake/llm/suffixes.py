@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from carrierlake.session import cut_lineage, discard
+from carrierlake.session import cut_lineage, discard, release
 
 from .common import documents, query
 from .jaccard import from_planes, mixed, planes
@@ -293,33 +293,42 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, bucket
     """(sizes: doc_id, n_bytes, sha, first; texts: doc_id, text, spans of those with repeated windows).
 
     ``first`` is the smallest doc_id of the same text: a copy of at least ``depth`` bytes is removed whole, so copies need no sorting.
+    Texts are never written to scratch: every step that needs bytes joins ``docs``, which is read four times. Each step's shuffle files and
+    tables go as soon as the next one no longer reads them, so the disk holds one shuffle of the text at a time.
     """
+    spark = docs.sparkSession
     if buckets is None:  # enough ranges for every shuffle task, a power of two
-        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = 1 << max(5, (2 * tasks - 1).bit_length())
     found = cut_lineage(repeated_places(dealt_anchors(docs, buckets, depth, gram), depth))
+    release(spark)
     whole = found.where(F.col("kind") == DOCUMENT).select("doc_id", "n_bytes", F.lower(F.hex("sha")).alias("sha"))
     sizes = cut_lineage(whole.join(whole.groupBy("sha").agg(F.min("doc_id").alias("first")), "sha"))
+    release(spark)
     # an id with several different texts has no one text to compare
     own = sizes.groupBy("doc_id").agg(F.min("sha").alias("low"), F.max("sha").alias("high"), F.min("first").alias("first"))
     own = own.where("doc_id = first and low = high").select("doc_id")
     places = found.where(F.col("kind") == PLACE).select("doc_id", "h", "a", "lo", "hi").join(own, "doc_id")
     listed = places.groupBy("doc_id").agg(F.collect_set(F.struct("h", "a", "lo", "hi")).alias("places"))  # bounded by the text
-    texts = cut_lineage(docs.where("text is not null").select("doc_id", "text").join(listed, "doc_id"))
+    texts = docs.where("text is not null").select("doc_id", "text")
+    keyed = cut_lineage(stretch_keys(texts.join(listed, "doc_id"), depth))
     discard(found)
-    keyed = cut_lineage(stretch_keys(texts, depth))
     place = F.struct("doc_id", "a", "lo", "hi")
     same = cut_lineage(keyed.groupBy("h", "key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    release(spark)
     copies = keyed.select("h", "key", place.alias("place")).join(same.where("n > 1").select("h", "key", "first"), ["h", "key"])
     covered = copies.where(F.col("place") != F.col("first")).select("place.doc_id", F.col("place.lo").cast("long").alias("begin"), (F.col("place.hi") + depth).cast("long").alias("end"))
+    covered = cut_lineage(covered)
+    discard(keyed)
     several = same.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     wanted = same.join(several, "h").select("first.doc_id", F.struct("h", "first.a", "first.lo", "first.hi", "m").alias("place"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # bounded by the text
-    reps = cut_lineage(stretches(texts.select("doc_id", "text").join(wanted, "doc_id"), depth).distinct())
-    spans = cut_lineage(covered.unionByName(sorted_windows(reps.where(F.col("m") <= most), buckets, depth)).unionByName(aggregated_windows(reps.where(F.col("m") > most), depth)))
-    discard(keyed, same, reps)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by the text
-    return sizes, texts.select("doc_id", "text").join(per_doc, "doc_id")
+    reps = cut_lineage(stretches(texts.join(wanted, "doc_id"), depth).distinct())
+    discard(same)
+    windows = cut_lineage(sorted_windows(reps.where(F.col("m") <= most), buckets, depth).unionByName(aggregated_windows(reps.where(F.col("m") > most), depth)))
+    discard(reps)
+    per_doc = covered.unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by the text
+    return sizes, texts.join(per_doc, "doc_id")
 
 
 def deduplicated_bytes(docs: DataFrame, depth: int = DEPTH, **options) -> DataFrame:

@@ -301,6 +301,26 @@ def test_suffixes_on_odd_rows(odd):
     assert suffixes.deduplicated_bytes(odd.limit(0)).count() == 0
 
 
+def test_suffixes_keep_no_texts_in_scratch(spark, monkeypatch):
+    """The tables between the steps hold what repeats, not the texts around it."""
+    rng = np.random.default_rng(5)
+    text = lambda n: bytes(rng.integers(33, 127, n, np.uint8)).decode()
+    shared = text(150)
+    texts = {i: text(6000) + shared + text(2000) for i in range(40)}
+    write, tables, held = suffixes.cut_lineage, [], []
+
+    def kept(df):
+        tables.append(write(df))
+        files = [os.path.join(d, f) for t in tables for d, _, names in os.walk(t._scratch_path.removeprefix("file://")) for f in names]
+        held.append(sum(map(os.path.getsize, files)))
+        return tables[-1]
+
+    monkeypatch.setattr(suffixes, "cut_lineage", kept)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    assert suffix_rows(suffixes.deduplicated_bytes(df)) == brute_dedup(texts, 100)
+    assert 0 < max(held) < sum(map(len, texts.values())) / 2
+
+
 # neighbours
 
 
